@@ -42,21 +42,28 @@ def latest_per_series(wide: DataFrame) -> DataFrame:
     )
 
 
-def last_n_per_host(wide: DataFrame, field: str = "value", names: list[str] | None = None, n: int = MAX_CHART_POINTS) -> DataFrame:
-    """For each host, the newest ``n`` metrics that carry ``field`` (optionally only
-    the given metric names), as (host, timestamp, seq, y)."""
+def chart_rows(wide: DataFrame, field: str = "value", names: list[str] | None = None) -> DataFrame:
+    """Wide rows that carry ``field`` (optionally only the given metric names), as
+    ``host, timestamp, seq, pos, y``."""
     rows = wide
     if names:
         rows = rows.where(F.col("name").isin(names))
-    rows = rows.select(
-        "host", "timestamp", "seq", "pos", F.col("fields").getItem(field).alias("y")
+    return rows.select(
+        "host", "timestamp", "seq", "pos", F.col("fields")[field].alias("y")
     ).where(F.col("y").isNotNull())
+
+
+def newest_per_host(rows: DataFrame, n: int = MAX_CHART_POINTS) -> DataFrame:
+    """The newest ``n`` chart rows per host, with their ``rank`` (1 = newest)."""
     w = Window.partitionBy("host").orderBy(*_arrival_order())
-    return (
-        rows.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= n)
-        .select("host", "timestamp", "seq", "y", "rank")
-    )
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def last_n_per_host(wide: DataFrame, field: str = "value", names: list[str] | None = None, n: int = MAX_CHART_POINTS) -> DataFrame:
+    """For each host, the newest ``n`` metrics that carry ``field``, as
+    ``host, timestamp, seq, y, rank``."""
+    ranked = newest_per_host(chart_rows(wide, field, names), n)
+    return ranked.select("host", "timestamp", "seq", "y", "rank")
 
 
 def chart(wide: DataFrame, name: str, n: int = MAX_CHART_POINTS) -> DataFrame:

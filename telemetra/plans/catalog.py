@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.functions.points import date_path, epoch_seconds
-from telemetra.operators import aggregates, filters, flatten, series, views
+from telemetra.operators import aggregates, filters, flatten, series, store, views
 from telemetra.schemas import FlattenOptions, SeriesOptions
-from telemetra.session import configure
+from telemetra.session import configure, scratch_path
+from telemetra.sinks import writers
 from telemetra.sources import adapters, labelled
+from telemetra.sources import points as points_src
+from telemetra.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,8 +183,8 @@ def filter_name_wide(spark, sf_dir):
         "name",
         "host",
         F.size("fields").alias("n_fields"),
-        F.col("fields").getItem("value").alias("value"),
-        F.col("fields").getItem("k").alias("k"),
+        F.col("fields")["value"].alias("value"),
+        F.col("fields")["k"].alias("k"),
     )
 
 
@@ -299,3 +302,186 @@ def series_retention(spark, sf_dir):
 def ingest_counters(spark, sf_dir):
     """A3 on fixture E: requests and metrics in enveloped payloads."""
     return flatten.ingest_counters(adapters.dirty_payloads(events(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- stores (write, read back)
+
+def store_row(points: DataFrame) -> DataFrame:
+    return points.select(epoch_seconds(F.col("timestamp")).alias("ts"), "metric_name", "value", "host", "tags_json")
+
+
+def _roundtrip(spark, sf_dir, fmt, **write_opts) -> DataFrame:
+    path = scratch_path(spark, f"store-{fmt}")
+    writers.write_points(points_a(spark, sf_dir), path, fmt, **write_opts)
+    parts = tuple(write_opts.get("partition_by", ("date",)))
+    return points_src.read_store(spark, path, fmt, parts)
+
+
+@register("parquet_roundtrip")
+def parquet_roundtrip(spark, sf_dir):
+    """K1 + S3: Parquet store (Snappy, no dictionary, by date), read back."""
+    return store_row(_roundtrip(spark, sf_dir, "parquet"))
+
+
+@register("parquet_partitioned")
+def parquet_partitioned(spark, sf_dir):
+    """K2: partitioned by date and metric (rebalanced write), read back. Host partitioning
+    is the same option; with one host per user it would make a directory per point."""
+    back = _roundtrip(spark, sf_dir, "parquet", partition_by=("date", "metric_name"), layout="rebalance")
+    return store_row(back)
+
+
+@register("csv_roundtrip")
+def csv_roundtrip(spark, sf_dir):
+    """K3 + K6: CSV store with header, rotated every 100 000 rows, read back."""
+    back = _roundtrip(spark, sf_dir, "csv")
+    return back.select(epoch_seconds(F.col("timestamp")).alias("ts"), "metric_name", "value", "host")
+
+
+@register("csv_tags_roundtrip")
+def csv_tags_roundtrip(spark, sf_dir):
+    """K4: CSV store with the tags column, read back."""
+    return store_row(_roundtrip(spark, sf_dir, "csv_tags"))
+
+
+@register("jsonl_gz_roundtrip")
+def jsonl_gz_roundtrip(spark, sf_dir):
+    """K5 + S4: gzip JSON Lines store, read back."""
+    return store_row(_roundtrip(spark, sf_dir, "jsonl", compression="gzip"))
+
+
+@register("fanout_stores")
+def fanout_stores(spark, sf_dir):
+    """K7 + U1: one pass to Parquet, CSV-with-tags and JSON Lines; all three read as one."""
+    root = scratch_path(spark, "fanout")
+    stores = [(f"{root}/parquet", "parquet"), (f"{root}/csv", "csv_tags"), (f"{root}/jsonl", "jsonl")]
+    writers.fan_out(points_a(spark, sf_dir), stores)
+    both = points_src.union_stores(spark, stores)
+    return both.select("store", epoch_seconds(F.col("timestamp")).alias("ts"), "metric_name", "value", "host", "tags_json")
+
+
+def _compact_store(spark, sf_dir) -> str:
+    path = scratch_path(spark, "store-daily")
+    writers.write_points(points_a(spark, sf_dir), path, "parquet", layout="compact")
+    return path
+
+
+@register("rows_per_file")
+def rows_per_file(spark, sf_dir):
+    """A1: rows per data file of a store with one file per date."""
+    per_file = store.rows_per_file(spark, _compact_store(spark, sf_dir))
+    return per_file.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows")
+    )
+
+
+@register("list_files_range")
+def list_files_range(spark, sf_dir):
+    """files whose date lies in [2024-01-10, 2024-01-20] (partition pruning)."""
+    files = store.files_in_range(spark, _compact_store(spark, sf_dir), "2024-01-10", "2024-01-20")
+    return files.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@register("store_stats")
+def store_stats(spark, sf_dir):
+    """A4: records, files, bytes, errors (fixture E rejects) and rate of a store."""
+    path = scratch_path(spark, "store-stats")
+    payloads = adapters.dirty_payloads(events(spark, sf_dir))
+    writers.write_points(flatten.flatten(payloads), path, "parquet", layout="compact")
+    return store.store_stats(spark, path, rejected=flatten.rejected(payloads))
+
+
+@register("store_report")
+def store_report(spark, sf_dir):
+    """A5: file count, total size, newest file and its size."""
+    return store.store_report(spark, _compact_store(spark, sf_dir)).select("files", "bytes", "newest_bytes")
+
+
+@register("expired_files")
+def expired_files(spark, sf_dir):
+    """R1 (dry run): files older than 7 days as seen 8 days from now — every file."""
+    import datetime as dt
+
+    path = _compact_store(spark, sf_dir)
+    later = dt.datetime.now() + dt.timedelta(days=8)
+    expired = store.expired_files(spark, path, days=7, now=later)
+    return store.remove_files(expired, dry_run=True)
+
+
+# ---------------------------------------------------------------- streaming (landed files → stream)
+
+def _land(df: DataFrame, spark: SparkSession, name: str, files: int = 4) -> str:
+    """Write fixture payloads as ``files`` Parquet files in ``seq`` ranges to stream from."""
+    path = scratch_path(spark, f"landing-{name}")
+    df.repartitionByRange(files, "seq").write.parquet(path)
+    return path
+
+
+def _run(spark: SparkSession, start) -> None:
+    q = start(scratch_path(spark, "checkpoint"))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@register("stream_ingest")
+def stream_ingest(spark, sf_dir):
+    """T1 + T2: landed payloads (fixture A) streamed into a Parquet store, one file per
+    trigger of maxFilesPerTrigger=1, flushed with availableNow."""
+    src = _land(adapters.fields_payloads(events(spark, sf_dir)), spark, "a")
+    sink = scratch_path(spark, "stream-store")
+    stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.ingest(stream, sink, cp))
+    return store_row(points_src.read_parquet_points(spark, sink))
+
+
+@register("stream_first_seen")
+def stream_first_seen(spark, sf_dir):
+    """First-seen series across micro-batches (fixture C)."""
+    src = _land(adapters.labelled_lines(events(spark, sf_dir)), spark, "c")
+    sink = scratch_path(spark, "stream-first-seen")
+    _run(spark, lambda cp: live.first_seen(live.line_stream(spark, src, 1), sink, cp, SERIES))
+    cat = live.read_first_seen(spark, sink, SERIES)
+    return cat.select("series_key", "metric", "labels_json", "first_seq", F.col("first_timestamp").alias("first_ts"))
+
+
+@register("stream_filtered")
+def stream_filtered(spark, sf_dir):
+    """T4: live stream of two metrics for one host (fixture A)."""
+    src = _land(adapters.fields_payloads(events(spark, sf_dir)), spark, "a")
+    sink = scratch_path(spark, "stream-filtered")
+    stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.filtered(stream, sink, cp, metrics="click.value,view.k", tags={"region": "eu"}))
+    return point_row(spark.read.parquet(sink))
+
+
+@register("stream_latest")
+def stream_latest(spark, sf_dir):
+    """T5: latest value per (name, tags) kept in streaming state (fixture B)."""
+    src = _land(adapters.value_payloads(events(spark, sf_dir)), spark, "b")
+    sink = scratch_path(spark, "stream-latest")
+    stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.latest(stream, sink, cp))
+    lat = live.read_latest(spark, sink)
+    return lat.select("name", "tags_json", "main_field", "value", epoch_seconds(F.col("timestamp")).alias("ts"), "seq")
+
+
+@register("stream_last_50")
+def stream_last_50(spark, sf_dir):
+    """Newest 50 values per host, re-ranked every micro-batch (fixture B)."""
+    src = _land(adapters.value_payloads(events(spark, sf_dir)), spark, "b")
+    sink = scratch_path(spark, "stream-last-50")
+    stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.last_n(stream, sink, cp, field="value", n=50))
+    last = live.latest_batch(spark, sink)
+    return last.select("host", epoch_seconds(F.col("timestamp")).alias("ts"), "seq", "y", "rank")
+
+
+@register("stream_counters")
+def stream_counters(spark, sf_dir):
+    """Running ingest counters over fixture E."""
+    src = _land(adapters.dirty_payloads(events(spark, sf_dir)), spark, "e")
+    sink = scratch_path(spark, "stream-counters")
+    stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.counters(stream, sink, cp))
+    return live.latest_batch(spark, sink)

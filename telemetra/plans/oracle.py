@@ -157,3 +157,30 @@ SELECT count(*) AS total_requests,
        CAST(sum(CASE WHEN f IN (0, 1) THEN 0 WHEN f IN (4, 7) THEN 2 ELSE 1 END) AS BIGINT) AS total_metrics
 FROM e""",
 }
+
+_STORE_A = f"WITH {_POINTS_A} SELECT ts, metric_name, value, host, tags_json FROM pa"
+
+ORACLE.update({
+    "parquet_roundtrip": _STORE_A,
+    "parquet_partitioned": _STORE_A,
+    "csv_roundtrip": f"WITH {_POINTS_A} SELECT ts, metric_name, value, host FROM pa",
+    "csv_tags_roundtrip": _STORE_A,
+    "jsonl_gz_roundtrip": _STORE_A,
+    "fanout_stores": f"""WITH {_POINTS_A}, s(store) AS (VALUES ('parquet'), ('csv_tags'), ('jsonl'))
+SELECT s.store, ts, metric_name, value, host, tags_json FROM pa, s""",
+    "rows_per_file": f"""WITH {_POINTS_A}
+SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date, CAST(1 AS BIGINT) AS files, count(*) AS rows
+FROM pa GROUP BY 1""",
+    "list_files_range": f"""WITH {_POINTS_A}
+SELECT DISTINCT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date, CAST(1 AS BIGINT) AS files
+FROM pa WHERE make_timestamp(ts * 1000000) >= TIMESTAMP '2024-01-10' AND make_timestamp(ts * 1000000) < TIMESTAMP '2024-01-21'""",
+    "stream_ingest": _STORE_A,
+    "stream_first_seen": f"""WITH {_C}
+SELECT series_key, arg_min(metric, seq) AS metric, arg_min(labels_json, seq) AS labels_json,
+       min(seq) AS first_seq, arg_min(ts, seq) AS first_ts
+FROM c GROUP BY series_key""",
+    "stream_filtered": f"WITH {_POINTS_A} SELECT * FROM pa WHERE metric_name IN ('click.value', 'view.k')",
+    "stream_latest": ORACLE["latest_per_series"],
+    "stream_last_50": ORACLE["last_50_per_host"],
+    "stream_counters": ORACLE["ingest_counters"],
+})
