@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def sorted_json_object(m: Column) -> Column:
     """``map<string,string>`` as compact JSON text with keys in byte order; ``{}`` when
     the map is NULL or empty."""
-    ordered = F.map_from_entries(F.array_sort(F.map_entries(m)))
+    ordered = F.map_from_entries(F.sort_array(F.map_entries(m)))
     return F.coalesce(F.to_json(ordered), F.lit("{}"))
 
 
@@ -19,7 +19,7 @@ def series_key(metric: Column, labels: Column, prefix: str | None = None) -> Col
     An absent prefix and an empty or NULL label map add no separator.
     """
     pairs = F.transform(
-        F.array_sort(F.map_entries(labels)),
+        F.sort_array(F.map_entries(labels)),
         lambda e: F.concat(e["key"], F.lit("="), e["value"]),
     )
     label_part = F.nullif(F.array_join(pairs, ":"), F.lit(""))

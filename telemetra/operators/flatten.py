@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.functions.points import sorted_json_object, to_event_time
+from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import field, is_number, is_string, json_text_values, type_of
 from telemetra.schemas import FlattenOptions
 
@@ -106,7 +107,10 @@ def _metric_rows(parsed: DataFrame, options: FlattenOptions, keep: list[str]) ->
         F.when(_is_object(tags_obj), tags_obj).alias("tags_raw"),
         field(m, "$.value").alias("_value"),
         field(m, "$.fields", "map<string,variant>").alias("_fields"),
-    ).withColumn("tags", json_text_values(F.col("tags_raw")))
+    ).withColumn("tags", json_text_values(F.col("tags_raw"))).withColumn(
+        # once per metric, before the fan-out repeats the row per field
+        "tags_json", sorted_json_object(F.col("tags"))
+    )
 
 
 def flatten(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), keep: list[str] | None = None) -> DataFrame:
@@ -121,7 +125,7 @@ def flatten(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), kee
     has_value = F.col("_value").isNotNull()
     entries = F.when(has_value, F.create_map(F.lit(""), F.col("_value"))).otherwise(F.col("_fields"))
     exploded = metrics.select(
-        *keep, "seq", "pos", "timestamp", "name", "host", "tags", "tags_raw",
+        *keep, "seq", "pos", "timestamp", "name", "host", "tags", "tags_json", "tags_raw",
         has_value.alias("_single"), F.explode(entries).alias("_field", "_v"),
     ).where(is_number(F.col("_v")))
     return exploded.select(
@@ -135,7 +139,7 @@ def flatten(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), kee
         F.variant_get(F.col("_v"), "$", "double").alias("value"),
         "host",
         "tags",
-        sorted_json_object(F.col("tags")).alias("tags_json"),
+        "tags_json",
         "tags_raw",
     )
 
@@ -155,9 +159,7 @@ def wide_metrics(payloads: DataFrame, options: FlattenOptions = FlattenOptions()
         F.create_map(F.lit("value"), F.variant_get(F.col("_value"), "$", "double")),
     ).otherwise(F.coalesce(as_double, F.create_map().cast("map<string,double>")))
     return metrics.select(
-        *keep, "seq", "pos", "timestamp", "name", "host", "tags",
-        sorted_json_object(F.col("tags")).alias("tags_json"),
-        fields.alias("fields"),
+        *keep, "seq", "pos", "timestamp", "name", "host", "tags", "tags_json", fields.alias("fields"),
     )
 
 
@@ -166,8 +168,9 @@ def rejected(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), ke
     metric scope, per rejected metric; columns ``seq, pos, reason, raw``."""
     keep = list(keep or [])
     parsed = parse_payloads(payloads, options)
-    whole = parsed.where(F.col("status") != OK).select(
-        *keep, "seq", F.lit(None).cast("int").alias("pos"), F.col("status").alias("reason"), "raw"
+    whole = keep_where(
+        parsed, F.col("status") != OK,
+        *keep, "seq", F.lit(None).cast("int").alias("pos"), F.col("status").alias("reason"), "raw",
     )
     if options.scope == "payload":
         return whole

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every entry point applies to the session it is given. The store layout and all
 # epoch conversions are UTC, and payloads with repeated object keys keep the last value.
@@ -62,3 +62,18 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under :func:`shared_dir` for one store or stream."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a narrow input over the cluster before CPU-heavy work (JSON parsing).
+
+    A scan yields one task per file split; a single large row group is one task however
+    many cores there are. Only when the input has fewer partitions than the session's
+    default parallelism is it redistributed (round robin, sorted first so a retried task
+    sees the same rows); a wide input — the normal case at scale — is left as it is.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -28,8 +28,11 @@ PARQUET_COMPRESSION = "snappy"
 
 
 def with_date(points: DataFrame, source: str = "timestamp") -> DataFrame:
-    """P10: the ``date`` partition column from event time (default) or arrival time
-    (``received_at``), UTC."""
+    """P10: the ``date`` partition column, UTC, from event time (``timestamp``, default),
+    arrival time (``received_at``) or the write's own clock (``flush``: the collector's
+    rule, one date per flush)."""
+    if source == "flush":
+        return points.withColumn("date", F.current_date())
     return points.withColumn("date", F.to_date(F.col(source)))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import field, is_number, is_string, type_of
 
 
@@ -21,7 +22,8 @@ def _is_object(v):
 def labelled_points(lines: DataFrame) -> DataFrame:
     """(``seq``, ``raw``) lines → ``seq, timestamp, metric, value, labels``."""
     doc = F.try_parse_json(F.col("raw"))
-    parsed = lines.where(F.col("raw").rlike(r"\S")).select("seq", doc.alias("d"))
+    # blank and whitespace-only lines do not parse, so the validity test skips them too
+    parsed = lines.select("seq", doc.alias("d"))
     d = F.col("d")
     metric, ts, value = field(d, "$.metric"), field(d, "$.timestamp"), field(d, "$.value")
     label_obj = field(d, "$.labels")
@@ -35,7 +37,9 @@ def labelled_points(lines: DataFrame) -> DataFrame:
         & F.coalesce(F.forall(F.map_values(label_map), is_string), F.lit(True))
     )
     empty = F.create_map().cast("map<string,string>")
-    return parsed.where(valid).select(
+    return keep_where(
+        parsed,
+        valid,
         "seq",
         F.coalesce(field(d, "$.timestamp", "bigint"), F.lit(0)).alias("timestamp"),
         F.coalesce(field(d, "$.metric", "string"), F.lit("unknown")).alias("metric"),

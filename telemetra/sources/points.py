@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.functions.points import sorted_json_object
+from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import field, is_number, is_string, json_text_values
 from telemetra.schemas import POINT_CSV, POINT_CSV_TAGS, POINT_PARQUET
 
@@ -71,7 +72,9 @@ def read_jsonl_points(spark: SparkSession, base: str, partitions: tuple[str, ...
     ts, metric, value = field(doc, "$.timestamp"), field(doc, "$.metric"), field(doc, "$.value")
     ok = doc.isNotNull() & F.coalesce(is_number(ts) & is_string(metric) & is_number(value), F.lit(False))
     tags = json_text_values(field(doc, "$.tags"))
-    return parsed.where(ok).select(
+    return keep_where(
+        parsed,
+        ok,
         F.timestamp_seconds(field(doc, "$.timestamp", "bigint")).alias("timestamp"),
         field(doc, "$.metric", "string").alias("metric_name"),
         field(doc, "$.value", "double").alias("value"),
