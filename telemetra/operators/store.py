@@ -65,6 +65,23 @@ def rows_per_file(spark: SparkSession, base: str, fmt: str = "parquet") -> DataF
     )
 
 
+def query_files(spark: SparkSession, base: str, metric: str | None = None, start=None, end=None) -> DataFrame:
+    """The ``/query`` route with its filters applied: rows of ``metric`` in
+    ``[start, end]`` per data file (files without a match count 0). The filters reach the
+    Parquet scan; the file listing keeps empty files in the answer."""
+    from telemetra.operators import filters
+    from telemetra.sources.points import read_parquet_points
+
+    pts = read_parquet_points(spark, base).select(
+        "metric_name", "timestamp", F.col("_metadata.file_path").alias("path")
+    )
+    pts = filters.in_time_range(filters.by_metric(pts, metric), start, end)
+    counts = pts.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+    files = list_files(spark, base, "parquet")
+    part = ["date"] if "date" in files.columns else []
+    return files.join(counts, "path", "left").select("path", *part, F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def files_scanned(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
     """The ``/query`` summary: number of files and rows scanned."""
     per_file = rows_per_file(spark, base, fmt)

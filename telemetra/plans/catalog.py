@@ -19,6 +19,7 @@ from telemetra.schemas import FlattenOptions, SeriesOptions
 from telemetra.session import configure, scratch_path
 from telemetra.sinks import writers
 from telemetra.sources import adapters, labelled
+from telemetra.sources import payloads as payload_src
 from telemetra.sources import points as points_src
 from telemetra.streaming import live
 
@@ -485,3 +486,43 @@ def stream_counters(spark, sf_dir):
     stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
     _run(spark, lambda cp: live.counters(stream, sink, cp))
     return live.latest_batch(spark, sink)
+
+
+# ---------------------------------------------------------------- file sources
+
+@register("payload_files")
+def payload_files(spark, sf_dir):
+    """Fixture A payloads landed as text files, one per line, read back and flattened."""
+    path = scratch_path(spark, "payload-text")
+    adapters.fields_payloads(events(spark, sf_dir)).select("raw").write.text(path)
+    pts = flatten.flatten(payload_src.read_payloads(spark, path))
+    return store_row(pts)
+
+
+@register("labelled_jsonl")
+def labelled_jsonl(spark, sf_dir):
+    """Fixture C landed as JSON Lines files, read with the labelled reader."""
+    path = scratch_path(spark, "labelled-text")
+    adapters.labelled_lines(events(spark, sf_dir)).select("raw").write.text(path)
+    keyed = series.with_series_key(labelled.read_labelled(spark, path), SERIES)
+    return keyed.select("series_key", F.col("timestamp").alias("ts"), "value")
+
+
+@register("stream_text_ingest")
+def stream_text_ingest(spark, sf_dir):
+    """S2 + T1: payload text files streamed into the Parquet store."""
+    path = scratch_path(spark, "payload-text")
+    adapters.fields_payloads(events(spark, sf_dir)).select("seq", "raw").repartitionByRange(4, "seq") \
+        .select("raw").write.text(path)
+    sink = scratch_path(spark, "stream-store")
+    stream = live.payload_stream(spark, path, "text", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.ingest(stream, sink, cp))
+    return store_row(points_src.read_parquet_points(spark, sink))
+
+
+@register("query_per_file")
+def query_per_file(spark, sf_dir):
+    """A1 + F1 + F2 as the ``/query`` route answers them, filters applied: matching rows
+    per file of a store with one file per date."""
+    per_file = store.query_files(spark, _compact_store(spark, sf_dir), "click.value", "2024-01-05", "2024-01-20")
+    return per_file.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "rows")

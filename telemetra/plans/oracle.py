@@ -184,3 +184,14 @@ FROM c GROUP BY series_key""",
     "stream_last_50": ORACLE["last_50_per_host"],
     "stream_counters": ORACLE["ingest_counters"],
 })
+
+ORACLE.update({
+    "payload_files": _STORE_A,
+    "labelled_jsonl": f"WITH {_C} SELECT series_key, ts, value FROM c",
+    "stream_text_ingest": _STORE_A,
+    "query_per_file": f"""WITH {_POINTS_A}
+SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date,
+       count(*) FILTER (WHERE metric_name = 'click.value'
+                        AND ts BETWEEN epoch(TIMESTAMP '2024-01-05') AND epoch(TIMESTAMP '2024-01-20')) AS rows
+FROM pa GROUP BY 1""",
+})

@@ -50,9 +50,10 @@ FLUSH = Trigger(available_now=True)
 # ---------------------------------------------------------------- sources
 
 def payload_stream(spark: SparkSession, path: str, fmt: str = "text", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Payload files as they land. ``text``: one payload per line, ``seq`` unique
-    within a micro-batch, ``received_at`` the file time; ``parquet``: landed payloads
-    with the ``PAYLOAD`` schema (producer-assigned ``seq``)."""
+    """Payload files as they land. ``text``: one payload per line, ``received_at``
+    the file time and ``seq`` that time in microseconds (arrival order between files;
+    the lines of one file arrived together); ``parquet``: landed payloads with the
+    ``PAYLOAD`` schema (producer-assigned ``seq``)."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -60,7 +61,7 @@ def payload_stream(spark: SparkSession, path: str, fmt: str = "text", max_files_
         return reader.schema(PAYLOAD).parquet(path)
     text = reader.text(path)
     return text.select(
-        F.monotonically_increasing_id().alias("seq"),
+        F.unix_micros(F.col("_metadata.file_modification_time")).alias("seq"),
         F.col("value").alias("raw"),
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_modification_time").alias("received_at"),

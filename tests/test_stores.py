@@ -107,3 +107,20 @@ def test_payload_files(spark, tmp_path):
     got = rows(flatten.flatten(pays, keep=["source"]), "metric_name", "value")
     assert got == [("a", 1.0), ("b", 2.0)]
     assert pays.select("seq").distinct().count() == 2
+
+
+def test_reads_nanosecond_parquet(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({
+        "timestamp": pa.array([1700000000 * 10**9, 1700000060 * 10**9], pa.timestamp("ns")),
+        "metric_name": ["cpu.usage", "mem.used"],
+        "value": [1.5, 2.0],
+        "host": ["a", "b"],
+        "tags_json": ['{"host":"a"}', '{"host":"b"}'],
+    })
+    pq.write_table(table, tmp_path / "metrics_20231114_221320.parquet", use_dictionary=False, compression="snappy")
+    df = points_src.read_parquet_nanos(spark, str(tmp_path))
+    got = rows(df.select(F.unix_seconds("timestamp").alias("t"), "metric_name"), "t", "metric_name")
+    assert got == [(1700000000, "cpu.usage"), (1700000060, "mem.used")]
