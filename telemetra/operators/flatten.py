@@ -113,15 +113,42 @@ def _metric_rows(parsed: DataFrame, options: FlattenOptions, keep: list[str]) ->
     )
 
 
-def flatten(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), keep: list[str] | None = None) -> DataFrame:
+def could_yield(name: Column, targets: list[str]) -> Column:
+    """True when a metric called ``name`` can produce a point named one of ``targets``:
+    the target is the name itself (value metric) or starts with ``name.`` (a field)."""
+    cond = F.lit(False)
+    for t in targets:
+        cond = cond | (name == F.lit(t)) | F.lit(t).startswith(F.concat(name, F.lit(".")))
+    return cond
+
+
+def flatten(
+    payloads: DataFrame,
+    options: FlattenOptions = FlattenOptions(),
+    keep: list[str] | None = None,
+    metrics: list[str] | None = None,
+) -> DataFrame:
     """Payload rows (``seq``, ``raw``, …) → points.
 
     Output columns: ``seq, pos, timestamp, metric_name, value, host, tags, tags_json,
     tags_raw`` plus the payload columns named in ``keep`` (e.g. ``received_at``).
     ``tags_raw`` is the original tag object (VARIANT) for stores that keep tag types.
+
+    ``metrics`` keeps only points with those names, and drops metrics that cannot give
+    one before their fields are fanned out (Catalyst cannot derive that from the
+    ``concat`` that builds the name).
     """
     keep = list(keep or [])
-    metrics = _metric_rows(parse_payloads(payloads, options), options, keep)
+    rows = _metric_rows(parse_payloads(payloads, options), options, keep)
+    if metrics:
+        rows = rows.where(could_yield(F.col("name"), metrics))
+    points = _fan_out(rows, keep)
+    if metrics:
+        points = points.where(F.col("metric_name").isin(metrics))
+    return points
+
+
+def _fan_out(metrics: DataFrame, keep: list[str]) -> DataFrame:
     has_value = F.col("_value").isNotNull()
     entries = F.when(has_value, F.create_map(F.lit(""), F.col("_value"))).otherwise(F.col("_fields"))
     exploded = metrics.select(

@@ -23,20 +23,29 @@ def _arrival_order() -> list:
     return [F.col("timestamp").desc(), F.col("seq").desc(), F.col("pos").desc()]
 
 
+def card_rows(wide: DataFrame) -> DataFrame:
+    """Wide rows reduced to what a card shows: the main field (first key in sorted order)
+    and its value, computed before any aggregate so no map travels through a shuffle."""
+    main = F.array_min(F.map_keys(F.col("fields")))
+    return wide.select(
+        "name", "tags_json", "timestamp", "seq", "pos",
+        main.alias("main_field"), F.col("fields")[main].alias("main_value"),
+    )
+
+
 def latest_per_series(wide: DataFrame) -> DataFrame:
-    """The newest metric per card (name, tags), its main field (first key in sorted
-    order) and that field's value rounded to two decimals."""
+    """The newest metric per card (name, tags), its main field and that field's value
+    rounded to two decimals."""
     newest = F.max_by(
-        F.struct("timestamp", "seq", "pos", "fields"),
+        F.struct("timestamp", "seq", "main_field", "main_value"),
         F.struct("timestamp", "seq", "pos"),
     )
-    latest = wide.groupBy("name", "tags_json").agg(newest.alias("last"))
-    main = F.array_min(F.map_keys(F.col("last.fields")))
+    latest = card_rows(wide).groupBy("name", "tags_json").agg(newest.alias("last"))
     return latest.select(
         "name",
         "tags_json",
-        main.alias("main_field"),
-        F.round(F.col("last.fields")[main], 2).alias("value"),
+        F.col("last.main_field").alias("main_field"),
+        F.round(F.col("last.main_value"), 2).alias("value"),
         F.col("last.timestamp").alias("timestamp"),
         F.col("last.seq").alias("seq"),
     )

@@ -195,3 +195,5 @@ SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date,
                         AND ts BETWEEN epoch(TIMESTAMP '2024-01-05') AND epoch(TIMESTAMP '2024-01-20')) AS rows
 FROM pa GROUP BY 1""",
 })
+
+ORACLE["filter_metric_list_early"] = ORACLE["filter_metric_list"]

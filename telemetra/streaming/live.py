@@ -203,7 +203,8 @@ def read_first_seen(spark: SparkSession, sink: str, options: SeriesOptions = Ser
 def filtered(payloads: DataFrame, sink: str, checkpoint: str, metrics: str | None = None, tags: dict[str, str] | None = None, trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
     """T4: points of the listed metrics (comma-separated) with the given tag values,
     appended as they arrive."""
-    pts = filters.by_metric_list(flatten.flatten(payloads), metrics)
+    names = [n.strip() for n in metrics.split(",") if n.strip()] if metrics else None
+    pts = flatten.flatten(payloads, metrics=names)
     for key, value in (tags or {}).items():
         pts = filters.by_tag(pts, key, value)
     rows = pts.select("seq", "pos", "timestamp", "metric_name", "value", "host", "tags_json")
@@ -215,9 +216,11 @@ def filtered(payloads: DataFrame, sink: str, checkpoint: str, metrics: str | Non
 
 def latest(payloads: DataFrame, sink: str, checkpoint: str, trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
     """T5: the newest metric per (name, tags) card, kept in state."""
-    wide = flatten.wide_metrics(payloads)
-    newest = wide.groupBy("name", "tags_json").agg(
-        F.max_by(F.struct("timestamp", "seq", "pos", "fields"), F.struct("timestamp", "seq", "pos")).alias("last")
+    cards = views.card_rows(flatten.wide_metrics(payloads))
+    newest = cards.groupBy("name", "tags_json").agg(
+        F.max_by(
+            F.struct("timestamp", "seq", "pos", "main_field", "main_value"), F.struct("timestamp", "seq", "pos")
+        ).alias("last")
     )
     writer = newest.writeStream.outputMode("update").foreachBatch(_versioned_writer(sink))
     return _start(writer, checkpoint, trigger, name)
@@ -229,12 +232,11 @@ def read_latest(spark: SparkSession, sink: str) -> DataFrame:
     cards = log.groupBy("name", "tags_json").agg(
         F.max_by("last", F.struct("last.timestamp", "last.seq", "last.pos")).alias("last")
     )
-    main = F.array_min(F.map_keys(F.col("last.fields")))
     return cards.select(
         "name",
         "tags_json",
-        main.alias("main_field"),
-        F.round(F.col("last.fields")[main], 2).alias("value"),
+        F.col("last.main_field").alias("main_field"),
+        F.round(F.col("last.main_value"), 2).alias("value"),
         F.col("last.timestamp").alias("timestamp"),
         F.col("last.seq").alias("seq"),
     )

@@ -156,3 +156,15 @@ def test_wide_rows(payloads):
     assert w["name"] == "mem" and w["fields"]["used_percent"] == 67.8 and len(w["fields"]) == 4
     (v,) = flatten.wide_metrics(payloads(env(FX1))).collect()
     assert dict(v["fields"]) == {"value": 45.5}
+
+
+def test_metric_prefilter_with_dotted_names(payloads):
+    df = payloads(env(
+        {"name": "a.b", "fields": {"c": 1, "d": 2}},
+        {"name": "a.b.c", "value": 3},
+        {"name": "a", "fields": {"b.c": 4, "x": 5}},
+        {"name": "z", "fields": {"c": 6}},
+    ))
+    got = points(flatten.flatten(df, metrics=["a.b.c"]))
+    assert sorted(g[2] for g in got) == [1.0, 3.0, 4.0]
+    assert points(flatten.flatten(df, metrics=["a.b.c"])) == points(flatten.flatten(df).where("metric_name = 'a.b.c'"))
