@@ -169,10 +169,10 @@ ORACLE.update({
     "fanout_stores": f"""WITH {_POINTS_A}, s(store) AS (VALUES ('parquet'), ('csv_tags'), ('jsonl'))
 SELECT s.store, ts, metric_name, value, host, tags_json FROM pa, s""",
     "rows_per_file": f"""WITH {_POINTS_A}
-SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date, CAST(1 AS BIGINT) AS files, count(*) AS rows
+SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date, count(*) AS rows
 FROM pa GROUP BY 1""",
     "list_files_range": f"""WITH {_POINTS_A}
-SELECT DISTINCT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date, CAST(1 AS BIGINT) AS files
+SELECT DISTINCT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date
 FROM pa WHERE make_timestamp(ts * 1000000) >= TIMESTAMP '2024-01-10' AND make_timestamp(ts * 1000000) < TIMESTAMP '2024-01-21'""",
     "stream_ingest": _STORE_A,
     "stream_first_seen": f"""WITH {_C}

@@ -6,7 +6,8 @@ Layouts:
 * ``as_is`` — no shuffle; each task writes its own file per partition value (ingest);
 * ``rebalance`` — a REBALANCE on the partition columns: AQE merges small partitions and
   splits skewed ones, so a hot date/metric/host is written by several tasks;
-* ``compact`` — one file per partition value (small outputs, tests).
+* ``compact`` — one file per partition value. Each value goes to a single task, so use it
+  only for outputs whose largest partition fits one task (small stores, tests).
 """
 
 from __future__ import annotations
