@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Type names schema_of_variant reports for JSON numbers (integers, decimals, doubles).
-_NUMBER_TYPES = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+,\d+\))$"
+# Type names schema_of_variant reports for JSON numbers: integers, doubles, and DECIMAL(p,s).
+_NUMBER_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
 
 
 def type_of(v: Column) -> Column:
@@ -25,7 +25,8 @@ def field(v: Column, path: str, to: str = "variant") -> Column:
 
 
 def is_number(v: Column) -> Column:
-    return type_of(v).rlike(_NUMBER_TYPES)
+    t = type_of(v)
+    return t.isin(*_NUMBER_TYPES) | t.startswith("DECIMAL")
 
 
 def is_string(v: Column) -> Column:

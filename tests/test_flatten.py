@@ -168,3 +168,25 @@ def test_metric_prefilter_with_dotted_names(payloads):
     got = points(flatten.flatten(df, metrics=["a.b.c"]))
     assert sorted(g[2] for g in got) == [1.0, 3.0, 4.0]
     assert points(flatten.flatten(df, metrics=["a.b.c"])) == points(flatten.flatten(df).where("metric_name = 'a.b.c'"))
+
+
+def test_fixture_shapes_ms_wide_and_bulk(payloads):
+    fx5 = {"name": "system", "timestamp": 1700000000123,
+           "fields": {"cpu_usage": 12.5, "memory_used": 8.0, "memory_total": 16.0, "disk_usage": 40.0,
+                      "load_1m": 0.5, "load_5m": 0.4, "load_15m": 0.3},
+           "tags": {"host": "server-01", "region": "eu", "datacenter": "dc1"}}
+    ms = flatten.flatten(payloads(env(fx5)), FlattenOptions(ts_unit="ms"))
+    assert ms.count() == 7
+    assert {r["t"] for r in ms.select(F.unix_millis("timestamp").alias("t")).collect()} == {1700000000123}
+    fx13 = [{"name": "batch_metric", "timestamp": 1700000000 + i,
+             "fields": {f"value{j}": float(i * j) for j in range(1, 6)},
+             "tags": {"host": f"host-{i % 10}", "datacenter": f"dc{i % 3}", "environment": "test"}} for i in range(100)]
+    assert flatten.flatten(payloads(env(*fx13))).count() == 500
+    fx15 = [{"name": "perf.test.metric", "timestamp": 1700000000 + i, "value": float(i),
+             "tags": {"host": f"perf-host-{i % 10}", "datacenter": f"dc{i % 3}"}} for i in range(1000)]
+    bulk = payloads(env(*fx15), env(*fx15[:999], {"name": "perf.test.metric", "value": "bad"}))
+    got = flatten.flatten(bulk)
+    assert got.count() == 1000 and got.where("seq = 1").count() == 0
+    assert flatten.flatten(bulk, FlattenOptions(scope="metric")).count() == 1999
+    (st,) = aggregates.field_stats(got).collect()
+    assert (st["count"], st["min"], st["max"], st["mean"]) == (1000, 0.0, 999.0, 499.5)

@@ -68,3 +68,20 @@ def test_first_seen_bounded_reports_every_series(spark):
     seen = spark.read.parquet(sink).select("series_key").distinct()
     want = series.with_series_key(labelled_points(lines)).select("series_key").distinct()
     assert rows(seen, "series_key") == rows(want, "series_key")
+
+
+def test_live_events_fixture_latest(spark, tmp_path):
+    import json
+
+    from telemetra.schemas import PAYLOAD
+
+    fx14 = [json.dumps({"metrics": [{"name": "test_metric", "timestamp": 1700000000 + i, "value": 100 + 10 * i,
+                                      "tags": {"host": "server-01", "test": "streaming"}}]}) for i in range(5)]
+    src = scratch_path(spark, "fx14")
+    for i, raw in enumerate(fx14):
+        spark.createDataFrame([(i, raw, "fx14", None)], PAYLOAD).write.mode("append").parquet(src)
+    sink = scratch_path(spark, "fx14-latest")
+    run(live.latest(live.payload_stream(spark, src, "parquet", 1), sink, scratch_path(spark, "cp")))
+    (card,) = live.read_latest(spark, sink).collect()
+    assert (card["name"], card["main_field"], card["value"], card["seq"]) == ("test_metric", "value", 140.0, 4)
+    assert card["tags_json"] == '{"host":"server-01","test":"streaming"}'
