@@ -226,6 +226,27 @@ def latest(payloads: DataFrame, sink: str, checkpoint: str, trigger: Trigger = F
     return _start(writer, checkpoint, trigger, name)
 
 
+def latest_by_window(payloads: DataFrame, sink: str, checkpoint: str, window: str = "1 hour", watermark: str = "10 minutes", trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
+    """T5 with bounded state: the newest metric per card and event-time ``window``,
+    appended once the watermark has passed the window's end, then dropped from state."""
+    cards = views.card_rows(flatten.wide_metrics(payloads)).withWatermark("timestamp", watermark)
+    newest = cards.groupBy(F.window("timestamp", window).alias("window"), "name", "tags_json").agg(
+        F.max_by(F.struct("timestamp", "seq", "main_field", "main_value"), F.struct("timestamp", "seq", "pos")).alias("last")
+    )
+    rows = newest.select(
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        "name",
+        "tags_json",
+        F.col("last.main_field").alias("main_field"),
+        F.round(F.col("last.main_value"), 2).alias("value"),
+        F.col("last.timestamp").alias("timestamp"),
+        F.col("last.seq").alias("seq"),
+    )
+    writer = rows.writeStream.outputMode("append").format("parquet").option("path", sink)
+    return _start(writer, checkpoint, trigger, name)
+
+
 def read_latest(spark: SparkSession, sink: str) -> DataFrame:
     """W1 cards folded from T5's change log."""
     log = spark.read.parquet(sink)

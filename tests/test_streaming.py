@@ -85,3 +85,29 @@ def test_live_events_fixture_latest(spark, tmp_path):
     (card,) = live.read_latest(spark, sink).collect()
     assert (card["name"], card["main_field"], card["value"], card["seq"]) == ("test_metric", "value", 140.0, 4)
     assert card["tags_json"] == '{"host":"server-01","test":"streaming"}'
+
+
+def land_in_order(spark, df, files=4):
+    """Land ``seq`` ranges one file after another, so files arrive in event-time order
+    (event ids of the test table increase with time) and no row is late."""
+    path = scratch_path(spark, "land-ordered")
+    lo, hi = df.agg(F.min("seq"), F.max("seq")).first()
+    step = (hi - lo) // files + 1
+    for i in range(files):
+        part = df.where((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_latest_by_window_emits_closed_windows_only(spark):
+    pays = adapters.value_payloads(adapters.read_table(spark, SMALL, "events"))
+    src, sink = land_in_order(spark, pays), scratch_path(spark, "lbw")
+    run(live.latest_by_window(live.payload_stream(spark, src, "parquet", 1), sink, scratch_path(spark, "cp"), "1 day", "1 hour"))
+    got = spark.read.parquet(sink)
+    wide = flatten.wide_metrics(pays).withColumn("window_start", F.window("timestamp", "1 day").start)
+    want = views.latest_per_series(wide.withColumn("name", F.concat_ws("|", "name", F.col("window_start").cast("string"))))
+    emitted = got.select(F.concat_ws("|", "name", F.col("window_start").cast("string")).alias("name"), "tags_json", "value", "seq")
+    joined = emitted.join(want.select("name", "tags_json", F.col("value").alias("v2"), F.col("seq").alias("s2")), ["name", "tags_json"])
+    assert emitted.count() > 0
+    assert joined.count() == emitted.count()
+    assert joined.where("value != v2 or seq != s2").count() == 0
