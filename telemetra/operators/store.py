@@ -149,14 +149,6 @@ def expired_files(spark: SparkSession, base: str, days: int, now: dt.datetime |
     return list_files(spark, base, fmt).where(F.col("modificationTime") < cutoff)
 
 
-def _fs_path(uri: str) -> str:
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        return "file://" + uri[len("file:"):]
-    if uri.startswith("s3a://"):
-        return "s3://" + uri[len("s3a://"):]
-    return uri
-
-
 def remove_files(expired: DataFrame, dry_run: bool = True) -> DataFrame:
     """R1 clean-up: delete the listed files on the executors (``dry_run`` by default).
 
@@ -165,16 +157,24 @@ def remove_files(expired: DataFrame, dry_run: bool = True) -> DataFrame:
     """
 
     def delete(batches):
+        # self-contained: executors need pandas and pyarrow, not this package
         import pandas as pd
         from pyarrow import fs
 
+        def arrow_uri(uri: str) -> str:
+            if uri.startswith("file:") and not uri.startswith("file://"):
+                return "file://" + uri[len("file:"):]
+            if uri.startswith("s3a://"):
+                return "s3://" + uri[len("s3a://"):]
+            return uri
+
         for pdf in batches:
             done = []
             for uri in pdf["path"]:
                 if dry_run:
                     done.append(False)
                     continue
-                filesystem, path = fs.FileSystem.from_uri(_fs_path(uri))
+                filesystem, path = fs.FileSystem.from_uri(arrow_uri(uri))
                 try:
                     filesystem.delete_file(path)
                     done.append(True)
