@@ -92,18 +92,35 @@ def _start(df_writer, checkpoint: str, trigger: Trigger, name: str | None) -> St
     return w.start()
 
 
-def latest_batch(spark: SparkSession, path: str) -> DataFrame:
-    """The newest ``batch=<id>`` directory of a versioned sink."""
+def _batch_dirs(spark: SparkSession, path: str):
+    """(file system, {batch id: directory}) of a versioned sink, via Hadoop's FileSystem
+    (the directory listing only; no data passes through the driver)."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    ids = [
-        int(st.getPath().getName().split("=", 1)[1])
-        for st in fs.listStatus(root)
-        if st.isDirectory() and st.getPath().getName().startswith("batch=")
-    ]
-    return spark.read.parquet(f"{path}/batch={max(ids)}")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return fs, {}
+    found = {}
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("batch="):
+            found[int(name.split("=", 1)[1])] = st.getPath()
+    return fs, found
+
+
+def latest_batch(spark: SparkSession, path: str) -> DataFrame:
+    """The newest ``batch=<id>`` directory of a versioned sink."""
+    _, found = _batch_dirs(spark, path)
+    return spark.read.parquet(f"{path}/batch={max(found)}")
+
+
+def _prune_before(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Drop snapshot versions older than ``batch_id`` (kept: it is the input a replay of
+    the next batch reads)."""
+    fs, found = _batch_dirs(spark, path)
+    for bid, p in found.items():
+        if bid < batch_id:
+            fs.delete(p, True)
 
 
 # ---------------------------------------------------------------- T1 / T2 / K7
@@ -277,6 +294,7 @@ def last_n(payloads: DataFrame, sink: str, checkpoint: str, field: str = "value"
             current = current.unionByName(prev)
         ranked = views.newest_per_host(current, n)
         ranked.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        _prune_before(batch.sparkSession, sink, batch_id - 1)
 
     return _start(rows.writeStream.foreachBatch(write), checkpoint, trigger, name)
 
@@ -292,7 +310,11 @@ def counters(payloads: DataFrame, sink: str, checkpoint: str, trigger: Trigger =
         .cast("bigint")
         .alias("total_metrics"),
     )
-    writer = totals.writeStream.outputMode("complete").foreachBatch(_versioned_writer(sink))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        _prune_before(batch.sparkSession, sink, batch_id - 1)
+
+    writer = totals.writeStream.outputMode("complete").foreachBatch(write)
     return _start(writer, checkpoint, trigger, name)
 
 

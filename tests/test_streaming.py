@@ -111,3 +111,13 @@ def test_latest_by_window_emits_closed_windows_only(spark):
     assert emitted.count() > 0
     assert joined.count() == emitted.count()
     assert joined.where("value != v2 or seq != s2").count() == 0
+
+
+def test_snapshot_sinks_keep_two_versions(spark):
+    from telemetra.streaming.live import _batch_dirs
+
+    pays = adapters.value_payloads(adapters.read_table(spark, SMALL, "events"))
+    src, sink = land(spark, pays, files=4), scratch_path(spark, "snap")
+    run(live.last_n(live.payload_stream(spark, src, "parquet", 1), sink, scratch_path(spark, "cp"), n=3))
+    _, found = _batch_dirs(spark, sink)
+    assert len(found) == 2 and max(found) == 3
