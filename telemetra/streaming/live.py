@@ -7,9 +7,12 @@ writes the same files again instead of twice:
 * T1 and T4 use the file sink (its commit log gives exactly-once output);
 * the ``foreachBatch`` sinks write ``<path>/batch=<id>`` with overwrite.
 
-T3 and T5 keep their state in the state store (one entry per series); each micro-batch
-appends the rows whose aggregate changed, and the readers fold that change log with the
-same aggregate, so the result does not depend on how input was cut into batches.
+T3 and T5 keep their state in the state store (one entry per series). T3 appends the rows
+whose aggregate changed (new series, or an earlier ``seq``), a log about the size of the
+catalog that the reader folds with the same aggregate. T5 changes for nearly every series
+each batch, so it writes the whole state (complete mode) as a snapshot. T6 and T7 also
+write snapshots; each snapshot sink keeps the newest two versions. None of the results
+depends on how the input was cut into batches.
 """
 
 from __future__ import annotations
@@ -85,6 +88,16 @@ def _versioned_writer(path: str, fmt: str = "parquet"):
     return write
 
 
+def _snapshot_writer(path: str):
+    """Complete-mode output: each batch is the whole result; keep it and its predecessor."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _prune_before(batch.sparkSession, path, batch_id - 1)
+
+    return write
+
+
 def _start(df_writer, checkpoint: str, trigger: Trigger, name: str | None) -> StreamingQuery:
     w = df_writer.option("checkpointLocation", checkpoint).trigger(**trigger.kwargs())
     if name:
@@ -239,7 +252,7 @@ def latest(payloads: DataFrame, sink: str, checkpoint: str, trigger: Trigger = F
             F.struct("timestamp", "seq", "pos", "main_field", "main_value"), F.struct("timestamp", "seq", "pos")
         ).alias("last")
     )
-    writer = newest.writeStream.outputMode("update").foreachBatch(_versioned_writer(sink))
+    writer = newest.writeStream.outputMode("complete").foreachBatch(_snapshot_writer(sink))
     return _start(writer, checkpoint, trigger, name)
 
 
@@ -265,11 +278,8 @@ def latest_by_window(payloads: DataFrame, sink: str, checkpoint: str, window: st
 
 
 def read_latest(spark: SparkSession, sink: str) -> DataFrame:
-    """W1 cards folded from T5's change log."""
-    log = spark.read.parquet(sink)
-    cards = log.groupBy("name", "tags_json").agg(
-        F.max_by("last", F.struct("last.timestamp", "last.seq", "last.pos")).alias("last")
-    )
+    """W1 cards from T5's newest snapshot."""
+    cards = latest_batch(spark, sink)
     return cards.select(
         "name",
         "tags_json",
@@ -310,11 +320,7 @@ def counters(payloads: DataFrame, sink: str, checkpoint: str, trigger: Trigger =
         .cast("bigint")
         .alias("total_metrics"),
     )
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        _prune_before(batch.sparkSession, sink, batch_id - 1)
-
-    writer = totals.writeStream.outputMode("complete").foreachBatch(write)
+    writer = totals.writeStream.outputMode("complete").foreachBatch(_snapshot_writer(sink))
     return _start(writer, checkpoint, trigger, name)
 
 
