@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from telemetra.constants import DATE_PATH_FORMAT
+
 
 def sorted_json_object(m: Column) -> Column:
     """``map<string,string>`` as compact JSON text with keys in byte order; ``{}`` when
@@ -43,4 +45,4 @@ def epoch_seconds(ts: Column) -> Column:
 
 def date_path(ts: Column) -> Column:
     """``YYYY/MM/DD`` directory text of a timestamp, UTC session assumed."""
-    return F.date_format(ts, "yyyy/MM/dd")
+    return F.date_format(ts, DATE_PATH_FORMAT)

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemetra.constants import DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.points import sorted_json_object, to_event_time
 from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import field, is_number, is_string, json_text_values, type_of
@@ -101,9 +102,10 @@ def _metric_rows(parsed: DataFrame, options: FlattenOptions, keep: list[str]) ->
         *keep,
         "seq",
         "pos",
-        to_event_time(F.coalesce(field(m, "$.timestamp", "bigint"), F.lit(0)), options.ts_unit).alias("timestamp"),
-        F.coalesce(field(m, "$.name", "string"), F.lit("unknown")).alias("name"),
-        F.coalesce(field(m, "$.tags.host", "string"), F.lit("unknown")).alias("host"),
+        to_event_time(F.coalesce(field(m, "$.timestamp", "bigint"), F.lit(DEFAULT_TIMESTAMP)), options.ts_unit)
+        .alias("timestamp"),
+        F.coalesce(field(m, "$.name", "string"), F.lit(UNKNOWN)).alias("name"),
+        F.coalesce(field(m, "$.tags.host", "string"), F.lit(UNKNOWN)).alias("host"),
         F.when(_is_object(tags_obj), tags_obj).alias("tags_raw"),
         field(m, "$.value").alias("_value"),
         field(m, "$.fields", "map<string,variant>").alias("_fields"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemetra.constants import DUPLICATE_POLICIES
 from telemetra.functions.points import series_key, sorted_json_object
 from telemetra.schemas import SeriesOptions
 
@@ -70,6 +71,8 @@ def deduplicate(points: DataFrame, policy: str = "LAST", options: SeriesOptions
     """One value per (series, timestamp) under LAST, FIRST, MIN, MAX or SUM."""
     keyed = with_series_key(points, options)
     policy = policy.upper()
+    if policy not in DUPLICATE_POLICIES:
+        raise ValueError(f"unknown duplicate policy {policy!r}; one of {DUPLICATE_POLICIES}")
     agg = {
         "LAST": F.max_by("value", "seq"),
         "FIRST": F.min_by("value", "seq"),

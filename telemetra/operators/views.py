@@ -11,12 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the dashboard charts: chart → (metric names, field plotted).
-CHARTS = {
-    "cpu": (["cpu", "system"], "usage"),
-    "memory": (["memory", "system"], "used"),
-}
-MAX_CHART_POINTS = 50
+from telemetra.constants import CHART_POINTS as MAX_CHART_POINTS
+from telemetra.constants import CHARTS, RECENT_LOG_SIZE, UNKNOWN
 
 
 def _arrival_order() -> list:
@@ -81,7 +77,7 @@ def chart(wide: DataFrame, name: str, n: int = MAX_CHART_POINTS) -> DataFrame:
     return last_n_per_host(wide, field=field, names=names, n=n)
 
 
-def recent(points: DataFrame, n: int = 100, metric: str | None = None, column: str = "metric_name") -> DataFrame:
+def recent(points: DataFrame, n: int = RECENT_LOG_SIZE, metric: str | None = None, column: str = "metric_name") -> DataFrame:
     """The ``n`` most recent rows, optionally of one metric (TakeOrderedAndProject:
     each task keeps its own top ``n``, the driver merges at most tasks × n rows)."""
     if metric:
@@ -92,4 +88,4 @@ def recent(points: DataFrame, n: int = 100, metric: str | None = None, column: s
 def distinct_hosts(points: DataFrame) -> DataFrame:
     """Hosts seen, from the ``host`` column (``unknown`` excluded, as the dashboard
     lists only real ``tags.host`` values)."""
-    return points.where(F.col("host") != F.lit("unknown")).select("host").distinct()
+    return points.where(F.col("host") != F.lit(UNKNOWN)).select("host").distinct()

@@ -7,6 +7,8 @@ from typing import Literal
 
 from pyspark.sql import types as T
 
+from telemetra.constants import DEFAULT_DUPLICATE_POLICY, DEFAULT_RETENTION_SECONDS
+
 # Raw payloads as they arrive: one JSON document each, with sender and arrival time.
 PAYLOAD = T.StructType([
     T.StructField("seq", T.LongType(), False),
@@ -51,7 +53,7 @@ LABELLED = T.StructType([
     T.StructField("labels", T.MapType(T.StringType(), T.StringType()), True),
 ])
 
-DuplicatePolicy = Literal["LAST", "FIRST", "MIN", "MAX", "SUM"]
+DuplicatePolicy = Literal["LAST", "FIRST", "MIN", "MAX", "SUM"]  # constants.DUPLICATE_POLICIES
 ErrorScope = Literal["payload", "metric"]
 TsUnit = Literal["s", "ms"]
 
@@ -75,6 +77,6 @@ class SeriesOptions:
     """Options carried by every series of the catalog."""
 
     prefix: str | None = None
-    retention: int | None = 86400  # seconds
-    duplicate_policy: DuplicatePolicy = "LAST"
+    retention: int | None = DEFAULT_RETENTION_SECONDS
+    duplicate_policy: DuplicatePolicy = DEFAULT_DUPLICATE_POLICY
     compressed: bool = True

@@ -23,9 +23,7 @@ from telemetra.functions.points import epoch_seconds
 Format = Literal["parquet", "csv", "csv_tags", "jsonl"]
 Layout = Literal["as_is", "rebalance", "compact"]
 
-# Store defaults of the collector.
-CSV_ROWS_PER_FILE = 100_000
-PARQUET_COMPRESSION = "snappy"
+from telemetra.constants import CSV_ROWS_PER_FILE, PARQUET_COMPRESSION
 
 
 def with_date(points: DataFrame, source: str = "timestamp") -> DataFrame:

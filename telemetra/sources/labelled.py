@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemetra.constants import DEFAULT_LABELLED_VALUE, DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import field, is_number, is_string, type_of
 
@@ -41,9 +42,9 @@ def labelled_points(lines: DataFrame) -> DataFrame:
         parsed,
         valid,
         "seq",
-        F.coalesce(field(d, "$.timestamp", "bigint"), F.lit(0)).alias("timestamp"),
-        F.coalesce(field(d, "$.metric", "string"), F.lit("unknown")).alias("metric"),
-        F.coalesce(field(d, "$.value", "double"), F.lit(0.0)).alias("value"),
+        F.coalesce(field(d, "$.timestamp", "bigint"), F.lit(DEFAULT_TIMESTAMP)).alias("timestamp"),
+        F.coalesce(field(d, "$.metric", "string"), F.lit(UNKNOWN)).alias("metric"),
+        F.coalesce(field(d, "$.value", "double"), F.lit(DEFAULT_LABELLED_VALUE)).alias("value"),
         F.coalesce(
             F.when(_is_object(label_obj), field(label_obj, "$", "map<string,string>")), empty
         ).alias("labels"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemetra.constants import UNKNOWN
 from telemetra.functions.points import sorted_json_object
 from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import field, is_number, is_string, json_text_values
@@ -78,7 +79,7 @@ def read_jsonl_points(spark: SparkSession, base: str, partitions: tuple[str, ...
         F.timestamp_seconds(field(doc, "$.timestamp", "bigint")).alias("timestamp"),
         field(doc, "$.metric", "string").alias("metric_name"),
         field(doc, "$.value", "double").alias("value"),
-        F.coalesce(field(doc, "$.host", "string"), F.lit("unknown")).alias("host"),
+        F.coalesce(field(doc, "$.host", "string"), F.lit(UNKNOWN)).alias("host"),
         sorted_json_object(tags).alias("tags_json"),
         *[p for p in partitions if p in lines.columns],
     )
