@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from telemetra.constants import DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.points import sorted_json_object, to_event_time
 from telemetra.functions.rows import keep_where
-from telemetra.functions.variant import field, is_number, is_string, json_text_values, type_of
+from telemetra.functions.variant import field, is_number, is_object, is_string, json_text_values, type_of
 from telemetra.schemas import FlattenOptions
 
 # Reasons recorded for rejected input.
@@ -36,15 +36,6 @@ NO_ENVELOPE = "no_envelope"
 BAD_TYPE = "bad_type"
 OK = "ok"
 
-# Columns of a flat point. seq/pos order points by arrival: payload, then metric index.
-POINT_COLUMNS = ["seq", "pos", "timestamp", "metric_name", "value", "host", "tags", "tags_json"]
-
-
-def _is_object(v: Column) -> Column:
-    # Casting to a struct succeeds exactly for objects and does not walk the value.
-    return F.try_variant_get(v, "$", "struct<__probe:int>").isNotNull()
-
-
 def _absent_or(v: Column, test: Column) -> Column:
     return v.isNull() | F.coalesce(test, F.lit(False))
 
@@ -57,7 +48,7 @@ def metric_is_valid(m: Column) -> Column:
     host = field(m, "$.tags.host")
     ts_type = type_of(ts)
     return (
-        _is_object(m)
+        is_object(m)
         & _absent_or(name, is_string(name))
         & _absent_or(ts, is_number(ts) | (ts_type == F.lit("BOOLEAN")))
         & _absent_or(value, is_number(value))
@@ -76,7 +67,7 @@ def parse_payloads(payloads: DataFrame, options: FlattenOptions = FlattenOptions
     d = F.col("_doc")
     metrics = field(d, "$.metrics", "array<variant>")
     if options.accept_bare:
-        bare_object = F.when(_is_object(d) & field(d, "$.metrics").isNull(), F.array(d))
+        bare_object = F.when(is_object(d) & field(d, "$.metrics").isNull(), F.array(d))
         metrics = F.coalesce(metrics, field(d, "$", "array<variant>"), bare_object)
     parsed = parsed.withColumn("metrics", metrics)
     status = (
@@ -106,7 +97,7 @@ def _metric_rows(parsed: DataFrame, options: FlattenOptions, keep: list[str]) ->
         .alias("timestamp"),
         F.coalesce(field(m, "$.name", "string"), F.lit(UNKNOWN)).alias("name"),
         F.coalesce(field(m, "$.tags.host", "string"), F.lit(UNKNOWN)).alias("host"),
-        F.when(_is_object(tags_obj), tags_obj).alias("tags_raw"),
+        F.when(is_object(tags_obj), tags_obj).alias("tags_raw"),
         field(m, "$.value").alias("_value"),
         field(m, "$.fields", "map<string,variant>").alias("_fields"),
     ).withColumn("tags", json_text_values(F.col("tags_raw"))).withColumn(

@@ -13,11 +13,7 @@ from pyspark.sql import functions as F
 
 from telemetra.constants import DEFAULT_LABELLED_VALUE, DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.rows import keep_where
-from telemetra.functions.variant import field, is_number, is_string, type_of
-
-
-def _is_object(v):
-    return F.try_variant_get(v, "$", "struct<__probe:int>").isNotNull()
+from telemetra.functions.variant import field, is_number, is_object, is_string, type_of
 
 
 def labelled_points(lines: DataFrame) -> DataFrame:
@@ -28,10 +24,10 @@ def labelled_points(lines: DataFrame) -> DataFrame:
     d = F.col("d")
     metric, ts, value = field(d, "$.metric"), field(d, "$.timestamp"), field(d, "$.value")
     label_obj = field(d, "$.labels")
-    label_map = F.when(_is_object(label_obj), field(label_obj, "$", "map<string,variant>"))
+    label_map = F.when(is_object(label_obj), field(label_obj, "$", "map<string,variant>"))
     valid = (
         d.isNotNull()
-        & _is_object(d)
+        & is_object(d)
         & (metric.isNull() | F.coalesce(is_string(metric), F.lit(False)))
         & (ts.isNull() | F.coalesce(is_number(ts) | (type_of(ts) == "BOOLEAN"), F.lit(False)))
         & (value.isNull() | F.coalesce(is_number(value), F.lit(False)))
@@ -46,7 +42,7 @@ def labelled_points(lines: DataFrame) -> DataFrame:
         F.coalesce(field(d, "$.metric", "string"), F.lit(UNKNOWN)).alias("metric"),
         F.coalesce(field(d, "$.value", "double"), F.lit(DEFAULT_LABELLED_VALUE)).alias("value"),
         F.coalesce(
-            F.when(_is_object(label_obj), field(label_obj, "$", "map<string,string>")), empty
+            F.when(is_object(label_obj), field(label_obj, "$", "map<string,string>")), empty
         ).alias("labels"),
     )
 

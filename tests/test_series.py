@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from telemetra.operators import series
 from telemetra.schemas import SeriesOptions
 from telemetra.sources.labelled import labelled_points
