@@ -15,6 +15,7 @@ TimeBound = int | float | str | dt.datetime | None
 
 
 def _bound(value: TimeBound) -> Column:
+    """A time bound as a TIMESTAMP column: epoch seconds, a datetime, or a string."""
     if isinstance(value, (int, float)):
         return F.timestamp_seconds(F.lit(value))
     if isinstance(value, dt.datetime):

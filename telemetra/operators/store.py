@@ -65,6 +65,33 @@ def rows_per_file(spark: SparkSession, base: str, fmt: str = "parquet") -> DataF
     )
 
 
+def query_points(
+    spark: SparkSession,
+    base: str,
+    fmt: str = "parquet",
+    metric: str | None = None,
+    start=None,
+    end=None,
+    tags: dict[str, str] | None = None,
+) -> DataFrame:
+    """The read path: points of one store (any format) filtered by metric (empty = all),
+    inclusive time range and tag values. On Parquet the metric, time and host filters are
+    pushed into the scan and ``date`` bounds prune directories."""
+    from telemetra.operators import filters
+    from telemetra.sources.points import read_store
+
+    pts = read_store(spark, base, fmt)
+    if "date" in pts.columns:
+        if start is not None:
+            pts = pts.where(F.col("date") >= F.to_date(filters._bound(start)))
+        if end is not None:
+            pts = pts.where(F.col("date") <= F.to_date(filters._bound(end)))
+    pts = filters.in_time_range(filters.by_metric(pts, metric), start, end)
+    for key, value in (tags or {}).items():
+        pts = filters.by_tag(pts, key, value)
+    return pts
+
+
 def query_files(spark: SparkSession, base: str, metric: str | None = None, start=None, end=None) -> DataFrame:
     """The ``/query`` route with its filters applied: rows of ``metric`` in
     ``[start, end]`` per data file (files without a match count 0). The filters reach the

@@ -538,3 +538,13 @@ def query_per_file(spark, sf_dir):
     per file, summed per date directory."""
     per_file = store.query_files(spark, _daily_store(spark, sf_dir), "click.value", "2024-01-05", "2024-01-20")
     return per_file.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.sum("rows").alias("rows"))
+
+
+@register("query_points")
+def query_points(spark, sf_dir):
+    """The read path over a stored dataset: one metric, a time range and a tag, with the
+    date range pruning directories."""
+    path = _daily_store(spark, sf_dir)
+    pts = store.query_points(spark, path, "parquet", "view.value", "2024-01-03 12:00:00", "2024-01-09 12:00:00",
+                             tags={"region": "eu"})
+    return store_row(pts)

@@ -197,3 +197,8 @@ FROM pa GROUP BY 1""",
 })
 
 ORACLE["filter_metric_list_early"] = ORACLE["filter_metric_list"]
+
+ORACLE["query_points"] = f"""WITH {_POINTS_A}
+SELECT ts, metric_name, value, host, tags_json FROM pa
+WHERE metric_name = 'view.value'
+  AND ts BETWEEN epoch(TIMESTAMP '2024-01-03 12:00:00') AND epoch(TIMESTAMP '2024-01-09 12:00:00')"""
