@@ -14,7 +14,7 @@ from telemetra.schemas import PAYLOAD
 
 def read_payloads(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """Text files under ``path`` (recursive) → ``seq, raw, source, received_at``."""
-    text = spark.read.option("recursiveFileLookup", "true").option("wholetext", whole_file).text(path)
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=whole_file)
     return text.select(
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("raw"),

@@ -144,10 +144,14 @@ def ingest(
     checkpoint: str,
     options: FlattenOptions = FlattenOptions(),
     trigger: Trigger = FLUSH,
-    date_source: str = "timestamp",
+    date_source: str = "received_at",
     name: str | None = None,
 ) -> StreamingQuery:
-    """Payloads → points → date-partitioned Parquet store (file sink, exactly once)."""
+    """Payloads → points → date-partitioned Parquet store (file sink, exactly once).
+
+    The partition date is the arrival date by default, as the collector partitions by
+    flush time: each micro-batch lands in about one directory. ``date_source="timestamp"``
+    partitions by event time instead."""
     points = with_date(flatten.flatten(payloads, options, keep=["received_at"]), date_source)
     rows = to_profile(points, "parquet", extra=["date"])
     writer = (

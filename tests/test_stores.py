@@ -124,3 +124,21 @@ def test_reads_nanosecond_parquet(spark, tmp_path):
     df = points_src.read_parquet_nanos(spark, str(tmp_path))
     got = rows(df.select(F.unix_seconds("timestamp").alias("t"), "metric_name"), "t", "metric_name")
     assert got == [(1700000000, "cpu.usage"), (1700000060, "mem.used")]
+
+
+def test_whole_file_payloads_and_query_summary(spark, tmp_path, payloads):
+    d = tmp_path / "whole"
+    d.mkdir()
+    (d / "p1.json").write_text('{"metrics": [\n {"name": "a", "value": 1},\n {"name": "b", "value": 2}\n]}\n')
+    (d / "p2.json").write_text('[{"name": "c", "value": 3}]')
+    pays = payload_src.read_payloads(spark, str(d), whole_file=True)
+    assert pays.count() == 2
+    assert rows(flatten.flatten(pays), "metric_name") == [("a",), ("b",)]
+    path = scratch_path(spark, "summary")
+    writers.write_points(sample(payloads), path, "parquet")
+    (s,) = store.files_scanned(spark, path).collect()
+    assert s["rows"] == 8 and s["files_scanned"] >= 4
+    per_file = store.query_files(spark, path, "cpu.usage", "2023-11-15", "2023-11-16")
+    assert sum(r["rows"] for r in per_file.collect()) == 1
+    pts = store.query_points(spark, path, "parquet", "cpu.idle", tags={"n": "2"})
+    assert rows(pts.select(F.unix_seconds("timestamp").alias("t")), "t") == [(1700000000 + 2 * 86400,)]
