@@ -548,3 +548,10 @@ def query_points(spark, sf_dir):
     pts = store.query_points(spark, path, "parquet", "view.value", "2024-01-03 12:00:00", "2024-01-09 12:00:00",
                              tags={"region": "eu"})
     return store_row(pts)
+
+
+@register("bulk_ingest")
+def bulk_ingest(spark, sf_dir):
+    """P1–P5 on payloads of about 1000 metrics each (line items grouped by order range)."""
+    payloads = adapters.bulk_wide_payloads(adapters.read_table(spark, sf_dir, "lineitem"))
+    return store_row(flatten.flatten(payloads))

@@ -202,3 +202,14 @@ ORACLE["query_points"] = f"""WITH {_POINTS_A}
 SELECT ts, metric_name, value, host, tags_json FROM pa
 WHERE metric_name = 'view.value'
   AND ts BETWEEN epoch(TIMESTAMP '2024-01-03 12:00:00') AND epoch(TIMESTAMP '2024-01-09 12:00:00')"""
+
+ORACLE["bulk_ingest"] = """
+WITH l AS (
+  SELECT epoch_us(l_shipdate) // 1000000 AS ts, l_quantity, l_extendedprice, l_discount, l_tax,
+         'supp-' || CAST(l_suppkey AS VARCHAR) AS host,
+         '{"flag":"' || l_returnflag || '","host":"supp-' || CAST(l_suppkey AS VARCHAR) || '"}' AS tags_json
+  FROM lineitem)
+SELECT ts, 'lineitem.quantity' AS metric_name, l_quantity AS value, host, tags_json FROM l
+UNION ALL SELECT ts, 'lineitem.extendedprice', l_extendedprice, host, tags_json FROM l
+UNION ALL SELECT ts, 'lineitem.discount', l_discount, host, tags_json FROM l
+UNION ALL SELECT ts, 'lineitem.tax', l_tax, host, tags_json FROM l"""

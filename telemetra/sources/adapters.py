@@ -172,3 +172,46 @@ def dirty_payloads(events: DataFrame) -> DataFrame:
         .otherwise(_envelope(clean))
     )
     return _payload_frame(events, raw)
+
+
+# Orders per bulk payload: about 1000 metrics (four line items per order on average), the
+# payload size collection agents send.
+ORDERS_PER_PAYLOAD = 250
+
+
+def bulk_wide_payloads(lineitem: DataFrame, orders_per_payload: int = ORDERS_PER_PAYLOAD) -> DataFrame:
+    """Fixture D in bulk: the line items of ``orders_per_payload`` consecutive orders share
+    one envelope (about 1000 metrics). Each group is bounded (an order has at most seven
+    lines), so the ``collect_list`` per payload is bounded too."""
+    metric = F.to_json(
+        F.struct(
+            F.lit("lineitem").alias("name"),
+            F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("timestamp"),
+            F.struct(
+                F.col("l_quantity").alias("quantity"),
+                F.col("l_extendedprice").alias("extendedprice"),
+                F.col("l_discount").alias("discount"),
+                F.col("l_tax").alias("tax"),
+            ).alias("fields"),
+            F.struct(
+                F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("host"),
+                F.col("l_returnflag").alias("flag"),
+            ).alias("tags"),
+        )
+    )
+    keyed = lineitem.select(
+        F.floor(F.col("l_orderkey") / orders_per_payload).alias("seq"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"),
+        metric.alias("metric"),
+        F.col("l_shipdate").cast("timestamp").alias("shipped"),
+    )
+    grouped = keyed.groupBy("seq").agg(
+        F.sort_array(F.collect_list(F.struct("line", "metric"))).alias("items"),
+        F.max("shipped").alias("received_at"),
+    )
+    return grouped.select(
+        "seq",
+        F.concat(F.lit('{"metrics":['), F.array_join(F.col("items.metric"), ","), F.lit("]}")).alias("raw"),
+        F.lit("lineitem").alias("source"),
+        "received_at",
+    )
