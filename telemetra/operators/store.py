@@ -73,14 +73,17 @@ def query_points(
     start=None,
     end=None,
     tags: dict[str, str] | None = None,
+    recursive: bool = False,
+    pattern: str | None = None,
 ) -> DataFrame:
     """The read path: points of one store (any format) filtered by metric (empty = all),
     inclusive time range and tag values. On Parquet the metric, time and host filters are
-    pushed into the scan and ``date`` bounds prune directories."""
+    pushed into the scan and ``date`` bounds prune directories. ``recursive`` reads a
+    plain directory tree (the collector's ``YYYY/MM/DD`` layout)."""
     from telemetra.operators import filters
     from telemetra.sources.points import read_store
 
-    pts = read_store(spark, base, fmt)
+    pts = read_store(spark, base, fmt, recursive=recursive, pattern=pattern)
     if "date" in pts.columns:
         if start is not None:
             pts = pts.where(F.col("date") >= F.to_date(filters._bound(start)))

@@ -4,6 +4,10 @@ Every reader has a fixed schema (no inference) and returns the canonical point s
 ``timestamp, metric_name, value, host, tags_json`` plus ``date`` when the store is
 date-partitioned, so filters on metric, host and time reach the Parquet scan and filters
 on ``date`` prune directories.
+
+``recursive=True`` reads a plain directory tree instead (the collector's own
+``base/YYYY/MM/DD/metrics_*`` layout): every data file below ``base``, no partition
+columns, and ``pattern`` selects the files (``*.jsonl*``, ``*.csv``, ``*.parquet``).
 """
 
 from __future__ import annotations
@@ -33,24 +37,35 @@ def _with_partitions(schema: T.StructType, partitions: tuple[str, ...]) -> T.Str
     return T.StructType(fields)
 
 
-def read_parquet_points(spark: SparkSession, base: str, partitions: tuple[str, ...] = ("date",)) -> DataFrame:
+def _reader(spark: SparkSession, recursive: bool, pattern: str | None):
+    reader = spark.read
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader
+
+
+def read_parquet_points(spark: SparkSession, base: str, partitions: tuple[str, ...] = ("date",), recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """S3: Parquet points with the fixed schema (partition columns from directories)."""
-    schema = _with_partitions(POINT_PARQUET, partitions)
-    return spark.read.schema(schema).parquet(base)
+    schema = _with_partitions(POINT_PARQUET, () if recursive else partitions)
+    return _reader(spark, recursive, pattern).schema(schema).parquet(base)
 
 
-def read_parquet_nanos(spark: SparkSession, base: str) -> DataFrame:
-    """S3 for files whose timestamp is Parquet TIMESTAMP(NANOS): read as a number and
-    converted to microseconds (the stored values are whole seconds, nothing is lost)."""
+def read_parquet_nanos(spark: SparkSession, base: str, recursive: bool = True, pattern: str | None = "*.parquet") -> DataFrame:
+    """S3 for files whose timestamp is Parquet TIMESTAMP(NANOS), as the collector writes
+    them: read as a number (``spark.sql.legacy.parquet.nanosAsLong``, set on the session)
+    and converted to microseconds; the stored values are whole seconds, nothing is lost."""
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    raw = spark.read.parquet(base)
+    raw = _reader(spark, recursive, pattern).parquet(base)
     return raw.withColumn("timestamp", F.timestamp_micros(F.floor(F.col("timestamp") / 1000)))
 
 
-def read_csv_points(spark: SparkSession, base: str, with_tags: bool = False, partitions: tuple[str, ...] = ("date",)) -> DataFrame:
+def read_csv_points(spark: SparkSession, base: str, with_tags: bool = False, partitions: tuple[str, ...] = ("date",), recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """CSV points (K3/K4 stores) → canonical points."""
+    partitions = () if recursive else partitions
     schema = _with_partitions(POINT_CSV_TAGS if with_tags else POINT_CSV, partitions)
-    df = spark.read.schema(schema).option("header", True).option("escape", '"').csv(base)
+    df = _reader(spark, recursive, pattern).schema(schema).option("header", True).option("escape", '"').csv(base)
     tags = F.col("tags") if with_tags else F.lit("{}")
     extra = [p for p in partitions if p not in ("timestamp", "metric", "value", "host")]
     return df.select(
@@ -63,10 +78,11 @@ def read_csv_points(spark: SparkSession, base: str, with_tags: bool = False, par
     )
 
 
-def read_jsonl_points(spark: SparkSession, base: str, partitions: tuple[str, ...] = ("date",)) -> DataFrame:
-    """JSON Lines points (plain or gzip); lines that are not JSON or miss a typed
-    ``metric`` / ``timestamp`` / ``value`` are skipped."""
-    lines = spark.read.text(base)
+def read_jsonl_points(spark: SparkSession, base: str, partitions: tuple[str, ...] = ("date",), recursive: bool = False, pattern: str | None = None) -> DataFrame:
+    """JSON Lines points (plain or gzip, by file suffix); lines that are not JSON or
+    miss a typed ``metric`` / ``timestamp`` / ``value`` are skipped."""
+    partitions = () if recursive else partitions
+    lines = _reader(spark, recursive, pattern).text(base)
     d = F.try_parse_json(F.col("value"))
     parsed = lines.select(d.alias("d"), *[p for p in partitions if p in lines.columns])
     doc = F.col("d")
@@ -85,16 +101,16 @@ def read_jsonl_points(spark: SparkSession, base: str, partitions: tuple[str, ...
     )
 
 
-def read_store(spark: SparkSession, base: str, fmt: str, partitions: tuple[str, ...] = ("date",)) -> DataFrame:
+def read_store(spark: SparkSession, base: str, fmt: str, partitions: tuple[str, ...] = ("date",), recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """Any store → canonical points."""
     if fmt == "parquet":
-        return read_parquet_points(spark, base, partitions)
+        return read_parquet_points(spark, base, partitions, recursive, pattern)
     if fmt == "csv":
-        return read_csv_points(spark, base, False, partitions)
+        return read_csv_points(spark, base, False, partitions, recursive, pattern)
     if fmt == "csv_tags":
-        return read_csv_points(spark, base, True, partitions)
+        return read_csv_points(spark, base, True, partitions, recursive, pattern)
     if fmt == "jsonl":
-        return read_jsonl_points(spark, base, partitions)
+        return read_jsonl_points(spark, base, partitions, recursive, pattern)
     raise ValueError(f"unknown store format {fmt!r}")
 
 

@@ -142,3 +142,44 @@ def test_whole_file_payloads_and_query_summary(spark, tmp_path, payloads):
     assert sum(r["rows"] for r in per_file.collect()) == 1
     pts = store.query_points(spark, path, "parquet", "cpu.idle", tags={"n": "2"})
     assert rows(pts.select(F.unix_seconds("timestamp").alias("t")), "t") == [(1700000000 + 2 * 86400,)]
+
+
+def test_reads_the_collectors_own_layouts(spark, tmp_path):
+    """Stores as the collector writes them: base/YYYY/MM/DD/metrics_<time>.<ext>."""
+    import gzip
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    day = tmp_path / "jsonl" / "2023" / "11" / "14"
+    day.mkdir(parents=True)
+    lines = [
+        {"timestamp": 1700000000, "metric": "cpu.usage", "value": 45.5, "host": "server01", "tags": {"host": "server01", "cpu": 0}},
+        {"timestamp": 1700000060, "metric": "mem.used", "value": 11379851264.0, "host": "server01", "tags": {}},
+    ]
+    (day / "metrics_20231114_221320.jsonl").write_text("\n".join(json.dumps(x) for x in lines) + "\nnot json\n")
+    with gzip.open(day / "metrics_20231114_221400.jsonl.gz.gz", "wt") as f:
+        f.write(json.dumps({"timestamp": 1700000120, "metric": "disk.usage", "value": 78.2, "host": "h2", "tags": {"host": "h2"}}) + "\n")
+    got = points_src.read_jsonl_points(spark, str(tmp_path / "jsonl"), recursive=True, pattern="*.jsonl*")
+    assert rows(got, "metric_name", "value", "host", "tags_json") == [
+        ("cpu.usage", 45.5, "server01", '{"cpu":"0","host":"server01"}'),
+        ("disk.usage", 78.2, "h2", '{"host":"h2"}'),
+        ("mem.used", 11379851264.0, "server01", "{}"),
+    ]
+
+    cday = tmp_path / "csv" / "2023" / "11" / "14"
+    cday.mkdir(parents=True)
+    (cday / "metrics_20231114_221320.csv").write_text("timestamp,metric,value,host\n1700000000,cpu.usage_idle,97.3,server01\n1700000000,mem.free,5.39736e+09,server01\n")
+    csv = points_src.read_csv_points(spark, str(tmp_path / "csv"), recursive=True, pattern="*.csv")
+    assert rows(csv, "metric_name", "value") == [("cpu.usage_idle", 97.3), ("mem.free", 5.39736e9)]
+
+    pday = tmp_path / "parquet" / "2023" / "11" / "14"
+    pday.mkdir(parents=True)
+    pq.write_table(pa.table({
+        "timestamp": pa.array([1700000000 * 10**9], pa.timestamp("ns")),
+        "metric_name": ["cpu.usage_percent"], "value": [45.5], "host": ["server01"],
+        "tags_json": ['{"cpu":"cpu0","host":"server01","region":"eu-west-1"}'],
+    }), pday / "metrics_20231114_221320_123.parquet", use_dictionary=False)
+    pts = points_src.read_parquet_nanos(spark, str(tmp_path / "parquet"))
+    (p,) = pts.select(F.unix_seconds("timestamp").alias("t"), "metric_name").collect()
+    assert (p["t"], p["metric_name"]) == (1700000000, "cpu.usage_percent")
