@@ -15,8 +15,12 @@ from telemetra.constants import CHART_POINTS as MAX_CHART_POINTS
 from telemetra.constants import CHARTS, RECENT_LOG_SIZE, UNKNOWN
 
 
-def _arrival_order() -> list:
-    return [F.col("timestamp").desc(), F.col("seq").desc(), F.col("pos").desc()]
+def _arrival_order(columns: list[str] | None = None) -> list:
+    """Newest first: event time, then arrival (``seq``, ``pos``) where the rows carry it."""
+    order = ["timestamp", "seq", "pos"]
+    if columns is not None:
+        order = [c for c in order if c in columns]
+    return [F.col(c).desc() for c in order]
 
 
 def card_rows(wide: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def recent(points: DataFrame, n: int = RECENT_LOG_SIZE, metric: str | None = Non
     each task keeps its own top ``n``, the driver merges at most tasks × n rows)."""
     if metric:
         points = points.where(F.col(column) == F.lit(metric))
-    return points.orderBy(*_arrival_order()).limit(n)
+    return points.orderBy(*_arrival_order(points.columns)).limit(n)
 
 
 def distinct_hosts(points: DataFrame) -> DataFrame:
