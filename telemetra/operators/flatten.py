@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from telemetra.constants import DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.points import sorted_json_object, to_event_time
-from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import field, is_number, is_object, is_string, json_text_values, type_of
 from telemetra.schemas import FlattenOptions
 
@@ -185,21 +184,23 @@ def wide_metrics(payloads: DataFrame, options: FlattenOptions = FlattenOptions()
 
 def rejected(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), keep: list[str] | None = None) -> DataFrame:
     """The input set aside, one row per rejected payload (``pos`` NULL) or, in
-    metric scope, per rejected metric; columns ``seq, pos, reason, raw``."""
+    metric scope, also one per rejected metric; columns ``seq, pos, reason, raw``.
+
+    One pass: each payload row yields, through a single generator, either its own
+    rejection or the positions of its wrongly typed metrics."""
     keep = list(keep or [])
     parsed = parse_payloads(payloads, options)
-    whole = keep_where(
-        parsed, F.col("status") != OK,
-        *keep, "seq", F.lit(None).cast("int").alias("pos"), F.col("status").alias("reason"), "raw",
-    )
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.col("status").alias("reason")))
     if options.scope == "payload":
-        return whole
-    parts = (
-        parsed.select(*keep, "seq", "raw", F.posexplode(F.when(F.col("status") == OK, F.col("metrics"))).alias("pos", "m"))
-        .where(~metric_is_valid(F.col("m")))
-        .select(*keep, "seq", "pos", F.lit(BAD_TYPE).alias("reason"), "raw")
-    )
-    return whole.unionByName(parts)
+        items = F.when(F.col("status") != OK, whole)
+    else:
+        marked = F.transform(
+            "metrics",
+            lambda m, i: F.struct(i.alias("pos"), F.when(~metric_is_valid(m), F.lit(BAD_TYPE)).alias("reason")),
+        )
+        items = F.when(F.col("status") != OK, whole).otherwise(F.filter(marked, lambda x: x["reason"].isNotNull()))
+    out = parsed.select(*keep, "seq", "raw", F.inline(items))
+    return out.select(*keep, "seq", "pos", "reason", "raw")
 
 
 def ingest_counters(payloads: DataFrame) -> DataFrame:
