@@ -53,16 +53,39 @@ def files_in_range(spark: SparkSession, base: str, start: str | dt.date | None =
     return files
 
 
+def _with_listing(spark: SparkSession, base: str, fmt: str, counts: DataFrame) -> DataFrame:
+    """Per-file ``rows`` for every listed file, empty ones included (``rows`` 0).
+
+    The listing and the per-path counts are unioned and aggregated by path rather than
+    joined: both sides grow with the number of files, so neither is broadcast, and the
+    aggregate combines map-side."""
+    files = list_files(spark, base, fmt)
+    part = ["date"] if "date" in files.columns else []
+    listed = files.select("path", *part, "length", F.lit(0).cast("bigint").alias("rows"), F.lit(1).alias("listed"))
+    counted = counts.select(
+        "path", *[F.lit(None).cast("date").alias(p) for p in part],
+        F.lit(None).cast("bigint").alias("length"), "rows", F.lit(0).alias("listed"),
+    )
+    merged = listed.unionByName(counted).groupBy("path").agg(
+        *[F.max(p).alias(p) for p in part],
+        F.max("length").alias("length"),
+        F.sum("rows").alias("rows"),
+        F.max("listed").alias("listed"),
+    )
+    return merged.where(F.col("listed") == 1).drop("listed")
+
+
 def rows_per_file(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
     """A1: rows in every data file, empty files included (``rows`` 0)."""
     data = scan_files(spark, base, fmt).select(F.col("_metadata.file_path").alias("path"))
     counts = data.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
-    files = list_files(spark, base, fmt)
-    part = ["date"] if "date" in files.columns else []
-    return (
-        files.join(counts, "path", "left")
-        .select("path", *part, "length", F.coalesce("rows", F.lit(0)).alias("rows"))
-    )
+    return _with_listing(spark, base, fmt, counts)
+
+
+def files_scanned(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
+    """The ``/query`` summary: number of files and rows scanned."""
+    per_file = rows_per_file(spark, base, fmt)
+    return per_file.agg(F.count(F.lit(1)).alias("files_scanned"), F.sum("rows").alias("rows"))
 
 
 def query_points(
@@ -107,15 +130,7 @@ def query_files(spark: SparkSession, base: str, metric: str | None = None, start
     )
     pts = filters.in_time_range(filters.by_metric(pts, metric), start, end)
     counts = pts.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
-    files = list_files(spark, base, "parquet")
-    part = ["date"] if "date" in files.columns else []
-    return files.join(counts, "path", "left").select("path", *part, F.coalesce("rows", F.lit(0)).alias("rows"))
-
-
-def files_scanned(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
-    """The ``/query`` summary: number of files and rows scanned."""
-    per_file = rows_per_file(spark, base, fmt)
-    return per_file.agg(F.count(F.lit(1)).alias("files_scanned"), F.sum("rows").alias("rows"))
+    return _with_listing(spark, base, "parquet", counts).select("path", "date", "rows")
 
 
 def store_stats(spark: SparkSession, base: str, fmt: str = "parquet", rejected: DataFrame | None = None) -> DataFrame:

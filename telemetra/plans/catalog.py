@@ -415,8 +415,9 @@ def expired_files(spark, sf_dir):
     path = _daily_store(spark, sf_dir)
     later = dt.datetime.now() + dt.timedelta(days=8)
     expired = store.expired_files(spark, path, days=7, now=later)
-    dry = store.remove_files(expired.select("path"), dry_run=True).join(expired.select("path", "date"), "path")
-    return dry.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(
+    dry = store.remove_files(expired, dry_run=True)
+    day = F.regexp_extract("path", r"date=(\d{4}-\d{2}-\d{2})", 1)
+    return dry.groupBy(day.alias("date")).agg(
         F.count(F.lit(1)).alias("expired_files"), F.sum(F.col("deleted").cast("int")).alias("deleted")
     )
 

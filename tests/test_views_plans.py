@@ -76,3 +76,14 @@ def test_filters_reach_the_parquet_scan(spark):
     assert "PushedFilters: [IsNotNull(metric_name), IsNotNull(timestamp), IsNotNull(host), EqualTo(metric_name,click.value)" in p
     assert "PartitionFilters: [isnotnull(date" in p
     assert "ReadSchema: struct<timestamp:timestamp,metric_name:string,value:double,host:string>" in p
+
+
+def test_per_file_counts_neither_join_nor_broadcast(spark):
+    from telemetra.operators import store
+
+    path = scratch_path(spark, "plan-files")
+    pts = flatten.flatten(adapters.fields_payloads(adapters.read_table(spark, SMALL, "events")))
+    writers.write_points(pts, path, "parquet")
+    for df in (store.rows_per_file(spark, path), store.query_files(spark, path, "click.value")):
+        p = plan(df)
+        assert "Join" not in p and "Broadcast" not in p
