@@ -67,14 +67,19 @@ def write_points(
     date_source: str = "timestamp",
     compression: str | None = None,
     max_records_per_file: int | None = None,
-    layout: Layout = "as_is",
+    layout: Layout | None = None,
     mode: str = "append",
 ) -> None:
     """K1–K6: write points to a date-partitioned store.
 
     ``partition_by=("date", "metric_name", "host")`` is K2. CSV stores rotate every
-    100 000 rows unless ``max_records_per_file`` says otherwise (K6).
+    100 000 rows unless ``max_records_per_file`` says otherwise (K6). Without a
+    ``layout``, a store partitioned by date alone is written as is (ingest covers few
+    dates per run) and one partitioned by more columns is rebalanced, so that tasks do
+    not each write a file for every combination they hold.
     """
+    if layout is None:
+        layout = "rebalance" if len(partition_by) > 1 else "as_is"
     if "date" in partition_by and "date" not in points.columns:
         points = with_date(points, date_source)
     parts = list(partition_by)
