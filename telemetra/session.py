@@ -50,15 +50,24 @@ def shared_dir(spark: SparkSession) -> str:
     Only when the session names none (local runs, tests) is a scratch folder created and
     registered as the checkpoint directory, so later calls and ``checkpoint()`` agree.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    sc = _context(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not root:
         root = tempfile.mkdtemp(prefix="telemetra-")
-        sc.setCheckpointDir(root)
+        if sc is not None:
+            sc.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; ``None`` under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under :func:`shared_dir` for one store or stream."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -72,8 +81,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     default parallelism is it redistributed (round robin, sorted first so a retried task
     sees the same rows); a wide input — the normal case at scale — is left as it is.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
+    sc = _context(df.sparkSession)
+    if sc is None:  # Spark Connect: partition counts are not visible, leave the input
+        return df
+    target = min_partitions or sc.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)

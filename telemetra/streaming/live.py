@@ -123,14 +123,22 @@ def _batch_dirs(spark: SparkSession, path: str):
 
 def latest_batch(spark: SparkSession, path: str) -> DataFrame:
     """The newest ``batch=<id>`` directory of a versioned sink."""
-    _, found = _batch_dirs(spark, path)
+    try:
+        _, found = _batch_dirs(spark, path)
+    except Exception:  # noqa: BLE001 - no JVM gateway (Spark Connect): use partition discovery
+        versions = spark.read.parquet(path)
+        newest = versions.agg(F.max("batch")).first()[0]
+        return versions.where(F.col("batch") == newest).drop("batch")
     return spark.read.parquet(f"{path}/batch={max(found)}")
 
 
 def _prune_before(spark: SparkSession, path: str, batch_id: int) -> None:
     """Drop snapshot versions older than ``batch_id`` (kept: it is the input a replay of
-    the next batch reads)."""
-    fs, found = _batch_dirs(spark, path)
+    the next batch reads). Without a JVM gateway old versions are left in place."""
+    try:
+        fs, found = _batch_dirs(spark, path)
+    except Exception:  # noqa: BLE001
+        return
     for bid, p in found.items():
         if bid < batch_id:
             fs.delete(p, True)
