@@ -110,12 +110,32 @@ def write_points(
         writer.option("compression", compression or "none").option("ignoreNullFields", "false").json(path)
 
 
-def fan_out(points: DataFrame, stores: Iterable[tuple[str, Format]], **options) -> None:
-    """K7: one pass over the input, written to several stores. The points are persisted
-    (memory and disk) so the payloads are parsed once, then released."""
+def fan_out(points: DataFrame, stores: Iterable[tuple[str, Format]], via: str = "persist", **options) -> None:
+    """K7: the input parsed once and written to several stores.
+
+    ``via="persist"`` keeps the points on the executors (memory, then disk) while the
+    stores are written. ``via="store"`` writes the first store, which must be Parquet,
+    and derives the others from it: no cache, and each later write starts from a written
+    table rather than the payload lineage. Stores derived this way carry tags as text
+    (the Parquet profile), also in JSON Lines.
+    """
+    stores = list(stores)
+    if via == "store":
+        from telemetra.sources.points import read_parquet_points
+
+        (first, first_fmt), rest = stores[0], stores[1:]
+        if first_fmt != "parquet":
+            raise ValueError("via='store' needs a Parquet store first")
+        write_points(points, first, "parquet", **options)
+        parts = tuple(options.get("partition_by", ("date",)))
+        written = read_parquet_points(points.sparkSession, first, parts)
+        for path, fmt in rest:
+            write_points(written, path, fmt, **options)
+        return
     cached = points.persist()
     try:
         for path, fmt in stores:
             write_points(cached, path, fmt, **options)
     finally:
         cached.unpersist()
+

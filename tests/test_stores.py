@@ -183,3 +183,14 @@ def test_reads_the_collectors_own_layouts(spark, tmp_path):
     pts = points_src.read_parquet_nanos(spark, str(tmp_path / "parquet"))
     (p,) = pts.select(F.unix_seconds("timestamp").alias("t"), "metric_name").collect()
     assert (p["t"], p["metric_name"]) == (1700000000, "cpu.usage_percent")
+
+
+def test_fan_out_via_the_first_store(spark, payloads):
+    root = scratch_path(spark, "fan-store")
+    stores = [(f"{root}/p", "parquet"), (f"{root}/c", "csv_tags"), (f"{root}/j", "jsonl")]
+    pts = sample(payloads)
+    writers.fan_out(pts, stores, via="store")
+    both = points_src.union_stores(spark, stores)
+    expect = canon(pts)
+    for fmt in ("parquet", "csv_tags", "jsonl"):
+        assert canon(both.where(F.col("store") == fmt)) == expect, fmt
