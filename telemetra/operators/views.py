@@ -90,6 +90,6 @@ def recent(points: DataFrame, n: int = RECENT_LOG_SIZE, metric: str | None = Non
 
 
 def distinct_hosts(points: DataFrame) -> DataFrame:
-    """Hosts seen, from the ``host`` column (``unknown`` excluded, as the dashboard
-    lists only real ``tags.host`` values)."""
-    return points.where(F.col("host") != F.lit(UNKNOWN)).select("host").distinct()
+    """Hosts seen, from the ``host`` column. The dashboard lists a host only when
+    ``tags.host`` is set and non-empty, so the ``unknown`` default and ``''`` are left out."""
+    return points.where(~F.col("host").isin(UNKNOWN, "")).select("host").distinct()
