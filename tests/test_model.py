@@ -122,3 +122,52 @@ def test_flatten_matches_the_rules(payloads, docs, scope):
     want_points, want_rejects = model(docs, scope)
     assert got == want_points
     assert rej == want_rejects
+
+
+@st.composite
+def labelled(draw):
+    if draw(st.integers(0, 9)) == 0:
+        return draw(st.sampled_from(["", "   ", "not json", "[1, 2]", "7"]))
+    d = {}
+    if draw(st.booleans()):
+        d["metric"] = draw(st.one_of(text, text, ints, st.none()))
+    if draw(st.booleans()):
+        d["timestamp"] = draw(st.one_of(st.integers(0, 4 * 10**9), st.booleans(), text))
+    if draw(st.booleans()):
+        d["value"] = draw(st.one_of(numbers, numbers, text, st.none()))
+    if draw(st.booleans()):
+        d["labels"] = draw(st.one_of(st.dictionaries(keys, text, max_size=3),
+                                     st.dictionaries(keys, st.one_of(text, ints), max_size=2),
+                                     st.lists(ints, max_size=2)))
+    return json.dumps(d)
+
+
+def model_labelled(seq, line, prefix):
+    try:
+        d = json.loads(line)
+    except ValueError:
+        return []
+    if not isinstance(d, dict):
+        return []
+    metric, ts, value, labels = d.get("metric", "unknown"), d.get("timestamp", 0), d.get("value", 0.0), d.get("labels", {})
+    if not isinstance(metric, str) or not (is_num(ts) or isinstance(ts, bool)) or not is_num(value):
+        return []
+    if isinstance(labels, dict) and not all(isinstance(v, str) for v in labels.values()):
+        return []
+    pairs = sorted(labels.items(), key=lambda kv: (kv[0].encode(), kv[1].encode())) if isinstance(labels, dict) else []
+    key = ":".join(([prefix] if prefix else []) + [metric] + [f"{k}={v}" for k, v in pairs])
+    return [(seq, int(ts), metric, float(value), key)]
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(st.lists(labelled(), min_size=1, max_size=8), st.sampled_from([None, "metrics"]))
+def test_labelled_points_match_the_rules(spark, lines, prefix):
+    from telemetra.operators import series
+    from telemetra.schemas import SeriesOptions
+    from telemetra.sources.labelled import labelled_points
+
+    df = spark.createDataFrame(list(enumerate(lines)), "seq bigint, raw string")
+    keyed = series.with_series_key(labelled_points(df), SeriesOptions(prefix=prefix))
+    got = sorted(tuple(r) for r in keyed.select("seq", "timestamp", "metric", "value", "series_key").collect())
+    want = sorted(p for seq, line in enumerate(lines) for p in model_labelled(seq, line, prefix))
+    assert got == want
