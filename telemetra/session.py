@@ -18,11 +18,24 @@ RUNTIME_CONF = {
 }
 
 
+# Streaming state (first-seen series, latest value per series) holds one entry per series.
+# RocksDB keeps it off the JVM heap and spills to local disk, checkpointing changes only.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+HEAP_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+ROCKSDB_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply :data:`RUNTIME_CONF` to an existing session (runtime-settable keys only)."""
+    """Apply :data:`RUNTIME_CONF` to an existing session (runtime-settable keys only).
+
+    The RocksDB state store is chosen only while the session still has Spark's built-in
+    heap store, so a provider picked by the user (and its checkpoints) is left alone."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if spark.conf.get(STATE_STORE, HEAP_STATE_STORE) == HEAP_STATE_STORE:
+        spark.conf.set(STATE_STORE, ROCKSDB_STATE_STORE)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return spark
 
 
