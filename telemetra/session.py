@@ -101,3 +101,44 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+# Target bytes per task: a partition this size parses, aggregates and sorts in executor
+# memory with room to spare; AQE merges smaller shuffle partitions up to it.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def size_for(spark: SparkSession, input_bytes: int, partition_bytes: int = PARTITION_BYTES,
+             max_partitions: int = 100_000) -> dict[str, str]:
+    """Size scans and shuffles for ``input_bytes`` of input and apply the settings.
+
+    Scan splits and AQE's advisory shuffle size are ``partition_bytes``; the shuffle
+    partition count would carry all input at that size (at least two waves of the
+    cluster's cores), and AQE coalesces the ones that come out smaller — most shuffles
+    here move far less than the input, after partial aggregation. It is capped at
+    ``max_partitions``, past which per-block bookkeeping on the driver grows faster than
+    the work; larger partitions then spill. Skewed partitions are split at four times the
+    target. Returns what was set.
+    """
+    sc = _context(spark)
+    cores = sc.defaultParallelism if sc is not None else 8
+    partitions = min(max_partitions, max(2 * cores, -(-int(input_bytes) // partition_bytes)))
+    conf = {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    return conf
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (the listing only, no file is read)."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    total = files.agg(F.sum("length")).first()[0]
+    return int(total or 0)

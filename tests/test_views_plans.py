@@ -87,3 +87,17 @@ def test_per_file_counts_neither_join_nor_broadcast(spark):
     for df in (store.rows_per_file(spark, path), store.query_files(spark, path, "click.value")):
         p = plan(df)
         assert "Join" not in p and "Broadcast" not in p
+
+
+def test_sizing_follows_the_input(spark):
+    from telemetra.session import input_bytes, size_for
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    try:
+        assert size_for(spark, 100 * 1024**4)["spark.sql.shuffle.partitions"] == "100000"  # 100 TiB, capped
+        assert size_for(spark, 1024**4)["spark.sql.shuffle.partitions"] == str(1024**4 // (128 * 1024**2))
+        small = size_for(spark, input_bytes(spark, f"{SMALL}/events.parquet"))
+        assert int(small["spark.sql.shuffle.partitions"]) == 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
