@@ -35,6 +35,7 @@ NO_ENVELOPE = "no_envelope"
 BAD_TYPE = "bad_type"
 OK = "ok"
 
+
 def _absent_or(v: Column, test: Column) -> Column:
     return v.isNull() | F.coalesce(test, F.lit(False))
 
