@@ -41,9 +41,17 @@ def is_object(v: Column) -> Column:
 
 def json_text_values(obj: Column) -> Column:
     """A JSON object as ``map<string,string>``: strings as they are, every other value as
-    its compact JSON text (numbers, booleans, ``null``, nested objects and arrays)."""
-    entries = F.try_variant_get(obj, "$", "map<string,variant>")
-    return F.transform_values(
-        entries,
+    its compact JSON text (numbers, booleans, ``null``, nested objects and arrays).
+
+    The cast to ``map<string,string>`` already writes that text for every value but JSON
+    ``null`` (it gives SQL NULL), so it is used whenever the object holds no null; only
+    then, or when the cast fails, is each value converted on its own.
+    """
+    cast = F.try_variant_get(obj, "$", "map<string,string>")
+    values = F.map_values(cast)
+    no_nulls = F.size(values) == F.size(F.array_compact(values))
+    per_value = F.transform_values(
+        F.try_variant_get(obj, "$", "map<string,variant>"),
         lambda _k, x: F.when(is_string(x), F.variant_get(x, "$", "string")).otherwise(F.to_json(x)),
     )
+    return F.when(no_nulls, cast).otherwise(per_value)
