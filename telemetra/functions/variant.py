@@ -29,6 +29,12 @@ def is_number(v: Column) -> Column:
     return t.isin(*_NUMBER_TYPES) | t.startswith("DECIMAL")
 
 
+def is_number_or_boolean(v: Column) -> Column:
+    """What an integer read accepts (booleans count as 0 / 1); one type lookup."""
+    t = type_of(v)
+    return t.isin(*_NUMBER_TYPES, "BOOLEAN") | t.startswith("DECIMAL")
+
+
 def is_string(v: Column) -> Column:
     return type_of(v) == F.lit("STRING")
 

@@ -26,7 +26,14 @@ from pyspark.sql import functions as F
 
 from telemetra.constants import DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.points import sorted_json_object, to_event_time
-from telemetra.functions.variant import field, is_number, is_object, is_string, json_text_values, type_of
+from telemetra.functions.variant import (
+    field,
+    is_number,
+    is_number_or_boolean,
+    is_object,
+    is_string,
+    json_text_values,
+)
 from telemetra.schemas import FlattenOptions
 
 # Reasons recorded for rejected input.
@@ -46,11 +53,10 @@ def metric_is_valid(m: Column) -> Column:
     ts = field(m, "$.timestamp")
     value = field(m, "$.value")
     host = field(m, "$.tags.host")
-    ts_type = type_of(ts)
     return (
         is_object(m)
         & _absent_or(name, is_string(name))
-        & _absent_or(ts, is_number(ts) | (ts_type == F.lit("BOOLEAN")))
+        & _absent_or(ts, is_number_or_boolean(ts))
         & _absent_or(value, is_number(value))
         & _absent_or(host, is_string(host))
     )

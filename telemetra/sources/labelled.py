@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from telemetra.constants import DEFAULT_LABELLED_VALUE, DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.rows import keep_where
-from telemetra.functions.variant import field, is_number, is_object, is_string, type_of
+from telemetra.functions.variant import field, is_number, is_number_or_boolean, is_object, is_string
 
 
 def labelled_points(lines: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def labelled_points(lines: DataFrame) -> DataFrame:
         d.isNotNull()
         & is_object(d)
         & (metric.isNull() | F.coalesce(is_string(metric), F.lit(False)))
-        & (ts.isNull() | F.coalesce(is_number(ts) | (type_of(ts) == "BOOLEAN"), F.lit(False)))
+        & (ts.isNull() | F.coalesce(is_number_or_boolean(ts), F.lit(False)))
         & (value.isNull() | F.coalesce(is_number(value), F.lit(False)))
         & F.coalesce(F.forall(F.map_values(label_map), is_string), F.lit(True))
     )
