@@ -101,3 +101,25 @@ def test_sizing_follows_the_input(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_spread_only_widens_narrow_inputs(spark):
+    from telemetra.session import spread
+
+    narrow = spark.read.parquet(f"{SMALL}/events.parquet")
+    assert narrow.rdd.getNumPartitions() == 1
+    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert spread(wide) is wide
+
+
+def test_readers_parse_each_line_once(spark):
+    from telemetra.sources.labelled import labelled_points
+    from telemetra.sources.points import read_jsonl_points
+
+    lines = adapters.labelled_lines(adapters.read_table(spark, SMALL, "events"))
+    assert plan(labelled_points(lines)).count("parseJson") == 1
+    path = scratch_path(spark, "jsonl-plan")
+    pts = flatten.flatten(adapters.fields_payloads(adapters.read_table(spark, SMALL, "events")))
+    writers.write_points(pts, path, "jsonl")
+    assert plan(read_jsonl_points(spark, path)).count("parseJson") == 1
