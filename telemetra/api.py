@@ -27,19 +27,26 @@ from telemetra.streaming import live
 
 
 def ingest(spark: SparkSession, landing: str, base: str, fmt: Format = "parquet", quarantine: str | None = None,
-           options: FlattenOptions = FlattenOptions(), whole_file: bool = False) -> DataFrame:
+           options: FlattenOptions = FlattenOptions(), whole_file: bool = False,
+           cache_payloads: bool = True) -> DataFrame:
     """Flatten the payload files under ``landing`` into the store at ``base`` (and the
-    rejects into ``quarantine``); returns the ingest counters of the run."""
+    rejects into ``quarantine``); returns the ingest counters of the run.
+
+    The raw payloads are read by up to three jobs (points, rejects, counters).
+    ``cache_payloads`` keeps them on the executors meanwhile (memory, then disk). For a
+    landing batch too large to hold, ``False`` reads and parses them again instead."""
     configure(spark)
-    payloads = read_payloads(spark, landing, whole_file).persist()
+    payloads = read_payloads(spark, landing, whole_file)
+    if cache_payloads:
+        payloads = payloads.persist()
     try:
         write_points(flatten.flatten(payloads, options), base, fmt)
         if quarantine:
             flatten.rejected(payloads, options).write.mode("append").parquet(quarantine)
-        # one row, computed while the payloads are still cached
-        counters = flatten.ingest_counters(payloads).collect()
+        counters = flatten.ingest_counters(payloads).collect()  # one row
     finally:
-        payloads.unpersist()
+        if cache_payloads:
+            payloads.unpersist()
     return spark.createDataFrame(counters, "total_requests bigint, total_metrics bigint")
 
 

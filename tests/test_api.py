@@ -40,3 +40,13 @@ def test_series_tables(spark):
     assert rows(t["batches"], "timestamp", "points") == [(10, 2), (11, 2)]
     assert rows(t["values"], "timestamp", "value") == [(10, 2.0), (11, 3.0)]
     assert series.deduplicate(labelled_points(lines), "SUM").count() == 2
+
+
+def test_ingest_without_cache(spark, tmp_path):
+    land = tmp_path / "landing2"
+    land.mkdir()
+    (land / "a.txt").write_text(json.dumps({"metrics": [{"name": "m", "value": 1}, {"name": "n", "value": 2}]}) + "\nbroken\n")
+    base, quarantine = scratch_path(spark, "api-nc"), scratch_path(spark, "api-nc-q")
+    (c,) = api.ingest(spark, str(land), base, quarantine=quarantine, cache_payloads=False).collect()
+    assert (c["total_requests"], c["total_metrics"]) == (2, 2)
+    assert api.query(spark, base).count() == 2 and spark.read.parquet(quarantine).count() == 1
