@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import secrets, url_filter
+from telemetra.llm import quality_rules, secrets, url_filter
 from telemetra.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and robust-outlier verdict per document."""
+    return quality_rules.score(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per page URL."""
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
@@ -69,6 +74,7 @@ FROM d LEFT JOIN agg USING (r)"""
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op10_secret_scans": op10_secret_scans,
 }
