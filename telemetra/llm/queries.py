@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import quality_rules, secrets, url_filter
+from telemetra.llm import packing, quality_rules, secrets, url_filter
 from telemetra.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file of this machine; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and robust-outlier verdict per document."""
     return quality_rules.score(table(spark, sf_dir, "documents"))
@@ -19,6 +26,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and the slots they are packed into."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans per document, and how many are live or copied by the corpus' owners."""
     docs = secrets.scan(table(spark, sf_dir, "documents"))
@@ -76,6 +88,7 @@ FROM d LEFT JOIN agg USING (r)"""
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_url_filters": op4_url_filters,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op10_secret_scans": op10_secret_scans,
 }
 
