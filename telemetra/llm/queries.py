@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import packing, quality_rules, secrets, url_filter
+from telemetra.llm import license_scan, packing, quality_rules, secrets, url_filter
 from telemetra.llm.common import table
 
 
@@ -21,6 +21,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and accepted license templates per document."""
+    templates = [(label, phrase) for phrase, label in license_scan.BASE] + license_scan.TEMPLATES
+    n_base = len(license_scan.BASE)
+    names = F.array(*[F.lit(label) for label, _ in templates])
+    base = F.filter("places", lambda p: p["template"] < n_base)
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: F.element_at(names, p["template"] + 1)))), ",")
+    covered = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), lambda acc, p: F.struct(
+        (acc["n"] + F.greatest(F.lit(0), p["end"] - F.greatest(acc["at"], p["start"]))).alias("n"), F.greatest(acc["at"], p["end"]).alias("at")))["n"]
+    docs = license_scan.scan(table(spark, sf_dir, "documents"), templates)
+    return docs.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(F.transform(base, lambda p: p["start"])).cast("bigint").alias("first_word"),
+        F.array_max(F.transform(base, lambda p: p["start"])).cast("bigint").alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"),
+        F.coalesce(covered / F.when(F.col("n_words") > 0, F.col("n_words")), F.lit(0.0)).alias("score"),
+    )
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per page URL."""
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
@@ -87,6 +106,7 @@ FROM d LEFT JOIN agg USING (r)"""
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scans": op2_license_scans,
     "op4_url_filters": op4_url_filters,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op10_secret_scans": op10_secret_scans,
