@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import license_scan, packing, quality_rules, secrets, url_filter
+from telemetra.llm import langid, license_scan, packing, quality_rules, secrets, url_filter
 from telemetra.llm.common import table
 
 
@@ -50,6 +50,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(langid.sample(docs)))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans per document, and how many are live or copied by the corpus' owners."""
     docs = secrets.scan(table(spark, sf_dir, "documents"))
@@ -109,6 +115,7 @@ QUERIES = {
     "op2_license_scans": op2_license_scans,
     "op4_url_filters": op4_url_filters,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op10_secret_scans": op10_secret_scans,
 }
 
