@@ -29,6 +29,7 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
+SMALL_RULES = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,9 +50,11 @@ def digest(host: Column, path: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
-    """Rules (host, path, verdict) as a DataFrame with their key digests."""
-    df = spark.createDataFrame(list(rules), "rule_host string, rule_path string, rule_verdict string")
-    return keyed_rules(df)
+    """Rules (host, path, verdict) as a DataFrame with their key digests; a list of at most
+    ``SMALL_RULES`` is marked for broadcast, its size being known."""
+    rules = list(rules)
+    df = keyed_rules(spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string"))
+    return F.broadcast(df) if len(rules) <= SMALL_RULES else df
 
 
 def keyed_rules(df: DataFrame) -> DataFrame:
