@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import langid, license_scan, packing, quality_rules, secrets, url_filter
+from telemetra.llm import html_extract, langid, license_scan, packing, quality_rules, secrets, url_filter
 from telemetra.llm.common import table
 
 
@@ -56,6 +56,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(langid.sample(docs)))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text per page."""
+    text = F.array_join("lines", "\n")
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans per document, and how many are live or copied by the corpus' owners."""
     docs = secrets.scan(table(spark, sf_dir, "documents"))
@@ -116,6 +122,7 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_html_extraction": op8_html_extraction,
     "op10_secret_scans": op10_secret_scans,
 }
 
