@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import html_extract, langid, license_scan, packing, quality_rules, secrets, url_filter
+from telemetra.llm import html_extract, langid, license_scan, minhash, packing, quality_rules, secrets, url_filter
 from telemetra.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class per document."""
+    return minhash.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -121,6 +126,7 @@ QUERIES = {
     "op2_license_scans": op2_license_scans,
     "op4_url_filters": op4_url_filters,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_html_extraction": op8_html_extraction,
     "op10_secret_scans": op10_secret_scans,
