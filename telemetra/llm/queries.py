@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import html_extract, langid, license_scan, minhash, packing, quality_rules, secrets, url_filter
+from telemetra.llm import decontaminate, html_extract, langid, license_scan, minhash, packing, quality_rules, secrets, url_filter
 from telemetra.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, benchmark item) pairs: the item stands in the document."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans per document, and how many are live or copied by the corpus' owners."""
     docs = secrets.scan(table(spark, sf_dir, "documents"))
@@ -129,6 +134,7 @@ QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_html_extraction": op8_html_extraction,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scans": op10_secret_scans,
 }
 
