@@ -12,9 +12,13 @@ one by one; an empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,40 +30,90 @@ from pyspark.sql import functions as F
 from telemetra.llm.common import written
 
 CAPACITY, END_ID = 2048, 0
-# Words whose ids a task keeps; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+# Chunks whose ids a Python worker keeps; beyond it that memory starts anew.
+CACHE_CHUNKS = 600_000
 
 PIECES = "doc bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local bigint"
 PLAN = "length bigint, lo bigint, hi bigint, sequence bigint, offset bigint"
 
 
+# Letters followed by ASCII marks (no apostrophe): always parted by the tokenizer, and not
+# changed by normalization but for the lower case.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordIds:
     """Ids of whole texts as packed little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins what a blank or line feed parts, so a
-    text's ids are those of its blank-separated chunks in order; chunks repeat, and each
-    distinct one is tokenized once."""
+    text's ids are those of its blank-separated chunks in order. Chunks repeat, and those of
+    plain letters share their lower-case word; each word met is tokenized once, many in one
+    call, and told apart by the tokens that end a word."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            ids = np.concatenate(self._ids([" ".join(part[k : k + 100]) for k in range(0, len(part), 100)]))
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part):
+                packed, at = ids.tobytes(), 0
+                for word, end in zip(part, (4 * cut).tolist()):
+                    self.known[word] = packed[at:end]
+                    at = end
+            else:  # a vocabulary without marks of word ends
+                self.known |= {w: x.tobytes() for w, x in zip(part, self._ids(part))}
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, words, rest, made = self.known, set(), set(), []
+        for chunk in chunks:
+            m = _PLAIN.fullmatch(chunk)
+            if m is None:
+                rest.add(chunk)
+                continue
+            word, marks = m.groups()
+            word = word.lower()
+            if word not in known:
+                words.add(word)
+            if marks not in known:
+                rest.add(marks)
+            if word != chunk:
+                made.append((chunk, word, marks))
+        plain = list(rest)
+        for i in range(0, len(plain), 5000):
+            part = plain[i : i + 5000]
+            known.update(zip(part, (x.tobytes() for x in self._ids(part))))
+        self._learn_words(list(words))
+        for chunk, word, marks in made:
+            known[chunk] = known[word] + known[marks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({c for chunks in split for c in chunks if c not in self.known})
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            fresh = list({c for chunks in split for c in chunks})
+        if len(self.known) > CACHE_CHUNKS:
             self.known = {"": b""}
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        self._learn(set(chain.from_iterable(split)).difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, for all its tasks."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece, with the writing task and the piece's number among the task's
     pieces of its length."""
@@ -68,11 +122,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordIds(tokenizer_path), TaskContext.get().partitionId()
+        words, part = word_ids(tokenizer_path), TaskContext.get().partitionId()
         count = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
+            for at in range(0, batch.num_rows, 200):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, 200).columns)
                 rows = []
                 for doc, packed in zip(ids, words.encode([t or "" for t in texts])):
                     packed += end
