@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import decontaminate, html_extract, langid, license_scan, minhash, packing, quality_rules, secrets, url_filter
+from telemetra.llm import decontaminate, html_extract, langid, license_scan, minhash, packing, quality_rules, secrets, suffix_dedup, url_filter
 from telemetra.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once repeated 400-byte strings are removed."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per page URL."""
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
@@ -129,6 +134,7 @@ FROM d LEFT JOIN agg USING (r)"""
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scans": op2_license_scans,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
