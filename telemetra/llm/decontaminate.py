@@ -74,9 +74,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
 
-def word_numbers(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_numbers(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, ids`` per document: the numbers of all its words, in order."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    key = F.col(id_col) if id_col else F.lit(None).cast("bigint")
+    rows = docs.select(key.alias("_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,7 +299,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text")
     """Pipeline form: the rows of ``docs`` that hold no benchmark item, all columns. Texts
     are judged in place by the index, which is bounded by the benchmark."""
     vocabulary = Vocabulary(benchmark_items(benchmark))
-    numbers = written(word_numbers(docs, vocabulary, id_col=text_col, text_col=text_col).select("ids"), "benchmark-words")
+    numbers = written(word_numbers(docs, vocabulary, id_col=None, text_col=text_col).select("ids"), "benchmark-words")
     index = build(numbers, vocabulary)
     if index is None:
         return docs

@@ -139,16 +139,16 @@ def masked(text: Column, live: Column) -> Column:
 def redact(docs: DataFrame, *, text_col: str = "text", size_col: str = "n_chars", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """Pipeline form: every document stays, its live credentials are masked.
 
-    Only documents that hold a span meet the verdicts in a join; the texts of all others go
-    straight through.
+    Only documents that hold a span are written and meet the verdicts in a join; all others
+    go straight through.
     """
-    rows = with_row_id(docs)
     suspect = F.coalesce(F.col(text_col), F.lit("")).rlike("|".join(f"(?:{p})" for _, p, _, _ in KINDS))
-    found = written(find(rows.where(suspect)), "secret-spans")
-    live = classified(found, copied_owners).where("n_live > 0").select("_row", "live")
-    changed = rows.where(suspect).join(live, "_row", "left")
+    rows = written(with_row_id(docs.where(suspect)), "secret-rows")
+    live = classified(written(find(rows, text_col=text_col), "secret-spans"), copied_owners).where("n_live > 0").select("_row", "live")
+    changed = rows.join(live, "_row", "left")
     text = F.when(F.col("live").isNotNull(), masked(F.col(text_col), F.col("live"))).otherwise(F.col(text_col))
     changed = changed.withColumn(text_col, text)
     if size_col in docs.columns:
-        changed = changed.withColumn(size_col, F.when(F.col("live").isNotNull(), F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    return rows.where(~suspect).select(docs.columns).unionByName(changed.select(docs.columns))
+        size = F.length(text_col).cast(docs.schema[size_col].dataType)
+        changed = changed.withColumn(size_col, F.when(F.col("live").isNotNull(), size).otherwise(F.col(size_col)))
+    return docs.where(~suspect).unionByName(changed.select(docs.columns))
