@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,27 +27,18 @@ from telemetra.streaming import live
 
 
 def ingest(spark: SparkSession, landing: str, base: str, fmt: Format = "parquet", quarantine: str | None = None,
-           options: FlattenOptions = FlattenOptions(), whole_file: bool = False,
-           cache_payloads: bool = True) -> DataFrame:
+           options: FlattenOptions = FlattenOptions(), whole_file: bool = False) -> DataFrame:
     """Flatten the payload files under ``landing`` into the store at ``base`` (and the
-    rejects into ``quarantine``); returns the ingest counters of the run.
-
-    The raw payloads are read by up to three jobs (points, rejects, counters).
-    ``cache_payloads`` keeps them on the executors meanwhile (memory, then disk). For a
-    landing batch too large to hold, ``False`` reads and parses them again instead."""
+    rejects into ``quarantine``); returns the ingest counters of the run, which are observed
+    while the store is written."""
     configure(spark)
     payloads = read_payloads(spark, landing, whole_file)
-    if cache_payloads:
-        payloads = payloads.persist()
-    try:
-        write_points(flatten.flatten(payloads, options), base, fmt)
-        if quarantine:
-            flatten.rejected(payloads, options).write.mode("append").parquet(quarantine)
-        counters = flatten.ingest_counters(payloads).collect()  # one row
-    finally:
-        if cache_payloads:
-            payloads.unpersist()
-    return spark.createDataFrame(counters, "total_requests bigint, total_metrics bigint")
+    seen = Observation("ingest")
+    write_points(flatten.flatten(payloads, options, counters=seen), base, fmt)
+    if quarantine:
+        flatten.rejected(payloads, options).write.mode("append").parquet(quarantine)
+    totals = [(seen.get["total_requests"], seen.get["total_metrics"])]
+    return spark.createDataFrame(totals, "total_requests bigint, total_metrics bigint")
 
 
 def query(spark: SparkSession, base: str, metric: str | None = None, start=None, end=None, fmt: str = "parquet",
@@ -67,9 +58,22 @@ def query_summary(spark: SparkSession, base: str, metric: str | None = None, sta
 
 
 def recent_metrics(spark: SparkSession, base: str, name: str | None = None, limit: int = 100, fmt: str = "parquet") -> DataFrame:
-    """The newest ``limit`` points, optionally of one metric."""
+    """The newest ``limit`` metrics as wide rows ``name, timestamp, host, tags_json, fields``.
+
+    A named metric is put together again from its stored points, ``name`` (as field
+    ``value``) and ``name.field``; without a name each stored point stands for itself."""
     configure(spark)
-    return views.recent(store.query_points(spark, base, fmt), n=limit, metric=name)
+    points = store.query_points(spark, base, fmt)
+    if name:
+        points = points.where((F.col("metric_name") == name) | F.startswith(F.col("metric_name"), F.lit(f"{name}.")))
+        field = F.when(F.col("metric_name") == name, F.lit("value")).otherwise(F.expr(f"substring(metric_name, {len(name) + 2})"))
+        points = points.withColumn("field", field).withColumn("name", F.lit(name))
+    else:
+        points = points.withColumn("field", F.lit("value")).withColumn("name", F.col("metric_name"))
+    key = ["name", "timestamp", "host", "tags_json"]
+    each = points.groupBy(*key, "field").agg(F.max("value").alias("value"))  # one value per field
+    wide = each.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    return views.recent(wide, n=limit)
 
 
 def metric_stats(spark: SparkSession, base: str, name: str, field: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -92,11 +96,11 @@ def cleanup(spark: SparkSession, base: str, retention_days: int, fmt: str = "par
 
 
 def live_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, metrics: str | None = None,
-                host: str | None = None, trigger: live.Trigger = live.Trigger(every="1 second")) -> StreamingQuery:
-    """Points of the listed metrics (comma-separated) and host, appended as they arrive."""
+                tags: dict[str, str] | None = None, options: FlattenOptions = FlattenOptions(),
+                trigger: live.Trigger = live.Trigger(every="1 second")) -> StreamingQuery:
+    """Metrics of the listed names (comma-separated) with the given tag values, as they arrive."""
     configure(spark)
-    tags = {"host": host} if host else None
-    return live.filtered(live.payload_stream(spark, landing), sink, checkpoint, metrics, tags, trigger)
+    return live.filtered(live.payload_stream(spark, landing), sink, checkpoint, metrics, tags, options, trigger)
 
 
 def series_tables(labelled: DataFrame, options: SeriesOptions = SeriesOptions()) -> dict[str, DataFrame]:
@@ -105,5 +109,6 @@ def series_tables(labelled: DataFrame, options: SeriesOptions = SeriesOptions())
     return {
         "catalog": series.series_catalog(labelled, options),
         "batches": series.timestamp_batches(labelled, options),
+        "batch_sizes": series.batch_sizes(labelled),
         "values": series.deduplicate(labelled, options.duplicate_policy, options),
     }

@@ -1,31 +1 @@
 """Column expressions shared by the operators (all built-in Spark functions)."""
-
-from telemetra.functions.points import (
-    date_path,
-    epoch_seconds,
-    series_key,
-    sorted_json_object,
-    to_event_time,
-)
-from telemetra.functions.variant import (
-    field,
-    is_number,
-    is_object,
-    is_string,
-    json_text_values,
-    type_of,
-)
-
-__all__ = [
-    "date_path",
-    "epoch_seconds",
-    "field",
-    "is_number",
-    "is_object",
-    "is_string",
-    "json_text_values",
-    "series_key",
-    "sorted_json_object",
-    "to_event_time",
-    "type_of",
-]

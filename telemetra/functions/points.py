@@ -29,13 +29,22 @@ def series_key(metric: Column, labels: Column, prefix: str | None = None) -> Col
     return F.concat_ws(":", *parts)
 
 
+# Seconds since the epoch of the first and last second of years 1 to 9999, and units per second.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+UNITS = {"s": 1, "ms": 1000}
+
+
+def in_time_span(epoch: Column, unit: str = "s") -> Column:
+    """True for an epoch number that is a time of years 1 to 9999 in ``unit``."""
+    return F.coalesce(epoch.between(FIRST_SECOND * UNITS[unit], (LAST_SECOND + 1) * UNITS[unit] - 1), F.lit(False))
+
+
 def to_event_time(epoch: Column, unit: str = "s") -> Column:
-    """Epoch number in seconds or milliseconds → TIMESTAMP."""
-    if unit == "s":
-        return F.timestamp_seconds(epoch)
-    if unit == "ms":
-        return F.timestamp_millis(epoch)
-    raise ValueError(f"unknown timestamp unit {unit!r}")
+    """Epoch number in seconds or milliseconds → TIMESTAMP; NULL out of range."""
+    if unit not in UNITS:
+        raise ValueError(f"unknown timestamp unit {unit!r}")
+    convert = F.timestamp_seconds if unit == "s" else F.timestamp_millis
+    return F.when(in_time_span(epoch, unit), convert(F.when(in_time_span(epoch, unit), epoch)))
 
 
 def epoch_seconds(ts: Column) -> Column:

@@ -16,3 +16,16 @@ def keep_where(df: DataFrame, cond: Column, *cols: Column | str) -> DataFrame:
     """
     structs = F.struct(*[F.col(c) if isinstance(c, str) else c for c in cols])
     return df.select(F.inline(F.when(cond, F.array(structs))))
+
+
+def arrival() -> Column:
+    """Where a line of a text file stands in arrival order, in batch and stream alike: file
+    time, then file, then place in the file (start of the split, row within it).
+
+    Row ids alone follow Spark's packing of splits (largest first), so they order only the
+    lines of one split."""
+    meta = F.col("_metadata")
+    return F.struct(
+        meta["file_modification_time"].alias("arrived"), meta["file_path"].alias("file"),
+        meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"),
+    )

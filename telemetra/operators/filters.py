@@ -15,11 +15,12 @@ TimeBound = int | float | str | dt.datetime | None
 
 
 def _bound(value: TimeBound) -> Column:
-    """A time bound as a TIMESTAMP column: epoch seconds, a datetime, or a string."""
+    """A time bound as a TIMESTAMP column: epoch seconds, a datetime (UTC unless it says
+    otherwise), or a string."""
     if isinstance(value, (int, float)):
         return F.timestamp_seconds(F.lit(value))
     if isinstance(value, dt.datetime):
-        return F.lit(value)
+        return F.lit(value if value.tzinfo else value.replace(tzinfo=dt.timezone.utc))
     return F.to_timestamp(F.lit(value))
 
 
@@ -47,7 +48,7 @@ def by_tag(points: DataFrame, key: str, value: str) -> DataFrame:
         return points.where(F.col("host") == F.lit(value))
     if "tags" in points.columns:
         return points.where(F.col("tags").getItem(key) == F.lit(value))
-    return points.where(F.get_json_object(F.col("tags_json"), f"$.{key}") == F.lit(value))
+    return points.where(F.from_json("tags_json", "map<string,string>").getItem(key) == F.lit(value))
 
 
 def by_metric_list(points: DataFrame, names: str | list[str] | None, column: str = "metric_name") -> DataFrame:

@@ -14,18 +14,19 @@ Rules kept from the collector:
   entry of an object ``fields`` yields a point ``name.field``; other entries are dropped;
 * a key that is present with the wrong type (non-string or null ``name``, non-numeric
   ``timestamp``, non-numeric ``value``, non-string ``tags.host``, a metric that is not an
-  object) rejects the payload (``scope='payload'``) or the metric (``scope='metric'``);
+  object), or a timestamp out of range, rejects the payload (``scope='payload'``) or the
+  metric (``scope='metric'``);
 * tag values that are not strings become their JSON text; ``tags_json`` is compact
   JSON with keys sorted, ``{}`` without tags.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from telemetra.constants import DEFAULT_TIMESTAMP, UNKNOWN
-from telemetra.functions.points import sorted_json_object, to_event_time
+from telemetra.functions.points import in_time_span, sorted_json_object, to_event_time
 from telemetra.functions.variant import (
     field,
     is_number,
@@ -40,6 +41,7 @@ from telemetra.schemas import FlattenOptions
 MALFORMED = "malformed"
 NO_ENVELOPE = "no_envelope"
 BAD_TYPE = "bad_type"
+BAD_TIME = "bad_time"
 OK = "ok"
 
 
@@ -47,26 +49,30 @@ def _absent_or(v: Column, test: Column) -> Column:
     return v.isNull() | F.coalesce(test, F.lit(False))
 
 
-def metric_is_valid(m: Column) -> Column:
-    """True when every present key of metric ``m`` has a usable type."""
+def metric_problem(m: Column, unit: str = "s") -> Column:
+    """NULL for a usable metric, else why it is rejected: ``bad_type`` when a present key
+    has no usable type, ``bad_time`` when its timestamp lies outside years 1 to 9999 in
+    ``unit`` (a finer unit than stated, or a number past 64 bits)."""
     name = field(m, "$.name")
     ts = field(m, "$.timestamp")
     value = field(m, "$.value")
     host = field(m, "$.tags.host")
-    return (
+    typed = (
         is_object(m)
         & _absent_or(name, is_string(name))
         & _absent_or(ts, is_number_or_boolean(ts))
         & _absent_or(value, is_number(value))
         & _absent_or(host, is_string(host))
     )
+    in_range = _absent_or(ts, in_time_span(field(m, "$.timestamp", "bigint"), unit))
+    return F.when(~F.coalesce(typed, F.lit(False)), F.lit(BAD_TYPE)).when(~in_range, F.lit(BAD_TIME))
 
 
 def parse_payloads(payloads: DataFrame, options: FlattenOptions = FlattenOptions()) -> DataFrame:
     """Add ``metrics`` (``array<variant>``) and ``status`` to each payload row.
 
-    ``status`` is ``ok``, ``malformed`` (not JSON), ``no_envelope`` (JSON without a
-    metrics array) or ``bad_type`` (a metric with a wrongly typed key; payload scope only).
+    ``status`` is ``ok``, ``malformed`` (not JSON), ``no_envelope`` (JSON without a metrics
+    array) or, in payload scope, the problem of a metric (``bad_type`` before ``bad_time``).
     """
     doc = F.try_parse_json(F.col("raw"))
     parsed = payloads.withColumn("_doc", doc)
@@ -81,8 +87,10 @@ def parse_payloads(payloads: DataFrame, options: FlattenOptions = FlattenOptions
         .when(F.col("metrics").isNull(), F.lit(NO_ENVELOPE))
     )
     if options.scope == "payload":
-        status = status.when(~F.forall("metrics", metric_is_valid), F.lit(BAD_TYPE))
-    return parsed.withColumn("status", status.otherwise(F.lit(OK))).drop("_doc")
+        # of several problems the greater name, that is bad_type
+        worst = F.array_max(F.transform("metrics", lambda m: metric_problem(m, options.ts_unit)))
+        status = F.coalesce(status, worst)
+    return parsed.withColumn("status", F.coalesce(status, F.lit(OK))).drop("_doc")
 
 
 def _metric_rows(parsed: DataFrame, options: FlattenOptions, keep: list[str]) -> DataFrame:
@@ -92,7 +100,7 @@ def _metric_rows(parsed: DataFrame, options: FlattenOptions, keep: list[str]) ->
     accepted = F.when(F.col("status") == OK, F.col("metrics"))
     rows = parsed.select(*keep, "seq", F.posexplode(accepted).alias("pos", "m"))
     if options.scope == "metric":
-        rows = rows.where(metric_is_valid(F.col("m")))
+        rows = rows.where(metric_problem(F.col("m"), options.ts_unit).isNull())
     m = F.col("m")
     tags_obj = field(m, "$.tags")
     return rows.select(
@@ -126,6 +134,7 @@ def flatten(
     options: FlattenOptions = FlattenOptions(),
     keep: list[str] | None = None,
     metrics: list[str] | None = None,
+    counters: Observation | None = None,
 ) -> DataFrame:
     """Payload rows (``seq``, ``raw``, …) → points.
 
@@ -136,9 +145,14 @@ def flatten(
     ``metrics`` keeps only points with those names, and drops metrics that cannot give
     one before their fields are fanned out (Catalyst cannot derive that from the
     ``concat`` that builds the name).
+
+    ``counters`` observes A3's totals while whatever reads the points runs.
     """
     keep = list(keep or [])
-    rows = _metric_rows(parse_payloads(payloads, options), options, keep)
+    parsed = parse_payloads(payloads, options)
+    if counters is not None:
+        parsed = parsed.observe(counters, *_totals())
+    rows = _metric_rows(parsed, options, keep)
     if metrics:
         rows = rows.where(could_yield(F.col("name"), metrics))
     points = _fan_out(rows, keep)
@@ -203,7 +217,7 @@ def rejected(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), ke
     else:
         marked = F.transform(
             "metrics",
-            lambda m, i: F.struct(i.alias("pos"), F.when(~metric_is_valid(m), F.lit(BAD_TYPE)).alias("reason")),
+            lambda m, i: F.struct(i.alias("pos"), metric_problem(m, options.ts_unit).alias("reason")),
         )
         items = F.when(F.col("status") != OK, whole).otherwise(F.filter(marked, lambda x: x["reason"].isNotNull()))
     out = parsed.select(*keep, "seq", "raw", F.inline(items))
@@ -213,10 +227,11 @@ def rejected(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), ke
 def ingest_counters(payloads: DataFrame) -> DataFrame:
     """A3: requests received, and metrics counted over payloads that carry an envelope
     (counted before type checks, as the collector does)."""
-    parsed = parse_payloads(payloads, FlattenOptions(scope="metric"))
-    return parsed.agg(
+    return parse_payloads(payloads, FlattenOptions(scope="metric")).agg(*_totals())
+
+
+def _totals() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("total_requests"),
-        F.coalesce(F.sum(F.when(F.col("metrics").isNotNull(), F.size("metrics"))), F.lit(0))
-        .cast("bigint")
-        .alias("total_metrics"),
-    )
+        F.coalesce(F.sum(F.when(F.col("metrics").isNotNull(), F.size("metrics"))), F.lit(0)).cast("bigint").alias("total_metrics"),
+    ]

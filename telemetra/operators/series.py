@@ -7,16 +7,28 @@ shuffle; R2 joins the per-series maximum back instead of sorting every series in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.constants import DUPLICATE_POLICIES
 from telemetra.functions.points import series_key, sorted_json_object
 from telemetra.schemas import SeriesOptions
 
-# Points per multi-add batch at most: a batch is (timestamp, seq // BATCH_SEQ_SPAN), so one
-# crowded timestamp is cut into bounded batches instead of one unbounded row.
-BATCH_SEQ_SPAN = 10_000
+# Arrival order: the payload or line, then the place inside it.
+ARRIVAL = ("seq", "pos")
+
+
+def from_points(points: DataFrame) -> DataFrame:
+    """Flattened points in the shape of labelled ones: ``metric``, ``labels`` and epoch
+    seconds, so that every series operator takes them."""
+    return points.select(
+        *ARRIVAL, F.unix_seconds("timestamp").alias("timestamp"), F.col("metric_name").alias("metric"), "value",
+        F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("labels"),
+    )
+
+
+def _arrival() -> Column:
+    return F.struct(*ARRIVAL)
 
 
 def with_series_key(points: DataFrame, options: SeriesOptions = SeriesOptions(), metric: str = "metric", labels: str = "labels") -> DataFrame:
@@ -25,11 +37,11 @@ def with_series_key(points: DataFrame, options: SeriesOptions = SeriesOptions(),
 
 
 def series_catalog(points: DataFrame, options: SeriesOptions = SeriesOptions()) -> DataFrame:
-    """Each series once, as first seen (lowest ``seq``), with its options."""
+    """Each series once, as first seen (lowest ``seq``, ``pos``), with its options."""
     keyed = with_series_key(points, options)
     first = F.struct("seq", "timestamp", "metric", "labels")
     cat = keyed.groupBy("series_key").agg(
-        F.min_by(first, F.col("seq")).alias("first"),
+        F.min_by(first, _arrival()).alias("first"),
         F.count(F.lit(1)).alias("points"),
     )
     return cat.select(
@@ -45,37 +57,33 @@ def series_catalog(points: DataFrame, options: SeriesOptions = SeriesOptions())
     )
 
 
-def timestamp_batches(points: DataFrame, options: SeriesOptions = SeriesOptions(), span: int = BATCH_SEQ_SPAN) -> DataFrame:
-    """Multi-add batches, one per (timestamp, arrival block of ``span`` seqs).
+def timestamp_batches(points: DataFrame, options: SeriesOptions = SeriesOptions()) -> DataFrame:
+    """The multi-add batch of each timestamp, as rows in sending order.
 
-    ``args`` is the batch as ``key ts value`` triples in arrival order, values printed
-    with six decimals; ``points`` is how many it holds.
-    """
+    A batch is every row of one timestamp; ``arg`` is the row's ``key ts value`` triple, the
+    value printed with six decimals. Rows are range-partitioned and sorted by (timestamp,
+    arrival), so a crowded timestamp spreads over tasks and none is collected."""
     keyed = with_series_key(points, options)
-    item = F.struct("seq", "series_key", "value")
-    grouped = keyed.groupBy("timestamp", F.floor(F.col("seq") / span).alias("block")).agg(
-        F.sort_array(F.collect_list(item)).alias("items")
-    )
-    triple = lambda x: F.concat_ws(
-        " ", x["series_key"], F.col("timestamp").cast("string"), F.format_string("%.6f", x["value"])
-    )
-    return grouped.select(
-        "timestamp",
-        "block",
-        F.size("items").alias("points"),
-        F.array_join(F.transform("items", triple), " ").alias("args"),
-    )
+    triple = F.concat_ws(" ", "series_key", F.col("timestamp").cast("string"), F.format_string("%.6f", "value"))
+    order = ["timestamp", *ARRIVAL]
+    return keyed.select(*order, "series_key", "value", triple.alias("arg")).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def batch_sizes(points: DataFrame) -> DataFrame:
+    """How many points each timestamp's batch holds."""
+    return points.groupBy("timestamp").agg(F.count(F.lit(1)).alias("points"))
 
 
 def deduplicate(points: DataFrame, policy: str = "LAST", options: SeriesOptions = SeriesOptions()) -> DataFrame:
-    """One value per (series, timestamp) under LAST, FIRST, MIN, MAX or SUM."""
+    """One value per (series, timestamp) under LAST, FIRST, MIN, MAX or SUM; LAST and
+    FIRST go by arrival, inside a payload by position."""
     keyed = with_series_key(points, options)
     policy = policy.upper()
     if policy not in DUPLICATE_POLICIES:
         raise ValueError(f"unknown duplicate policy {policy!r}; one of {DUPLICATE_POLICIES}")
     agg = {
-        "LAST": F.max_by("value", "seq"),
-        "FIRST": F.min_by("value", "seq"),
+        "LAST": F.max_by("value", _arrival()),
+        "FIRST": F.min_by("value", _arrival()),
         "MIN": F.min("value"),
         "MAX": F.max("value"),
         "SUM": F.sum("value"),

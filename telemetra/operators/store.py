@@ -2,8 +2,9 @@
 statistics, A5 store report, R1 expired files and their removal.
 
 File listings come from the ``binaryFile`` source without its ``content`` column, so
-listing reads no file bodies; per-file row counts come from the ``_metadata`` column of
-the data scan. Both are distributed DataFrames; nothing is gathered on the driver.
+listing reads no file bodies (Spark keeps the list of files on the driver, as it does for
+every scan); per-file row counts come from the ``_metadata`` column of the data scan. Paths
+come from ``_metadata`` on both sides, so escaped directory names agree.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemetra.session import scratch_path
+
 
 # Data file name pattern of each store format as Spark writes it.
 DATA_FILES = {
@@ -34,12 +37,13 @@ def scan_files(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFram
 
 
 def list_files(spark: SparkSession, base: str, fmt: str = "parquet", partitioned: bool = True) -> DataFrame:
-    """Data files of a store: ``path, length, modificationTime`` (+ ``date`` when the
-    store is date-partitioned)."""
+    """Data files of a store: ``path`` (as ``_metadata`` writes it), ``length,
+    modificationTime`` and the partition columns."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", DATA_FILES.get(fmt, "*"))
     if not partitioned:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(base).drop("content")
+    files = reader.load(base)
+    return files.select(F.col("_metadata.file_path").alias("path"), *[c for c in files.columns if c not in ("path", "content")])
 
 
 def files_in_range(spark: SparkSession, base: str, start: str | dt.date | None = None, end: str | dt.date | None = None, fmt: str = "parquet") -> DataFrame:
@@ -53,20 +57,19 @@ def files_in_range(spark: SparkSession, base: str, start: str | dt.date | None =
     return files
 
 
-def _with_listing(spark: SparkSession, base: str, fmt: str, counts: DataFrame) -> DataFrame:
+def _with_listing(spark: SparkSession, base: str, fmt: str, rows: DataFrame) -> DataFrame:
     """Per-file ``rows`` for every listed file, empty ones included (``rows`` 0).
 
-    The listing and the per-path counts are unioned and aggregated by path rather than
-    joined: both sides grow with the number of files, so neither is broadcast, and the
-    aggregate combines map-side."""
+    ``rows`` holds a ``path`` per row found. Listing and rows are unioned and aggregated by
+    path once, combined map-side; neither side is joined or broadcast."""
     files = list_files(spark, base, fmt)
     part = ["date"] if "date" in files.columns else []
     listed = files.select("path", *part, "length", F.lit(0).cast("bigint").alias("rows"), F.lit(1).alias("listed"))
-    counted = counts.select(
+    found = rows.select(
         "path", *[F.lit(None).cast("date").alias(p) for p in part],
-        F.lit(None).cast("bigint").alias("length"), "rows", F.lit(0).alias("listed"),
+        F.lit(None).cast("bigint").alias("length"), F.lit(1).cast("bigint").alias("rows"), F.lit(0).alias("listed"),
     )
-    merged = listed.unionByName(counted).groupBy("path").agg(
+    merged = listed.unionByName(found).groupBy("path").agg(
         *[F.max(p).alias(p) for p in part],
         F.max("length").alias("length"),
         F.sum("rows").alias("rows"),
@@ -78,8 +81,7 @@ def _with_listing(spark: SparkSession, base: str, fmt: str, counts: DataFrame) -
 def rows_per_file(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
     """A1: rows in every data file, empty files included (``rows`` 0)."""
     data = scan_files(spark, base, fmt).select(F.col("_metadata.file_path").alias("path"))
-    counts = data.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
-    return _with_listing(spark, base, fmt, counts)
+    return _with_listing(spark, base, fmt, data)
 
 
 def files_scanned(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
@@ -98,16 +100,20 @@ def query_points(
     tags: dict[str, str] | None = None,
     recursive: bool = False,
     pattern: str | None = None,
+    partitions: tuple[str, ...] = ("date",),
+    event_dates: bool = False,
 ) -> DataFrame:
     """The read path: points of one store (any format) filtered by metric (empty = all),
     inclusive time range and tag values. On Parquet the metric, time and host filters are
-    pushed into the scan and ``date`` bounds prune directories. ``recursive`` reads a
+    pushed into the scan. ``event_dates`` says that the store's ``date`` is that of the
+    event, so the bounds prune directories too; in a store by arrival date a late point
+    lies under another date, and only its timestamp may decide. ``recursive`` reads a
     plain directory tree (the collector's ``YYYY/MM/DD`` layout)."""
     from telemetra.operators import filters
     from telemetra.sources.points import read_store
 
-    pts = read_store(spark, base, fmt, recursive=recursive, pattern=pattern)
-    if "date" in pts.columns:
+    pts = read_store(spark, base, fmt, partitions, recursive=recursive, pattern=pattern)
+    if event_dates and "date" in pts.columns:
         if start is not None:
             pts = pts.where(F.col("date") >= F.to_date(filters._bound(start)))
         if end is not None:
@@ -129,43 +135,28 @@ def query_files(spark: SparkSession, base: str, metric: str | None = None, start
         "metric_name", "timestamp", F.col("_metadata.file_path").alias("path")
     )
     pts = filters.in_time_range(filters.by_metric(pts, metric), start, end)
-    counts = pts.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
-    return _with_listing(spark, base, "parquet", counts).select("path", "date", "rows")
+    return _with_listing(spark, base, "parquet", pts.select("path")).select("path", "date", "rows")
 
 
 def store_stats(spark: SparkSession, base: str, fmt: str = "parquet", rejected: DataFrame | None = None) -> DataFrame:
-    """A4: records, files, bytes, MB, write errors and records per second (records over
-    the seconds between the first and last file written)."""
-    meta = scan_files(spark, base, fmt).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("mtime"),
-        F.lit(0).alias("error"),
-    )
+    """A4: records, files (empty ones too), bytes, MB, write errors and records per second
+    (over the time from the first to the last file written, one second at least)."""
+    files = list_files(spark, base, fmt).select(
+        F.lit(0).cast("bigint").alias("records"), F.lit(1).alias("files"), "length", F.col("modificationTime").alias("mtime"), F.lit(0).alias("errors"))
+    absent = [F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("mtime")]
+    rows = scan_files(spark, base, fmt).select(F.lit(1).cast("bigint").alias("records"), F.lit(0).alias("files"), *absent, F.lit(0).alias("errors"))
+    meta = files.unionByName(rows)
     if rejected is not None:
-        meta = meta.unionByName(
-            rejected.select(
-                F.lit(None).cast("string").alias("path"),
-                F.lit(None).cast("bigint").alias("size"),
-                F.lit(None).cast("timestamp").alias("mtime"),
-                F.lit(1).alias("error"),
-            )
-        )
-    per_file = meta.groupBy("path").agg(
-        F.sum(1 - F.col("error")).alias("records"),
-        F.max("size").alias("size"),
-        F.max("mtime").alias("mtime"),
-        F.sum("error").alias("errors"),
-    )
-    totals = per_file.agg(
+        meta = meta.unionByName(rejected.select(F.lit(0).cast("bigint").alias("records"), F.lit(0).alias("files"), *absent, F.lit(1).alias("errors")))
+    totals = meta.agg(
         F.sum("records").alias("total_records"),
-        F.count("path").alias("total_files"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"),
+        F.sum("files").alias("total_files"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"),
         F.sum("errors").alias("write_errors"),
         F.min("mtime").alias("first_write"),
         F.max("mtime").alias("last_write"),
     )
-    span = F.unix_micros("last_write") - F.unix_micros("first_write")
+    span = F.greatest(F.unix_micros("last_write") - F.unix_micros("first_write"), F.lit(1_000_000))
     return totals.select(
         "total_records",
         "total_files",
@@ -195,11 +186,15 @@ def expired_files(spark: SparkSession, base: str, days: int, now: dt.datetime |
 
 
 def remove_files(expired: DataFrame, dry_run: bool = True) -> DataFrame:
-    """R1 clean-up: delete the listed files on the executors (``dry_run`` by default).
+    """R1 clean-up: delete the listed files now (``dry_run`` lists them only).
 
-    Returns ``path, deleted``. Deletion runs in ``mapInPandas`` tasks through Arrow's
-    file systems (local, HDFS, S3, GCS), so a long list is split across the cluster.
-    """
+    Returns ``path, deleted``, written before the call returns: the deletion runs once, in
+    tasks through Arrow's file systems (local, HDFS, S3, GCS), and later reads of the result
+    delete nothing. A file that is gone already counts as deleted, so a retried task agrees
+    with its first attempt."""
+    spark = expired.sparkSession
+    if dry_run:
+        return expired.select("path", F.lit(False).alias("deleted"))
 
     def delete(batches):
         # self-contained: executors need pandas and pyarrow, not this package
@@ -214,17 +209,14 @@ def remove_files(expired: DataFrame, dry_run: bool = True) -> DataFrame:
             return uri
 
         for pdf in batches:
-            done = []
             for uri in pdf["path"]:
-                if dry_run:
-                    done.append(False)
-                    continue
                 filesystem, path = fs.FileSystem.from_uri(arrow_uri(uri))
                 try:
                     filesystem.delete_file(path)
-                    done.append(True)
                 except FileNotFoundError:
-                    done.append(False)
-            yield pd.DataFrame({"path": pdf["path"], "deleted": done})
+                    pass
+            yield pd.DataFrame({"path": pdf["path"], "deleted": True})
 
-    return expired.select("path").mapInPandas(delete, "path string, deleted boolean")
+    done = scratch_path(spark, "removed-files")
+    expired.select("path").mapInPandas(delete, "path string, deleted boolean").write.parquet(done)
+    return spark.read.schema("path string, deleted boolean").parquet(done)

@@ -1,9 +1,10 @@
 """Read-side views over points and wide rows: W1 latest, W2 last N per host, W3 recent N,
 D2 distinct hosts.
 
-W1 is an aggregate (``max_by``), so it combines map-side; W2 ranks with a window whose
-``row_number() <= n`` filter Spark turns into a partial WindowGroupLimit before the
-shuffle, so at most ``n`` rows per host leave each map task however skewed the hosts are.
+W1 is an aggregate (``max_by``), so it combines map-side; W2 and W3 rank in two levels:
+first within (group, ``SALTS`` shares of the tasks), then within the group. Spark limits
+each rank before its shuffle too, so at most ``n`` rows per group leave a map task and at
+most ``SALTS × n`` reach a group's last task, however skewed the groups are.
 """
 
 from __future__ import annotations
@@ -12,7 +13,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.constants import CHART_POINTS as MAX_CHART_POINTS
-from telemetra.constants import CHARTS, RECENT_LOG_SIZE, UNKNOWN
+from telemetra.constants import CHARTS, RECENT_LOG_SIZE
+
+
+# Shares of the tasks that rank on their own before a group's rows meet.
+SALTS = 64
+
+
+def newest(rows: DataFrame, n: int, group: list[str]) -> DataFrame:
+    """The newest ``n`` rows per group, with their ``rank`` (1 = newest)."""
+    order = _arrival_order(rows.columns)
+    salted = rows.withColumn("_salt", F.spark_partition_id() % SALTS)
+    some = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order))).where(F.col("rank") <= n)
+    last = Window.partitionBy(*group, F.lit(0)).orderBy(*order)
+    return some.drop("_salt").withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= n)
 
 
 def _arrival_order(columns: list[str] | None = None) -> list:
@@ -64,8 +78,7 @@ def chart_rows(wide: DataFrame, field: str = "value", names: list[str] | None =
 
 def newest_per_host(rows: DataFrame, n: int = MAX_CHART_POINTS) -> DataFrame:
     """The newest ``n`` chart rows per host, with their ``rank`` (1 = newest)."""
-    w = Window.partitionBy("host").orderBy(*_arrival_order())
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return newest(rows, n, ["host"])
 
 
 def last_n_per_host(wide: DataFrame, field: str = "value", names: list[str] | None = None, n: int = MAX_CHART_POINTS) -> DataFrame:
@@ -81,15 +94,21 @@ def chart(wide: DataFrame, name: str, n: int = MAX_CHART_POINTS) -> DataFrame:
     return last_n_per_host(wide, field=field, names=names, n=n)
 
 
-def recent(points: DataFrame, n: int = RECENT_LOG_SIZE, metric: str | None = None, column: str = "metric_name") -> DataFrame:
-    """The ``n`` most recent rows, optionally of one metric (TakeOrderedAndProject:
-    each task keeps its own top ``n``, the driver merges at most tasks × n rows)."""
+def recent(rows: DataFrame, n: int = RECENT_LOG_SIZE, metric: str | None = None, column: str | None = None) -> DataFrame:
+    """The ``n`` most recent rows, optionally of one metric.
+
+    On wide rows (column ``name``) the metric is found by its own name, also when it has
+    fields; on points ``metric_name`` is compared, and a metric's fields (``name.field``)
+    belong to it."""
     if metric:
-        points = points.where(F.col(column) == F.lit(metric))
-    return points.orderBy(*_arrival_order(points.columns)).limit(n)
+        column = column or ("name" if "name" in rows.columns else "metric_name")
+        own = F.col(column) == F.lit(metric)
+        rows = rows.where(own | F.startswith(F.col(column), F.lit(f"{metric}.")) if column == "metric_name" else own)
+    return newest(rows, n, []).drop("rank")
 
 
 def distinct_hosts(points: DataFrame) -> DataFrame:
-    """Hosts seen, from the ``host`` column. The dashboard lists a host only when
-    ``tags.host`` is set and non-empty, so the ``unknown`` default and ``''`` are left out."""
-    return points.where(~F.col("host").isin(UNKNOWN, "")).select("host").distinct()
+    """The hosts that metrics are tagged with. Only the tag counts: a metric without a
+    host tag is not listed under the default, one tagged ``unknown`` is; ``''`` is left out."""
+    tags = F.col("tags") if "tags" in points.columns else F.from_json("tags_json", "map<string,string>")
+    return points.select(tags["host"].alias("host")).where(F.col("host") != "").distinct()

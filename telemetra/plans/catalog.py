@@ -246,6 +246,32 @@ def recent_n_metric(spark, sf_dir):
     return rec.select("seq", epoch_seconds(F.col("timestamp")).alias("ts"), "metric_name", "value")
 
 
+def _chart(name: str) -> Query:
+    def run(spark, sf_dir):
+        wide = flatten.wide_metrics(adapters.system_payloads(events(spark, sf_dir)))
+        return views.chart(wide, name).select("host", epoch_seconds(F.col("timestamp")).alias("ts"), "seq", "y", "rank")
+
+    run.__doc__ = f"W2 with the dashboard's {name} preset, on fixture G."
+    return run
+
+
+for _name in ("cpu", "memory"):
+    register(f"chart_{_name}")(_chart(_name))
+
+
+@register("recent_n_fields")
+def recent_n_fields(spark, sf_dir):
+    """W3 by metric name where the metric has fields (fixture A): metrics, not points."""
+    rec = views.recent(wide_a(spark, sf_dir), n=50, metric="signup")
+    return rec.select("seq", epoch_seconds(F.col("timestamp")).alias("ts"), "name", F.col("fields")["value"].alias("value"))
+
+
+@register("quarantine_times")
+def quarantine_times(spark, sf_dir):
+    """P8 on fixture F: timestamps out of range are rejected with a reason of their own."""
+    return flatten.rejected(adapters.timed_payloads(events(spark, sf_dir))).select("seq", "reason")
+
+
 @register("distinct_hosts")
 def distinct_hosts(spark, sf_dir):
     """D2 on fixture B."""
@@ -281,9 +307,45 @@ def _daily(spark, sf_dir):
 
 @register("timestamp_batches")
 def timestamp_batches(spark, sf_dir):
-    """A6 on fixture C cut to the hour: one multi-add batch per timestamp and block."""
+    """A6 on fixture C cut to the hour: the rows of each timestamp's multi-add batch."""
     b = series.timestamp_batches(_hourly(spark, sf_dir), SERIES)
-    return b.select(F.col("timestamp").alias("ts"), "block", F.col("points").cast("bigint").alias("points"), "args")
+    return b.select(F.col("timestamp").alias("ts"), "seq", "series_key", "arg")
+
+
+@register("timestamp_batch_sizes")
+def timestamp_batch_sizes(spark, sf_dir):
+    """Points per timestamp's batch."""
+    return series.batch_sizes(_hourly(spark, sf_dir)).select(F.col("timestamp").alias("ts"), "points")
+
+
+def _bulk_dedup(policy: str) -> Query:
+    def run(spark, sf_dir):
+        pts = flatten.flatten(adapters.bulk_day_payloads(events(spark, sf_dir)))
+        d = series.deduplicate(series.from_points(pts), policy, SERIES)
+        return d.select("series_key", F.col("timestamp").alias("ts"), F.round("value", 6).alias("value"), "duplicates")
+
+    run.__doc__ = f"A7 {policy} on payloads that hold several points of a series and timestamp."
+    return run
+
+
+for _policy in ("last", "first"):
+    register(f"dedup_{_policy}_bulk")(_bulk_dedup(_policy.upper()))
+
+
+@register("series_from_points")
+def series_from_points(spark, sf_dir):
+    """D1 on flattened points (fixture B): labels are the tags."""
+    cat = series.series_catalog(series.from_points(points_b(spark, sf_dir)), SERIES)
+    return cat.select("series_key", "metric", "labels_json", "first_seq", F.col("first_timestamp").alias("first_ts"), "points")
+
+
+@register("labelled_array")
+def labelled_array(spark, sf_dir):
+    """S5 on lines that hold arrays of labelled points, landed as files."""
+    path = scratch_path(spark, "labelled-arrays")
+    adapters.labelled_arrays(events(spark, sf_dir)).select("raw").write.text(path)
+    keyed = series.with_series_key(labelled.read_labelled(spark, path, arrays=True), SERIES)
+    return keyed.select("series_key", F.col("timestamp").alias("ts"), "value")
 
 
 def _dedup(policy: str) -> Query:
@@ -339,6 +401,46 @@ def parquet_partitioned(spark, sf_dir):
     return store_row(back)
 
 
+@register("parquet_by_host")
+def parquet_by_host(spark, sf_dir):
+    """K2: partitioned by host alone, read back."""
+    return store_row(_roundtrip(spark, sf_dir, "parquet", partition_by=("host",)))
+
+
+@register("csv_partitioned")
+def csv_partitioned(spark, sf_dir):
+    """K2 in a CSV store: by date and metric, read back."""
+    return store_row(_roundtrip(spark, sf_dir, "csv_tags", partition_by=("date", "metric_name")))
+
+
+@register("jsonl_partitioned")
+def jsonl_partitioned(spark, sf_dir):
+    """K2 in a JSON Lines store: by metric and host, read back."""
+    pts = points_a(spark, sf_dir).where("metric_name = 'error.value'")
+    path = scratch_path(spark, "store-jsonl")
+    writers.write_points(pts, path, "jsonl", partition_by=("metric_name", "host"))
+    return store_row(points_src.read_store(spark, path, "jsonl", ("metric_name", "host")))
+
+
+@register("csv_rotation")
+def csv_rotation(spark, sf_dir):
+    """K6: a CSV store of all line items' fields; rows, and files above the row limit."""
+    path = scratch_path(spark, "store-rotated")
+    pts = flatten.flatten(adapters.wide_payloads(adapters.read_table(spark, sf_dir, "lineitem")))
+    writers.write_points(pts, path, "csv", partition_by=())
+    files = points_src.read_csv_points(spark, path, partitions=()).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return files.agg(F.sum("n").alias("rows"), F.sum((F.col("n") > 100_000).cast("bigint")).alias("over_limit"))
+
+
+@register("query_late_arrivals")
+def query_late_arrivals(spark, sf_dir):
+    """A store by arrival date, asked by event time: points that arrived days later count."""
+    path = scratch_path(spark, "store-late")
+    pts = flatten.flatten(adapters.late_payloads(events(spark, sf_dir)), keep=["received_at"])
+    writers.write_points(pts, path, "parquet", date_source="received_at")
+    return store_row(store.query_points(spark, path, "parquet", "view.value", "2024-01-05 00:00:00", "2024-01-06 00:00:00"))
+
+
 @register("csv_roundtrip")
 def csv_roundtrip(spark, sf_dir):
     """K3 + K6: CSV store with header, rotated every 100 000 rows, read back."""
@@ -397,13 +499,18 @@ def store_stats(spark, sf_dir):
     path = scratch_path(spark, "store-stats")
     payloads = adapters.dirty_payloads(events(spark, sf_dir))
     writers.write_points(flatten.flatten(payloads), path, "parquet", layout="rebalance")
-    return store.store_stats(spark, path, rejected=flatten.rejected(payloads))
+    stats = store.store_stats(spark, path, rejected=flatten.rejected(payloads))
+    return stats.select("total_records", F.col("write_errors").cast("bigint").alias("write_errors"), (F.col("total_files") > 0).alias("has_files"), (F.col("records_per_second") > 0).alias("has_rate"))
 
 
 @register("store_report")
 def store_report(spark, sf_dir):
     """A5: file count, total size, newest file and its size."""
-    return store.store_report(spark, _daily_store(spark, sf_dir)).select("files", "bytes", "newest_bytes")
+    path = _daily_store(spark, sf_dir)
+    listed = store.list_files(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"))
+    report = store.store_report(spark, path).crossJoin(listed)  # one row each
+    return report.select((F.col("files") == F.col("n")).alias("files_agree"), (F.col("bytes") == F.col("size")).alias("bytes_agree"),
+                         F.col("newest_bytes").between(1, F.col("bytes")).alias("newest_in_range"))
 
 
 @register("expired_files")
@@ -413,13 +520,12 @@ def expired_files(spark, sf_dir):
     import datetime as dt
 
     path = _daily_store(spark, sf_dir)
-    later = dt.datetime.now() + dt.timedelta(days=8)
+    later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=8)
     expired = store.expired_files(spark, path, days=7, now=later)
     dry = store.remove_files(expired, dry_run=True)
-    day = F.regexp_extract("path", r"date=(\d{4}-\d{2}-\d{2})", 1)
-    return dry.groupBy(day.alias("date")).agg(
-        F.count(F.lit(1)).alias("expired_files"), F.sum(F.col("deleted").cast("int")).alias("deleted")
-    )
+    rows = store.rows_per_file(spark, path).join(dry, "path")
+    return rows.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(
+        F.sum("rows").alias("rows"), F.sum(F.col("deleted").cast("bigint")).alias("deleted"))
 
 
 # ---------------------------------------------------------------- streaming (landed files → stream)
@@ -465,10 +571,44 @@ def stream_filtered(spark, sf_dir):
     src = _land(adapters.fields_payloads(events(spark, sf_dir)), spark, "a")
     sink = scratch_path(spark, "stream-filtered")
     stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
-    _run(spark, lambda cp: live.filtered(stream, sink, cp, metrics="click.value,view.k", tags={"region": "eu"}))
+    _run(spark, lambda cp: live.filtered_points(stream, sink, cp, metrics="click.value,view.k", tags={"region": "eu"}))
     return point_row(spark.read.parquet(sink))
 
 
+@register("stream_filtered_wide")
+def stream_filtered_wide(spark, sf_dir):
+    """T4 as the clients call it: metrics by name and host, with all their fields."""
+    src = _land(adapters.fields_payloads(events(spark, sf_dir)), spark, "a")
+    sink = scratch_path(spark, "stream-filtered")
+    stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.filtered(stream, sink, cp, metrics="purchase, view", tags={"host": "user-7"}))
+    return spark.read.parquet(sink).select("seq", epoch_seconds(F.col("timestamp")).alias("ts"), "name", "host", "tags_json",
+                                           F.col("fields")["value"].alias("value"), F.col("fields")["k"].alias("k"))
+
+
+@register("stream_rejects")
+def stream_rejects(spark, sf_dir):
+    """T1 over payloads with bad timestamps (fixture F): it goes on, and the rejects are kept."""
+    src = _land(adapters.timed_payloads(events(spark, sf_dir)), spark, "f")
+    sink, aside = scratch_path(spark, "stream-store"), scratch_path(spark, "stream-rejects")
+    stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.ingest(stream, sink, cp, quarantine=aside))
+    kept = points_src.read_parquet_points(spark, sink).select(F.lit("ok").alias("reason"))
+    return kept.unionByName(spark.read.parquet(aside).select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("append_after_stream")
+def append_after_stream(spark, sf_dir):
+    """T1 and a batch append into one store: readers see both."""
+    payloads = adapters.fields_payloads(events(spark, sf_dir))
+    src = _land(payloads.where("seq % 2 = 0"), spark, "a")
+    sink = scratch_path(spark, "stream-store")
+    stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.ingest(stream, sink, cp))
+    writers.write_points(flatten.flatten(payloads.where("seq % 2 = 1"), keep=["received_at"]), sink, "parquet", date_source="received_at")
+    return store_row(points_src.read_parquet_points(spark, sink))
+
+
 @register("stream_latest")
 def stream_latest(spark, sf_dir):
     """T5: latest value per (name, tags) kept in streaming state (fixture B)."""
@@ -487,7 +627,7 @@ def stream_last_50(spark, sf_dir):
     sink = scratch_path(spark, "stream-last-50")
     stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
     _run(spark, lambda cp: live.last_n(stream, sink, cp, field="value", n=50))
-    last = live.latest_batch(spark, sink)
+    last = live.read_last_n(spark, sink)
     return last.select("host", epoch_seconds(F.col("timestamp")).alias("ts"), "seq", "y", "rank")
 
 
@@ -547,7 +687,7 @@ def query_points(spark, sf_dir):
     date range pruning directories."""
     path = _daily_store(spark, sf_dir)
     pts = store.query_points(spark, path, "parquet", "view.value", "2024-01-03 12:00:00", "2024-01-09 12:00:00",
-                             tags={"region": "eu"})
+                             tags={"region": "eu"}, event_dates=True)
     return store_row(pts)
 
 

@@ -11,10 +11,12 @@ from __future__ import annotations
 _E = """e AS (
   SELECT event_id, event_id % 10 AS f, epoch_us(ts) // 1000000 AS s, event_type, value,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-         'user-' || CAST(user_id AS VARCHAR) AS h
+         'user-' || CAST(user_id AS VARCHAR) AS h,
+         CASE user_id % 3 WHEN 0 THEN 'eu' WHEN 1 THEN 'us' ELSE 'ap' END AS r
   FROM events)"""
 
-_TAGS = """'{"host":"' || h || '","region":"eu"}'"""
+_TAGS = """'{"host":"' || h || '","region":"' || r || '"}'"""
+_EU = """tags_json LIKE '%"region":"eu"%'"""
 
 # Fixture A points: ".value" and ".k" per event.
 _POINTS_A = f"""{_E},
@@ -50,7 +52,7 @@ SELECT seq, pos, ts, name || '.k', CAST(k AS DOUBLE), host, tags_json FROM m WHE
 _C = f"""{_E},
 c AS (
   SELECT event_id AS seq, s AS ts, event_type AS metric, value,
-         'metrics:' || event_type || ':host=' || h || ':region=eu' AS series_key,
+         'metrics:' || event_type || ':host=' || h || ':region=' || r AS series_key,
          {_TAGS} AS labels_json
   FROM e)"""
 
@@ -105,7 +107,7 @@ SELECT event_id, event_type || '.k', strftime(make_timestamp(s * 1000000), '%Y/%
 SELECT * FROM pa WHERE metric_name = 'click.value'
   AND ts BETWEEN epoch(TIMESTAMP '2024-01-05 00:00:00') AND epoch(TIMESTAMP '2024-01-20 00:00:00')""",
     "filter_tag": f"WITH {_POINTS_A} SELECT * FROM pa WHERE host = 'user-7'",
-    "filter_tag_other": f"WITH {_POINTS_A} SELECT * FROM pa WHERE metric_name = 'view.k'",
+    "filter_tag_other": f"WITH {_POINTS_A} SELECT * FROM pa WHERE metric_name = 'view.k' AND {_EU}",
     "filter_metric_list": f"WITH {_POINTS_A} SELECT * FROM pa WHERE metric_name IN ('click.value', 'view.k', 'signup.value')",
     "filter_name_wide": f"""WITH {_E}
 SELECT event_id AS seq, s AS ts, event_type AS name, h AS host, 2 AS n_fields, value, CAST(k AS DOUBLE) AS k
@@ -141,9 +143,19 @@ SELECT series_key, arg_min(metric, seq) AS metric, arg_min(labels_json, seq) AS
        CAST(86400 AS BIGINT) AS retention, 'LAST' AS duplicate_policy, true AS compressed
 FROM c GROUP BY series_key""",
     "timestamp_batches": f"""WITH {_C}
-SELECT (ts // 3600) * 3600 AS ts, seq // 10000 AS block, count(*) AS points,
-       string_agg(series_key || ' ' || CAST((ts // 3600) * 3600 AS VARCHAR) || ' ' || printf('%.6f', value), ' ' ORDER BY seq) AS args
-FROM c GROUP BY (ts // 3600) * 3600, seq // 10000""",
+SELECT (ts // 3600) * 3600 AS ts, seq, series_key,
+       series_key || ' ' || CAST((ts // 3600) * 3600 AS VARCHAR) || ' ' || printf('%.6f', value) AS arg
+FROM c""",
+    "timestamp_batch_sizes": f"WITH {_C} SELECT (ts // 3600) * 3600 AS ts, count(*) AS points FROM c GROUP BY 1",
+    "labelled_array": f"WITH {_C} SELECT series_key, ts, value FROM c",
+    "series_from_points": f"""WITH {_C}
+SELECT series_key, arg_min(metric, seq) AS metric, arg_min(labels_json, seq) AS labels_json,
+       min(seq) AS first_seq, arg_min(ts, seq) AS first_ts, count(*) AS points
+FROM c GROUP BY series_key""",
+    "recent_n_fields": f"""WITH {_E}
+SELECT event_id AS seq, s AS ts, event_type AS name, value FROM e WHERE event_type = 'signup'
+ORDER BY s DESC, event_id DESC LIMIT 50""",
+    "quarantine_times": f"WITH {_E} SELECT event_id AS seq, 'bad_time' AS reason FROM e WHERE event_id % 6 <> 0",
     "dedup_last": _dedup("arg_max(value, seq)"),
     "dedup_first": _dedup("arg_min(value, seq)"),
     "dedup_min": _dedup("min(value)"),
@@ -179,7 +191,7 @@ FROM pa WHERE make_timestamp(ts * 1000000) >= TIMESTAMP '2024-01-10' AND make_ti
 SELECT series_key, arg_min(metric, seq) AS metric, arg_min(labels_json, seq) AS labels_json,
        min(seq) AS first_seq, arg_min(ts, seq) AS first_ts
 FROM c GROUP BY series_key""",
-    "stream_filtered": f"WITH {_POINTS_A} SELECT * FROM pa WHERE metric_name IN ('click.value', 'view.k')",
+    "stream_filtered": f"WITH {_POINTS_A} SELECT * FROM pa WHERE metric_name IN ('click.value', 'view.k') AND {_EU}",
     "stream_latest": ORACLE["latest_per_series"],
     "stream_last_50": ORACLE["last_50_per_host"],
     "stream_counters": ORACLE["ingest_counters"],
@@ -200,7 +212,7 @@ ORACLE["filter_metric_list_early"] = ORACLE["filter_metric_list"]
 
 ORACLE["query_points"] = f"""WITH {_POINTS_A}
 SELECT ts, metric_name, value, host, tags_json FROM pa
-WHERE metric_name = 'view.value'
+WHERE metric_name = 'view.value' AND {_EU}
   AND ts BETWEEN epoch(TIMESTAMP '2024-01-03 12:00:00') AND epoch(TIMESTAMP '2024-01-09 12:00:00')"""
 
 ORACLE["bulk_ingest"] = """
@@ -213,3 +225,44 @@ SELECT ts, 'lineitem.quantity' AS metric_name, l_quantity AS value, host, tags_j
 UNION ALL SELECT ts, 'lineitem.extendedprice', l_extendedprice, host, tags_json FROM l
 UNION ALL SELECT ts, 'lineitem.discount', l_discount, host, tags_json FROM l
 UNION ALL SELECT ts, 'lineitem.tax', l_tax, host, tags_json FROM l"""
+
+
+def _chart(names: str, field: str) -> str:
+    return f"""WITH {_E},
+g AS (SELECT *, CASE event_type WHEN 'click' THEN 'cpu' WHEN 'view' THEN 'memory' ELSE 'system' END AS name FROM e)
+SELECT h AS host, s AS ts, event_id AS seq, CAST({field} AS DOUBLE) AS y,
+       CAST(row_number() OVER (PARTITION BY h ORDER BY s DESC, event_id DESC) AS INTEGER) AS rank
+FROM g WHERE name IN ({names}) AND {field} IS NOT NULL
+QUALIFY rank <= 50"""
+
+
+def _bulk(agg: str) -> str:
+    return f"""WITH {_E}
+SELECT 'metrics:' || event_type || ':region=' || r AS series_key, (s // 86400) * 86400 AS ts,
+       round({agg}(value, event_id), 6) AS value, count(*) AS duplicates
+FROM e GROUP BY 1, 2"""
+
+
+ORACLE.update({
+    "chart_cpu": _chart("'cpu', 'system'", "value"),
+    "chart_memory": _chart("'memory', 'system'", "k"),
+    "dedup_last_bulk": _bulk("arg_max"),
+    "dedup_first_bulk": _bulk("arg_min"),
+    "parquet_by_host": _STORE_A,
+    "csv_partitioned": _STORE_A,
+    "jsonl_partitioned": f"{_STORE_A} WHERE metric_name = 'error.value'",
+    "csv_rotation": "SELECT 4 * count(*) AS rows, CAST(0 AS BIGINT) AS over_limit FROM lineitem",
+    "query_late_arrivals": f"""{_STORE_A} WHERE metric_name = 'view.value'
+  AND ts BETWEEN epoch(TIMESTAMP '2024-01-05 00:00:00') AND epoch(TIMESTAMP '2024-01-06 00:00:00')""",
+    "append_after_stream": _STORE_A,
+    "stream_filtered_wide": f"""WITH {_E}
+SELECT event_id AS seq, s AS ts, event_type AS name, h AS host, {_TAGS} AS tags_json, value, CAST(k AS DOUBLE) AS k
+FROM e WHERE event_type IN ('purchase', 'view') AND h = 'user-7'""",
+    "stream_rejects": f"""WITH {_E}
+SELECT CASE WHEN event_id % 6 = 0 THEN 'ok' ELSE 'bad_time' END AS reason, count(*) AS rows FROM e GROUP BY 1""",
+    "store_stats": f"""WITH d AS ({ORACLE["envelope_defaults"]}), q AS ({ORACLE["quarantine"]})
+SELECT (SELECT count(*) FROM d) AS total_records, (SELECT count(*) FROM q) AS write_errors, true AS has_files, true AS has_rate""",
+    "store_report": "SELECT true AS files_agree, true AS bytes_agree, true AS newest_in_range",
+    "expired_files": f"""WITH {_POINTS_A}
+SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date, count(*) AS rows, CAST(0 AS BIGINT) AS deleted FROM pa GROUP BY 1""",
+})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every entry point applies to the session it is given. The store layout and all
 # epoch conversions are UTC, and payloads with repeated object keys keep the last value.
@@ -47,7 +47,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in RUNTIME_CONF.items():
@@ -60,16 +60,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: ``spark.checkpoint.dir`` as the session names it.
 
-    Only when the session names none (local runs, tests) is a scratch folder created and
-    registered as the checkpoint directory, so later calls and ``checkpoint()`` agree.
+    A local session that names none (tests) gets a scratch folder as its checkpoint
+    directory; on a cluster the setting has to be there, since a folder of the driver's own
+    would not be seen by the executors.
     """
     sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not root:
-        root = tempfile.mkdtemp(prefix="telemetra-")
-        if sc is not None:
-            sc.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="telemetra-"))
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -84,61 +85,3 @@ def _context(spark: SparkSession):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under :func:`shared_dir` for one store or stream."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a narrow input over the cluster before CPU-heavy work (JSON parsing).
-
-    A scan yields one task per file split; a single large row group is one task however
-    many cores there are. Only when the input has fewer partitions than the session's
-    default parallelism is it redistributed (round robin, sorted first so a retried task
-    sees the same rows); a wide input — the normal case at scale — is left as it is.
-    """
-    sc = _context(df.sparkSession)
-    if sc is None:  # Spark Connect: partition counts are not visible, leave the input
-        return df
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
-# Target bytes per task: a partition this size parses, aggregates and sorts in executor
-# memory with room to spare; AQE merges smaller shuffle partitions up to it.
-PARTITION_BYTES = 128 * 1024 * 1024
-
-
-def size_for(spark: SparkSession, input_bytes: int, partition_bytes: int = PARTITION_BYTES,
-             max_partitions: int = 100_000) -> dict[str, str]:
-    """Size scans and shuffles for ``input_bytes`` of input and apply the settings.
-
-    Scan splits and AQE's advisory shuffle size are ``partition_bytes``; the shuffle
-    partition count would carry all input at that size (at least two waves of the
-    cluster's cores), and AQE coalesces the ones that come out smaller — most shuffles
-    here move far less than the input, after partial aggregation. It is capped at
-    ``max_partitions``, past which per-block bookkeeping on the driver grows faster than
-    the work; larger partitions then spill. Skewed partitions are split at four times the
-    target. Returns what was set.
-    """
-    sc = _context(spark)
-    cores = sc.defaultParallelism if sc is not None else 8
-    partitions = min(max_partitions, max(2 * cores, -(-int(input_bytes) // partition_bytes)))
-    conf = {
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
-    }
-    for key, value in conf.items():
-        spark.conf.set(key, value)
-    return conf
-
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under ``path`` (the listing only, no file is read)."""
-    from pyspark.sql import functions as F
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    total = files.agg(F.sum("length")).first()[0]
-    return int(total or 0)

@@ -3,11 +3,10 @@ fan-out (K7). Every store is partitioned by UTC ``date`` (P10).
 
 Layouts:
 
-* ``as_is`` — no shuffle; each task writes its own file per partition value (ingest);
+* ``as_is`` — no shuffle; each task writes its own file per partition value, for input that
+  covers few values per task (arrival dates);
 * ``rebalance`` — a REBALANCE on the partition columns: AQE merges small partitions and
-  splits skewed ones, so a hot date/metric/host is written by several tasks;
-* ``compact`` — one file per partition value. Each value goes to a single task, so use it
-  only for outputs whose largest partition fits one task (small stores, tests).
+  splits skewed ones, so a hot date, metric or host is written by several tasks.
 """
 
 from __future__ import annotations
@@ -18,12 +17,12 @@ from typing import Literal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemetra.constants import CSV_ROWS_PER_FILE, PARQUET_COMPRESSION
 from telemetra.functions.points import epoch_seconds
+from telemetra.session import scratch_path
 
 Format = Literal["parquet", "csv", "csv_tags", "jsonl"]
-Layout = Literal["as_is", "rebalance", "compact"]
-
-from telemetra.constants import CSV_ROWS_PER_FILE, PARQUET_COMPRESSION
+Layout = Literal["as_is", "rebalance"]
 
 
 def with_date(points: DataFrame, source: str = "timestamp") -> DataFrame:
@@ -74,12 +73,13 @@ def write_points(
 
     ``partition_by=("date", "metric_name", "host")`` is K2. CSV stores rotate every
     100 000 rows unless ``max_records_per_file`` says otherwise (K6). Without a
-    ``layout``, a store partitioned by date alone is written as is (ingest covers few
-    dates per run) and one partitioned by more columns is rebalanced, so that tasks do
-    not each write a file for every combination they hold.
+    ``layout``, a store partitioned by arrival or flush date alone is written as is (a run
+    covers few of them); by event date, metric or host it is rebalanced, so that tasks do
+    not each write a file for every value they hold.
     """
     if layout is None:
-        layout = "rebalance" if len(partition_by) > 1 else "as_is"
+        few = tuple(partition_by) in ((), ("date",)) and date_source != "timestamp"
+        layout = "as_is" if few else "rebalance"
     if "date" in partition_by and "date" not in points.columns:
         points = with_date(points, date_source)
     parts = list(partition_by)
@@ -89,8 +89,6 @@ def write_points(
         rows = rows.drop("metric_name")
     if layout == "rebalance" and part_cols:
         rows = rows.hint("rebalance", *part_cols)
-    elif layout == "compact":
-        rows = rows.repartition(*part_cols) if part_cols else rows.coalesce(1)
     writer = rows.write.mode(mode)
     if part_cols:
         writer = writer.partitionBy(*part_cols)
@@ -110,32 +108,24 @@ def write_points(
         writer.option("compression", compression or "none").option("ignoreNullFields", "false").json(path)
 
 
-def fan_out(points: DataFrame, stores: Iterable[tuple[str, Format]], via: str = "persist", **options) -> None:
-    """K7: the input parsed once and written to several stores.
+STAGED = ["timestamp", "metric_name", "value", "host", "tags_json"]
 
-    ``via="persist"`` keeps the points on the executors (memory, then disk) while the
-    stores are written. ``via="store"`` writes the first store, which must be Parquet,
-    and derives the others from it: no cache, and each later write starts from a written
-    table rather than the payload lineage. Stores derived this way carry tags as text
-    (the Parquet profile), also in JSON Lines.
-    """
-    stores = list(stores)
-    if via == "store":
-        from telemetra.sources.points import read_parquet_points
-
-        (first, first_fmt), rest = stores[0], stores[1:]
-        if first_fmt != "parquet":
-            raise ValueError("via='store' needs a Parquet store first")
-        write_points(points, first, "parquet", **options)
-        parts = tuple(options.get("partition_by", ("date",)))
-        written = read_parquet_points(points.sparkSession, first, parts)
-        for path, fmt in rest:
-            write_points(written, path, fmt, **options)
-        return
-    cached = points.persist()
-    try:
-        for path, fmt in stores:
-            write_points(cached, path, fmt, **options)
-    finally:
-        cached.unpersist()
 
+def staged(points: DataFrame, path: str, *keep: str) -> DataFrame:
+    """Points written once as Parquet and read back, tags as JSON text of their own types,
+    for sinks that need them several times."""
+    raw = F.to_json("tags_raw") if "tags_raw" in points.columns else F.col("tags_json")
+    points.select(*STAGED, *keep, raw.alias("tags_text")).write.mode("overwrite").parquet(path)
+    back = points.sparkSession.read.parquet(path)
+    return back.withColumn("tags_raw", F.parse_json("tags_text")).drop("tags_text")
+
+
+def fan_out(points: DataFrame, stores: Iterable[tuple[str, Format]], **options) -> None:
+    """K7: the input parsed once and written to several stores.
+
+    The points are staged in the shared folder, so no store needs the payloads again and
+    nothing is held on the executors; JSON Lines keeps the tags' types."""
+    keep = [c for c in (options.get("date_source", "timestamp"),) if c not in STAGED and c != "flush"]
+    once = staged(points, scratch_path(points.sparkSession, "fan-out"), *keep)
+    for path, fmt in stores:
+        write_points(once, path, fmt, **options)

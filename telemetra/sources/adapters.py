@@ -17,22 +17,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.session import spread
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, spread over the cores when its scan is narrower than the cluster
-    (each table is one Parquet row group, i.e. one scan task)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A test table, read as it is stored."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _event_seconds() -> Column:
     return F.unix_seconds(F.col("ts").cast("timestamp"))
 
 
+def event_region() -> Column:
+    """A tag that varies: the user's region."""
+    return F.element_at(F.array(F.lit("eu"), F.lit("us"), F.lit("ap")), (F.col("user_id") % 3 + 1).cast("int"))
+
+
 def _event_tags() -> Column:
     return F.struct(
-        F.lit("eu").alias("region"),
+        event_region().alias("region"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("host"),
     )
 
@@ -99,7 +101,7 @@ def labelled_lines(events: DataFrame) -> DataFrame:
         F.col("value").alias("value"),
         F.struct(
             F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("host"),
-            F.lit("eu").alias("region"),
+            event_region().alias("region"),
         ).alias("labels"),
     )
     return events.select(F.col("event_id").alias("seq"), F.to_json(point).alias("raw"))
@@ -215,3 +217,55 @@ def bulk_wide_payloads(lineitem: DataFrame, orders_per_payload: int = ORDERS_PER
         F.lit("lineitem").alias("source"),
         "received_at",
     )
+
+
+def late_payloads(events: DataFrame) -> DataFrame:
+    """Fixture A arriving ``event_id % 5`` days after the event."""
+    return fields_payloads(events).withColumn("received_at", F.col("received_at") + F.make_interval(days=(F.col("seq") % 5).cast("int")))
+
+
+def timed_payloads(events: DataFrame) -> DataFrame:
+    """Fixture F: the timestamp in other units, ``event_id % 6``: 0 seconds · 1 milliseconds ·
+    2 microseconds · 3 nanoseconds · 4 past 64 bits · 5 before year 1."""
+    s = _event_seconds().cast("decimal(38,0)")
+    unit = F.col("event_id") % 6
+    ts = F.when(unit == 1, s * 1000).when(unit == 2, s * 1_000_000).when(unit == 3, s * 1_000_000_000)
+    ts = ts.when(unit == 4, s * F.lit(10**15).cast("decimal(20,0)")).when(unit == 5, -s * 1000).otherwise(s)
+    metric = F.concat(F.lit('{"name":"'), "event_type", F.lit('","timestamp":'), ts.cast("string"), F.lit(',"value":'), F.col("value").cast("string"), F.lit("}"))
+    return _payload_frame(events, F.concat(F.lit('{"metrics":['), metric, F.lit("]}")))
+
+
+def system_payloads(events: DataFrame) -> DataFrame:
+    """Fixture G: metrics ``cpu``, ``memory`` and ``system`` with the fields the charts plot."""
+    name = F.when(F.col("event_type") == "click", "cpu").when(F.col("event_type") == "view", "memory").otherwise("system")
+    metric = F.struct(
+        name.alias("name"), _event_seconds().alias("timestamp"),
+        F.struct(F.col("value").alias("usage"), _event_k().alias("used")).alias("fields"), _event_tags().alias("tags"))
+    return _payload_frame(events, _envelope(metric))
+
+
+# Events per bulk payload or labelled array.
+EVENTS_PER_PAYLOAD = 100
+
+
+def _grouped(events: DataFrame, item: Column) -> DataFrame:
+    """``seq`` and the JSON texts of ``EVENTS_PER_PAYLOAD`` consecutive events, in order."""
+    rows = events.select(F.floor(F.col("event_id") / EVENTS_PER_PAYLOAD).alias("seq"), "event_id", F.to_json(item).alias("item"))
+    return rows.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("event_id", "item"))).alias("items"))
+
+
+def bulk_day_payloads(events: DataFrame) -> DataFrame:
+    """Fixture B in bulk, timestamps cut to the day: several points of one series and
+    timestamp share a payload."""
+    metric = F.struct(
+        F.col("event_type").alias("name"), (F.floor(_event_seconds() / 86400) * 86400).alias("timestamp"), F.col("value").alias("value"),
+        F.struct(event_region().alias("region")).alias("tags"))
+    return _grouped(events, metric).select("seq", F.concat(F.lit('{"metrics":['), F.array_join("items.item", ","), F.lit("]}")).alias("raw"))
+
+
+def labelled_arrays(events: DataFrame) -> DataFrame:
+    """Fixture C as arrays of labelled points, one per line."""
+    point = F.struct(
+        _event_seconds().alias("timestamp"), F.col("event_type").alias("metric"), F.col("value").alias("value"),
+        F.struct(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("host"), event_region().alias("region")).alias("labels"))
+    return _grouped(events, point).select("seq", F.concat(F.lit("["), F.array_join("items.item", ","), F.lit("]")).alias("raw"))

@@ -3,7 +3,9 @@
 Blank lines, lines that are not JSON, and lines with a wrongly typed key (non-string
 ``metric``, non-numeric ``timestamp`` or ``value``, a non-string label value) are
 skipped. Defaults: ``metric`` → ``unknown``, ``timestamp`` → 0, ``value`` → 0.0, no
-labels → empty map; labels that are not an object count as no labels.
+labels → empty map; labels that are not an object count as no labels. With ``arrays`` a
+line may also hold an array of such points (the batch sender's input); its points keep
+their position as ``pos``, and a wrongly typed one is skipped alone.
 """
 
 from __future__ import annotations
@@ -12,15 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.constants import DEFAULT_LABELLED_VALUE, DEFAULT_TIMESTAMP, UNKNOWN
-from telemetra.functions.rows import keep_where
+from telemetra.functions.rows import arrival, keep_where
 from telemetra.functions.variant import field, is_number, is_number_or_boolean, is_object, is_string
 
 
-def labelled_points(lines: DataFrame) -> DataFrame:
-    """(``seq``, ``raw``) lines → ``seq, timestamp, metric, value, labels``."""
+def labelled_points(lines: DataFrame, arrays: bool = False) -> DataFrame:
+    """(``seq``, ``raw``) lines → ``seq, pos, timestamp, metric, value, labels``."""
     doc = F.try_parse_json(F.col("raw"))
     # blank and whitespace-only lines do not parse, so the validity test skips them too
-    parsed = lines.select("seq", doc.alias("d"))
+    if arrays:
+        # a generator is not pushed below the projection: each line is parsed once
+        items = lines.select("seq", doc.alias("_doc"))
+        several = field(F.col("_doc"), "$", "array<variant>")
+        parsed = items.select("seq", F.posexplode(F.coalesce(several, F.array("_doc"))).alias("pos", "d"))
+    else:
+        parsed = lines.select("seq", F.lit(0).alias("pos"), doc.alias("d"))
     d = F.col("d")
     metric, ts, value = field(d, "$.metric"), field(d, "$.timestamp"), field(d, "$.value")
     label_obj = field(d, "$.labels")
@@ -29,7 +37,7 @@ def labelled_points(lines: DataFrame) -> DataFrame:
         d.isNotNull()
         & is_object(d)
         & (metric.isNull() | F.coalesce(is_string(metric), F.lit(False)))
-        & (ts.isNull() | F.coalesce(is_number_or_boolean(ts), F.lit(False)))
+        & (ts.isNull() | F.coalesce(is_number_or_boolean(ts) & field(d, "$.timestamp", "bigint").isNotNull(), F.lit(False)))
         & (value.isNull() | F.coalesce(is_number(value), F.lit(False)))
         & F.coalesce(F.forall(F.map_values(label_map), is_string), F.lit(True))
     )
@@ -38,6 +46,7 @@ def labelled_points(lines: DataFrame) -> DataFrame:
         parsed,
         valid,
         "seq",
+        "pos",
         F.coalesce(field(d, "$.timestamp", "bigint"), F.lit(DEFAULT_TIMESTAMP)).alias("timestamp"),
         F.coalesce(field(d, "$.metric", "string"), F.lit(UNKNOWN)).alias("metric"),
         F.coalesce(field(d, "$.value", "double"), F.lit(DEFAULT_LABELLED_VALUE)).alias("value"),
@@ -47,11 +56,8 @@ def labelled_points(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled JSON Lines files (recursive) → labelled points; ``seq`` is a unique,
-    increasing id per line within the read."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").text(path)
-        .select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("raw"))
-    )
-    return labelled_points(lines)
+def read_labelled(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
+    """Labelled JSON Lines files (recursive) → labelled points; ``seq`` is each line's place
+    in arrival order (:func:`telemetra.functions.rows.arrival`)."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(arrival().alias("seq"), F.col("value").alias("raw"))
+    return labelled_points(lines, arrays)

@@ -1,6 +1,6 @@
 """Raw payloads from files, one JSON document per line (or per file).
 
-``seq`` is a unique id per payload within the read (increasing in file-split order),
+``seq`` is each payload's place in arrival order (file time, file, place in the file),
 ``source`` the file it came from and ``received_at`` that file's modification time.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemetra.functions.rows import arrival
 from telemetra.schemas import PAYLOAD
 
 
@@ -16,7 +17,7 @@ def read_payloads(spark: SparkSession, path: str, whole_file: bool = False) -> D
     """Text files under ``path`` (recursive) → ``seq, raw, source, received_at``."""
     text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=whole_file)
     return text.select(
-        F.monotonically_increasing_id().alias("seq"),
+        arrival().alias("seq"),
         F.col("value").alias("raw"),
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_modification_time").alias("received_at"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.constants import UNKNOWN
-from telemetra.functions.points import sorted_json_object
+from telemetra.functions.points import in_time_span, sorted_json_object, to_event_time
 from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import field, is_number, is_string, json_text_values
 from telemetra.schemas import POINT_CSV, POINT_CSV_TAGS, POINT_PARQUET
@@ -26,15 +26,19 @@ CANONICAL = ["timestamp", "metric_name", "value", "host", "tags_json"]
 _DATE = T.StructField("date", T.DateType(), True)
 
 
+# Partition directories are named after the stored column; its canonical name in points.
+STORED_NAMES = {"metric_name": "metric"}
+
+
 def _with_partitions(schema: T.StructType, partitions: tuple[str, ...]) -> T.StructType:
-    fields = list(schema.fields)
-    names = {f.name for f in fields}
-    for p in partitions:
-        if p == "date":
-            fields.append(_DATE)
-        elif p not in names:
-            fields.append(T.StructField(p, T.StringType(), True))
-    return T.StructType(fields)
+    """``schema`` with the partition columns (stored names) that it lacks."""
+    names = {f.name for f in schema.fields}
+    more = [_DATE if p == "date" else T.StructField(p, T.StringType(), True) for p in partitions if p not in names]
+    return T.StructType([*schema.fields, *more])
+
+
+def _stored(partitions: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(STORED_NAMES.get(p, p) for p in partitions)
 
 
 def _reader(spark: SparkSession, recursive: bool, pattern: str | None):
@@ -63,13 +67,13 @@ def read_parquet_nanos(spark: SparkSession, base: str, recursive: bool = True, p
 
 def read_csv_points(spark: SparkSession, base: str, with_tags: bool = False, partitions: tuple[str, ...] = ("date",), recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """CSV points (K3/K4 stores) → canonical points."""
-    partitions = () if recursive else partitions
+    partitions = () if recursive else _stored(partitions)
     schema = _with_partitions(POINT_CSV_TAGS if with_tags else POINT_CSV, partitions)
     df = _reader(spark, recursive, pattern).schema(schema).option("header", True).option("escape", '"').csv(base)
     tags = F.col("tags") if with_tags else F.lit("{}")
-    extra = [p for p in partitions if p not in ("timestamp", "metric", "value", "host")]
+    extra = [p for p in partitions if p == "date"]
     return df.select(
-        F.timestamp_seconds("timestamp").alias("timestamp"),
+        to_event_time(F.col("timestamp")).alias("timestamp"),
         F.col("metric").alias("metric_name"),
         "value",
         "host",
@@ -81,23 +85,26 @@ def read_csv_points(spark: SparkSession, base: str, with_tags: bool = False, par
 def read_jsonl_points(spark: SparkSession, base: str, partitions: tuple[str, ...] = ("date",), recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """JSON Lines points (plain or gzip, by file suffix); lines that are not JSON or
     miss a typed ``metric`` / ``timestamp`` / ``value`` are skipped."""
-    partitions = () if recursive else partitions
-    lines = _reader(spark, recursive, pattern).text(base)
-    d = F.try_parse_json(F.col("value"))
-    parsed = lines.select(d.alias("d"), *[p for p in partitions if p in lines.columns])
+    partitions = () if recursive else _stored(partitions)
+    line = T.StructType([T.StructField("value", T.StringType(), True)])
+    lines = _reader(spark, recursive, pattern).schema(_with_partitions(line, partitions)).text(base)
+    # a partition column stands for the key that partitioning took out of the lines
+    parsed = lines.select(F.try_parse_json(F.col("value")).alias("d"), *[F.col(p).alias(f"_{p}") for p in partitions])
     doc = F.col("d")
     ts, metric, value = field(doc, "$.timestamp"), field(doc, "$.metric"), field(doc, "$.value")
-    ok = doc.isNotNull() & F.coalesce(is_number(ts) & is_string(metric) & is_number(value), F.lit(False))
+    named = F.lit(True) if "metric" in partitions else is_string(metric)
+    seconds = field(doc, "$.timestamp", "bigint")
+    ok = doc.isNotNull() & F.coalesce(is_number(ts) & in_time_span(seconds) & named & is_number(value), F.lit(False))
     tags = json_text_values(field(doc, "$.tags"))
     return keep_where(
         parsed,
         ok,
-        F.timestamp_seconds(field(doc, "$.timestamp", "bigint")).alias("timestamp"),
-        field(doc, "$.metric", "string").alias("metric_name"),
+        to_event_time(seconds).alias("timestamp"),
+        (F.col("_metric") if "metric" in partitions else field(doc, "$.metric", "string")).alias("metric_name"),
         field(doc, "$.value", "double").alias("value"),
-        F.coalesce(field(doc, "$.host", "string"), F.lit(UNKNOWN)).alias("host"),
+        F.coalesce(F.col("_host") if "host" in partitions else field(doc, "$.host", "string"), F.lit(UNKNOWN)).alias("host"),
         sorted_json_object(tags).alias("tags_json"),
-        *[p for p in partitions if p in lines.columns],
+        *[F.col("_date").alias("date") for p in partitions if p == "date"],
     )
 
 

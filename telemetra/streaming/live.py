@@ -1,23 +1,24 @@
 """Structured Streaming: continuous ingest (T1, T2), first-seen series (T3), filtered live
 stream (T4), latest value per series (T5), last N per host (T6) and running counters (T7).
 
-Sinks are idempotent so that a micro-batch replayed after a lost executor or a restart
+Sinks are idempotent, so that a micro-batch replayed after a lost executor or a restart
 writes the same files again instead of twice:
 
-* T1 and T4 use the file sink (its commit log gives exactly-once output);
-* the ``foreachBatch`` sinks write ``<path>/batch=<id>`` with overwrite.
+* T1 stages each micro-batch beside the checkpoint and then moves its files into the store,
+  which stays a plain store: batch appends, deletions and readers need no sink log;
+* T4 uses the file sink;
+* the others write ``<path>/batch=<id>`` with overwrite.
 
-T3 and T5 keep their state in the state store (one entry per series). T3 appends the rows
-whose aggregate changed (new series, or an earlier ``seq``), a log about the size of the
-catalog that the reader folds with the same aggregate. T5 changes for nearly every series
-each batch, so it writes the whole state (complete mode) as a snapshot. T6 and T7 also
-write snapshots; each snapshot sink keeps the newest two versions. None of the results
-depends on how the input was cut into batches.
+T3, T5 and T6 write what a batch changed (new or newer series, a batch's newest rows per
+host) to a log that readers fold with the operator's own aggregate; every ``FOLD_EVERY``
+batches the log is folded into one directory. A trigger's cost follows its batch, not all
+series ever seen. None of the results depends on how the input was cut into batches.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,22 +54,23 @@ FLUSH = Trigger(available_now=True)
 # ---------------------------------------------------------------- sources
 
 def payload_stream(spark: SparkSession, path: str, fmt: str = "text", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Payload files as they land. ``text``: one payload per line, ``received_at``
-    the file time and ``seq`` that time in microseconds (arrival order between files;
-    the lines of one file arrived together); ``parquet``: landed payloads with the
-    ``PAYLOAD`` schema (producer-assigned ``seq``)."""
-    reader = spark.readStream
+    """Payload files as they land, in sub-directories too. ``text``: one payload per
+    line, ``received_at`` the file time and ``seq`` the arrival order as in the batch
+    reader; ``parquet``: landed payloads with the ``PAYLOAD`` schema (producer-assigned
+    ``seq``)."""
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "parquet":
         return reader.schema(PAYLOAD).parquet(path)
-    text = reader.text(path)
-    return text.select(
-        F.unix_micros(F.col("_metadata.file_modification_time")).alias("seq"),
-        F.col("value").alias("raw"),
-        F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_modification_time").alias("received_at"),
-    )
+    # a stream has no row ids: each landed file is read whole and its lines are numbered
+    meta = F.col("_metadata")
+    text = reader.text(path, wholetext=True).where(F.col("value") != "")
+    lines = text.select(
+        meta["file_modification_time"].alias("arrived"), meta["file_path"].alias("file"),
+        F.posexplode(F.split(F.regexp_replace("value", "\\r?\\n$", ""), "\\r?\\n")).alias("row", "raw"))
+    seq = F.struct("arrived", "file", F.lit(0).cast("bigint").alias("block"), F.col("row").cast("bigint").alias("row"))
+    return lines.select(seq.alias("seq"), "raw", F.col("file").alias("source"), F.col("arrived").alias("received_at"))
 
 
 def line_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -81,13 +83,38 @@ def line_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 # ---------------------------------------------------------------- helpers
 
-def _versioned_writer(path: str, fmt: str = "parquet"):
+# Batches after which a change log is folded into one directory.
+FOLD_EVERY = 50
+
+
+def _log_writer(path: str, fold: Callable[[DataFrame], DataFrame]):
+    """A change log: each batch's changes in their own directory, folded now and then.
+
+    The folded directory is written before the batches it holds are dropped, and folding
+    twice changes nothing, so a replay is safe."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % FOLD_EVERY == 0:
+            folded = fold(read_log(batch.sparkSession, path))
+            folded.write.mode("overwrite").parquet(f"{path}/folded={batch_id}")
+            _prune_before(batch.sparkSession, path, batch_id + 1)
+            _prune_before(batch.sparkSession, path, batch_id, "folded")
 
     return write
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All changes of a log: its newest folded directory and the batches after it."""
+    fs, folded = _batch_dirs(spark, path, "folded")
+    newest = max((i for i, p in folded.items() if _complete(spark, fs, p)), default=-1)
+    _, batches = _batch_dirs(spark, path)
+    dirs = [f"{path}/batch={i}" for i in sorted(batches) if i > newest and _complete(spark, fs, batches[i])]
+    if newest >= 0:
+        dirs.insert(0, f"{path}/folded={newest}")
+    return spark.read.parquet(*dirs)
+
+
 def _snapshot_writer(path: str):
     """Complete-mode output: each batch is the whole result; keep it and its predecessor."""
 
@@ -105,45 +132,63 @@ def _start(df_writer, checkpoint: str, trigger: Trigger, name: str | None) -> St
     return w.start()
 
 
-def _batch_dirs(spark: SparkSession, path: str):
-    """(file system, {batch id: directory}) of a versioned sink, via Hadoop's FileSystem
-    (the directory listing only; no data passes through the driver)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _files(spark: SparkSession, path: str):
+    """(Hadoop file system, path object); only listings and renames pass through here."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def _complete(spark: SparkSession, fs, directory) -> bool:
+    """True once the write of ``directory`` has been committed."""
+    return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory, "_SUCCESS"))
+
+
+def _batch_dirs(spark: SparkSession, path: str, kind: str = "batch"):
+    """(file system, {batch id: directory}) of a versioned sink."""
+    fs, root = _files(spark, path)
     if not fs.exists(root):
         return fs, {}
     found = {}
     for st in fs.listStatus(root):
         name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("batch="):
+        if st.isDirectory() and name.startswith(f"{kind}="):
             found[int(name.split("=", 1)[1])] = st.getPath()
     return fs, found
 
 
 def latest_batch(spark: SparkSession, path: str) -> DataFrame:
-    """The newest ``batch=<id>`` directory of a versioned sink."""
-    try:
-        _, found = _batch_dirs(spark, path)
-    except Exception:  # noqa: BLE001 - no JVM gateway (Spark Connect): use partition discovery
-        versions = spark.read.parquet(path)
-        newest = versions.agg(F.max("batch")).first()[0]
-        return versions.where(F.col("batch") == newest).drop("batch")
-    return spark.read.parquet(f"{path}/batch={max(found)}")
-
-
-def _prune_before(spark: SparkSession, path: str, batch_id: int) -> None:
-    """Drop snapshot versions older than ``batch_id`` (kept: it is the input a replay of
-    the next batch reads). Without a JVM gateway old versions are left in place."""
-    try:
-        fs, found = _batch_dirs(spark, path)
-    except Exception:  # noqa: BLE001
-        return
+    """The newest committed ``batch=<id>`` directory of a versioned sink."""
+    fs, found = _batch_dirs(spark, path)
+    return spark.read.parquet(f"{path}/batch={max(i for i, p in found.items() if _complete(spark, fs, p))}")
+
+
+def _prune_before(spark: SparkSession, path: str, batch_id: int, kind: str = "batch") -> None:
+    """Drop versions older than ``batch_id``."""
+    fs, found = _batch_dirs(spark, path, kind)
     for bid, p in found.items():
         if bid < batch_id:
             fs.delete(p, True)
 
 
+def _publish(spark: SparkSession, staged: str, base: str) -> None:
+    """Move the staged files of one batch into the store, directory by directory. A replay
+    moves what an earlier attempt left behind."""
+    fs, root = _files(spark, staged)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    listing = fs.listFiles(root, True)
+    moves = []
+    while listing.hasNext():
+        file = listing.next().getPath()
+        if not file.getName().startswith(("_", ".")):
+            moves.append(file)
+    for file in moves:
+        inside = file.getParent().toUri().getPath()[len(fs.makeQualified(root).toUri().getPath()):].strip("/")
+        target = jvm_path(jvm_path(base), inside) if inside else jvm_path(base)
+        fs.mkdirs(target)
+        if not fs.rename(file, jvm_path(target, file.getName())):
+            raise RuntimeError(f"cannot move {file} to {target}")
+
+
 # ---------------------------------------------------------------- T1 / T2 / K7
 
 def ingest(
@@ -154,22 +199,31 @@ def ingest(
     trigger: Trigger = FLUSH,
     date_source: str = "received_at",
     name: str | None = None,
+    quarantine: str | None = None,
 ) -> StreamingQuery:
-    """Payloads → points → date-partitioned Parquet store (file sink, exactly once).
+    """Payloads → points → date-partitioned Parquet store, exactly once.
 
     The partition date is the arrival date by default, as the collector partitions by
     flush time: each micro-batch lands in about one directory. ``date_source="timestamp"``
-    partitions by event time instead."""
-    points = with_date(flatten.flatten(payloads, options, keep=["received_at"]), date_source)
-    rows = to_profile(points, "parquet", extra=["date"])
-    writer = (
-        rows.writeStream.format("parquet")
-        .partitionBy("date")
-        .option("compression", "snappy")
-        .option("parquet.enable.dictionary", "false")
-        .option("path", sink)
-    )
-    return _start(writer, checkpoint, trigger, name)
+    partitions by event time instead. A batch is staged under the checkpoint and moved into
+    the store once its write is committed; rejected input goes to
+    ``<quarantine>/batch=<id>`` (its count is the number of rows there)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stage = f"{checkpoint.rstrip('/')}-staged/batch={batch_id}"
+        fs, done = _batch_dirs(spark, f"{checkpoint.rstrip('/')}-staged")
+        if batch_id not in done or not _complete(spark, fs, done[batch_id]):
+            if quarantine:
+                flatten.rejected(batch, options).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+            points = with_date(flatten.flatten(batch, options, keep=["received_at"]), date_source)
+            rows = to_profile(points, "parquet", extra=["date"])
+            (rows.write.mode("overwrite").partitionBy("date").option("compression", "snappy")
+             .option("parquet.enable.dictionary", "false").parquet(stage))
+        _publish(spark, stage, sink)
+        _prune_before(spark, f"{checkpoint.rstrip('/')}-staged", batch_id)
+
+    return _start(payloads.writeStream.foreachBatch(write), checkpoint, trigger, name)
 
 
 def ingest_fan_out(
@@ -181,21 +235,19 @@ def ingest_fan_out(
     trigger: Trigger = FLUSH,
     name: str | None = None,
 ) -> StreamingQuery:
-    """T1 + K7 + P8: each micro-batch is parsed once (persisted), written to every store
-    (``{path: format}``) under ``batch=<id>`` and its rejects to ``quarantine``."""
-    from telemetra.sinks.writers import write_points
+    """T1 + K7 + P8: each micro-batch is parsed once and staged beside the checkpoint,
+    written from there to every store (``{path: format}``) under ``batch=<id>``, by arrival
+    date as in :func:`ingest`; its rejects go to ``quarantine``."""
+    from telemetra.sinks.writers import staged, write_points
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        cached = batch.persist()
-        try:
-            pts = flatten.flatten(cached, options)
-            for path, fmt in stores.items():
-                write_points(pts, f"{path}/batch={batch_id}", fmt, mode="overwrite")
-            if quarantine:
-                rej = flatten.rejected(cached, options)
-                rej.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-        finally:
-            cached.unpersist()
+        stage = f"{checkpoint.rstrip('/')}-staged"
+        pts = staged(flatten.flatten(batch, options, keep=["received_at"]), f"{stage}/batch={batch_id}", "received_at")
+        for path, fmt in stores.items():
+            write_points(pts, f"{path}/batch={batch_id}", fmt, mode="overwrite", date_source="received_at")
+        if quarantine:
+            flatten.rejected(batch, options).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        _prune_before(batch.sparkSession, stage, batch_id)
 
     return _start(payloads.writeStream.foreachBatch(write), checkpoint, trigger, name)
 
@@ -203,15 +255,19 @@ def ingest_fan_out(
 # ---------------------------------------------------------------- T3
 
 def first_seen(lines: DataFrame, sink: str, checkpoint: str, options: SeriesOptions = SeriesOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
-    """Every series with its first sighting (lowest ``seq``) across all batches."""
+    """Every series with its first sighting (lowest ``seq``, ``pos``) across all batches."""
     keyed = series.with_series_key(labelled_points(lines), options)
     first = keyed.groupBy("series_key").agg(
-        F.min_by(F.struct("seq", "timestamp", "metric", "labels"), F.col("seq")).alias("first")
+        F.min_by(F.struct("seq", "pos", "timestamp", "metric", "labels"), F.struct("seq", "pos")).alias("first")
     )
-    writer = first.writeStream.outputMode("update").foreachBatch(_versioned_writer(sink))
+    writer = first.writeStream.outputMode("update").foreachBatch(_log_writer(sink, _first_of))
     return _start(writer, checkpoint, trigger, name)
 
 
+def _first_of(log: DataFrame) -> DataFrame:
+    return log.groupBy("series_key").agg(F.min_by("first", F.struct("first.seq", "first.pos")).alias("first"))
+
+
 def first_seen_bounded(lines: DataFrame, sink: str, checkpoint: str, watermark: str, options: SeriesOptions = SeriesOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
     """T3 with bounded state: a key is forgotten ``watermark`` after it was last seen
     (``dropDuplicatesWithinWatermark``), so a series idle longer than that is reported
@@ -226,8 +282,7 @@ def first_seen_bounded(lines: DataFrame, sink: str, checkpoint: str, watermark:
 
 def read_first_seen(spark: SparkSession, sink: str, options: SeriesOptions = SeriesOptions()) -> DataFrame:
     """The catalog folded from T3's change log."""
-    log = spark.read.parquet(sink)
-    cat = log.groupBy("series_key").agg(F.min_by("first", F.col("first.seq")).alias("first"))
+    cat = _first_of(read_log(spark, sink))
     return cat.select(
         "series_key",
         F.col("first.metric").alias("metric"),
@@ -242,36 +297,50 @@ def read_first_seen(spark: SparkSession, sink: str, options: SeriesOptions = Ser
 
 # ---------------------------------------------------------------- T4
 
-def filtered(payloads: DataFrame, sink: str, checkpoint: str, metrics: str | None = None, tags: dict[str, str] | None = None, trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
-    """T4: points of the listed metrics (comma-separated) with the given tag values,
-    appended as they arrive."""
+def filtered(payloads: DataFrame, sink: str, checkpoint: str, metrics: str | None = None, tags: dict[str, str] | None = None,
+             options: FlattenOptions = FlattenOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
+    """T4 as the clients call it: metrics (wide rows, all fields) whose name is in the
+    comma-separated list and whose tags have the given values, appended as they arrive."""
+    wide = filters.by_metric_list(flatten.wide_metrics(payloads, options), metrics, column="name")
+    for key, value in (tags or {}).items():
+        wide = filters.by_tag(wide, key, value)
+    rows = wide.select("seq", "pos", "timestamp", "name", "host", "tags_json", "fields")
+    return _start(rows.writeStream.format("parquet").option("path", sink), checkpoint, trigger, name)
+
+
+def filtered_points(payloads: DataFrame, sink: str, checkpoint: str, metrics: str | None = None, tags: dict[str, str] | None = None,
+                    options: FlattenOptions = FlattenOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
+    """T4 on points: the listed point names (``name`` or ``name.field``)."""
     names = [n.strip() for n in metrics.split(",") if n.strip()] if metrics else None
-    pts = flatten.flatten(payloads, metrics=names)
+    pts = flatten.flatten(payloads, options, metrics=names)
     for key, value in (tags or {}).items():
         pts = filters.by_tag(pts, key, value)
     rows = pts.select("seq", "pos", "timestamp", "metric_name", "value", "host", "tags_json")
-    writer = rows.writeStream.format("parquet").option("path", sink)
-    return _start(writer, checkpoint, trigger, name)
+    return _start(rows.writeStream.format("parquet").option("path", sink), checkpoint, trigger, name)
 
 
 # ---------------------------------------------------------------- T5
 
-def latest(payloads: DataFrame, sink: str, checkpoint: str, trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
-    """T5: the newest metric per (name, tags) card, kept in state."""
-    cards = views.card_rows(flatten.wide_metrics(payloads))
-    newest = cards.groupBy("name", "tags_json").agg(
-        F.max_by(
-            F.struct("timestamp", "seq", "pos", "main_field", "main_value"), F.struct("timestamp", "seq", "pos")
-        ).alias("last")
-    )
-    writer = newest.writeStream.outputMode("complete").foreachBatch(_snapshot_writer(sink))
-    return _start(writer, checkpoint, trigger, name)
+def latest(payloads: DataFrame, sink: str, checkpoint: str, options: FlattenOptions = FlattenOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
+    """T5: the newest metric per (name, tags) card; a batch's newest cards go to the log,
+    which :func:`read_latest` folds."""
+    def newest(rows: DataFrame) -> DataFrame:
+        last = F.struct("timestamp", "seq", "pos", "main_field", "main_value")
+        return rows.groupBy("name", "tags_json").agg(F.max_by(last, F.struct("timestamp", "seq", "pos")).alias("last"))
+
+    log = _log_writer(sink, _last_of)
+    cards = views.card_rows(flatten.wide_metrics(payloads, options))
+    return _start(cards.writeStream.foreachBatch(lambda batch, i: log(newest(batch), i)), checkpoint, trigger, name)
+
 
+def _last_of(log: DataFrame) -> DataFrame:
+    return log.groupBy("name", "tags_json").agg(F.max_by("last", F.struct("last.timestamp", "last.seq", "last.pos")).alias("last"))
 
-def latest_by_window(payloads: DataFrame, sink: str, checkpoint: str, window: str = "1 hour", watermark: str = "10 minutes", trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
+
+def latest_by_window(payloads: DataFrame, sink: str, checkpoint: str, window: str = "1 hour", watermark: str = "10 minutes", options: FlattenOptions = FlattenOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
     """T5 with bounded state: the newest metric per card and event-time ``window``,
     appended once the watermark has passed the window's end, then dropped from state."""
-    cards = views.card_rows(flatten.wide_metrics(payloads)).withWatermark("timestamp", watermark)
+    cards = views.card_rows(flatten.wide_metrics(payloads, options)).withWatermark("timestamp", watermark)
     newest = cards.groupBy(F.window("timestamp", window).alias("window"), "name", "tags_json").agg(
         F.max_by(F.struct("timestamp", "seq", "main_field", "main_value"), F.struct("timestamp", "seq", "pos")).alias("last")
     )
@@ -290,8 +359,8 @@ def latest_by_window(payloads: DataFrame, sink: str, checkpoint: str, window: st
 
 
 def read_latest(spark: SparkSession, sink: str) -> DataFrame:
-    """W1 cards from T5's newest snapshot."""
-    cards = latest_batch(spark, sink)
+    """W1 cards from T5's log."""
+    cards = _last_of(read_log(spark, sink))
     return cards.select(
         "name",
         "tags_json",
@@ -304,28 +373,25 @@ def read_latest(spark: SparkSession, sink: str) -> DataFrame:
 
 # ---------------------------------------------------------------- T6
 
-def last_n(payloads: DataFrame, sink: str, checkpoint: str, field: str = "value", names: list[str] | None = None, n: int = views.MAX_CHART_POINTS, trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
-    """The newest ``n`` values per host, re-ranked each batch from the previous
-    snapshot (at most ``n`` rows per host) and the batch's rows."""
-    rows = views.chart_rows(flatten.wide_metrics(payloads), field, names)
+def last_n(payloads: DataFrame, sink: str, checkpoint: str, field: str = "value", names: list[str] | None = None, n: int = views.MAX_CHART_POINTS,
+           options: FlattenOptions = FlattenOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
+    """The newest ``n`` values per host; a batch's own newest go to the log, which
+    :func:`read_last_n` ranks together."""
+    rows = views.chart_rows(flatten.wide_metrics(payloads, options), field, names)
+    log = _log_writer(sink, lambda old: views.newest_per_host(old.drop("rank"), n))
+    return _start(rows.writeStream.foreachBatch(lambda batch, i: log(views.newest_per_host(batch, n), i)), checkpoint, trigger, name)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        current = batch
-        if batch_id > 0:
-            prev = batch.sparkSession.read.parquet(f"{sink}/batch={batch_id - 1}").drop("rank")
-            current = current.unionByName(prev)
-        ranked = views.newest_per_host(current, n)
-        ranked.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        _prune_before(batch.sparkSession, sink, batch_id - 1)
 
-    return _start(rows.writeStream.foreachBatch(write), checkpoint, trigger, name)
+def read_last_n(spark: SparkSession, sink: str, n: int = views.MAX_CHART_POINTS) -> DataFrame:
+    """W2 rows from T6's log."""
+    return views.newest_per_host(read_log(spark, sink).drop("rank"), n)
 
 
 # ---------------------------------------------------------------- T7
 
-def counters(payloads: DataFrame, sink: str, checkpoint: str, trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
+def counters(payloads: DataFrame, sink: str, checkpoint: str, options: FlattenOptions = FlattenOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
     """Running totals of requests and enveloped metrics (global aggregate)."""
-    parsed = flatten.parse_payloads(payloads, FlattenOptions(scope="metric"))
+    parsed = flatten.parse_payloads(payloads, replace(options, scope="metric"))
     totals = parsed.agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.coalesce(F.sum(F.when(F.col("metrics").isNotNull(), F.size("metrics"))), F.lit(0))
@@ -334,14 +400,3 @@ def counters(payloads: DataFrame, sink: str, checkpoint: str, trigger: Trigger =
     )
     writer = totals.writeStream.outputMode("complete").foreachBatch(_snapshot_writer(sink))
     return _start(writer, checkpoint, trigger, name)
-
-
-def progress_rates(query: StreamingQuery) -> dict:
-    """Input and processing rates of the last micro-batch (rows per second)."""
-    p = query.lastProgress or {}
-    return {
-        "batch": p.get("batchId"),
-        "input_rows": p.get("numInputRows"),
-        "input_rows_per_second": p.get("inputRowsPerSecond"),
-        "processed_rows_per_second": p.get("processedRowsPerSecond"),
-    }

@@ -190,3 +190,16 @@ def test_fixture_shapes_ms_wide_and_bulk(payloads):
     assert flatten.flatten(bulk, FlattenOptions(scope="metric")).count() == 1999
     (st,) = aggregates.field_stats(got).collect()
     assert (st["count"], st["min"], st["max"], st["mean"]) == (1000, 0.0, 999.0, 499.5)
+
+
+def test_timestamps_out_of_range_are_rejected_with_a_reason(payloads):
+    from telemetra.operators.flatten import flatten as flat, rejected as rej
+    from telemetra.schemas import FlattenOptions
+
+    bad = ["1700000000000000", "1700000000000000000", "1e30", "-99999999999999"]
+    pays = payloads(*[f'{{"metrics":[{{"name":"m","timestamp":{t},"value":1}}]}}' for t in ["1700000000", *bad]])
+    assert flat(pays).count() == 1
+    assert sorted((r["seq"], r["reason"]) for r in rej(pays).collect()) == [(i, "bad_time") for i in range(1, 5)]
+    metric = FlattenOptions(scope="metric")
+    assert flat(pays, metric).count() == 1 and rej(pays, metric).count() == 4
+    assert flat(payloads('{"metrics":[{"name":"m","timestamp":1700000000123,"value":1}]}'), FlattenOptions(ts_unit="ms")).count() == 1

@@ -48,12 +48,37 @@ def test_catalog_and_batches(spark):
         ("metrics:memory_usage:host=server01:region=eu-west-1", 1, 1, 86400, "LAST", True),
     ]
     b = series.timestamp_batches(labelled_points(lines(spark, *FX11)), SeriesOptions(prefix="metrics"))
-    assert rows(b, "timestamp", "points", "args") == [
-        (1704067200, 1, "metrics:cpu_usage:host=server01:region=eu-west-1 1704067200 45.200000"),
+    assert rows(b, "timestamp", "seq", "arg") == [
+        (1704067200, 0, "metrics:cpu_usage:host=server01:region=eu-west-1 1704067200 45.200000"),
         (1704067260, 1, "metrics:memory_usage:host=server01:region=eu-west-1 1704067260 78.500000"),
     ]
 
 
+def test_arrays_positions_and_policies(spark):
+    same = [{"timestamp": 5, "metric": "m", "value": float(i)} for i in range(5)]
+    pts = labelled_points(lines(spark, json.dumps(same), FX11[0]), arrays=True)
+    assert pts.count() == 6
+    first = {r["timestamp"]: r["value"] for r in series.deduplicate(pts, "FIRST").collect()}
+    last = {r["timestamp"]: r["value"] for r in series.deduplicate(pts, "LAST").collect()}
+    assert (first[5], last[5]) == (0.0, 4.0)
+    assert [r["pos"] for r in series.timestamp_batches(pts).where("timestamp = 5").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_arrival_order_is_file_time_then_place(spark, tmp_path):
+    import os
+
+    from telemetra.sources.labelled import read_labelled
+
+    point = lambda v: json.dumps({"timestamp": 1, "metric": "m", "value": v}) + "\n"
+    (tmp_path / "z_first.txt").write_text(point(1.0))
+    (tmp_path / "a_later.txt").write_text("\n" * 5000 + point(2.0) + point(3.0))  # larger, so read first
+    os.utime(tmp_path / "z_first.txt", (1_700_000_000, 1_700_000_000))
+    os.utime(tmp_path / "a_later.txt", (1_700_000_100, 1_700_000_100))
+    pts = read_labelled(spark, str(tmp_path))
+    assert [r["value"] for r in series.deduplicate(pts, "LAST").collect()] == [3.0]
+    assert [r["value"] for r in series.deduplicate(pts, "FIRST").collect()] == [1.0]
+
+
 def test_duplicate_policies(spark):
     dup = [{"timestamp": 10, "metric": "m", "value": v} for v in (5.0, 1.0, 3.0)]
     pts = labelled_points(lines(spark, *dup))

@@ -52,7 +52,7 @@ def test_jsonl_keeps_tag_types(spark, payloads):
 
 def test_parquet_options_and_csv_rotation(spark, payloads):
     path = scratch_path(spark, "csvrot")
-    writers.write_points(sample(payloads), path, "csv", max_records_per_file=3, partition_by=(), layout="compact")
+    writers.write_points(sample(payloads).coalesce(1), path, "csv", max_records_per_file=3, partition_by=())
     per_file = store.rows_per_file(spark, path, "csv")
     assert sorted(r["rows"] for r in per_file.collect()) == [2, 3, 3]
 
@@ -67,7 +67,7 @@ def test_fan_out_and_union(spark, payloads):
 
 def test_rows_per_file_with_an_empty_file_and_listing(spark, payloads):
     path = scratch_path(spark, "files")
-    writers.write_points(sample(payloads), path, "parquet", layout="compact")
+    writers.write_points(sample(payloads), path, "parquet", layout="rebalance")
     empty_dir = f"{path}/date=2023-11-01"
     spark.createDataFrame([], "timestamp timestamp, metric_name string, value double, host string, tags_json string") \
         .coalesce(1).write.parquet(empty_dir + "/x")
@@ -88,9 +88,9 @@ def test_rows_per_file_with_an_empty_file_and_listing(spark, payloads):
 
 def test_expired_files_and_removal(spark, payloads):
     path = scratch_path(spark, "expire")
-    writers.write_points(sample(payloads), path, "parquet", layout="compact")
+    writers.write_points(sample(payloads), path, "parquet", layout="rebalance")
     assert store.expired_files(spark, path, days=7).count() == 0
-    later = dt.datetime.now() + dt.timedelta(days=8)
+    later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=8)
     expired = store.expired_files(spark, path, days=7, now=later)
     assert expired.count() == 4
     assert all(not r["deleted"] for r in store.remove_files(expired).collect())
@@ -185,12 +185,50 @@ def test_reads_the_collectors_own_layouts(spark, tmp_path):
     assert (p["t"], p["metric_name"]) == (1700000000, "cpu.usage_percent")
 
 
-def test_fan_out_via_the_first_store(spark, payloads):
+def test_fan_out_to_three_stores(spark, payloads):
     root = scratch_path(spark, "fan-store")
     stores = [(f"{root}/p", "parquet"), (f"{root}/c", "csv_tags"), (f"{root}/j", "jsonl")]
     pts = sample(payloads)
-    writers.fan_out(pts, stores, via="store")
+    writers.fan_out(pts, stores)
     both = points_src.union_stores(spark, stores)
     expect = canon(pts)
     for fmt in ("parquet", "csv_tags", "jsonl"):
         assert canon(both.where(F.col("store") == fmt)) == expect, fmt
+
+
+def test_partitioned_csv_and_jsonl_read_back(spark, payloads):
+    pts = sample(payloads)
+    expect = canon(pts)
+    for fmt in ("csv_tags", "jsonl", "parquet"):
+        for parts in (("date", "metric_name"), ("date", "host"), ("host",)):
+            path = scratch_path(spark, "k2")
+            writers.write_points(pts, path, fmt, partition_by=parts)
+            assert canon(points_src.read_store(spark, path, fmt, parts)) == expect, (fmt, parts)
+
+
+def test_rows_per_file_with_escaped_directories(spark):
+    path = scratch_path(spark, "escaped")
+    point = spark.sql("select timestamp'2024-01-05 00:00:00' timestamp, 'cpu load:5%' metric_name, 1.0D value, 'h' host, '{}' tags_json")
+    writers.write_points(point, path, "parquet", partition_by=("date", "metric_name"))
+    assert [r["rows"] for r in store.rows_per_file(spark, path).collect()] == [1]
+    done = store.remove_files(store.list_files(spark, path), dry_run=False)
+    assert [r["deleted"] for r in done.collect()] == [True] and store.list_files(spark, path).count() == 0
+
+
+def test_late_points_are_found_by_event_time(spark):
+    path = scratch_path(spark, "late")
+    pts = spark.sql("""select timestamp'2024-01-05 10:00:00' timestamp, 'm' metric_name, double(d) value, 'h' host, '{"a.b":"x","n":1}' tags_json,
+                       timestamp'2024-01-05 11:00:00' + make_interval(0, 0, 0, d) received_at from values (0), (4) t(d)""")
+    writers.write_points(pts, path, "parquet", date_source="received_at")
+    found = store.query_points(spark, path, "parquet", "m", "2024-01-05 00:00:00", "2024-01-05 23:00:00")
+    assert rows(found, "value") == [(0.0,), (4.0,)]
+    assert store.query_points(spark, path, tags={"a.b": "x"}).count() == 2
+    assert store.query_points(spark, path, tags={"n": "1"}).count() == 2
+
+
+def test_naive_bounds_are_utc(spark):
+    from telemetra.operators import filters
+
+    pts = spark.sql("select timestamp'2024-01-05 00:00:00' timestamp")
+    assert filters.in_time_range(pts, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 5)).count() == 1
+

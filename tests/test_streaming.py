@@ -29,7 +29,6 @@ def test_ingest_stream_equals_batch(spark):
     got = points_src.read_parquet_points(spark, sink).select("metric_name", "value", "host")
     want = flatten.flatten(pays).select("metric_name", "value", "host")
     assert rows(got, "metric_name", "value", "host") == rows(want, "metric_name", "value", "host")
-    assert live.progress_rates(q)["batch"] is not None
 
 
 def test_latest_and_last_n_streams_equal_batch(spark):
@@ -41,7 +40,7 @@ def test_latest_and_last_n_streams_equal_batch(spark):
     cols = ("name", "tags_json", "value", "seq")
     assert rows(live.read_latest(spark, s1), *cols) == rows(views.latest_per_series(flatten.wide_metrics(pays)), *cols)
     want = views.last_n_per_host(flatten.wide_metrics(pays), n=5)
-    assert rows(live.latest_batch(spark, s2), "host", "seq", "rank") == rows(want, "host", "seq", "rank")
+    assert rows(live.read_last_n(spark, s2, 5), "host", "seq", "rank") == rows(want, "host", "seq", "rank")
 
 
 def test_counters_and_fan_out_stream(spark):
@@ -113,11 +112,50 @@ def test_latest_by_window_emits_closed_windows_only(spark):
     assert joined.where("value != v2 or seq != s2").count() == 0
 
 
-def test_snapshot_sinks_keep_two_versions(spark):
+def test_logs_hold_what_a_batch_changed_and_fold(spark, monkeypatch):
     from telemetra.streaming.live import _batch_dirs
 
+    monkeypatch.setattr(live, "FOLD_EVERY", 3)
     pays = adapters.value_payloads(adapters.read_table(spark, SMALL, "events"))
-    src, sink = land(spark, pays, files=4), scratch_path(spark, "snap")
+    src, sink = land_in_order(spark, pays, files=4), scratch_path(spark, "log")
     run(live.last_n(live.payload_stream(spark, src, "parquet", 1), sink, scratch_path(spark, "cp"), n=3))
     _, found = _batch_dirs(spark, sink)
-    assert len(found) == 2 and max(found) == 3
+    _, folded = _batch_dirs(spark, sink, "folded")
+    assert set(found) == {3} and set(folded) == {2}
+    wide = flatten.wide_metrics(pays)
+    hosts = {r["host"] for r in spark.read.parquet(f"{sink}/batch=3").select("host").distinct().collect()}
+    assert hosts <= {r["host"] for r in wide.select("host").distinct().collect()}
+    assert rows(live.read_last_n(spark, sink, 3), "host", "seq", "rank") == rows(views.last_n_per_host(wide, n=3), "host", "seq", "rank")
+
+
+def test_readers_pass_over_uncommitted_batches(spark):
+    sink = scratch_path(spark, "half")
+    spark.range(3).write.parquet(f"{sink}/batch=0")
+    spark.range(9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{sink}/batch=1")
+    assert live.latest_batch(spark, sink).count() == 3
+    assert live.read_log(spark, sink).count() == 3
+
+
+def test_replayed_batch_is_published_once(spark):
+    stage, base = scratch_path(spark, "stage"), scratch_path(spark, "base")
+    spark.range(10).selectExpr("id", "id % 2 as date").write.partitionBy("date").parquet(stage)
+    live._publish(spark, stage, base)
+    live._publish(spark, stage, base)
+    assert spark.read.parquet(base).count() == 10
+
+
+def test_stream_of_bare_millisecond_metrics_by_name(spark, tmp_path):
+    import json
+
+    from telemetra.schemas import FlattenOptions
+
+    land_dir = tmp_path / "in" / "deeper"
+    land_dir.mkdir(parents=True)
+    lines = [{"name": "system", "timestamp": 1700000000000 + i, "fields": {"cpu": float(i), "mem": 1}, "tags": {"host": "server-01"}} for i in range(3)]
+    lines.append({"name": "other", "timestamp": 1700000000000, "fields": {"cpu": 1.0}, "tags": {"host": "server-01"}})
+    (land_dir / "a.txt").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    sink = scratch_path(spark, "t4")
+    stream = live.payload_stream(spark, str(tmp_path / "in"))
+    run(live.filtered(stream, sink, scratch_path(spark, "cp"), "test_metric,system", {"host": "server-01"}, FlattenOptions(accept_bare=True, ts_unit="ms")))
+    out = spark.read.parquet(sink)
+    assert sorted((r["seq"]["row"], r["name"], r["fields"]["cpu"]) for r in out.collect()) == [(0, "system", 0.0), (1, "system", 1.0), (2, "system", 2.0)]

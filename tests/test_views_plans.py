@@ -89,30 +89,6 @@ def test_per_file_counts_neither_join_nor_broadcast(spark):
         assert "Join" not in p and "Broadcast" not in p
 
 
-def test_sizing_follows_the_input(spark):
-    from telemetra.session import input_bytes, size_for
-
-    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
-    try:
-        assert size_for(spark, 100 * 1024**4)["spark.sql.shuffle.partitions"] == "100000"  # 100 TiB, capped
-        assert size_for(spark, 1024**4)["spark.sql.shuffle.partitions"] == str(1024**4 // (128 * 1024**2))
-        small = size_for(spark, input_bytes(spark, f"{SMALL}/events.parquet"))
-        assert int(small["spark.sql.shuffle.partitions"]) == 2 * spark.sparkContext.defaultParallelism
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
-def test_spread_only_widens_narrow_inputs(spark):
-    from telemetra.session import spread
-
-    narrow = spark.read.parquet(f"{SMALL}/events.parquet")
-    assert narrow.rdd.getNumPartitions() == 1
-    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert spread(wide) is wide
-
-
 def test_readers_parse_each_line_once(spark):
     from telemetra.sources.labelled import labelled_points
     from telemetra.sources.points import read_jsonl_points
@@ -123,3 +99,12 @@ def test_readers_parse_each_line_once(spark):
     pts = flatten.flatten(adapters.fields_payloads(adapters.read_table(spark, SMALL, "events")))
     writers.write_points(pts, path, "jsonl")
     assert plan(read_jsonl_points(spark, path)).count("parseJson") == 1
+
+
+def test_hosts_by_tag_and_metrics_by_name(spark, payloads):
+    pays = payloads(
+        '{"metrics":[{"name":"a","timestamp":1,"value":1,"tags":{"host":"unknown"}},{"name":"a","timestamp":2,"value":1}]}',
+        '{"metrics":[{"name":"sys","timestamp":3,"fields":{"x":1,"y":2},"tags":{"host":"h"}}]}')
+    assert rows(views.distinct_hosts(flatten.flatten(pays)), "host") == [("h",), ("unknown",)]
+    assert views.recent(flatten.wide_metrics(pays), 5, "sys").count() == 1
+    assert views.recent(flatten.flatten(pays), 5, "sys").count() == 2
