@@ -12,9 +12,9 @@ weighted Jaccard similarity. Bands of ``ROWS`` coordinates meet in an equi-join.
 
 Candidates: texts with equal words are one node. In a band bucket every member is compared
 with the bucket's least node, never all with all. Buckets whose members are still in
-different components then compare those outside the largest component with the others, a
-growing number of them per round, until no two members of a bucket are both unlinked and
-uncompared. Each compared pair is checked exactly on the whole texts.
+different components then compare those outside the largest component with all others,
+counting common shingles over postings, so that links come out and no pairs. Every
+similarity is computed exactly on the whole texts.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^4)^24 = 3e-6.
 
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +42,8 @@ from telemetra.llm.common import WORD, map_rows, with_row_id, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-# Members per bucket compared with all others in the second round; doubled twice per round.
-PIVOTS = 8
+# Members of a bucket that are compared in one piece of work.
+BLOCK = 4000
 
 _WORD = re.compile(WORD)
 _U = np.uint64
@@ -200,16 +200,13 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, label``: the least node of each component, for nodes with links.
 
     Each round takes the least label among the neighbours, then the label's own label;
     every round is written, so lineage does not grow."""
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    start = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
-    if labels is not None:
-        start = start.join(labels.withColumnRenamed("label", "was"), "node", "left").select("node", F.least("label", "was").alias("label"))
-    now = written(start, "labels")
+    now = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = edges.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = now.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
@@ -221,12 +218,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return now
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, the greater node first."""
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def classes(sketch: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def classes(sketch: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``_row, label`` for every row of :func:`sketched`; the label is the least row of the
     class."""
     named = sketch.select("_row", "_key", "_size")
@@ -239,46 +231,97 @@ def classes(sketch: DataFrame, *, text_col: str = "text", threshold: float = THR
     near = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)  # noqa: E731  sizes that allow the similarity
 
     first = members.where((F.col("node") != F.col("pivot.node")) & near(F.col("size"), F.col("pivot.size")))
-    tested = written(first.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "minhash-tested")
-    links = written(verified(tested, texts, threshold), "minhash-links")
-    labels = components(links)
-    pivots = PIVOTS
-    while True:
-        split = written(_split_buckets(members, labels), "minhash-open")
-        widest = split.where("label != main").groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-        if not widest:
-            break
-        new = written(_untested(split, tested, pivots, near), "minhash-tested")
-        found = written(verified(new, texts, threshold), "minhash-links")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links, labels)
-        elif widest <= pivots:  # every member outside has met all others of its bucket
-            break
-        tested = tested.unionByName(new)
-        pivots *= 4
+    pairs = first.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct()
+    met = written(members.select("node").distinct(), "minhash-met")
+    labels = _joined(met, components(written(verified(pairs, texts, threshold), "minhash-links")))
+    rest = written(_linked_in_buckets(_split_buckets(members, labels), texts, threshold, block), "minhash-links")
+    labels = _relabelled(labels, rest)
     by_key = nodes.join(labels, "node", "left").select("_key", F.coalesce("label", "node").alias("label"))
     return named.join(by_key, "_key", "left").select("_row", F.coalesce("label", "_row").alias("label"))
 
 
 def _split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their label and the bucket's
-    largest one (``main``)."""
-    labelled = members.select("bucket", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """Members of buckets that hold several components, with their label, the bucket's
+    largest component (``main``), and how many members it has and how many outside that.
+
+    Of two members one is the pivot, so those pairs are compared already."""
+    labelled = members.select("bucket", "node").join(labels, "node")
     parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main")).where("parts > 1")
-    return labelled.join(split.select("bucket", "main"), "bucket")
-
-
-def _untested(split: DataFrame, tested: DataFrame, pivots: int, near) -> DataFrame:
-    """Pairs of a bucket in different components, not compared so far: the ``pivots`` least
-    members outside the bucket's largest component against the others."""
-    outside = split.where("label != main").select("bucket", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label"))
-    against = split.select("bucket", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("label").alias("a_label"))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("b"))
-    chosen = outside.withColumn("nth", nth).where(F.col("nth") <= pivots).drop("nth")
-    pairs = against.join(chosen, "bucket").where((F.col("a_label") != F.col("b_label")) & near(F.col("a_size"), F.col("b_size")))
-    return _ordered(pairs).join(tested, ["a", "b"], "left_anti")
+    split = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")).where("n > 2 and most < n")
+    return labelled.join(split.select("bucket", "main", "n", (F.col("n") - F.col("most")).alias("outside")), "bucket")
+
+
+def _linked_in_buckets(split: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links ``a, b`` between components: each member outside a bucket's largest component
+    against all other members, counted over postings, one link per component kept.
+
+    A bucket is one piece of work up to ``block`` members; a larger one is cut into blocks
+    of members and blocks of those outside, every pair of blocks a piece of its own."""
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    place = lambda o, m, role: F.struct(o.alias("o"), m.alias("m"), F.lit(role).alias("role"))
+    outside = F.col("label") != F.col("main")
+    single = F.array(place(F.lit(0), F.lit(0), 3))
+    several = F.concat(
+        F.transform(F.sequence(F.lit(0), blocks("outside") - 1), lambda o: place(o, own("n"), 1)),
+        F.when(outside, F.transform(F.sequence(F.lit(0), blocks("n") - 1), lambda m: place(own("outside"), m, 2))).otherwise(F.array().cast("array<struct<o:int,m:int,role:int>>")),
+    )
+    rows = split.withColumn("at", F.explode(F.when(F.col("n") <= block, single).otherwise(several)))
+    rows = rows.select("bucket", "at.o", "at.m", "node", "label", F.when(F.col("at.role") == 3, F.when(outside, 3).otherwise(1)).otherwise(F.col("at.role")).alias("role"))
+    whole = rows.join(texts, "node").select("bucket", "o", "m", "node", "label", "role", "text")
+    dealt = whole.repartition("bucket", "o", "m").sortWithinPartitions("bucket", "o", "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] != held[0][:3]:
+                    yield _links(held, threshold)
+                    held = []
+                held.append(row)
+        if held:
+            yield _links(held, threshold)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(rows: list[tuple], threshold: float) -> pa.RecordBatch:
+    """Links of one piece of work: ``(bucket, o, m, node, label, role, text)`` rows, role 1 a
+    member, 2 one outside, 3 both."""
+    number: dict[tuple, int] = {}
+    cells = []
+    for row in rows:
+        own = (tuple([s, k]) for s, n in shingles(_WORD.findall(row[6] or "")).items() for k in range(n))
+        cells.append(np.fromiter((number.setdefault(c, len(number)) for c in own), dtype=np.int64))
+    size = np.array([len(c) for c in cells])
+    member = np.array([row[5] & 1 for row in rows], dtype=bool)
+    label = np.array([row[4] for row in rows])
+    holder = np.repeat(np.flatnonzero(member), size[member])
+    cell = np.concatenate([c for c, m in zip(cells, member) if m] or [np.zeros(0, np.int64)])
+    order = np.argsort(cell, kind="stable")
+    posting, start = holder[order], np.searchsorted(cell[order], np.arange(len(number) + 1))
+    found: list[tuple[int, int]] = []
+    for i, row in enumerate(rows):
+        if not row[5] & 2 or not len(cells[i]):
+            continue
+        both = np.bincount(np.concatenate([posting[start[c] : start[c + 1]] for c in cells[i].tolist()]), minlength=len(rows))
+        near = np.flatnonzero(member & (label != label[i]) & (both >= threshold * (size[i] + size - both)))
+        for k in np.unique(label[near], return_index=True)[1]:
+            found.append((row[3], rows[near[k]][3]))
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+
+def _joined(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, label`` for every node that shares a bucket, its own label without links."""
+    return written(met.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after new links: components of the labels that the links join."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    merged = found.join(a, "a").join(b, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    into = components(merged).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    return written(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
 
 
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

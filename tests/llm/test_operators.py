@@ -258,13 +258,22 @@ def near_copies(seed, families=6, size=9):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_classes_against_all_pairs(spark, documents, monkeypatch, seed):
-    monkeypatch.setattr(minhash, "PIVOTS", 1)  # many rounds
+def test_classes_against_all_pairs(spark, documents, seed):
     docs = near_copies(seed)
     got = {r["doc_id"]: r["class_id"] for r in minhash.detect(documents(*docs)).collect()}
     assert got == plain_classes(docs)
 
 
+def test_links_within_buckets_in_blocks(spark):
+    docs = near_copies(7, families=2, size=14)
+    split = spark.createDataFrame([(9, i, i, 0, len(docs), len(docs) - 1) for i, _ in docs], "bucket bigint, node bigint, label bigint, main bigint, n bigint, outside bigint")
+    texts = spark.createDataFrame(docs, "node bigint, text string")
+    for block in (3, 1000):
+        links = minhash._linked_in_buckets(split, texts, minhash.THRESHOLD, block)
+        got = {r["node"]: r["label"] for r in minhash.components(links).collect()}
+        assert {i: got.get(i, i) for i, _ in docs} == plain_classes(docs)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng, sketcher, gap = random.Random(0), minhash.Sketcher(), []
     for _ in range(80):
