@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from telemetra.llm.common import written
 
-PASSAGE, WINDOW, ITEM_STEP = 32, 12, 2
+PASSAGE, WINDOW, STEP = 32, 12, 3
 RANK, SPARE, SEED = 40, 8, 11
 COSINE = 0.7
 # Part of an item's words found in order: enough alone, or enough with the whole answer.
@@ -64,8 +65,7 @@ class Vocabulary:
 
     def ids(self, text: str | None) -> np.ndarray:
         words = words_of(text)
-        get = self.number.get
-        return np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
+        return np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int32, count=len(words))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -147,10 +147,12 @@ def gram_times(numbers: DataFrame, idf: np.ndarray, other: float, right: np.ndar
                     continue
                 term, row = flat[part], passage[part]
                 starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                y = np.add.reduceat(weighted[term], starts, axis=0) / norm[row[starts]][:, None]
-                each = y[np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))]
-                for j in range(width):
-                    out[:, j] += np.bincount(term, weights=each[:, j], minlength=size)
+                y = np.add.reduceat(weighted[term], starts, axis=0) / norm[row[starts]][:, None].astype(np.float32)
+                number = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))
+                order = np.argsort(term.astype(np.uint16) if size <= 1 << 16 else term, kind="stable")
+                term = term[order]
+                first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                out[term[first]] += np.add.reduceat(y[number[order]], first, axis=0)
         out *= idf[:, None]
         seen = np.flatnonzero(np.abs(out).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(list(out[seen]), pa.list_(pa.float64()))], names=["term", "v"])
@@ -175,7 +177,7 @@ class Index:
         self.queries = {}
         for size in sorted({min(WINDOW, len(x)) for x in self.item_ids}):
             rows = [(no, at) for no, x in enumerate(self.item_ids) if min(WINDOW, len(x)) == size
-                    for at in sorted({*range(0, len(x) - size + 1, ITEM_STEP), len(x) - size})]
+                    for at in sorted({*range(0, len(x) - size + 1, STEP), len(x) - size})]
             v = np.stack([self.vectors[self.item_ids[no][at : at + size]].sum(0) for no, at in rows])
             self.queries[size] = (np.array(rows), _unit(v))
 
@@ -190,17 +192,21 @@ class Index:
         for size, (rows, queries) in self.queries.items():
             if len(ids) < size:
                 continue
-            share = np.sqrt((own[size:] - own[:-size]) / np.maximum(all_[size:] - all_[:-size], 1e-12))
-            at = np.flatnonzero(share >= COSINE)  # no other window can reach the threshold
+            # every STEP-th window, the last too: of a text's and an item's windows two are at
+            # most one word apart
+            begin = np.append(np.arange(0, len(ids) - size, STEP), len(ids) - size)
+            share = np.sqrt((own[begin + size] - own[begin]) / np.maximum(all_[begin + size] - all_[begin], 1e-12))
+            reach = share >= COSINE  # no other window can reach the threshold
+            at, share = begin[reach], share[reach]
             for k in range(0, len(at), 4096):
                 part = at[k : k + 4096]
                 grid = ids[part[:, None] + np.arange(size)]
                 v = self.vectors[np.maximum(grid, 0)]
                 v[grid < 0] = 0
-                cos = (_unit(v.sum(1)) @ queries.T) * share[part][:, None]
+                cos = (_unit(v.sum(1)) @ queries.T) * share[k : k + 4096][:, None]
                 for i, j in zip(*np.nonzero(cos >= COSINE)):
-                    no, begin = rows[j]
-                    found.setdefault(int(no), []).append((int(part[i] - begin), float(cos[i, j])))
+                    no, inside = rows[j]
+                    found.setdefault(int(no), []).append((int(part[i] - inside), float(cos[i, j])))
         return found
 
     def matches(self, ids: np.ndarray) -> list[tuple[int, float, float, bool, int]]:
