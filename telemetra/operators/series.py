@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from telemetra.constants import DUPLICATE_POLICIES
 from telemetra.functions.points import series_key, sorted_json_object
 from telemetra.schemas import SeriesOptions
+from telemetra.session import scratch_path
 
 # Arrival order: the payload or line, then the place inside it.
 ARRIVAL = ("seq", "pos")
@@ -93,13 +94,18 @@ def deduplicate(points: DataFrame, policy: str = "LAST", options: SeriesOptions
 
 def apply_retention(points: DataFrame, retention: int | None = None, options: SeriesOptions = SeriesOptions()) -> DataFrame:
     """R2: keep points no older than ``retention`` seconds before their series' newest
-    point. The per-series maximum is a partial aggregate joined back on the key (AQE
-    broadcasts it when its measured size allows, else shuffles both sides and splits
-    skewed keys)."""
+    point.
+
+    The keyed points are written once and read twice, so that their source is parsed once;
+    the per-series maximum is a partial aggregate joined back on the key (AQE broadcasts it
+    when its measured size allows, else shuffles both sides and splits skewed keys)."""
     retention = options.retention if retention is None else retention
     keyed = with_series_key(points, options)
     if retention is None:
         return keyed
+    path = scratch_path(points.sparkSession, "retention")
+    keyed.write.parquet(path)
+    keyed = points.sparkSession.read.schema(keyed.schema).parquet(path)
     newest = keyed.groupBy("series_key").agg(F.max("timestamp").alias("_newest"))
     return (
         keyed.join(newest, "series_key")
