@@ -4,7 +4,7 @@ A word stands for itself and its character n-grams, each hashed into a bucket wi
 embedding; a text is the mean over the n-grams of all its words, and a linear layer with a
 softmax gives the languages. Embeddings and layer are trained together by stochastic
 gradient descent in numpy on at most ``SAMPLE`` labelled rows (those of the least hash of
-their text, so the choice is the same at every run). A temperature and a rejection
+id and text, so the choice is the same at every run). A temperature and a rejection
 threshold are fitted on a part of that sample which the descent does not see.
 
 Scoring is linear, so a bucket's embedding times the layer is one small row per bucket; a
@@ -168,10 +168,14 @@ def train(rows: list[tuple[str, str]], *, buckets: int = BUCKETS, dim: int = DIM
 
 
 def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = SAMPLE) -> list[tuple[str, str]]:
-    """The labelled rows that are learned from: at most ``size``, by the hash of the text."""
+    """The labelled rows that are learned from: at most ``size``, those of the least hash of
+    id and text. Rows are counted first, so that about twice as many as needed are ordered
+    and the driver receives no more than those, however many tasks there are."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
-    return [(r["text"], r["lang"]) for r in rows.orderBy("h", "text", "lang").limit(size).collect()]
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 32)).alias("h"))
+    reach = min(1.0, (2 * size + 100) / max(1, rows.count()))
+    near = rows.where(F.col("h") <= int(reach * (1 << 32)))
+    return [(r["text"], r["lang"]) for r in near.orderBy("h", "text", "lang").limit(size).collect()]
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
