@@ -71,7 +71,7 @@ def _noisy(tag: str, attrs: str, in_body: bool) -> str:
     kind = ""
     if tag in NOISE or (tag == "header" and not in_body):
         kind = "firm" if tag in ("aside", "form", "dialog") else "noise"
-    if attrs and tag not in BODY | {"h1", "h2", "p"} or (attrs and tag in BODY):
+    if attrs:
         if re.search(r"(?:^|\s)hidden(?:\s|$|=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attrs):
             return "firm"
         for name, *values in _ATTR.findall(attrs):
@@ -158,9 +158,6 @@ def block_lines(page: str | None) -> list[tuple[str, bool]]:
     return [(line, True) for line, _, _ in found]
 
 
-LINES = "host string, path string, lines array<string>, doubtful array<boolean>"
-
-
 def page_lines(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``_row, _id, _url, host, path, lines, doubtful`` per page."""
     rows = with_row_id(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html")))

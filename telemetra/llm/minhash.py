@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemetra.llm.common import WORD, map_rows, with_row_id, written
+from telemetra.llm.common import WORD, with_row_id, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
