@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts become words, and words numbers of the benchmark's vocabulary (other words have none;
-they weigh on a passage's length only). A randomised singular value decomposition of the
+they weigh on a passage's length in the decomposition only, so their synonyms are out of
+reach). A randomised singular value decomposition of the
 TF-IDF matrix of all passages of the corpus, ``PASSAGE`` words each, gives every term a
 vector: two distributed passes compute (A'A)·Ω and (A'A)·Q as sums per term, and only
 terms × ``RANK`` numbers, bounded by the benchmark, reach the driver. In the search each
 window of ``WINDOW`` words of every text is held against all windows of the benchmark items
-by cosine in that space, times the share of its weight that the vocabulary covers. Windows
-above ``COSINE`` are candidates; around each, the longest common subsequence of words with
+by the cosine of their known words in that space, which does not depend on the size of the
+corpus. Windows above ``COSINE`` are candidates; around each, the longest common subsequence of words with
 the whole item decides, together with the item's answer (its last sentence) for paraphrases.
 
 Defined cases: null or empty texts and items match nothing. A document with an item several
@@ -30,7 +31,8 @@ from telemetra.llm.common import written
 
 PASSAGE, WINDOW, STEP = 32, 12, 3
 RANK, SPARE, SEED = 40, 8, 11
-COSINE = 0.7
+# One in ``KNOWN`` words of a window must be in the vocabulary.
+COSINE, KNOWN = 0.7, 3
 # Part of an item's words found in order: enough alone, or enough with the whole answer.
 SAME, SAME_WITH_ANSWER = 0.75, 0.5
 # Words of an answer at most; an item without a sentence end before it has its last quarter.
@@ -166,12 +168,11 @@ def gram_times(numbers: DataFrame, idf: np.ndarray, other: float, right: np.ndar
 
 
 class Index:
-    """What the search needs: term vectors, weights and the windows of the items."""
+    """What the search needs: term vectors and the windows of the items."""
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, other: float, vectors: np.ndarray):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, vectors: np.ndarray):
         self.vocabulary = vocabulary
         self.vectors = (vectors * idf[:, None]).astype(np.float32)
-        self.energy = np.append(np.square(idf), other**2)
         self.item_ids = [vocabulary.ids(text) for _, text in vocabulary.items]
         self.answers = [[vocabulary.number[w] for w in answer_of(text)] for _, text in vocabulary.items]
         self.queries = {}
@@ -186,24 +187,20 @@ class Index:
         found: dict[int, list[tuple[int, float]]] = {}
         if not len(ids):
             return found
-        energy = self.energy[ids]
-        all_ = np.concatenate([[0.0], np.cumsum(energy)])
-        own = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, energy, 0.0))])
+        own = np.concatenate([[0], np.cumsum(ids >= 0)])
         for size, (rows, queries) in self.queries.items():
             if len(ids) < size:
                 continue
             # every STEP-th window, the last too: of a text's and an item's windows two are at
             # most one word apart
             begin = np.append(np.arange(0, len(ids) - size, STEP), len(ids) - size)
-            share = np.sqrt((own[begin + size] - own[begin]) / np.maximum(all_[begin + size] - all_[begin], 1e-12))
-            reach = share >= COSINE  # no other window can reach the threshold
-            at, share = begin[reach], share[reach]
+            at = begin[(own[begin + size] - own[begin]) * KNOWN >= size]
             for k in range(0, len(at), 4096):
                 part = at[k : k + 4096]
                 grid = ids[part[:, None] + np.arange(size)]
                 v = self.vectors[np.maximum(grid, 0)]
                 v[grid < 0] = 0
-                cos = (_unit(v.sum(1)) @ queries.T) * share[k : k + 4096][:, None]
+                cos = _unit(v.sum(1)) @ queries.T
                 for i, j in zip(*np.nonzero(cos >= COSINE)):
                     no, inside = rows[j]
                     found.setdefault(int(no), []).append((int(part[i] - inside), float(cos[i, j])))
@@ -265,7 +262,7 @@ def build(numbers: DataFrame, vocabulary: Vocabulary, rank: int = RANK) -> Index
     top = np.argsort(-values)[: min(rank, size)]
     # sphered: each latent direction counts alike, or frequent words would decide
     scale = 1 / np.sqrt(np.maximum(values[top], 1e-9 * max(values.max(), 1e-30)))
-    return Index(vocabulary, idf, other, (q @ turn[:, top]) * scale)
+    return Index(vocabulary, idf, (q @ turn[:, top]) * scale)
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[tuple]:
