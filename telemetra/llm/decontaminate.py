@@ -6,9 +6,10 @@ reach). A randomised singular value decomposition of the
 TF-IDF matrix of all passages of the corpus, ``PASSAGE`` words each, gives every term a
 vector: two distributed passes compute (A'A)·Ω and (A'A)·Q as sums per term, and only
 terms × ``RANK`` numbers, bounded by the benchmark, reach the driver. In the search each
-window of ``WINDOW`` words of every text is held against all windows of the benchmark items
+window of ``WINDOW`` words of every text is held against each window of the benchmark items
 by the cosine of their known words in that space, which does not depend on the size of the
-corpus. Windows above ``COSINE`` are candidates; around each, the longest common subsequence of words with
+corpus; pairs are left out only where the text around has fewer words of the item than the
+verdict below needs. Windows above ``COSINE`` are candidates; around each, the longest common subsequence of words with
 the whole item decides, together with the item's answer (its last sentence) for paraphrases.
 
 Defined cases: null or empty texts and items match nothing. A document with an item several
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 
 from telemetra.llm.common import written
 
-PASSAGE, WINDOW, STEP = 32, 12, 3
+PASSAGE, WINDOW = 32, 12
 RANK, SPARE, SEED = 40, 8, 11
 # One in ``KNOWN`` words of a window must be in the vocabulary.
 COSINE, KNOWN = 0.7, 3
+# (word, item) pairs that a task holds at a time.
+PAIRS = 1_000_000
 # Part of an item's words found in order: enough alone, or enough with the whole answer.
 SAME, SAME_WITH_ANSWER = 0.75, 0.5
 # Words of an answer at most; an item without a sentence end before it has its last quarter.
@@ -168,42 +171,75 @@ def gram_times(numbers: DataFrame, idf: np.ndarray, other: float, right: np.ndar
 
 
 class Index:
-    """What the search needs: term vectors and the windows of the items."""
+    """What the search needs: term vectors, words and windows of the items."""
 
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, vectors: np.ndarray):
         self.vocabulary = vocabulary
-        self.vectors = (vectors * idf[:, None]).astype(np.float32)
+        self.vectors = np.append(vectors * idf[:, None], np.zeros((1, vectors.shape[1])), axis=0).astype(np.float32)  # -1 is the last
         self.item_ids = [vocabulary.ids(text) for _, text in vocabulary.items]
         self.answers = [[vocabulary.number[w] for w in answer_of(text)] for _, text in vocabulary.items]
-        self.queries = {}
-        for size in sorted({min(WINDOW, len(x)) for x in self.item_ids}):
-            rows = [(no, at) for no, x in enumerate(self.item_ids) if min(WINDOW, len(x)) == size
-                    for at in sorted({*range(0, len(x) - size + 1, STEP), len(x) - size})]
-            v = np.stack([self.vectors[self.item_ids[no][at : at + size]].sum(0) for no, at in rows])
-            self.queries[size] = (np.array(rows), _unit(v))
+        self.queries = [_unit(_sums(self.vectors[x], min(WINDOW, len(x)))) for x in self.item_ids]
+        n = np.array([len(x) for x in self.item_ids])
+        self.slack = np.maximum(4, n // 4)
+        # of a part of ``span`` words at least ``least`` must be an item's, or no verdict accepts it
+        self.span, self.least = n + 2 * self.slack, np.ceil(SAME_WITH_ANSWER * n).astype(np.int64)
+        held = [(t, no, k) for no, x in enumerate(self.item_ids) for t, k in zip(*np.unique(x, return_counts=True))]
+        term, self.item_at, self.times = (np.array(c, dtype=np.int64) for c in zip(*sorted(held)))
+        self.n_items = np.append(np.bincount(term, minlength=len(vocabulary.number)), 0)
+        self.first_item = np.cumsum(self.n_items) - self.n_items
+
+    def parts(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last): all places from where ``span`` words of the text hold
+        ``least`` words of the item, runs of places together."""
+        load = np.cumsum(self.n_items[ids])
+        at = 0
+        while at < len(ids):
+            # pieces with a bounded number of (word, item) pairs, overlapping by the longest span
+            end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + PAIRS)))
+            yield from self._parts(ids[at : end + int(self.span.max())], at)
+            at = end
+
+    def _parts(self, ids: np.ndarray, at: int) -> Iterator[tuple[int, int, int]]:
+        n = self.n_items[ids]
+        place = np.repeat(np.arange(len(ids)), n)
+        held = np.arange(len(place)) + np.repeat(self.first_item[ids] - (np.cumsum(n) - n), n)
+        item = self.item_at[held]
+        order = np.argsort(item.astype(np.uint16) if len(self.item_ids) <= 1 << 16 else item, kind="stable")
+        item, place, held = item[order], place[order], held[order]
+        upto = np.arange(len(item)) + self.least[item] - 1
+        enough = np.flatnonzero(upto < len(item))
+        enough = enough[item[upto[enough]] == item[enough]]
+        enough = enough[place[upto[enough]] - place[enough] < self.span[item[enough]]]
+        if not len(enough):
+            return
+        no, last = item[enough], place[enough]
+        first = place[upto[enough]] - self.span[no] + 1
+        cut = np.concatenate([[True], (no[1:] != no[:-1]) | (first[1:] > last[:-1] + 1)])
+        start, stop = np.flatnonzero(cut), np.append(np.flatnonzero(cut)[1:], len(no)) - 1
+        # repeats of a word count as often as the item has it
+        begin, size = enough[start], upto[enough[stop]] + 1 - enough[start]
+        run = np.repeat(np.arange(len(start)), size)
+        words, count = np.unique(run * len(self.item_at) + held[np.arange(len(run)) + np.repeat(begin - (np.cumsum(size) - size), size)], return_counts=True)
+        most = np.bincount(words // len(self.item_at), weights=np.minimum(count, self.times[words % len(self.item_at)]), minlength=len(start))
+        for k in np.flatnonzero(most >= self.least[no[start]]):
+            yield int(no[start[k]]), int(first[start[k]]) + at, int(last[stop[k]]) + at
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, float]]]:
         """Per item: places where it would start, with the cosine that says so."""
         found: dict[int, list[tuple[int, float]]] = {}
-        if not len(ids):
-            return found
-        own = np.concatenate([[0], np.cumsum(ids >= 0)])
-        for size, (rows, queries) in self.queries.items():
-            if len(ids) < size:
-                continue
-            # every STEP-th window, the last too: of a text's and an item's windows two are at
-            # most one word apart
-            begin = np.append(np.arange(0, len(ids) - size, STEP), len(ids) - size)
-            at = begin[(own[begin + size] - own[begin]) * KNOWN >= size]
-            for k in range(0, len(at), 4096):
-                part = at[k : k + 4096]
-                grid = ids[part[:, None] + np.arange(size)]
-                v = self.vectors[np.maximum(grid, 0)]
-                v[grid < 0] = 0
-                cos = _unit(v.sum(1)) @ queries.T
+        for no, first, last in self.parts(ids):
+            queries, slack = self.queries[no], int(self.slack[no])
+            size = min(WINDOW, len(self.item_ids[no]))
+            # every window of the text that is a window of the item with a start in the run
+            lo, hi = max(0, first + slack), min(len(ids) - size, last + slack + len(queries) - 1)
+            for k in range(lo, hi + 1, 4096):
+                part = ids[k : min(hi + 1, k + 4096) + size - 1]
+                known = np.convolve(part >= 0, np.ones(size, dtype=np.int64), "valid")
+                cos = _unit(_sums(self.vectors[part], size)) @ queries.T
+                cos[known * KNOWN < size] = 0
                 for i, j in zip(*np.nonzero(cos >= COSINE)):
-                    no, inside = rows[j]
-                    found.setdefault(int(no), []).append((int(part[i] - inside), float(cos[i, j])))
+                    if first + slack <= k + i - j <= last + slack:
+                        found.setdefault(no, []).append((int(k + i - j), float(cos[i, j])))
         return found
 
     def matches(self, ids: np.ndarray) -> list[tuple[int, float, float, bool, int]]:
@@ -213,7 +249,7 @@ class Index:
         for no, places in sorted(self.candidates(ids).items()):
             item, answer = self.item_ids[no], self.answers[no]
             best, done = None, set()
-            slack = max(4, len(item) // 4)
+            slack = int(self.slack[no])
             for start, cos in sorted(places, key=lambda p: -p[1]):
                 if start // slack in done:  # a place next to one that was looked at
                     continue
@@ -229,6 +265,13 @@ class Index:
         return out
 
 
+def _sums(v: np.ndarray, size: int) -> np.ndarray:
+    """Sums of each ``size`` rows in a row."""
+    sums = np.zeros((len(v) + 1, v.shape[1]))
+    np.cumsum(v, axis=0, dtype=np.float64, out=sums[1:])
+    return (sums[size:] - sums[:-size]).astype(np.float32)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 

@@ -48,3 +48,34 @@ def test_replaced_words_are_found_at_any_corpus_size(index_at, times):
     for rate, least in ((0.1, 0.95), (0.15, 0.95), (0.2, 0.95), (0.25, 0.9)):
         found = [no in {m[0] for m in index.matches(ids)} for no, ids in altered_items(index, rate, 3)]
         assert np.mean(found) >= least, (rate, np.mean(found), len(found))
+
+
+def test_every_window_is_searched(index_at):
+    """Against all pairs of windows: no place that a verdict could accept is left out."""
+    index = index_at(1)
+    seen = 0
+    for no, ids in altered_items(index, 0.2, 8):
+        item = index.item_ids[no]
+        size, slack = min(decontaminate.WINDOW, len(item)), max(4, len(item) // 4)
+        cut = lambda x, at: index.vectors[[t for t in x[at : at + size] if t >= 0]].sum(0)
+        got = {start for start, _ in index.candidates(ids).get(no, [])}
+        for i in range(len(ids) - size + 1):
+            if (ids[i : i + size] >= 0).sum() * decontaminate.KNOWN < size:
+                continue
+            for j in range(len(item) - size + 1):
+                a, b = cut(ids, i), cut(item, j)
+                part = ids[max(0, i - j - slack) : max(0, i - j + len(item) + slack)].tolist()
+                if a @ b >= (decontaminate.COSINE + 1e-4) * np.linalg.norm(a) * np.linalg.norm(b) \
+                        and decontaminate.common(item.tolist(), part) >= decontaminate.SAME_WITH_ANSWER * len(item):
+                    assert i - j in got, (no, i, j)
+                    seen += 1
+    assert seen > 1000
+
+
+def test_search_in_pieces_equals_the_whole(index_at, monkeypatch):
+    index = index_at(1)
+    texts = [ids for _, ids in altered_items(index, 0.1, 4)]
+    text = np.concatenate(texts)
+    whole = [m[0] for m in index.matches(text)]
+    monkeypatch.setattr(decontaminate, "PAIRS", 300)
+    assert [m[0] for m in index.matches(text)] == whole and len(whole) >= 0.95 * len(texts)
