@@ -3,7 +3,8 @@
 Spans are found per kind, leftmost and non-overlapping, as code point offsets (end
 exclusive). The value of every span is hashed, and the hashes are counted over the whole
 corpus by distinct repository and owner: a value that several owners share is a copied
-example, one that a single owner uses and that looks random is a live credential.
+example, one that a single owner uses and that looks random is a live credential. The span
+of a private key is its whole block and its value the base64 body.
 
 Defined cases: null text counts as empty; a null owner or repository counts as one of its
 own name (the empty one); equal rows are scanned one by one, but count once per owner; an
@@ -32,6 +33,11 @@ OWN_KINDS = [
     ("keyblock", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
 ]
 KINDS = BASE_KINDS + OWN_KINDS
+# A key block goes on to its END line or, without one before the next dashes, over the key
+# headers and base64 text that follow. Atomic, so other dashes never stand inside a block.
+KEY_LINE = "-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----"
+KEY_REST = ("(?:(?>(?s:.*?)(?=-----|\\z))-----END [A-Z ]*PRIVATE KEY-----"
+            "|(?:\\s*[A-Za-z][A-Za-z0-9-]*: [^\\r\\n]*[\\r\\n]+){0,4}+[A-Za-z0-9+/=\\s\\\\]*+)")
 SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,value:string>>"
 # A value used by at least so many distinct owners is a copied example.
 COPIED_OWNERS = 3
@@ -41,9 +47,16 @@ LIVE_CHARS = 8
 
 def spans_of(text: Column, no: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of one kind: the pieces between the matches and the matches give the offsets."""
+    header = pattern
+    if kind == "keyblock":
+        pattern += KEY_REST
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if kind == "keyblock":
+        # the base64 text, however its lines are broken; a header with no key has itself
+        body = lambda w: F.regexp_replace(F.regexp_replace(w, KEY_LINE, ""), "\\\\[nrt]|[^A-Za-z0-9+/=]", "")
+        value = F.transform(whole, lambda w: F.when(F.length(body(w)) >= least, body(w)).otherwise(F.regexp_extract(w, header, 0)))
     size = lambda c: F.length(c).cast("bigint")
 
     def step(acc: Column, x: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from telemetra.llm import decontaminate
+from telemetra.llm import decontaminate, secrets
 from telemetra.llm.common import table
 
 from llm_fixtures import documents  # noqa: F401
@@ -79,3 +79,35 @@ def test_search_in_pieces_equals_the_whole(index_at, monkeypatch):
     whole = [m[0] for m in index.matches(text)]
     monkeypatch.setattr(decontaminate, "PAIRS", 300)
     assert [m[0] for m in index.matches(text)] == whole and len(whole) >= 0.95 * len(texts)
+
+
+# ---------------------------------------------------------------- 10 secrets
+
+def key_block(seed, end="-----END RSA PRIVATE KEY-----", line="\n"):
+    rng = random.Random(seed)
+    body = ["".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=64)) for _ in range(5)]
+    return line.join(["-----BEGIN RSA PRIVATE KEY-----", *body, end])
+
+
+def test_private_keys_are_judged_and_masked_by_their_body(documents):
+    sample = key_block(0)
+    rows = [(i, f"see {sample} here", "en", f"s{i}") for i in range(4)]
+    rows += [(10 + i, f"mine {key_block(10 + i)} stays", "en", f"s{i}") for i in range(4)]
+    rows += [(20, "cut off " + key_block(20, end=""), "en", "s1"), (21, "json " + key_block(21, line="\\n") + " stays", "en", "s1")]
+    rows += [(30, "starts with '-----BEGIN RSA PRIVATE KEY-----', see version 12 of this text", "en", "s1")]
+    rows += [(31, "'-----BEGIN PRIVATE KEY-----' and " + key_block(31) + " stays", "en", "s1")]
+    rows += [(32, "Proc " + key_block(32).replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n", 1) + " stays", "en", "s1")]
+    rows += [(33, "crlf " + key_block(0, line="\r\n") + " here", "en", "s9")]
+    docs = documents(*rows)
+    got = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in secrets.scan(docs).collect() if r["doc_id"] not in (30, 31)}
+    assert got == {**{i: (0, 1) for i in (0, 1, 2, 3, 33)}, **{i: (1, 0) for i in (10, 11, 12, 13, 20, 21, 32)}}
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert all(text[i] == f"see {sample} here" for i in range(4)) and text[30] == rows[10][1]
+    assert all(text[10 + i] == "mine [secret] stays" for i in range(4))
+    assert (text[20], text[21], text[32]) == ("cut off [secret]", "json [secret] stays", "Proc [secret] stays")
+    assert text[31] == "'-----BEGIN PRIVATE KEY-----' and [secret] stays"
+
+
+def test_a_key_header_before_many_dashes(documents):
+    text = "-----BEGIN PRIVATE KEY-----'" + " -- - ---" * 200_000
+    assert [len(r["spans"]) for r in secrets.scan(documents((1, text))).collect()] == [1]
