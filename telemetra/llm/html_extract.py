@@ -5,13 +5,15 @@ Markup gives each page's block lines and sorts them: *noise* (menus, page header
 sidebars, notices, adverts, forms, comments, by element, role or class) goes; *body* lines
 stand inside an ``article`` or ``main`` element; the lines of a page without such an element
 and body lines made mostly of links are *doubtful*. Pages are ordered by path within their
-host, aligned with the page before and after by longest common subsequence of lines, and
-doubtful lines that a neighbour shares are deleted. A neighbour that shares nearly all of
-the page's lines is a copy of it and says nothing about boilerplate.
+host, aligned with the nearest page before and after that has other lines by longest common
+subsequence of lines, and doubtful lines that a neighbour shares are deleted. A neighbour
+that shares nearly all of the page's text (characters, not lines, as menus have many short
+lines) is a near copy of it and says nothing about boilerplate.
 
-The ordering moves one 64-bit hash per line, not the texts. Pages get consecutive numbers
-from a range-partitioned sort and are compared in overlapping blocks of ``BLOCK`` pages, so a
-host that holds a third of all pages is spread like any other rows.
+The ordering moves a 64-bit hash and a length per line, not the texts. Runs of pages with
+equal lines get consecutive numbers from a range-partitioned sort, and a page of each run is
+compared in overlapping blocks of ``BLOCK`` runs, so a host that holds a third of all pages
+is spread like any other rows, and the verdict does not change with the number of copies.
 
 Defined cases: null or empty html gives an empty text; pages of one host and path are
 ordered by page id, then input order; a null URL counts as the empty host; a page alone in
@@ -36,7 +38,7 @@ from telemetra.llm.common import map_rows, with_row_id, written
 from telemetra.llm.url_filter import host_of, path_of
 
 BLOCK = 16
-# Share of a page's lines from which a neighbour counts as its copy; share of a line's
+# Share of a page's text from which a neighbour counts as its copy; share of a line's
 # characters inside links from which the line is doubtful.
 COPY_SHARE, LINK_SHARE = 0.8, 0.6
 
@@ -208,53 +210,67 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """``_row, host, hashes, number``: consecutive numbers by host, path, id and row."""
-    keys = lines.select("_row", "_id", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    """``_row, host, hashes, sizes, part, run, head, number``: pages by host, path, id and row;
+    a consecutive ``number`` per run of pages of a host with equal lines, of which ``run`` is
+    the count within the partition and ``head`` the first page there."""
+    keys = lines.select("_row", "_id", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.length(x)).alias("sizes"))
     order = ["host", "path", "_id", "_row"]
-    spread = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("_row", "host", "hashes")
-    schema = T.StructType([*spread.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType())])
+    same = F.xxhash64("host", "hashes")
+    spread = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("_row", "host", "hashes", "sizes", same.alias("same"))
+    added = T._parse_datatype_string("part int, run bigint, head boolean").fields
+    schema = T.StructType([*spread.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
+        part, at, last = TaskContext.get().partitionId(), -1, None
         for batch in batches:
-            n = batch.num_rows
+            runs, heads = [], []
+            for same in batch.column(4).to_pylist():
+                heads.append(same != last)
+                at, last = at + (same != last), same
+                runs.append(at)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([part] * n, pa.int32()), pa.array(range(done, done + n), pa.int64())], names=schema.names)
-            done += n
+                [*batch.columns, pa.array([part] * len(runs), pa.int32()), pa.array(runs, pa.int64()), pa.array(heads, pa.bool_())], names=schema.names)
 
     placed = written(spread.mapInArrow(run, schema), "page-order")
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return placed.join(first, "part").select("_row", "host", "hashes", (F.col("first") + F.col("local")).alias("number"))
+    edges = placed.groupBy("part").agg(F.max("run").alias("last"), F.min_by("same", "run").alias("opens"), F.max_by("same", "run").alias("ends"))  # a row per partition
+    order_ = Window.orderBy("part")
+    before = order_.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a run that goes on from the partition before keeps its number
+    goes_on = F.coalesce((F.col("opens") == F.lag("ends").over(order_)).cast("bigint"), F.lit(0))
+    edges = edges.withColumn("goes_on", goes_on)
+    first = edges.select("part", (F.sum(F.col("last") + 1 - F.col("goes_on")).over(before) - F.col("last") - 1).alias("first"))
+    return placed.join(first, "part").select("_row", "host", "hashes", "sizes", "part", "run", "head", (F.col("first") + F.col("run")).alias("number"))
 
 
 def shared_lines(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """``_row, shared``: positions of lines that a page shares with a neighbour."""
     pages = numbered(lines)
     home = F.floor(F.col("number") / block)
-    # each block also holds the page before its first and the page after its last
-    blocks = pages.withColumn("block", F.explode(F.array_distinct(F.array(
+    # each block also holds the run before its first and the run after its last
+    blocks = pages.where("head").withColumn("block", F.explode(F.array_distinct(F.array(
         home, F.floor((F.col("number") - 1) / block), F.floor((F.col("number") + 1) / block)))))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("number")
-        own = list(zip(part["_row"], part["host"], [list(h) for h in part["hashes"]], part["number"], part["block"]))
+        heads = [list(g) for _, g in part.groupby("number")[["part", "run"]].apply(lambda g: list(zip(g["part"], g["run"]))).items()]
+        alone = part.drop_duplicates("number")
+        own = list(zip(alone["host"], [list(h) for h in alone["hashes"]], [list(z) for z in alone["sizes"]], alone["number"], alone["block"]))
         out = []
-        for i, (row, host, hashes, number, at) in enumerate(own):
+        for i, (host, hashes, sizes, number, at) in enumerate(own):
             if number // block != at:
                 continue
             shared: set[int] = set()
             for j in (i - 1, i + 1):
-                if 0 <= j < len(own) and own[j][1] == host:
-                    same = common_lines(hashes, own[j][2])
-                    if len(same) < COPY_SHARE * max(len(hashes), len(own[j][2])):
+                if 0 <= j < len(own) and own[j][0] == host:
+                    same = common_lines(hashes, own[j][1])
+                    if sum(sizes[x] for x in same) < COPY_SHARE * max(sum(sizes), sum(own[j][2])):
                         shared |= same
             if shared:
-                out.append((row, sorted(shared)))
-        return pd.DataFrame(out, columns=["_row", "shared"])
+                out += [(*head, sorted(shared)) for head in heads[i]]
+        return pd.DataFrame(out, columns=["part", "run", "shared"])
 
-    return blocks.groupBy("block").applyInPandas(compare, "_row bigint, shared array<int>")
+    found = blocks.groupBy("block").applyInPandas(compare, "part int, run bigint, shared array<int>")
+    return pages.select("_row", "part", "run").join(found, ["part", "run"]).select("_row", "shared")
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

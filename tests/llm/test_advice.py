@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from telemetra.llm import decontaminate, secrets
+from telemetra.llm import decontaminate, html_extract, secrets
 from telemetra.llm.common import table
 
 from llm_fixtures import documents  # noqa: F401
@@ -111,3 +111,15 @@ def test_private_keys_are_judged_and_masked_by_their_body(documents):
 def test_a_key_header_before_many_dashes(documents):
     text = "-----BEGIN PRIVATE KEY-----'" + " -- - ---" * 200_000
     assert [len(r["spans"]) for r in secrets.scan(documents((1, text))).collect()] == [1]
+
+
+# ---------------------------------------------------------------- 8 HTML extraction
+
+@pytest.mark.parametrize("copies", [1, 2, 40])
+def test_copies_do_not_hide_the_boilerplate(spark, copies):
+    menu = "".join(f"<p>Menu {i}</p>" for i in range(9))
+    page = lambda k: f"<body>{menu}<p>{f'own text of page {k} that no other page has, ' * 6}</p></body>"
+    rows = [(k * 100 + c, f"http://a.org/{k}/{c:03}", page(k)) for k in range(4) for c in range(copies)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    got = {r["page_id"]: [x[:18] for x in r["lines"]] for r in html_extract.extract(pages).collect()}
+    assert got == {i: [f"own text of page {i // 100}"] for i, _, _ in rows}
