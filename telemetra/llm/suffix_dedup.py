@@ -1,9 +1,8 @@
-"""Repeated byte strings by distributed prefix doubling over sampled positions.
+"""Repeated byte strings by winnowing with window hashes, in place of prefix doubling.
 
 Every byte covered by a ``LENGTH``-byte string that also starts anywhere else in the corpus
-is removed. As in suffix-array construction, positions carry ranks of ever longer prefixes
-and drop out once their rank is unique; the rank of a prefix is its 64-bit name, so pairs of
-ranks combine without a global sort.
+is removed. Positions are ranked by 64-bit names (hashes) of ``HALF`` and then of ``LENGTH``
+bytes, and drop out once their name is unique; there is no global sort.
 
 1. In each text the names of ``HALF`` bytes are built for all positions. A window of
    ``LENGTH`` bytes is represented by the position of the least name inside it; equal
@@ -12,8 +11,8 @@ ranks combine without a global sort.
 2. Spark groups (name, zone name) pairs: zones that occur twice are past the threshold,
    representatives with a unique name drop out with all their windows.
 3. Zones that meet an equal name in a different zone go on, one of each kind: Spark deals
-   and sorts them by name, and within a name the windows, pairs of names at offset ``HALF``,
-   are ranked again at full length. Names with more than ``GROUP`` zones are ranked window
+   and sorts them by name, and within a name the windows are
+   named again at full length. Names with more than ``GROUP`` zones are ranked window
    by window in a distributed aggregation instead.
 4. The covered runs of each text are joined and cut out.
 
