@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import decontaminate, html_extract, langid, license_scan, minhash, packing, quality_rules, secrets, suffix_dedup, url_filter
+from telemetra.llm import (
+    conversation_sql,
+    decontaminate,
+    html_extract,
+    langid,
+    license_scan,
+    minhash,
+    packing,
+    prefix_trie,
+    quality_rules,
+    secrets,
+    shortest_pack,
+    structure_repair,
+    suffix_dedup,
+    url_filter,
+)
 from telemetra.llm.common import table
 
 
@@ -89,6 +104,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its audit per conversation, after the query's damage."""
+    return structure_repair.repair(structure_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.rebuilt_keys(prefix_trie.turn_ids(table(spark, sf_dir, "conversations"))))
+
+
+def op13_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in padded sequences."""
+    return shortest_pack.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def _op4_sql() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
     return f"""
@@ -142,9 +172,14 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scans": op10_secret_scans,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_shortest_pack": op13_shortest_pack,
 }
 
 ORACLE = {
     "op4_url_filters": _op4_sql(),
     "op10_secret_scans": _op10_sql(),
+    "op11_structure_repair": conversation_sql.STRUCTURE_REPAIR,
+    "op12_prefix_trie": conversation_sql.PREFIX_TRIE,
 }
