@@ -37,7 +37,7 @@ CAPACITY, END_ID = 1024, 0
 # Padding from which a pack is mended. It bounds the cuts of a tail, and so the plan.
 LOOSE = 16
 # Chunks whose ids a Python worker keeps; beyond it that memory starts anew.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 800_000
 
 
 # ---------------------------------------------------------------- ids
@@ -46,8 +46,9 @@ CACHE_CHUNKS = 600_000
 # boundaries of these are boundaries of the byte-level pre-tokenizer too.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-# Letters, then ASCII marks but the apostrophe: always parted by the pre-tokenizer.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+# ASCII marks but the apostrophe: the pre-tokenizer always parts them from a letter before.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_LAST_LETTER = "\u024f"
 
 
 class ChunkIds:
@@ -87,21 +88,24 @@ class ChunkIds:
             else:
                 self.known.update(zip(part, (x.tobytes() for x in self._ids(part))))
 
-    def _learn(self, chunks: set[str]) -> None:
-        known, rest, made, space = self.known, set(), [], []
+    def _learn(self, chunks: set[str], before: str = "") -> dict[str, bytes]:
+        """Ids of the chunks, ``before`` in front of each. Words, marks and odd chunks are kept;
+        what is made of a word and its marks is not."""
+        known, plain, made = self.known, set(), []
         for chunk in chunks:
-            m = _PLAIN.fullmatch(chunk)
-            if m:
-                made.append((chunk, *m.groups()))
-                rest.update(m.groups())
-            elif chunk.isspace():
-                space.append(chunk)
+            word = chunk.rstrip(_MARKS)
+            if len(word) < len(chunk) and word and word[-1].isalpha() and word[-1] <= _LAST_LETTER:
+                made.append((chunk, before + word, chunk[len(word) :]))
+                plain.add(made[-1][1])
+                plain.add(made[-1][2])
             else:
-                rest.add(chunk)
+                plain.add(before + chunk)
+        new = [c for c in plain if c not in known]
+        space = [c for c in new if c.isspace()]
         known.update(zip(space, (x.tobytes() for x in self._ids(space))))
-        self._tokenize([c for c in rest if c not in known])
-        for chunk, word, marks in made:
-            known[chunk] = known[word] + known[marks]
+        self._tokenize([c for c in new if c not in known] if space else new)
+        found = {chunk: known[word] + known[marks] for chunk, word, marks in made}
+        return found | {c: known[before + c] for c in chunks if c not in found}
 
     def _even(self, text: str) -> bool:
         """Blanks and line feeds only, each between two words."""
@@ -111,26 +115,26 @@ class ChunkIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return [x.tobytes() for x in self._ids(texts)]
+        if len(self.spaced) > CACHE_CHUNKS:
+            self.spaced = {}
         if len(self.known) > CACHE_CHUNKS:
-            self.spaced, self.known = {}, {"": b""}
-        lines, chunks, whole, words, new = {}, {}, {}, set(), set()
+            self.known = {"": b""}
+        lines, chunks, whole, words, bare = {}, {}, {}, set(), set()
         for i, text in enumerate(texts):
             if any(t in text for t in self.added):
                 whole[i] = self._ids([text])[0].tobytes()
             elif self._even(text):
                 lines[i] = [line.split(" ") for line in text.split("\n")]
                 for line in lines[i]:
-                    new.add(line[0])
+                    bare.add(line[0])
                     words.update(line[1:])
             else:
                 chunks[i] = _CHUNK.findall(text)
-                new.update(chunks[i])
-        words.difference_update(self.spaced)
-        new.update(" " + w for w in words)
-        self._learn(new.difference(self.known))
+                bare.update(chunks[i])
         known, spaced, feed = self.known, self.spaced, np.array([self.feed], dtype="<u4").tobytes()
-        for w in words:
-            spaced[w] = known[" " + w]
+        words, bare = words.difference(spaced), bare.difference(known)
+        known.update(self._learn(bare))
+        spaced.update(self._learn(words, " "))
         get, after = known.__getitem__, spaced.__getitem__
         out = []
         for i in range(len(texts)):
