@@ -60,20 +60,17 @@ def query_summary(spark: SparkSession, base: str, metric: str | None = None, sta
 def recent_metrics(spark: SparkSession, base: str, name: str | None = None, limit: int = 100, fmt: str = "parquet") -> DataFrame:
     """The newest ``limit`` metrics as wide rows ``name, timestamp, host, tags_json, fields``.
 
-    A named metric is put together again from its stored points, ``name`` (as field
-    ``value``) and ``name.field``; without a name each stored point stands for itself."""
+    Of a Parquet store, a named metric is put together again from its stored points, ``name``
+    (as field ``value``) and ``name.field``; without a name, or in a text store, each stored
+    point stands for itself."""
     configure(spark)
-    points = store.query_points(spark, base, fmt)
-    if name:
-        points = points.where((F.col("metric_name") == name) | F.startswith(F.col("metric_name"), F.lit(f"{name}.")))
-        field = F.when(F.col("metric_name") == name, F.lit("value")).otherwise(F.expr(f"substring(metric_name, {len(name) + 2})"))
-        points = points.withColumn("field", field).withColumn("name", F.lit(name))
-    else:
-        points = points.withColumn("field", F.lit("value")).withColumn("name", F.col("metric_name"))
-    key = ["name", "timestamp", "host", "tags_json"]
-    each = points.groupBy(*key, "field").agg(F.max("value").alias("value"))  # one value per field
-    wide = each.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
-    return views.recent(wide, n=limit)
+    if fmt == "parquet" and name:
+        return store.recent_metrics(spark, base, name, limit)
+    if fmt == "parquet":
+        wide = store.recent_points(spark, base, limit)
+    else:  # text stores have no time ranges to go by
+        wide = views.recent(store.of_metric(store.query_points(spark, base, fmt), name), n=limit)
+    return wide.select(F.col("metric_name").alias("name"), "timestamp", "host", "tags_json", F.create_map(F.lit("value"), F.col("value")).alias("fields"))
 
 
 def metric_stats(spark: SparkSession, base: str, name: str, field: str | None = None, fmt: str = "parquet") -> DataFrame:

@@ -1,5 +1,5 @@
 """Store-level operators: A1 rows per file, F6 files in a date range, A4 store
-statistics, A5 store report, R1 expired files and their removal.
+statistics, A5 store report, R1 expired files and their removal, W3 recent points.
 
 File listings come from the ``binaryFile`` source without its ``content`` column, so
 listing reads no file bodies (Spark keeps the list of files on the driver, as it does for
@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemetra.session import scratch_path
+from telemetra.constants import RECENT_LOG_SIZE
+from telemetra.session import scratch_path, written
+from telemetra.sinks import manifest
 
 
 # Data file name pattern of each store format as Spark writes it.
@@ -26,9 +28,16 @@ DATA_FILES = {
 }
 
 
+def _path(uri: Column) -> Column:
+    """A file's URI in one form: local paths come with one slash or with three."""
+    return F.regexp_replace(uri, "^file:/+", "file:/").alias("path")
+
+
 def scan_files(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
     """The store's files as Spark scans them (one row per stored row or line), for the
     ``_metadata`` columns; no column is parsed."""
+    if fmt == "parquet" and manifest.is_manifest(spark, base):
+        return manifest.read_points(spark, base)
     if fmt == "parquet":
         return spark.read.parquet(base)
     if fmt in ("csv", "csv_tags"):
@@ -38,12 +47,17 @@ def scan_files(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFram
 
 def list_files(spark: SparkSession, base: str, fmt: str = "parquet", partitioned: bool = True) -> DataFrame:
     """Data files of a store: ``path`` (as ``_metadata`` writes it), ``length,
-    modificationTime`` and the partition columns."""
+    modificationTime`` and the partition columns. Of a store with a manifest, the files that
+    its newest version lists."""
+    if manifest.is_manifest(spark, base):
+        root = manifest.qualified(spark, base)
+        listed = manifest.files(spark, base)
+        return listed.select(_path(F.concat(F.lit(f"{root}/"), "path")), F.col("modified").alias("modificationTime"), "length", "date")
     reader = spark.read.format("binaryFile").option("pathGlobFilter", DATA_FILES.get(fmt, "*"))
     if not partitioned:
         reader = reader.option("recursiveFileLookup", "true")
     files = reader.load(base)
-    return files.select(F.col("_metadata.file_path").alias("path"), *[c for c in files.columns if c not in ("path", "content")])
+    return files.select(_path(F.col("_metadata.file_path")), *[c for c in files.columns if c not in ("path", "content")])
 
 
 def files_in_range(spark: SparkSession, base: str, start: str | dt.date | None = None, end: str | dt.date | None = None, fmt: str = "parquet") -> DataFrame:
@@ -80,7 +94,7 @@ def _with_listing(spark: SparkSession, base: str, fmt: str, rows: DataFrame) ->
 
 def rows_per_file(spark: SparkSession, base: str, fmt: str = "parquet") -> DataFrame:
     """A1: rows in every data file, empty files included (``rows`` 0)."""
-    data = scan_files(spark, base, fmt).select(F.col("_metadata.file_path").alias("path"))
+    data = scan_files(spark, base, fmt).select(_path(F.col("_metadata.file_path")))
     return _with_listing(spark, base, fmt, data)
 
 
@@ -124,6 +138,121 @@ def query_points(
     return pts
 
 
+# ---------------------------------------------------------------- W3 on a store
+
+# Where a stored point stands in the store's own arrival order.
+PLACE = ["arrived", "file", "place"]
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    """Stored points with their place: file time, file, row of the file."""
+    meta = F.col("_metadata")
+    return points.select("*", meta["file_modification_time"].alias("arrived"), meta["file_path"].alias("file"), meta["row_index"].alias("place"))
+
+
+def _threshold(points: DataFrame, n: int):
+    """Time (microseconds) of the ``n``-th newest point, or None if there are fewer. One column
+    is read and each task hands on its newest ``n``."""
+    newest = points.select("timestamp").orderBy(F.desc("timestamp")).limit(n)
+    found = newest.agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("timestamp")).alias("t")).first()
+    return found["t"] if found["n"] >= n else None
+
+
+def _not_before(points: DataFrame, micros: int) -> DataFrame:
+    return points.where(F.col("timestamp") >= F.timestamp_micros(F.lit(micros)))
+
+
+def _units(spark: SparkSession, base: str, event_dates: bool) -> list[tuple] | None:
+    """What a store can leave unread, newest first: (newest time it may hold, what to open).
+    Files of a manifest, or dates of a store by event date; None: only a scan can tell."""
+    if manifest.is_manifest(spark, base):
+        listed = manifest.files(spark, base).select("path", F.unix_micros("max_time").alias("t")).collect()  # a scan's file list
+        return sorted(((r["t"], r["path"]) for r in listed if r["t"] is not None), reverse=True)
+    if event_dates:
+        end = F.unix_micros(F.date_add("date", 1).cast("timestamp")) - 1
+        days = list_files(spark, base).select("date", end.alias("t")).distinct().collect()  # a row per partition
+        return sorted(((r["t"], r["date"]) for r in days if r["date"] is not None), reverse=True)
+    return None
+
+
+def since(spark: SparkSession, base: str, n: int, matching=None, event_dates: bool = False) -> DataFrame:
+    """Every stored point that is at least as new as the ``n``-th newest matching one
+    (``matching``: a function of points), with its place in the store.
+
+    Files or dates are opened from the newest on, twice as many each time, until the ``n``-th
+    newest time found is later than all that is unread may hold; a point that arrived late
+    counts by its own time. A plain store by arrival date has no such bound: its timestamps
+    are read first, then what is new enough, which the Parquet scan selects by row group."""
+    from telemetra.sources.points import read_parquet_points
+
+    base = base.rstrip("/")
+    matching = matching or (lambda points: points)
+    units = _units(spark, base, event_dates)
+    if units is None:
+        points = read_parquet_points(spark, base)
+        newest = _threshold(matching(points), n)
+        return _placed(matching(points if newest is None else _not_before(points, newest)))
+
+    by_manifest = manifest.is_manifest(spark, base)
+    count = 1
+    while True:
+        some = [what for _, what in units[:count]]
+        points = manifest.open_files(spark, base, some) if by_manifest else read_parquet_points(spark, base).where(F.col("date").isin(some))
+        if count >= len(units):
+            break
+        newest = _threshold(matching(points), n)
+        if newest is not None and newest > units[count][0]:
+            points = _not_before(points, newest)
+            break
+        count *= 2
+    if not units:
+        return matching(points).select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(PLACE, ("timestamp", "string", "bigint"))])
+    return _placed(matching(points))
+
+
+def recent_points(spark: SparkSession, base: str, n: int = RECENT_LOG_SIZE, metric: str | None = None, event_dates: bool = False) -> DataFrame:
+    """W3 on a store: the ``n`` newest points, of one metric (``name`` and its fields
+    ``name.field``) or of all; of equal times the one stored last. No row is shuffled but
+    the newest ``n`` of each task."""
+    points = since(spark, base, n, lambda p: of_metric(p, metric), event_dates)
+    return points.orderBy(F.desc("timestamp"), *[F.desc(c) for c in PLACE]).limit(n).drop(*PLACE)
+
+
+def of_metric(points: DataFrame, metric: str | None) -> DataFrame:
+    """Points of a metric: its own name, or a field of it."""
+    if not metric:
+        return points
+    return points.where((F.col("metric_name") == F.lit(metric)) | F.startswith(F.col("metric_name"), F.lit(f"{metric}.")))
+
+
+def _wide(points: DataFrame, metric: str) -> DataFrame:
+    """Placed points of a metric as wide rows, one per metric that arrived. Points of equal
+    time, host and tags are told apart by their place: the k-th ``usage`` belongs to the k-th
+    metric of that key, so equal metrics stay as many as they were."""
+    key = ["timestamp", "host", "tags_json"]
+    field = F.when(F.col("metric_name") == metric, F.lit("value")).otherwise(F.expr(f"substring(metric_name, {len(metric) + 2})"))
+    nth = Window.partitionBy(*key, "field").orderBy(*PLACE)
+    each = points.withColumn("field", field).withColumn("nth", F.row_number().over(nth))
+    rows = each.groupBy(*key, "nth").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"), F.max(F.struct(*PLACE)).alias("place"))
+    return rows.select(F.lit(metric).alias("name"), *key, "fields", "nth", "place")
+
+
+def recent_metrics(spark: SparkSession, base: str, metric: str, n: int = RECENT_LOG_SIZE, event_dates: bool = False) -> DataFrame:
+    """W3 on a store, whole metrics: the ``n`` newest metrics called ``metric`` with all their
+    fields. Points from the newest on are put together, twice as many each time, until they
+    make ``n`` metrics; all points of a time are read together, so no metric is cut."""
+    matching = lambda p: of_metric(p, metric)
+    width, order = 4 * n, [F.desc("timestamp"), F.desc("place"), F.desc("nth")]
+    while True:
+        points = written(since(spark, base, width, matching, event_dates), "recent")
+        newest = _wide(points, metric).orderBy(*order).limit(n)
+        # fewer points than asked for: the store holds no more
+        if points.count() < width or newest.count() >= n:
+            return newest.drop("nth", "place")
+        width *= 2
+
+
 def query_files(spark: SparkSession, base: str, metric: str | None = None, start=None, end=None) -> DataFrame:
     """The ``/query`` route with its filters applied: rows of ``metric`` in
     ``[start, end]`` per data file (files without a match count 0). The filters reach the
@@ -132,7 +261,7 @@ def query_files(spark: SparkSession, base: str, metric: str | None = None, start
     from telemetra.sources.points import read_parquet_points
 
     pts = read_parquet_points(spark, base).select(
-        "metric_name", "timestamp", F.col("_metadata.file_path").alias("path")
+        "metric_name", "timestamp", _path(F.col("_metadata.file_path"))
     )
     pts = filters.in_time_range(filters.by_metric(pts, metric), start, end)
     return _with_listing(spark, base, "parquet", pts.select("path")).select("path", "date", "rows")

@@ -17,7 +17,7 @@ from telemetra.functions.points import date_path, epoch_seconds
 from telemetra.operators import aggregates, filters, flatten, series, store, views
 from telemetra.schemas import FlattenOptions, SeriesOptions
 from telemetra.session import configure, scratch_path
-from telemetra.sinks import writers
+from telemetra.sinks import manifest, writers
 from telemetra.sources import adapters, labelled
 from telemetra.sources import payloads as payload_src
 from telemetra.sources import points as points_src
@@ -572,7 +572,7 @@ def stream_filtered(spark, sf_dir):
     sink = scratch_path(spark, "stream-filtered")
     stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
     _run(spark, lambda cp: live.filtered_points(stream, sink, cp, metrics="click.value,view.k", tags={"region": "eu"}))
-    return point_row(spark.read.parquet(sink))
+    return point_row(live.read_filtered(spark, sink))
 
 
 @register("stream_filtered_wide")
@@ -582,7 +582,7 @@ def stream_filtered_wide(spark, sf_dir):
     sink = scratch_path(spark, "stream-filtered")
     stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
     _run(spark, lambda cp: live.filtered(stream, sink, cp, metrics="purchase, view", tags={"host": "user-7"}))
-    return spark.read.parquet(sink).select("seq", epoch_seconds(F.col("timestamp")).alias("ts"), "name", "host", "tags_json",
+    return live.read_filtered(spark, sink).select("seq", epoch_seconds(F.col("timestamp")).alias("ts"), "name", "host", "tags_json",
                                            F.col("fields")["value"].alias("value"), F.col("fields")["k"].alias("k"))
 
 
@@ -597,6 +597,62 @@ def stream_rejects(spark, sf_dir):
     return kept.unionByName(spark.read.parquet(aside).select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@register("published_batches")
+def published_batches(spark, sf_dir):
+    """Batches of two writers published through the manifest, each of them replayed, next
+    to a batch that failed before it was published."""
+    sink = scratch_path(spark, "published")
+    pts = points_a(spark, sf_dir)
+    for _ in range(2):
+        for i in range(3):
+            manifest.write_batch(pts.where(F.col("seq") % 4 == i), sink, "first", i)
+        manifest.write_batch(pts.where(F.col("seq") % 4 == 3), sink, "second", 0)
+    writers.write_points(pts, f"{sink}/{manifest.batch_folder('lost')}", "parquet")
+    return store_row(points_src.read_parquet_points(spark, sink))
+
+
+@register("recent_store")
+def recent_store(spark, sf_dir):
+    """W3 on a store by event date: the newest 40 points of a metric, from the newest dates on."""
+    rec = store.recent_points(spark, _daily_store(spark, sf_dir), 40, "purchase.value", event_dates=True)
+    return rec.select(epoch_seconds(F.col("timestamp")).alias("ts"), "metric_name", "value", "host")
+
+
+@register("recent_store_late")
+def recent_store_late(spark, sf_dir):
+    """W3 on a published store by arrival date, where points arrive up to four days late."""
+    pts = flatten.flatten(adapters.late_payloads(events(spark, sf_dir)), keep=["received_at"])
+    sink = scratch_path(spark, "published-late")
+    for i in range(3):
+        manifest.write_batch(pts.where(F.col("seq") % 3 == i), sink, "late", i, "received_at")
+    rec = store.recent_points(spark, sink, 40)
+    return rec.select(epoch_seconds(F.col("timestamp")).alias("ts"), "metric_name", "value", "host")
+
+
+@register("recent_store_metrics")
+def recent_store_metrics(spark, sf_dir):
+    """W3 on a store, whole metrics: every metric is stored twice, and equal ones stay two."""
+    pts = points_a(spark, sf_dir)
+    sink = scratch_path(spark, "published-twice")
+    for i in range(2):
+        manifest.write_batch(pts, sink, "twice", i)
+    rec = store.recent_metrics(spark, sink, "signup", 60)
+    return rec.select(epoch_seconds(F.col("timestamp")).alias("ts"), "name", "host", "tags_json", F.col("fields")["value"].alias("value"), F.col("fields")["k"].alias("k"))
+
+
+@register("stream_line_numbers")
+def stream_line_numbers(spark, sf_dir):
+    """Lines of landed files, read by splits, with their number in the file."""
+    path = scratch_path(spark, "landing-lines")
+    lines = adapters.labelled_lines(events(spark, sf_dir)).withColumn("g", F.col("seq") % 4)
+    lines.repartition("g").sortWithinPartitions("g", "seq").select("g", "raw").write.partitionBy("g").text(path)
+    sink = scratch_path(spark, "numbered")
+    stream = live.payload_stream(spark, path, "text", max_files_per_trigger=1)
+    _run(spark, lambda cp: live.land_numbered(stream, sink, cp))
+    rows = live.read_log(spark, sink)
+    return rows.select(F.regexp_extract("source", "g=([0-9]+)", 1).cast("bigint").alias("file"), "line", "raw")
+
+
 @register("append_after_stream")
 def append_after_stream(spark, sf_dir):
     """T1 and a batch append into one store: readers see both."""
@@ -605,7 +661,7 @@ def append_after_stream(spark, sf_dir):
     sink = scratch_path(spark, "stream-store")
     stream = live.payload_stream(spark, src, "parquet", max_files_per_trigger=1)
     _run(spark, lambda cp: live.ingest(stream, sink, cp))
-    writers.write_points(flatten.flatten(payloads.where("seq % 2 = 1"), keep=["received_at"]), sink, "parquet", date_source="received_at")
+    manifest.write_batch(flatten.flatten(payloads.where("seq % 2 = 1"), keep=["received_at"]), sink, date_source="received_at")
     return store_row(points_src.read_parquet_points(spark, sink))
 
 

@@ -266,3 +266,19 @@ SELECT (SELECT count(*) FROM d) AS total_records, (SELECT count(*) FROM q) AS wr
     "expired_files": f"""WITH {_POINTS_A}
 SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date, count(*) AS rows, CAST(0 AS BIGINT) AS deleted FROM pa GROUP BY 1""",
 })
+
+# Fixture C as lines: numbers as Spark's JSON writer prints them.
+ORACLE.update({
+    "published_batches": _STORE_A,
+    "recent_store": f"""WITH {_POINTS_A}
+SELECT ts, metric_name, value, host FROM pa WHERE metric_name = 'purchase.value' ORDER BY ts DESC LIMIT 40""",
+    "recent_store_late": f"""WITH {_POINTS_A}
+SELECT ts, metric_name, value, host FROM pa ORDER BY ts DESC LIMIT 40""",
+    "recent_store_metrics": f"""WITH {_E}
+SELECT s AS ts, event_type AS name, h AS host, {_TAGS} AS tags_json, value, CAST(k AS DOUBLE) AS k
+FROM e, range(2) WHERE event_type = 'signup' ORDER BY s DESC, event_id DESC LIMIT 60""",
+    "stream_line_numbers": f"""WITH {_E}
+SELECT event_id % 4 AS file, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS line,
+  '{{"timestamp":' || s || ',"metric":"' || event_type || '","value":' || value || ',"labels":{{"host":"' || h || '","region":"' || r || '"}}}}' AS raw
+FROM e""",
+})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every entry point applies to the session it is given. The store layout and all
 # epoch conversions are UTC, and payloads with repeated object keys keep the last value.
@@ -85,3 +85,11 @@ def _context(spark: SparkSession):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under :func:`shared_dir` for one store or stream."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under :func:`shared_dir` and read back: several readers see the same
+    rows, and lost executors do not bring its source back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

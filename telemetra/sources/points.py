@@ -21,6 +21,7 @@ from telemetra.functions.points import in_time_span, sorted_json_object, to_even
 from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import field, is_number, is_string, json_text_values
 from telemetra.schemas import POINT_CSV, POINT_CSV_TAGS, POINT_PARQUET
+from telemetra.sinks import manifest
 
 CANONICAL = ["timestamp", "metric_name", "value", "host", "tags_json"]
 _DATE = T.StructField("date", T.DateType(), True)
@@ -51,18 +52,27 @@ def _reader(spark: SparkSession, recursive: bool, pattern: str | None):
 
 
 def read_parquet_points(spark: SparkSession, base: str, partitions: tuple[str, ...] = ("date",), recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """S3: Parquet points with the fixed schema (partition columns from directories)."""
+    """S3: Parquet points with the fixed schema (partition columns from directories). Of a
+    store with a manifest, the files that its newest version lists."""
+    if not recursive and manifest.is_manifest(spark, base):
+        return manifest.read_points(spark, base)
     schema = _with_partitions(POINT_PARQUET, () if recursive else partitions)
     return _reader(spark, recursive, pattern).schema(schema).parquet(base)
 
 
 def read_parquet_nanos(spark: SparkSession, base: str, recursive: bool = True, pattern: str | None = "*.parquet") -> DataFrame:
     """S3 for files whose timestamp is Parquet TIMESTAMP(NANOS), as the collector writes
-    them: read as a number (``spark.sql.legacy.parquet.nanosAsLong``, set on the session)
-    and converted to microseconds; the stored values are whole seconds, nothing is lost."""
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    raw = _reader(spark, recursive, pattern).parquet(base)
-    return raw.withColumn("timestamp", F.timestamp_micros(F.floor(F.col("timestamp") / 1000)))
+    them: read as a number (the ``nanosAsLong`` switch is set while the schema is read and
+    put back) and converted to microseconds; the stored values are whole seconds, nothing is
+    lost."""
+    flag = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(flag, None)
+    spark.conf.set(flag, "true")
+    try:
+        raw = _reader(spark, recursive, pattern).parquet(base)
+    finally:
+        spark.conf.unset(flag) if before is None else spark.conf.set(flag, before)
+    return raw.withColumn("timestamp", F.timestamp_micros(F.expr("timestamp div 1000 - IF(timestamp < 0 AND timestamp % 1000 <> 0, 1, 0)")))
 
 
 def read_csv_points(spark: SparkSession, base: str, with_tags: bool = False, partitions: tuple[str, ...] = ("date",), recursive: bool = False, pattern: str | None = None) -> DataFrame:

@@ -4,10 +4,9 @@ stream (T4), latest value per series (T5), last N per host (T6) and running coun
 Sinks are idempotent, so that a micro-batch replayed after a lost executor or a restart
 writes the same files again instead of twice:
 
-* T1 stages each micro-batch beside the checkpoint and then moves its files into the store,
-  which stays a plain store: batch appends, deletions and readers need no sink log;
-* T4 uses the file sink;
-* the others write ``<path>/batch=<id>`` with overwrite.
+* T1 publishes each micro-batch through the store's manifest, whole or not at all; batch
+  appends and deletions go through the same manifest;
+* the others write ``<path>/batch=<id>`` with overwrite, and readers take committed ones.
 
 T3, T5 and T6 write what a batch changed (new or newer series, a batch's newest rows per
 host) to a log that readers fold with the operator's own aggregate; every ``FOLD_EVERY``
@@ -26,9 +25,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from telemetra.functions.points import sorted_json_object
+from telemetra.functions.rows import line_numbers, split_place
 from telemetra.operators import filters, flatten, series, views
 from telemetra.schemas import PAYLOAD, FlattenOptions, SeriesOptions
-from telemetra.sinks.writers import to_profile, with_date
+from telemetra.session import written
+from telemetra.sinks import manifest
 from telemetra.sources.labelled import labelled_points
 
 LINES = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("raw", T.StringType(), True)])
@@ -55,22 +56,41 @@ FLUSH = Trigger(available_now=True)
 
 def payload_stream(spark: SparkSession, path: str, fmt: str = "text", max_files_per_trigger: int | None = None) -> DataFrame:
     """Payload files as they land, in sub-directories too. ``text``: one payload per
-    line, ``received_at`` the file time and ``seq`` the arrival order as in the batch
-    reader; ``parquet``: landed payloads with the ``PAYLOAD`` schema (producer-assigned
-    ``seq``)."""
+    line, ``received_at`` the file time and ``seq`` the place of the line's split, which
+    :func:`numbered` makes the arrival order of the batch reader; ``parquet``: landed payloads
+    with the ``PAYLOAD`` schema (producer-assigned ``seq``)."""
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "parquet":
         return reader.schema(PAYLOAD).parquet(path)
-    # a stream has no row ids: each landed file is read whole and its lines are numbered
-    meta = F.col("_metadata")
-    text = reader.text(path, wholetext=True).where(F.col("value") != "")
-    lines = text.select(
-        meta["file_modification_time"].alias("arrived"), meta["file_path"].alias("file"),
-        F.posexplode(F.split(F.regexp_replace("value", "\\r?\\n$", ""), "\\r?\\n")).alias("row", "raw"))
-    seq = F.struct("arrived", "file", F.lit(0).cast("bigint").alias("block"), F.col("row").cast("bigint").alias("row"))
-    return lines.select(seq.alias("seq"), "raw", F.col("file").alias("source"), F.col("arrived").alias("received_at"))
+    # by splits, as in batch: a file of any size is read by many tasks
+    text = reader.text(path)
+    return text.select(
+        split_place().alias("seq"), F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_modification_time").alias("received_at"))
+
+
+def numbered(batch: DataFrame) -> DataFrame:
+    """A micro-batch whose ``seq`` is complete. A stream has no row ids, so lines of a text
+    stream arrive with the place of their split; within a batch the rows of a split stay
+    together and in order, and get their number there, as the batch reader does it."""
+    kind = batch.schema["seq"].dataType if "seq" in batch.columns else None
+    if not isinstance(kind, T.StructType) or "row" in kind.names:
+        return batch
+    return batch.withColumn("seq", F.struct("seq.*", F.monotonically_increasing_id().alias("row")))
+
+
+def land_numbered(lines: DataFrame, sink: str, checkpoint: str, trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
+    """Lines of a text stream landed as Parquet with their number in the file (``line``),
+    under ``batch=<id>``; a trigger takes whole files. The numbered splits are written once,
+    then their line counts give each split's offset."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = line_numbers(written(numbered(batch), "numbered-lines"))
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return _start(lines.writeStream.foreachBatch(write), checkpoint, trigger, name)
 
 
 def line_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -170,25 +190,6 @@ def _prune_before(spark: SparkSession, path: str, batch_id: int, kind: str = "ba
             fs.delete(p, True)
 
 
-def _publish(spark: SparkSession, staged: str, base: str) -> None:
-    """Move the staged files of one batch into the store, directory by directory. A replay
-    moves what an earlier attempt left behind."""
-    fs, root = _files(spark, staged)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    listing = fs.listFiles(root, True)
-    moves = []
-    while listing.hasNext():
-        file = listing.next().getPath()
-        if not file.getName().startswith(("_", ".")):
-            moves.append(file)
-    for file in moves:
-        inside = file.getParent().toUri().getPath()[len(fs.makeQualified(root).toUri().getPath()):].strip("/")
-        target = jvm_path(jvm_path(base), inside) if inside else jvm_path(base)
-        fs.mkdirs(target)
-        if not fs.rename(file, jvm_path(target, file.getName())):
-            raise RuntimeError(f"cannot move {file} to {target}")
-
-
 # ---------------------------------------------------------------- T1 / T2 / K7
 
 def ingest(
@@ -205,23 +206,20 @@ def ingest(
 
     The partition date is the arrival date by default, as the collector partitions by
     flush time: each micro-batch lands in about one directory. ``date_source="timestamp"``
-    partitions by event time instead. A batch is staged under the checkpoint and moved into
-    the store once its write is committed; rejected input goes to
-    ``<quarantine>/batch=<id>`` (its count is the number of rows there)."""
+    partitions by event time instead. A batch becomes visible whole, through the store's
+    manifest (:mod:`telemetra.sinks.manifest`), under the checkpoint's name; rejected input
+    goes to ``<quarantine>/batch=<id>`` (its count is the number of rows there)."""
+    manifest.create(payloads.sparkSession, sink)
+    writer = checkpoint.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stage = f"{checkpoint.rstrip('/')}-staged/batch={batch_id}"
-        fs, done = _batch_dirs(spark, f"{checkpoint.rstrip('/')}-staged")
-        if batch_id not in done or not _complete(spark, fs, done[batch_id]):
-            if quarantine:
-                flatten.rejected(batch, options).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-            points = with_date(flatten.flatten(batch, options, keep=["received_at"]), date_source)
-            rows = to_profile(points, "parquet", extra=["date"])
-            (rows.write.mode("overwrite").partitionBy("date").option("compression", "snappy")
-             .option("parquet.enable.dictionary", "false").parquet(stage))
-        _publish(spark, stage, sink)
-        _prune_before(spark, f"{checkpoint.rstrip('/')}-staged", batch_id)
+        if manifest.committed(batch.sparkSession, sink, writer, batch_id):
+            return
+        batch = numbered(batch)
+        if quarantine:
+            flatten.rejected(batch, options).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        points = flatten.flatten(batch, options, keep=["received_at"])
+        manifest.write_batch(points, sink, writer, batch_id, date_source)
 
     return _start(payloads.writeStream.foreachBatch(write), checkpoint, trigger, name)
 
@@ -241,6 +239,7 @@ def ingest_fan_out(
     from telemetra.sinks.writers import staged, write_points
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = numbered(batch)
         stage = f"{checkpoint.rstrip('/')}-staged"
         pts = staged(flatten.flatten(batch, options, keep=["received_at"]), f"{stage}/batch={batch_id}", "received_at")
         for path, fmt in stores.items():
@@ -301,22 +300,35 @@ def filtered(payloads: DataFrame, sink: str, checkpoint: str, metrics: str | Non
              options: FlattenOptions = FlattenOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
     """T4 as the clients call it: metrics (wide rows, all fields) whose name is in the
     comma-separated list and whose tags have the given values, appended as they arrive."""
-    wide = filters.by_metric_list(flatten.wide_metrics(payloads, options), metrics, column="name")
-    for key, value in (tags or {}).items():
-        wide = filters.by_tag(wide, key, value)
-    rows = wide.select("seq", "pos", "timestamp", "name", "host", "tags_json", "fields")
-    return _start(rows.writeStream.format("parquet").option("path", sink), checkpoint, trigger, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        wide = filters.by_metric_list(flatten.wide_metrics(numbered(batch), options), metrics, column="name")
+        for key, value in (tags or {}).items():
+            wide = filters.by_tag(wide, key, value)
+        rows = wide.select("seq", "pos", "timestamp", "name", "host", "tags_json", "fields")
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return _start(payloads.writeStream.foreachBatch(write), checkpoint, trigger, name)
 
 
 def filtered_points(payloads: DataFrame, sink: str, checkpoint: str, metrics: str | None = None, tags: dict[str, str] | None = None,
                     options: FlattenOptions = FlattenOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
     """T4 on points: the listed point names (``name`` or ``name.field``)."""
     names = [n.strip() for n in metrics.split(",") if n.strip()] if metrics else None
-    pts = flatten.flatten(payloads, options, metrics=names)
-    for key, value in (tags or {}).items():
-        pts = filters.by_tag(pts, key, value)
-    rows = pts.select("seq", "pos", "timestamp", "metric_name", "value", "host", "tags_json")
-    return _start(rows.writeStream.format("parquet").option("path", sink), checkpoint, trigger, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        pts = flatten.flatten(numbered(batch), options, metrics=names)
+        for key, value in (tags or {}).items():
+            pts = filters.by_tag(pts, key, value)
+        rows = pts.select("seq", "pos", "timestamp", "metric_name", "value", "host", "tags_json")
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return _start(payloads.writeStream.foreachBatch(write), checkpoint, trigger, name)
+
+
+def read_filtered(spark: SparkSession, sink: str) -> DataFrame:
+    """All committed batches of T4's sink."""
+    return read_log(spark, sink).drop("batch")
 
 
 # ---------------------------------------------------------------- T5
@@ -329,8 +341,8 @@ def latest(payloads: DataFrame, sink: str, checkpoint: str, options: FlattenOpti
         return rows.groupBy("name", "tags_json").agg(F.max_by(last, F.struct("timestamp", "seq", "pos")).alias("last"))
 
     log = _log_writer(sink, _last_of)
-    cards = views.card_rows(flatten.wide_metrics(payloads, options))
-    return _start(cards.writeStream.foreachBatch(lambda batch, i: log(newest(batch), i)), checkpoint, trigger, name)
+    cards = lambda batch: views.card_rows(flatten.wide_metrics(numbered(batch), options))
+    return _start(payloads.writeStream.foreachBatch(lambda batch, i: log(newest(cards(batch)), i)), checkpoint, trigger, name)
 
 
 def _last_of(log: DataFrame) -> DataFrame:
@@ -377,9 +389,9 @@ def last_n(payloads: DataFrame, sink: str, checkpoint: str, field: str = "value"
            options: FlattenOptions = FlattenOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
     """The newest ``n`` values per host; a batch's own newest go to the log, which
     :func:`read_last_n` ranks together."""
-    rows = views.chart_rows(flatten.wide_metrics(payloads, options), field, names)
+    rows = lambda batch: views.chart_rows(flatten.wide_metrics(numbered(batch), options), field, names)
     log = _log_writer(sink, lambda old: views.newest_per_host(old.drop("rank"), n))
-    return _start(rows.writeStream.foreachBatch(lambda batch, i: log(views.newest_per_host(batch, n), i)), checkpoint, trigger, name)
+    return _start(payloads.writeStream.foreachBatch(lambda batch, i: log(views.newest_per_host(rows(batch), n), i)), checkpoint, trigger, name)
 
 
 def read_last_n(spark: SparkSession, sink: str, n: int = views.MAX_CHART_POINTS) -> DataFrame:
