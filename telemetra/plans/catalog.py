@@ -17,11 +17,11 @@ from telemetra.functions.points import date_path, epoch_seconds
 from telemetra.operators import aggregates, filters, flatten, series, store, views
 from telemetra.schemas import FlattenOptions, SeriesOptions
 from telemetra.session import configure, scratch_path
-from telemetra.sinks import manifest, writers
+from telemetra.sinks import manifest, values, writers
 from telemetra.sources import adapters, labelled
 from telemetra.sources import payloads as payload_src
 from telemetra.sources import points as points_src
-from telemetra.streaming import live
+from telemetra.streaming import live, seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -368,6 +368,34 @@ def series_retention(spark, sf_dir):
     return kept.select("seq", "series_key", F.col("timestamp").alias("ts"))
 
 
+def _stored_dedup(policy: str) -> Query:
+    def run(spark, sf_dir):
+        base = scratch_path(spark, f"values-{policy}")
+        pts = _daily(spark, sf_dir)
+        for i in range(3):
+            for _ in range(1 + (i == 1)):  # the second batch is replayed
+                values.upsert(pts.where(F.col("seq") % 3 == i), base, policy, writer="w", batch_id=i, options=SERIES, buckets=4, slice_seconds=7 * 86400)
+        d = values.read_values(spark, base)
+        return d.select("series_key", F.col("timestamp").alias("ts"), F.round("value", 6).alias("value"), "duplicates")
+
+    run.__doc__ = f"A7 across batches: fixture C cut to the day and into three batches, policy {policy}."
+    return run
+
+
+for _policy in ("last", "first", "min", "max", "sum"):
+    register(f"stored_{_policy}")(_stored_dedup(_policy.upper()))
+
+
+@register("stored_retention")
+def stored_retention(spark, sf_dir):
+    """R2 on a running store: fixture C streamed in event order, each series kept to its last
+    seven days while batches come in."""
+    src = _land(adapters.labelled_lines(events(spark, sf_dir)), spark, "r2", files=3)
+    base = scratch_path(spark, "values-retention")
+    _run(spark, lambda cp: live.upsert(live.line_stream(spark, src, 1), base, cp, "LAST", SERIES, retention=7 * 86400, buckets=2))
+    return values.read_values(spark, base).select("series_key", F.col("timestamp").alias("ts"), F.round("value", 6).alias("value"))
+
+
 @register("ingest_counters")
 def ingest_counters(spark, sf_dir):
     """A3 on fixture E: requests and metrics in enveloped payloads."""
@@ -432,6 +460,31 @@ def csv_rotation(spark, sf_dir):
     return files.agg(F.sum("n").alias("rows"), F.sum((F.col("n") > 100_000).cast("bigint")).alias("over_limit"))
 
 
+def _rotated(spark, sf_dir, fmt: str, limit: int, window: int | None):
+    """A store rotated by size: per date and window, its files, rows, bytes and files over the limit."""
+    path = scratch_path(spark, "store-by-size")
+    pts = flatten.flatten(adapters.fields_payloads(events(spark, sf_dir)), keep=["received_at"])
+    writers.write_rotated(pts, path, fmt, max_bytes=limit, window_minutes=window)
+    read = points_src.read_csv_points if fmt == "csv" else points_src.read_jsonl_points
+    rows = read(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    age = F.substring_index("file", "-", 1).cast("bigint") if window else F.lit(0).cast("bigint")
+    files = store.list_files(spark, path, fmt).groupBy("date", age.alias("age")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sum((F.col("length") > limit).cast("bigint")).alias("over_limit"))
+    return files.join(rows, "date").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "age", "files", "bytes", "over_limit", "rows")
+
+
+@register("rotation_by_size")
+def rotation_by_size(spark, sf_dir):
+    """K6 by size: a CSV store in files of at most 16 000 bytes."""
+    return _rotated(spark, sf_dir, "csv", 16_000, None)
+
+
+@register("rotation_by_age")
+def rotation_by_age(spark, sf_dir):
+    """K6 by size and age: JSON Lines, 30 000 bytes or six hours of arrivals a file."""
+    return _rotated(spark, sf_dir, "jsonl", 30_000, 360)
+
+
 @register("query_late_arrivals")
 def query_late_arrivals(spark, sf_dir):
     """A store by arrival date, asked by event time: points that arrived days later count."""
@@ -565,6 +618,24 @@ def stream_first_seen(spark, sf_dir):
     return cat.select("series_key", "metric", "labels_json", "first_seq", F.col("first_timestamp").alias("first_ts"))
 
 
+@register("stream_seen_reset")
+def stream_seen_reset(spark, sf_dir):
+    """T3 with a reset: even events stream, then odd ones together with a reset; how often
+    each series was reported, and its first sequences."""
+    lines = adapters.labelled_lines(events(spark, sf_dir))
+    src, control = scratch_path(spark, "landing-seen"), scratch_path(spark, "landing-resets")
+    sink, checkpoint = scratch_path(spark, "stream-seen"), scratch_path(spark, "checkpoint")
+    spark.range(0).write.parquet(control)
+    for half in range(2):
+        lines.where(F.col("seq") % 2 == half).coalesce(1).write.mode("append").parquet(src)
+        if half:
+            spark.range(1).coalesce(1).write.mode("append").parquet(control)
+        resets = spark.readStream.schema("id bigint").parquet(control)
+        _run(spark, lambda _: seen.first_seen(live.line_stream(spark, src), sink, checkpoint, resets, options=SERIES, shards=4))
+    told = seen.read_reports(spark, sink)
+    return told.groupBy("series_key", "metric", "labels_json").agg(F.count(F.lit(1)).alias("reports"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_first_seq"))
+
+
 @register("stream_filtered")
 def stream_filtered(spark, sf_dir):
     """T4: live stream of two metrics for one host (fixture A)."""

@@ -282,3 +282,31 @@ SELECT event_id % 4 AS file, row_number() OVER (PARTITION BY event_id % 4 ORDER
   '{{"timestamp":' || s || ',"metric":"' || event_type || '","value":' || value || ',"labels":{{"host":"' || h || '","region":"' || r || '"}}}}' AS raw
 FROM e""",
 })
+
+
+def _rotation(line: str, header: int, limit: int, age: str) -> str:
+    """Files per date and window: the bytes of the lines over what a file may hold beside its
+    header and the end of a line."""
+    return f"""WITH {_POINTS_A},
+l AS (SELECT strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date, {age} AS age, strlen({line}) + 1 AS b FROM pa),
+g AS (SELECT date, age, sum(b) AS b, CAST(ceil(sum(b) / ({limit} - {header} - (SELECT max(b) FROM l) + 1)) AS BIGINT) AS files FROM l GROUP BY date, age),
+n AS (SELECT date, count(*) AS rows FROM l GROUP BY date)
+SELECT date, age, files, CAST(b + files * {header} AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS over_limit, rows FROM g JOIN n USING (date)"""
+
+
+ORACLE.update({
+    "rotation_by_size": _rotation("ts || ',' || metric_name || ',' || value || ',' || host", 28, 16_000, "CAST(0 AS BIGINT)"),
+    "rotation_by_age": _rotation("""'{"timestamp":' || ts || ',"metric":"' || metric_name || '","value":' || value || ',"host":"' || host || '","tags":' || tags_json || '}'""",
+                                 0, 30_000, "ts // 21600"),
+})
+
+for _policy in ("last", "first", "min", "max", "sum"):
+    ORACLE[f"stored_{_policy}"] = ORACLE[f"dedup_{_policy}"]
+ORACLE["stored_retention"] = f"""WITH {_C},
+one AS (SELECT series_key, ts, arg_max(value, seq) AS value FROM c GROUP BY series_key, ts)
+SELECT series_key, ts, round(value, 6) AS value FROM one
+QUALIFY ts >= max(ts) OVER (PARTITION BY series_key) - 604800"""
+ORACLE["stream_seen_reset"] = f"""WITH {_C},
+f AS (SELECT series_key, any_value(metric) AS metric, any_value(labels_json) AS labels_json, min(seq) AS seq FROM c GROUP BY series_key, seq % 2)
+SELECT series_key, any_value(metric) AS metric, any_value(labels_json) AS labels_json, count(*) AS reports, min(seq) AS first_seq, max(seq) AS last_first_seq
+FROM f GROUP BY series_key"""

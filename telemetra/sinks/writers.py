@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.constants import CSV_ROWS_PER_FILE, PARQUET_COMPRESSION
 from telemetra.functions.points import epoch_seconds
-from telemetra.session import scratch_path
+from telemetra.session import scratch_path, written
 
 Format = Literal["parquet", "csv", "csv_tags", "jsonl"]
 Layout = Literal["as_is", "rebalance"]
@@ -108,6 +108,69 @@ def write_points(
         writer.option("compression", compression or "none").option("ignoreNullFields", "false").json(path)
 
 
+def _encoded(rows: DataFrame, fmt: Format) -> Column:
+    """A row's line in its file."""
+    if fmt == "jsonl":
+        return F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    return F.to_csv(F.struct(*rows.columns), {"escape": '"'})
+
+
+def write_rotated(
+    points: DataFrame,
+    path: str,
+    fmt: Format = "csv",
+    *,
+    max_bytes: int,
+    window_minutes: int | None = None,
+    date_source: str = "timestamp",
+    compression: str | None = None,
+    mode: str = "append",
+) -> None:
+    """K6 by size and age: a text store whose files hold at most ``max_bytes`` (header
+    included, before compression), as ``date=…/file=<number>``; with ``window_minutes``, no
+    file holds points that arrived in two windows of that length (``received_at``).
+
+    A line's file is the running sum of the bytes before it, cut at the limit. The sums are
+    taken per task and date; one row per task and date gives each task's offset, so a date of
+    any size is summed and written by many tasks. The lines are written once and read back,
+    since sizes and rows have to agree. A line that is longer than a file may be has a file
+    of its own, beyond the limit."""
+    if fmt == "parquet":
+        raise ValueError("Parquet files have no size before they are encoded; use max_records_per_file")
+    if "date" not in points.columns:
+        points = with_date(points, date_source)
+    if window_minutes:
+        points = points.withColumn("age", F.floor(F.unix_seconds("received_at") / (60 * window_minutes)))
+    else:
+        points = points.withColumn("age", F.lit(0).cast("bigint"))
+    rows = to_profile(points, fmt, extra=["date", "age"])
+    lines = rows.drop("date", "age")
+    header = 0 if fmt == "jsonl" else len(",".join(lines.columns)) + 1
+    group = [F.coalesce("age", F.lit(-1)).alias("age"), "date"]
+    numbered = rows.select(
+        *lines.columns, *group, (F.octet_length(_encoded(lines, fmt)) + 1).cast("bigint").alias("_bytes"),
+        F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_row"))
+    placed = written(numbered, "rotated")
+    cells = placed.groupBy("age", "date", "_task").agg(F.sum("_bytes").alias("_size"), F.max("_bytes").alias("_widest"))
+    widest = cells.agg(F.max("_widest")).first()[0] or 0
+    # a file's lines end within `step` of each other, so it holds less than that and a line
+    step = max(1, max_bytes - header - widest + 1)
+    before = Window.partitionBy("age", "date").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("age", "date", "_task", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    running = Window.partitionBy("age", "date", "_task").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_end", F.sum("_bytes").over(running))
+    same = summed["age"].eqNullSafe(offsets["age"]) & summed["date"].eqNullSafe(offsets["date"]) & (summed["_task"] == offsets["_task"])
+    number = F.floor((F.col("_before") + F.col("_end") - 1) / step)
+    name = F.concat_ws("-", F.col("age"), F.col("number")) if window_minutes else F.col("number")
+    out = summed.join(offsets, same).select(*[summed[c] for c in lines.columns], summed["age"], summed["date"], number.alias("number"), "_row")
+    out = out.withColumn("file", name).repartition("date", "file").sortWithinPartitions("date", "file", "_row").select(*lines.columns, "date", "file")
+    writer = out.write.mode(mode).partitionBy("date", "file").option("compression", compression or "none")
+    if fmt == "jsonl":
+        writer.option("ignoreNullFields", "false").json(path)
+    else:
+        writer.option("header", True).option("escape", '"').csv(path)
+
+
 STAGED = ["timestamp", "metric_name", "value", "host", "tags_json"]
 
 

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from telemetra.functions.points import sorted_json_object
+from telemetra.functions.points import sorted_json_object, to_event_time
 from telemetra.functions.rows import line_numbers, split_place
 from telemetra.operators import filters, flatten, series, views
 from telemetra.schemas import PAYLOAD, FlattenOptions, SeriesOptions
 from telemetra.session import written
-from telemetra.sinks import manifest
+from telemetra.sinks import manifest, values
 from telemetra.sources.labelled import labelled_points
 
 LINES = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("raw", T.StringType(), True)])
@@ -251,6 +251,20 @@ def ingest_fan_out(
     return _start(payloads.writeStream.foreachBatch(write), checkpoint, trigger, name)
 
 
+# ---------------------------------------------------------------- A7 / R2 on stored series
+
+def upsert(lines: DataFrame, base: str, checkpoint: str, policy: str = "LAST", options: SeriesOptions = SeriesOptions(),
+           retention: int | None = None, buckets: int = values.BUCKETS, trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
+    """Labelled lines into the table of one value per (series, timestamp): the policy holds
+    over all batches, and ``retention`` is applied to what is stored."""
+    writer = checkpoint.rstrip("/")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        values.upsert(labelled_points(batch), base, policy, writer=writer, batch_id=batch_id, options=options, retention=retention, buckets=buckets)
+
+    return _start(lines.writeStream.foreachBatch(write), checkpoint, trigger, name)
+
+
 # ---------------------------------------------------------------- T3
 
 def first_seen(lines: DataFrame, sink: str, checkpoint: str, options: SeriesOptions = SeriesOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
@@ -270,10 +284,10 @@ def _first_of(log: DataFrame) -> DataFrame:
 def first_seen_bounded(lines: DataFrame, sink: str, checkpoint: str, watermark: str, options: SeriesOptions = SeriesOptions(), trigger: Trigger = FLUSH, name: str | None = None) -> StreamingQuery:
     """T3 with bounded state: a key is forgotten ``watermark`` after it was last seen
     (``dropDuplicatesWithinWatermark``), so a series idle longer than that is reported
-    again. Event time is the point's timestamp."""
-    keyed = series.with_series_key(labelled_points(lines), options).withColumn(
-        "event_time", F.timestamp_seconds("timestamp")
-    )
+    again. Event time is the point's timestamp; points whose timestamp is no time are left
+    out. :mod:`telemetra.streaming.seen` forgets by processing time and can be reset."""
+    keyed = series.with_series_key(labelled_points(lines), options).withColumn("event_time", to_event_time(F.col("timestamp")))
+    keyed = keyed.where(F.col("event_time").isNotNull())
     kept = keyed.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["series_key"])
     writer = kept.writeStream.format("parquet").option("path", sink)
     return _start(writer, checkpoint, trigger, name)
