@@ -14,8 +14,9 @@ Rules kept from the collector:
   entry of an object ``fields`` yields a point ``name.field``; other entries are dropped;
 * a key that is present with the wrong type (non-string or null ``name``, non-numeric
   ``timestamp``, non-numeric ``value``, non-string ``tags.host``, a metric that is not an
-  object), or a timestamp out of range, rejects the payload (``scope='payload'``) or the
-  metric (``scope='metric'``);
+  object), or a timestamp out of range, rejects the payload (``scope='payload'``, the rule of
+  the Parquet store), the metric (``scope='metric'``), or the metric and all that follow it in
+  the payload (``scope='prefix'``, the rule of the CSV and JSON Lines stores);
 * tag values that are not strings become their JSON text; ``tags_json`` is compact
   JSON with keys sorted, ``{}`` without tags.
 """
@@ -42,6 +43,7 @@ MALFORMED = "malformed"
 NO_ENVELOPE = "no_envelope"
 BAD_TYPE = "bad_type"
 BAD_TIME = "bad_time"
+AFTER_BAD = "after_bad"  # behind a rejected metric, in prefix scope
 OK = "ok"
 
 
@@ -93,11 +95,18 @@ def parse_payloads(payloads: DataFrame, options: FlattenOptions = FlattenOptions
     return parsed.withColumn("status", F.coalesce(status, F.lit(OK))).drop("_doc")
 
 
+def _good_prefix(options: FlattenOptions) -> Column:
+    """How many metrics stand before the first one with a problem; one look at the array."""
+    first = F.array_position(F.transform("metrics", lambda m: metric_problem(m, options.ts_unit).isNotNull()), F.lit(True))
+    return F.when(first > 0, first - 1).otherwise(F.size("metrics")).cast("int")
+
+
 def _metric_rows(parsed: DataFrame, options: FlattenOptions, keep: list[str]) -> DataFrame:
     """One row per accepted metric with its defaults applied."""
     # The status test sits inside the generator input, not in a Filter: Catalyst would push
     # a Filter below the projection and parse every payload twice.
-    accepted = F.when(F.col("status") == OK, F.col("metrics"))
+    metrics = F.slice("metrics", F.lit(1), _good_prefix(options)) if options.scope == "prefix" else F.col("metrics")
+    accepted = F.when(F.col("status") == OK, metrics)
     rows = parsed.select(*keep, "seq", F.posexplode(accepted).alias("pos", "m"))
     if options.scope == "metric":
         rows = rows.where(metric_problem(F.col("m"), options.ts_unit).isNull())
@@ -204,8 +213,9 @@ def wide_metrics(payloads: DataFrame, options: FlattenOptions = FlattenOptions()
 
 
 def rejected(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), keep: list[str] | None = None) -> DataFrame:
-    """The input set aside, one row per rejected payload (``pos`` NULL) or, in
-    metric scope, also one per rejected metric; columns ``seq, pos, reason, raw``.
+    """The input set aside, one row per rejected payload (``pos`` NULL) or, in metric and
+    prefix scope, also one per rejected metric; columns ``seq, pos, reason, raw``. In prefix
+    scope the metrics behind the first bad one have the reason ``after_bad``.
 
     One pass: each payload row yields, through a single generator, either its own
     rejection or the positions of its wrongly typed metrics."""
@@ -219,7 +229,12 @@ def rejected(payloads: DataFrame, options: FlattenOptions = FlattenOptions(), ke
             "metrics",
             lambda m, i: F.struct(i.alias("pos"), metric_problem(m, options.ts_unit).alias("reason")),
         )
-        items = F.when(F.col("status") != OK, whole).otherwise(F.filter(marked, lambda x: x["reason"].isNotNull()))
+        set_aside = F.filter(marked, lambda x: x["reason"].isNotNull())
+        if options.scope == "prefix":
+            bad = F.get(set_aside, F.lit(0))["pos"]  # NULL: no metric is behind it
+            late = F.transform("metrics", lambda _, i: F.struct(i.alias("pos"), F.lit(AFTER_BAD).alias("reason")))
+            set_aside = F.concat(F.slice(set_aside, 1, 1), F.filter(late, lambda x: x["pos"] > bad))
+        items = F.when(F.col("status") != OK, whole).otherwise(set_aside)
     out = parsed.select(*keep, "seq", "raw", F.inline(items))
     return out.select(*keep, "seq", "pos", "reason", "raw")
 

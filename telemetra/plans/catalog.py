@@ -132,6 +132,22 @@ def metric_scope_points(spark, sf_dir):
     return point_row(flatten.flatten(adapters.dirty_payloads(events(spark, sf_dir)), opts))
 
 
+@register("prefix_scope_points")
+def prefix_scope_points(spark, sf_dir):
+    """P8, prefix scope, on fixture H: the metrics before a payload's first bad one."""
+    pts = flatten.flatten(adapters.mixed_payloads(events(spark, sf_dir)), FlattenOptions(scope="prefix"))
+    return pts.select("seq", "pos", epoch_seconds(F.col("timestamp")).alias("ts"), "metric_name", "value")
+
+
+@register("prefix_scope_rejects")
+def prefix_scope_rejects(spark, sf_dir):
+    """P8, prefix scope: the first bad metric and those behind it, on fixtures E and H."""
+    opts = FlattenOptions(scope="prefix")
+    found = [flatten.rejected(make(events(spark, sf_dir)), opts).select(F.lit(name).alias("fixture"), "seq", F.coalesce("pos", F.lit(-1)).alias("pos"), "reason")
+             for name, make in (("E", adapters.dirty_payloads), ("H", adapters.mixed_payloads))]
+    return found[0].unionByName(found[1])
+
+
 @register("tags_json_sorted")
 def tags_json_sorted(spark, sf_dir):
     """P6 on fixture A: tags as compact JSON with sorted keys, one row per metric."""

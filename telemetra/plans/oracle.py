@@ -310,3 +310,13 @@ ORACLE["stream_seen_reset"] = f"""WITH {_C},
 f AS (SELECT series_key, any_value(metric) AS metric, any_value(labels_json) AS labels_json, min(seq) AS seq FROM c GROUP BY series_key, seq % 2)
 SELECT series_key, any_value(metric) AS metric, any_value(labels_json) AS labels_json, count(*) AS reports, min(seq) AS first_seq, max(seq) AS last_first_seq
 FROM f GROUP BY series_key"""
+
+ORACLE["prefix_scope_points"] = f"""WITH {_E}
+SELECT event_id AS seq, CAST(i - 1 AS INTEGER) AS pos, s AS ts, 'm' || i AS metric_name, value
+FROM e, range(1, 4) t(i) WHERE event_id % 4 = 0 OR i < event_id % 4"""
+ORACLE["prefix_scope_rejects"] = f"""WITH {_E}
+SELECT 'E' AS fixture, event_id AS seq, CASE WHEN f IN (4, 7) THEN 1 ELSE -1 END AS pos,
+       CASE f WHEN 0 THEN 'malformed' WHEN 1 THEN 'no_envelope' ELSE 'bad_type' END AS reason
+FROM e WHERE f IN (0, 1, 4, 7)
+UNION ALL SELECT 'H', event_id, CAST(i - 1 AS INTEGER), CASE WHEN i = event_id % 4 THEN 'bad_type' ELSE 'after_bad' END
+FROM e, range(1, 4) t(i) WHERE event_id % 4 > 0 AND i >= event_id % 4"""

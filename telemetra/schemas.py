@@ -54,7 +54,7 @@ LABELLED = T.StructType([
 ])
 
 DuplicatePolicy = Literal["LAST", "FIRST", "MIN", "MAX", "SUM"]  # constants.DUPLICATE_POLICIES
-ErrorScope = Literal["payload", "metric"]
+ErrorScope = Literal["payload", "metric", "prefix"]
 TsUnit = Literal["s", "ms"]
 
 
@@ -63,7 +63,8 @@ class FlattenOptions:
     """How payloads become points.
 
     ``scope='payload'`` rejects a whole payload when one metric has a wrongly typed key
-    (the Parquet store's rule); ``'metric'`` rejects only that metric. ``accept_bare``
+    (the Parquet store's rule); ``'metric'`` rejects only that metric; ``'prefix'`` keeps the
+    metrics before it (the rule of the CSV and JSON Lines stores). ``accept_bare``
     takes a bare array of metrics or a bare metric object as if it were enveloped.
     """
 

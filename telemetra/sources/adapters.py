@@ -219,6 +219,16 @@ def bulk_wide_payloads(lineitem: DataFrame, orders_per_payload: int = ORDERS_PER
     )
 
 
+def mixed_payloads(events: DataFrame) -> DataFrame:
+    """Fixture H: three metrics per payload, of which number ``event_id % 4`` (1 to 3; 0: none)
+    has a value of the wrong type."""
+    def metric(i: int) -> Column:
+        value = F.when(F.col("event_id") % 4 == i, F.lit('"bad"')).otherwise(F.col("value").cast("string"))
+        return F.concat(F.lit(f'{{"name":"m{i}","timestamp":'), _event_seconds().cast("string"), F.lit(',"value":'), value, F.lit("}"))
+
+    return _payload_frame(events, F.concat(F.lit('{"metrics":['), F.concat_ws(",", *[metric(i) for i in (1, 2, 3)]), F.lit("]}")))
+
+
 def late_payloads(events: DataFrame) -> DataFrame:
     """Fixture A arriving ``event_id % 5`` days after the event."""
     return fields_payloads(events).withColumn("received_at", F.col("received_at") + F.make_interval(days=(F.col("seq") % 5).cast("int")))

@@ -194,8 +194,6 @@ def test_fixture_shapes_ms_wide_and_bulk(payloads):
 
 def test_timestamps_out_of_range_are_rejected_with_a_reason(payloads):
     from telemetra.operators.flatten import flatten as flat, rejected as rej
-    from telemetra.schemas import FlattenOptions
-
     bad = ["1700000000000000", "1700000000000000000", "1e30", "-99999999999999"]
     pays = payloads(*[f'{{"metrics":[{{"name":"m","timestamp":{t},"value":1}}]}}' for t in ["1700000000", *bad]])
     assert flat(pays).count() == 1
@@ -203,3 +201,15 @@ def test_timestamps_out_of_range_are_rejected_with_a_reason(payloads):
     metric = FlattenOptions(scope="metric")
     assert flat(pays, metric).count() == 1 and rej(pays, metric).count() == 4
     assert flat(payloads('{"metrics":[{"name":"m","timestamp":1700000000123,"value":1}]}'), FlattenOptions(ts_unit="ms")).count() == 1
+
+
+def test_prefix_scope_keeps_what_stands_before_the_first_bad_metric(payloads):
+    good, bad, late = '{"name":"g","value":1}', '{"name":"b","value":"x"}', '{"name":"t","timestamp":1e30,"value":1}'
+    raws = [[], [good], [bad], [good, bad, good], [bad, good], [good, good, late, bad], [5, good], [good, "null"]]
+    pays = payloads(*['{"metrics":[' + ",".join(map(str, r)) + "]}" for r in raws], "broken")
+    options = FlattenOptions(scope="prefix")
+    kept = sorted((r["seq"], r["pos"]) for r in flatten.flatten(pays, options).collect())
+    assert kept == [(1, 0), (3, 0), (5, 0), (5, 1), (7, 0)]
+    out = sorted((r["seq"], -1 if r["pos"] is None else r["pos"], r["reason"]) for r in flatten.rejected(pays, options).collect())
+    assert out == [(2, 0, "bad_type"), (3, 1, "bad_type"), (3, 2, "after_bad"), (4, 0, "bad_type"), (4, 1, "after_bad"),
+                   (5, 2, "bad_time"), (5, 3, "after_bad"), (6, 0, "bad_type"), (6, 1, "after_bad"), (7, 1, "bad_type"), (8, -1, "malformed")]
