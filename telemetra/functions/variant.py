@@ -29,6 +29,12 @@ def is_number(v: Column) -> Column:
     return t.isin(*_NUMBER_TYPES) | t.startswith("DECIMAL")
 
 
+def is_float(v: Column) -> Column:
+    """A number written with a fraction or an exponent, or past 64 bits."""
+    t = type_of(v)
+    return t.isin("FLOAT", "DOUBLE") | t.startswith("DECIMAL")
+
+
 def is_number_or_boolean(v: Column) -> Column:
     """What an integer read accepts (booleans count as 0 / 1); one type lookup."""
     t = type_of(v)
@@ -45,19 +51,47 @@ def is_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "struct<__probe:int>").isNotNull()
 
 
+def number_text(v: Column) -> Column:
+    """A JSON number that is no 64-bit integer as the collector writes it: the shortest digits
+    of its double, plain with a fraction up to 15 digits before the point and 4 zeros behind
+    it, else with an exponent of two digits (``1.0``, ``0.1``, ``1e+20``, ``1e-05``). Unsigned
+    64-bit integers keep their digits."""
+    plain = F.variant_get(v, "$", "string")
+    unsigned = type_of(v).isin("DECIMAL(19,0)", "DECIMAL(20,0)") & (F.try_variant_get(v, "$", "decimal(20,0)") <= F.lit("18446744073709551615").cast("decimal(20,0)")) & (
+        F.try_variant_get(v, "$", "decimal(20,0)") >= 0)
+    x = F.variant_get(v, "$", "double")
+    # the fewest digits that give the number back (Java's own text may have more)
+    tried = [F.format_string(f"%.{n}e", x) for n in (14, 15)]
+    text = F.coalesce(*[F.when(t.cast("double") == x, t) for t in tried], F.format_string("%.16e", x))
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(text, "e", 1), "[-.]", ""), "0+$", "")
+    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
+    point = F.substring_index(text, "e", -1).cast("int") + 1  # digits before the point
+    size = F.length(digits)
+    exponent = F.concat(F.when(point > 0, F.lit("e+")).otherwise(F.lit("e-")), F.lpad(F.abs(point - 1).cast("string"), F.greatest(F.lit(2), F.length(F.abs(point - 1).cast("string"))), F.lit("0")))
+    written = (
+        F.when((size <= point) & (point <= 15), F.concat(F.rpad(digits, point, F.lit("0")), F.lit(".0")))
+        .when((point > 0) & (point <= 15), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
+        .when((point > -4) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .otherwise(F.concat(F.substring(digits, 1, 1), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(F.lit("")), exponent))
+    )
+    return F.when(unsigned, plain).otherwise(F.concat(sign, written))
+
+
 def json_text_values(obj: Column) -> Column:
     """A JSON object as ``map<string,string>``: strings as they are, every other value as
-    its compact JSON text (numbers, booleans, ``null``, nested objects and arrays).
+    its compact JSON text (numbers as :func:`number_text`, booleans, ``null``, nested objects
+    and arrays).
 
-    The cast to ``map<string,string>`` already writes that text for every value but JSON
-    ``null`` (it gives SQL NULL), so it is used whenever the object holds no null; only
-    then, or when the cast fails, is each value converted on its own.
+    The cast to ``map<string,string>`` already writes that text for strings, booleans, 64-bit
+    integers and nested values, so it is used where no value is JSON ``null`` (it gives SQL
+    NULL) and none looks like a number; only then is each value converted on its own.
     """
     cast = F.try_variant_get(obj, "$", "map<string,string>")
     values = F.map_values(cast)
-    no_nulls = F.size(values) == F.size(F.array_compact(values))
+    simple = F.forall(values, lambda t: F.coalesce(~F.substring(t, 1, 1).between("-", "9"), F.lit(False)))
     per_value = F.transform_values(
         F.try_variant_get(obj, "$", "map<string,variant>"),
-        lambda _k, x: F.when(is_string(x), F.variant_get(x, "$", "string")).otherwise(F.to_json(x)),
+        lambda _k, x: F.when(is_string(x), F.variant_get(x, "$", "string")).when(is_float(x), number_text(x)).otherwise(F.to_json(x)),
     )
-    return F.when(no_nulls, cast).otherwise(per_value)
+    return F.when(simple, cast).otherwise(per_value)

@@ -154,6 +154,13 @@ def tags_json_sorted(spark, sf_dir):
     return wide_a(spark, sf_dir).select("seq", "pos", "host", "tags_json")
 
 
+@register("tags_number_text")
+def tags_number_text(spark, sf_dir):
+    """P6 on fixture I: tag values that are no strings, as the collector writes them."""
+    wide = flatten.wide_metrics(adapters.numeric_tag_payloads(events(spark, sf_dir)))
+    return wide.select("seq", "tags_json")
+
+
 @register("date_partition")
 def date_partition(spark, sf_dir):
     """P10 on fixture A: the UTC date directory of each point."""

@@ -320,3 +320,11 @@ SELECT 'E' AS fixture, event_id AS seq, CASE WHEN f IN (4, 7) THEN 1 ELSE -1 END
 FROM e WHERE f IN (0, 1, 4, 7)
 UNION ALL SELECT 'H', event_id, CAST(i - 1 AS INTEGER), CASE WHEN i = event_id % 4 THEN 'bad_type' ELSE 'after_bad' END
 FROM e, range(1, 4) t(i) WHERE event_id % 4 > 0 AND i >= event_id % 4"""
+ORACLE["tags_number_text"] = f"""WITH {_E},
+d AS (SELECT event_id, k, k + 1 AS v, rtrim(CAST(k + 1 AS VARCHAR), '0') AS g, length(CAST(k + 1 AS VARCHAR)) - 1 AS p FROM e),
+t AS (SELECT *, CASE WHEN length(g) > 1 THEN left(g, 1) || '.' || substr(g, 2) ELSE g END AS m FROM d)
+SELECT event_id AS seq, '{{"int":"' || k || '","large":"' || m || 'e+' || (20 + p) || '","nested":"{{\\"a\\":true,\\"b\\":[' || k || ',\\"x\\"]}}","none":"null","part":"'
+  || CAST(CAST('0.' || k || '0' AS DOUBLE) AS VARCHAR) || '","small":"' || CASE WHEN p > 2 THEN '0.000' || g ELSE m || 'e-0' || (7 - p) END
+  || '","text":"1.0","whole":"' || k || '.0","wide":"'
+  || CASE WHEN v < 10 OR v < 19 THEN v || '000000000000000000' ELSE m || 'e+' || (18 + p) END || '"}}' AS tags_json
+FROM t"""

@@ -229,6 +229,15 @@ def mixed_payloads(events: DataFrame) -> DataFrame:
     return _payload_frame(events, F.concat(F.lit('{"metrics":['), F.concat_ws(",", *[metric(i) for i in (1, 2, 3)]), F.lit("]}")))
 
 
+def numeric_tag_payloads(events: DataFrame) -> DataFrame:
+    """Fixture I: tags that are numbers of every kind, a nested value and a null."""
+    k = _event_k().cast("bigint")
+    tags = F.concat(
+        F.lit('{"whole":'), k, F.lit('.0,"large":'), k + 1, F.lit('e20,"small":'), k + 1, F.lit('e-7,"part":0.'), k, F.lit('0,"int":'), k,
+        F.lit(',"wide":'), k + 1, F.lit('000000000000000000,"nested":{"b":['), k, F.lit(',"x"], "a":true},"none":null,"text":"1.0"}'))
+    return _payload_frame(events, F.concat(F.lit('{"metrics":[{"name":"m","timestamp":'), _event_seconds(), F.lit(',"value":1,"tags":'), tags, F.lit("}]}")))
+
+
 def late_payloads(events: DataFrame) -> DataFrame:
     """Fixture A arriving ``event_id % 5`` days after the event."""
     return fields_payloads(events).withColumn("received_at", F.col("received_at") + F.make_interval(days=(F.col("seq") % 5).cast("int")))

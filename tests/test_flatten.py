@@ -213,3 +213,13 @@ def test_prefix_scope_keeps_what_stands_before_the_first_bad_metric(payloads):
     out = sorted((r["seq"], -1 if r["pos"] is None else r["pos"], r["reason"]) for r in flatten.rejected(pays, options).collect())
     assert out == [(2, 0, "bad_type"), (3, 1, "bad_type"), (3, 2, "after_bad"), (4, 0, "bad_type"), (4, 1, "after_bad"),
                    (5, 2, "bad_time"), (5, 3, "after_bad"), (6, 0, "bad_type"), (6, 1, "after_bad"), (7, 1, "bad_type"), (8, -1, "malformed")]
+
+
+def test_numbers_in_tags_are_written_as_the_collector_does(payloads):
+    numbers = {"1.0": "1.0", "1": "1", "0.10": "0.1", "1e20": "1e+20", "100000000000000000000": "1e+20", "18446744073709551615": "18446744073709551615",
+               "1e2": "100.0", "-1.5": "-1.5", "123456789012345678.5": "1.2345678901234568e+17", "1e14": "100000000000000.0", "1e15": "1e+15",
+               "0.00001": "1e-05", "0.0001": "0.0001", "0.00012": "0.00012", "12345678.25": "12345678.25", "-2.5e-9": "-2.5e-09", "1e300": "1e+300",
+               "-9223372036854775808": "-9223372036854775808", "0.0": "0.0", "true": "true", '"1.0"': "1.0", "[1,2]": "[1,2]"}
+    tags = ",".join(f'"t{i}":{n}' for i, n in enumerate(numbers))
+    (row,) = flatten.flatten(payloads('{"metrics":[{"value":1,"tags":{' + tags + "}}]}")).collect()
+    assert [row["tags"][f"t{i}"] for i in range(len(numbers))] == list(numbers.values())
