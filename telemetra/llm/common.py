@@ -29,6 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plainly_named(df: DataFrame) -> DataFrame:
+    """``df`` with columns ``c0, c1, …``, which clash with no helper column of an operator;
+    ``toDF(*df.columns)`` gives the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """A number per row that does not depend on any column (ids may be null or repeat)."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -38,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemetra.llm.common import WORD, with_row_id, written
+from telemetra.llm.common import WORD, plainly_named, with_row_id, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-# Members of a bucket that are compared in one piece of work.
-BLOCK = 4000
+# Members of a bucket that are compared in one piece of work, and their shingles.
+BLOCK, BLOCK_CELLS = 4000, 2_000_000
+# Shingles whose counts a task keeps for texts that come again; postings looked at in one go.
+RECENT_CELLS, POSTINGS = 400_000, 4_000_000
 
 _WORD = re.compile(WORD)
 _U = np.uint64
@@ -183,12 +185,16 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[int, Counter] = OrderedDict()
+        held = 0
 
         def counted(node: int, text: str) -> Counter:
+            nonlocal held
             if node not in recent:
-                if len(recent) >= 64:
-                    recent.popitem(last=False)
-                recent[node] = shingles(_WORD.findall(text or ""))
+                found = shingles(_WORD.findall(text or ""))
+                held += len(found)
+                while recent and held > RECENT_CELLS:
+                    held -= len(recent.popitem(last=False)[1])
+                recent[node] = found
             recent.move_to_end(node)
             return recent[node]
 
@@ -242,75 +248,117 @@ def classes(sketch: DataFrame, *, text_col: str = "text", threshold: float = THR
 
 def _split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with their label, the bucket's
-    largest component (``main``), and how many members it has and how many outside that.
+    largest component (``main``), and how many members and shingles it has, and how many of
+    them outside that.
 
     Of two members one is the pivot, so those pairs are compared already."""
-    labelled = members.select("bucket", "node").join(labels, "node")
-    parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")).where("n > 2 and most < n")
-    return labelled.join(split.select("bucket", "main", "n", (F.col("n") - F.col("most")).alias("outside")), "bucket")
+    labelled = members.select("bucket", "node", "size").join(labels, "node")
+    parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("cells"))
+    split = parts.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum("cells").alias("cells"), F.max(F.struct("n", "label", "cells")).alias("most")).where("n > 2 and most.n < n")
+    return labelled.drop("size").join(split.select(
+        "bucket", F.col("most.label").alias("main"), "n", "cells", (F.col("n") - F.col("most.n")).alias("outside"), (F.col("cells") - F.col("most.cells")).alias("outside_cells")), "bucket")
 
 
 def _linked_in_buckets(split: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
     """Links ``a, b`` between components: each member outside a bucket's largest component
     against all other members, counted over postings, one link per component kept.
 
-    A bucket is one piece of work up to ``block`` members; a larger one is cut into blocks
-    of members and blocks of those outside, every pair of blocks a piece of its own."""
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    A bucket is one piece of work up to ``block`` members and ``BLOCK_CELLS`` shingles; a
+    larger one is cut into blocks of members and blocks of those outside, every pair of blocks
+    a piece of its own. A piece holds eight bytes a shingle of its members (their 64-bit
+    names); those outside pass by them one at a time, and every link found is checked on the
+    whole texts."""
+    blocks = lambda n, cells: F.ceil(F.greatest(F.col(n) / block, F.col(cells) / BLOCK_CELLS)).cast("int")
+    members, others = blocks("n", "cells"), blocks("outside", "outside_cells")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     place = lambda o, m, role: F.struct(o.alias("o"), m.alias("m"), F.lit(role).alias("role"))
     outside = F.col("label") != F.col("main")
     single = F.array(place(F.lit(0), F.lit(0), 3))
     several = F.concat(
-        F.transform(F.sequence(F.lit(0), blocks("outside") - 1), lambda o: place(o, own("n"), 1)),
-        F.when(outside, F.transform(F.sequence(F.lit(0), blocks("n") - 1), lambda m: place(own("outside"), m, 2))).otherwise(F.array().cast("array<struct<o:int,m:int,role:int>>")),
+        F.transform(F.sequence(F.lit(0), others - 1), lambda o: place(o, own(members), 1)),
+        F.when(outside, F.transform(F.sequence(F.lit(0), members - 1), lambda m: place(own(others), m, 2))).otherwise(F.array().cast("array<struct<o:int,m:int,role:int>>")),
     )
-    rows = split.withColumn("at", F.explode(F.when(F.col("n") <= block, single).otherwise(several)))
+    rows = split.withColumn("at", F.explode(F.when(members <= 1, single).otherwise(several)))
     rows = rows.select("bucket", "at.o", "at.m", "node", "label", F.when(F.col("at.role") == 3, F.when(outside, 3).otherwise(1)).otherwise(F.col("at.role")).alias("role"))
     whole = rows.join(texts, "node").select("bucket", "o", "m", "node", "label", "role", "text")
-    dealt = whole.repartition("bucket", "o", "m").sortWithinPartitions("bucket", "o", "m")
+    # members first, then those that are only compared with them
+    dealt = whole.repartition("bucket", "o", "m").sortWithinPartitions("bucket", "o", "m", F.col("role") == 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        sketcher, piece, at = Sketcher(), Piece(threshold), None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[0][:3]:
-                    yield _links(held, threshold)
-                    held = []
-                held.append(row)
-        if held:
-            yield _links(held, threshold)
-
-    return dealt.mapInArrow(run, "a bigint, b bigint")
-
-
-def _links(rows: list[tuple], threshold: float) -> pa.RecordBatch:
-    """Links of one piece of work: ``(bucket, o, m, node, label, role, text)`` rows, role 1 a
-    member, 2 one outside, 3 both."""
-    number: dict[tuple, int] = {}
-    cells = []
-    for row in rows:
-        own = (tuple([s, k]) for s, n in shingles(_WORD.findall(row[6] or "")).items() for k in range(n))
-        cells.append(np.fromiter((number.setdefault(c, len(number)) for c in own), dtype=np.int64))
-    size = np.array([len(c) for c in cells])
-    member = np.array([row[5] & 1 for row in rows], dtype=bool)
-    label = np.array([row[4] for row in rows])
-    holder = np.repeat(np.flatnonzero(member), size[member])
-    cell = np.concatenate([c for c, m in zip(cells, member) if m] or [np.zeros(0, np.int64)])
-    order = np.argsort(cell, kind="stable")
-    posting, start = holder[order], np.searchsorted(cell[order], np.arange(len(number) + 1))
-    found: list[tuple[int, int]] = []
-    for i, row in enumerate(rows):
-        if not row[5] & 2 or not len(cells[i]):
-            continue
-        both = np.bincount(np.concatenate([posting[start[c] : start[c + 1]] for c in cells[i].tolist()]), minlength=len(rows))
-        near = np.flatnonzero(member & (label != label[i]) & (both >= threshold * (size[i] + size - both)))
-        for k in np.unique(label[near], return_index=True)[1]:
-            found.append((row[3], rows[near[k]][3]))
+            found: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                *key, node, label, role, text = (c[i].as_py() for c in batch.columns)
+                if key != at:
+                    found += piece.inner()
+                    piece, at = Piece(threshold), key
+                words = _WORD.findall(text or "")
+                if not words:
+                    continue
+                cells = sketcher.cells(words)
+                if role & 1:
+                    piece.add(node, label, cells, role == 3)
+                else:
+                    found += piece.links(node, label, cells)
+            yield _pairs(found)
+        yield _pairs(piece.inner())
+
+    links = dealt.mapInArrow(run, "a bigint, b bigint")
+    return verified(written(links.distinct(), "minhash-near"), texts, threshold)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
+class Piece:
+    """Postings of the members of one piece of work."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.nodes, self.labels, self.cells, self.outside = [], [], [], []
+        self.sorted = None
+
+    def add(self, node: int, label: int, cells: np.ndarray, outside: bool) -> None:
+        if outside:
+            self.outside.append(len(self.nodes))
+        self.nodes.append(node)
+        self.labels.append(label)
+        self.cells.append(cells)
+
+    def _index(self) -> None:
+        self.size = np.array([len(c) for c in self.cells])
+        self.label = np.array(self.labels)
+        cell = np.concatenate(self.cells)
+        order = np.argsort(cell, kind="stable")
+        self.sorted = cell[order]
+        self.holder = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)[order]
+
+    def links(self, node: int, label: int, cells: np.ndarray) -> list[tuple[int, int]]:
+        """One link to every component but the own that has a member near enough."""
+        if not self.nodes:
+            return []
+        if self.sorted is None:
+            self._index()
+        start, end = np.searchsorted(self.sorted, cells, "left"), np.searchsorted(self.sorted, cells, "right")
+        both, hits = np.zeros(len(self.nodes), dtype=np.int64), np.cumsum(end - start)
+        at, done = 0, 0
+        while at < len(cells):
+            to = max(at + 1, int(np.searchsorted(hits, done + POSTINGS, "right")))
+            n = (end - start)[at:to]
+            place = np.repeat(start[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both += np.bincount(self.holder[place], minlength=len(both))
+            at, done = to, int(hits[to - 1])
+        near = np.flatnonzero((self.label != label) & (both >= self.threshold * (len(cells) + self.size - both)))
+        return [(node, self.nodes[near[k]]) for k in np.unique(self.label[near], return_index=True)[1]]
+
+    def inner(self) -> list[tuple[int, int]]:
+        """Links of the members that stand outside the largest component."""
+        return [link for i in self.outside for link in self.links(self.nodes[i], self.labels[i], self.cells[i])]
+
+
 def _joined(met: DataFrame, labels: DataFrame) -> DataFrame:
     """``node, label`` for every node that shares a bucket, its own label without links."""
     return written(met.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
@@ -334,6 +382,7 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 def keep_one(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Pipeline form: the first row of every class, all columns."""
-    sketch = sketched(docs, text_col)
-    kept = classes(sketch, text_col=text_col).where("_row = label").select("_row")
-    return sketch.join(kept, "_row", "left_semi").select(docs.columns)
+    plain, text = plainly_named(docs), f"c{docs.columns.index(text_col)}"
+    sketch = sketched(plain, text)
+    kept = classes(sketch, text_col=text).where("_row = label").select("_row")
+    return sketch.join(kept, "_row", "left_semi").select(plain.columns).toDF(*docs.columns)

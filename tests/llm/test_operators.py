@@ -264,11 +264,15 @@ def test_classes_against_all_pairs(spark, documents, seed):
     assert got == plain_classes(docs)
 
 
-def test_links_within_buckets_in_blocks(spark):
+def test_links_within_buckets_in_blocks(spark, monkeypatch):
     docs = near_copies(7, families=2, size=14)
-    split = spark.createDataFrame([(9, i, i, 0, len(docs), len(docs) - 1) for i, _ in docs], "bucket bigint, node bigint, label bigint, main bigint, n bigint, outside bigint")
+    cells = {i: len(WORDS.findall(t)) for i, t in docs}
+    split = spark.createDataFrame([(9, i, i, 0, len(docs), sum(cells.values()), len(docs) - 1, sum(cells.values()) - cells[0]) for i, _ in docs],
+                                  "bucket bigint, node bigint, label bigint, main bigint, n bigint, cells bigint, outside bigint, outside_cells bigint")
     texts = spark.createDataFrame(docs, "node bigint, text string")
-    for block in (3, 1000):
+    for block, most, postings in ((3, 10**6, 10**6), (1000, 10**6, 7), (1000, 150, 10**6)):
+        monkeypatch.setattr(minhash, "BLOCK_CELLS", most)
+        monkeypatch.setattr(minhash, "POSTINGS", postings)
         links = minhash._linked_in_buckets(split, texts, minhash.THRESHOLD, block)
         got = {r["node"]: r["label"] for r in minhash.components(links).collect()}
         assert {i: got.get(i, i) for i, _ in docs} == plain_classes(docs)
