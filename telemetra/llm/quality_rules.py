@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemetra.llm.common import WORD, map_rows, written
+from telemetra.llm.common import WORD, map_rows, plainly_named, written
 
 # Fixed values of the base rules.
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -283,8 +283,11 @@ def _passing(stats: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """Pipeline form: the kept rows of ``docs``, all columns. The texts are read twice, once
     for the fit and once to be judged, and never shuffled."""
-    pair = pair_of(F.col("lang"), F.col("source"))
-    stats = written(with_statistics(docs.select("text", "lang", "source")).select("lang", pair.alias("_pair"), "_stats"), "quality-statistics")
+    plain = plainly_named(docs)
+    text, lang, source = (f"c{docs.columns.index(c)}" for c in ("text", "lang", "source"))
+    pair = pair_of(F.col(lang), F.col(source))
+    own = plain.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    stats = written(with_statistics(own).select("lang", pair_of(F.col("lang"), F.col("source")).alias("_pair"), "_stats"), "quality-statistics")
     fitted = fit(_passing(stats))
-    judged = judge(with_statistics(docs).withColumn("_pair", pair), fitted)
-    return judged.where("_kept").select(docs.columns)
+    judged = judge(with_statistics(plain, text).withColumn("_pair", pair), fitted)
+    return judged.where("_kept").select(plain.columns).toDF(*docs.columns)

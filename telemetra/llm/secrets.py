@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import with_row_id, written
+from telemetra.llm.common import plainly_named, with_row_id, written
 
 # Fixed values of the query: kind, pattern, group that holds the value, least length of it.
 BASE_KINDS = [
@@ -155,13 +155,16 @@ def redact(docs: DataFrame, *, text_col: str = "text", size_col: str = "n_chars"
     Only documents that hold a span are written and meet the verdicts in a join; all others
     go straight through.
     """
-    suspect = F.coalesce(F.col(text_col), F.lit("")).rlike("|".join(f"(?:{p})" for _, p, _, _ in KINDS))
-    rows = written(with_row_id(docs.where(suspect)), "secret-rows")
-    live = classified(written(find(rows, text_col=text_col), "secret-spans"), copied_owners).where("n_live > 0").select("_row", "live")
+    plain, name = plainly_named(docs), lambda c: f"c{docs.columns.index(c)}"
+    body, source = F.col(name(text_col)), F.col(name("source"))
+    suspect = F.coalesce(body, F.lit("")).rlike("|".join(f"(?:{p})" for _, p, _, _ in KINDS))
+    rows = written(with_row_id(plain.where(suspect)), "secret-rows")
+    spans = find(rows, text_col=name(text_col), owner=source, repo=F.concat_ws("/", source, F.col(name("lang"))))
+    live = classified(written(spans, "secret-spans"), copied_owners).where("n_live > 0").select("_row", "live")
     changed = rows.join(live, "_row", "left")
-    text = F.when(F.col("live").isNotNull(), masked(F.col(text_col), F.col("live"))).otherwise(F.col(text_col))
-    changed = changed.withColumn(text_col, text)
+    text = F.when(F.col("live").isNotNull(), masked(body, F.col("live"))).otherwise(body)
+    changed = changed.withColumn(name(text_col), text)
     if size_col in docs.columns:
-        size = F.length(text_col).cast(docs.schema[size_col].dataType)
-        changed = changed.withColumn(size_col, F.when(F.col("live").isNotNull(), size).otherwise(F.col(size_col)))
-    return docs.where(~suspect).unionByName(changed.select(docs.columns))
+        size = F.length(body).cast(docs.schema[size_col].dataType)
+        changed = changed.withColumn(name(size_col), F.when(F.col("live").isNotNull(), size).otherwise(F.col(name(size_col))))
+    return plain.where(~suspect).unionByName(changed.select(plain.columns)).toDF(*docs.columns)

@@ -54,10 +54,19 @@ def test_empty_tables(spark, documents, benchmark):
 
 
 def test_pipeline_forms_keep_all_columns(documents, benchmark):
-    docs = documents(*ROWS).drop("_row").withColumn("label", F.lit("more"))
+    docs, clashing = documents(*ROWS), ("label", "_stats", "_pair", "_key", "_size", "_bands", "_kept", "live", "_id", "node", "spans", "c0")
+    for name in clashing:
+        docs = docs.withColumn(name, F.lit("more"))
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == 6
     assert decontaminate.keep_clean(docs, benchmark).columns == docs.columns
+    prose = documents((1, " ".join(f"word{i % 90}" for i in range(200))), (2, "too short"))
+    for name in clashing:
+        prose = prose.withColumn(name, F.lit("more"))
+    good = quality_rules.keep(prose)
+    assert good.columns == prose.columns
+    for found in (kept, secrets.redact(docs), good):
+        assert all(r[c] == "more" for r in found.collect() for c in ("_row", *clashing))
     masked = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
     assert masked[6]["text"] == "[secret] \U0001f600" and masked[6]["n_chars"] == 10
     assert masked[4]["text"] == LONG
