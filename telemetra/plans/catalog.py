@@ -21,7 +21,7 @@ from telemetra.sinks import manifest, values, writers
 from telemetra.sources import adapters, labelled
 from telemetra.sources import payloads as payload_src
 from telemetra.sources import points as points_src
-from telemetra.streaming import live, seen
+from telemetra.streaming import buffered, live, seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -747,6 +747,33 @@ def stream_line_numbers(spark, sf_dir):
     return rows.select(F.regexp_extract("source", "g=([0-9]+)", 1).cast("bigint").alias("file"), "line", "raw")
 
 
+@register("stream_flush")
+def stream_flush(spark, sf_dir):
+    """A query that holds back what arrives. Even events wait for a request, those of one
+    residue go out when the query has stopped, the last ones by their bytes; points per batch."""
+    payloads = adapters.fields_payloads(events(spark, sf_dir))
+    src, sink, cp, requests = (scratch_path(spark, f"flush-{n}") for n in ("landing", "store", "checkpoint", "requests"))
+
+    def land(part):
+        payloads.where(part).repartitionByRange(2, "seq").write.mode("append").parquet(src)
+
+    def run(**how):
+        _run(spark, lambda _: buffered.ingest(live.payload_stream(spark, src, "parquet"), sink, cp, trigger=live.FLUSH, requests=requests, **how))
+
+    land("seq % 4 = 0")
+    run()
+    buffered.request_flush(spark, requests)
+    land("seq % 4 = 2")
+    run()
+    land("seq % 4 = 1")
+    run()
+    buffered.publish_pending(spark, sink, cp)
+    land("seq % 4 = 3")
+    run(max_bytes=1)
+    batch = F.regexp_extract("path", "^batch=([0-9]+)-", 1).cast("bigint")
+    return manifest.files(spark, sink).groupBy(batch.alias("batch")).agg(F.sum("rows").alias("points"))
+
+
 @register("append_after_stream")
 def append_after_stream(spark, sf_dir):
     """T1 and a batch append into one store: readers see both."""

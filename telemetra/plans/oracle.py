@@ -255,6 +255,9 @@ ORACLE.update({
     "query_late_arrivals": f"""{_STORE_A} WHERE metric_name = 'view.value'
   AND ts BETWEEN epoch(TIMESTAMP '2024-01-05 00:00:00') AND epoch(TIMESTAMP '2024-01-06 00:00:00')""",
     "append_after_stream": _STORE_A,
+    # the batch that closes: the second, third and fourth of the query
+    "stream_flush": f"""WITH {_POINTS_A}
+SELECT CASE seq % 4 WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS batch, count(*) AS points FROM pa GROUP BY 1""",
     "stream_filtered_wide": f"""WITH {_E}
 SELECT event_id AS seq, s AS ts, event_type AS name, h AS host, {_TAGS} AS tags_json, value, CAST(k AS DOUBLE) AS k
 FROM e WHERE event_type IN ('purchase', 'view') AND h = 'user-7'""",

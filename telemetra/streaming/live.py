@@ -38,7 +38,8 @@ LINES = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("
 @dataclass(frozen=True)
 class Trigger:
     """When micro-batches run. ``every`` (e.g. ``'10 seconds'``, the collector's
-    flush interval) or ``available_now`` (flush what has arrived, then stop)."""
+    flush interval) or ``available_now`` (flush what has arrived, then stop). Batches that
+    close by size, age or demand are in :mod:`telemetra.streaming.buffered`."""
 
     every: str | None = None
     available_now: bool = False
@@ -54,14 +55,17 @@ FLUSH = Trigger(available_now=True)
 
 # ---------------------------------------------------------------- sources
 
-def payload_stream(spark: SparkSession, path: str, fmt: str = "text", max_files_per_trigger: int | None = None) -> DataFrame:
+def payload_stream(spark: SparkSession, path: str, fmt: str = "text", max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | str | None = None) -> DataFrame:
     """Payload files as they land, in sub-directories too. ``text``: one payload per
     line, ``received_at`` the file time and ``seq`` the place of the line's split, which
     :func:`numbered` makes the arrival order of the batch reader; ``parquet``: landed payloads
-    with the ``PAYLOAD`` schema (producer-assigned ``seq``)."""
+    with the ``PAYLOAD`` schema (producer-assigned ``seq``). A trigger takes at most so many
+    files, or files of so many bytes (but one file at least)."""
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     if fmt == "parquet":
         return reader.schema(PAYLOAD).parquet(path)
     # by splits, as in batch: a file of any size is read by many tasks
