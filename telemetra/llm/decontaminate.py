@@ -34,8 +34,11 @@ PASSAGE, WINDOW = 32, 12
 RANK, SPARE, SEED = 40, 8, 11
 # One in ``KNOWN`` words of a window must be in the vocabulary.
 COSINE, KNOWN = 0.7, 3
-# (word, item) pairs that a task holds at a time.
-PAIRS = 1_000_000
+# (word, item) pairs and words of the decomposition that a task holds at a time; texts that it
+# numbers in one go.
+PAIRS, PIECE, TEXTS = 1_000_000, 1 << 15, 256
+# Part of an item's words, its most frequent ones, that the first count of words passes over.
+FREQUENT = 0.2
 # Part of an item's words found in order: enough alone, or enough with the whole answer.
 SAME, SAME_WITH_ANSWER = 0.75, 0.5
 # Words of an answer at most; an item without a sentence end before it has its last quarter.
@@ -80,45 +83,61 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def word_numbers(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, ids`` per document: the numbers of all its words, in order."""
+    """``_id, ids`` per document: the numbers of all its words, in order. The last one of a
+    task also has ``counts``: the passages per term, and in all, that the task met."""
     key = F.col(id_col) if id_col else F.lit(None).cast("bigint")
     rows = docs.select(key.alias("_id"), F.col(text_col).cast("string").alias("text"))
+    size, many = len(vocabulary.number), pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [vocabulary.ids(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], names=["_id", "ids"])
+        count, held = np.zeros(size + 1, dtype=np.int64), None
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "text").mapInArrow(run, f"_id {kind}, ids array<int>")
+        def batch_of(key: pa.Array, ids: pa.Array, counts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([key, ids, pa.array([None] * (len(key) - len(counts)) + counts, many)], names=["_id", "ids", "counts"])
 
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                ids = _lists([vocabulary.ids(t) for t in part.column(1).to_pylist()])
+                for flat, passage, n in _passages(ids):
+                    count[size] += n
+                    known = flat >= 0
+                    pair = np.unique(passage[known] * size + flat[known])
+                    count[:size] += np.bincount(pair % size, minlength=size)
+                if held:
+                    yield batch_of(*held, [])
+                held = part.column(0), ids
+        if held:
+            yield batch_of(*held, [count.tolist()])
 
-def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
-    """All word numbers of a batch, the passage of each, and how many passages there are."""
-    column = batch.column(0)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    sizes = np.diff(column.offsets.to_numpy())
-    start = np.cumsum(sizes) - sizes
-    inside = np.arange(len(flat)) - np.repeat(start, sizes)
-    per = -(-sizes // PASSAGE)
-    return flat, np.repeat(np.cumsum(per) - per, sizes) + inside // PASSAGE, int(per.sum())
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.select("_id", "text").mapInArrow(run, f"_id {kind}, ids array<int>, counts array<bigint>")
+
+
+def _passages(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The word numbers of a column of texts in pieces of whole passages: numbers, the passage
+    of each, and how many passages there are. Pieces hold ``PIECE`` words or few more, so that
+    a word's cost does not grow with the batch it comes in (larger arrays leave the cache)."""
+    every = column.values.to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    at, end = int(offsets[0]), int(offsets[-1])
+    while at < end:
+        # a text's passages start at its first word: cut between texts, or inside a long one
+        text = int(np.searchsorted(offsets, at, side="right")) - 1
+        upto = int(np.searchsorted(offsets, at + PIECE, side="right")) - 1
+        stop = int(offsets[upto]) if offsets[upto] > at else min(int(offsets[text + 1]), at + PIECE)
+        heads = offsets[text : np.searchsorted(offsets, stop, side="left")].astype(np.int64)
+        heads[0] = at
+        sizes = np.diff(np.append(heads, stop))
+        inside = np.arange(stop - at) - np.repeat(heads - at, sizes)
+        per = -(-sizes // PASSAGE)
+        yield every[at:stop], np.repeat(np.cumsum(per) - per, sizes) + inside // PASSAGE, int(per.sum())
+        at = stop
 
 
 def document_frequencies(numbers: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Passages per term over the whole corpus, and the number of passages."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count = 0, np.zeros(size + 1, dtype=np.int64)
-        for batch in batches:
-            flat, passage, n = _passages(batch)
-            total += n
-            known = flat >= 0
-            pair = np.unique(passage[known].astype(np.int64) * size + flat[known])
-            count[:size] += np.bincount(pair % size, minlength=size)
-        count[size] = total
-        seen = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(count[seen], pa.int64())], names=["term", "n"])
-
-    sums = numbers.select("ids").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sums = numbers.select(F.posexplode("counts").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(size + 1, dtype=np.int64)
     for r in sums:
         found[r["term"]] = r["n"]
@@ -129,31 +148,22 @@ def gram_times(numbers: DataFrame, idf: np.ndarray, other: float, right: np.ndar
     """(A'A)·``right`` for the corpus' TF-IDF passages A, each row scaled to its weight
     (words outside the vocabulary count with ``other``)."""
     size, width = right.shape
-    weighted = (right * idf[:, None]).astype(np.float32)
-    weights = np.append(idf, other).astype(np.float32)  # -1 is the last
+    shared = _broadcast(numbers, ((right * idf[:, None]).astype(np.float32), np.append(idf, other).astype(np.float32)))  # -1 is the last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighted, weights = shared.value
         out = np.zeros((size, width))
         for batch in batches:
-            flat, passage, n = _passages(batch)
-            if not len(flat):
-                continue
-            norm = np.bincount(passage, weights=np.square(weights[flat], dtype=np.float32), minlength=n)
-            known = np.flatnonzero(flat >= 0)
-            for at in range(0, len(known), 400_000):  # bounded pieces; A'A adds up over rows
-                part = known[at : at + 400_000]
-                if at and passage[part[0]] == passage[known[at - 1]]:
-                    part = part[passage[part] != passage[known[at - 1]]]
-                last = at + 400_000
-                while last < len(known) and passage[known[last]] == passage[known[last - 1]]:
-                    part = np.append(part, known[last])
-                    last += 1
-                if not len(part):
+            for flat, passage, n in _passages(batch.column(0)):  # A'A adds up over rows
+                norm = np.bincount(passage, weights=np.square(weights[flat]), minlength=n)
+                known = flat >= 0
+                term, row = flat[known], passage[known]
+                if not len(term):
                     continue
-                term, row = flat[part], passage[part]
-                starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                new = np.concatenate([[True], row[1:] != row[:-1]])
+                starts = np.flatnonzero(new)
                 y = np.add.reduceat(weighted[term], starts, axis=0) / norm[row[starts]][:, None].astype(np.float32)
-                number = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))
+                number = np.cumsum(new) - 1
                 order = np.argsort(term.astype(np.uint16) if size <= 1 << 16 else term, kind="stable")
                 term = term[order]
                 first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
@@ -170,6 +180,11 @@ def gram_times(numbers: DataFrame, idf: np.ndarray, other: float, right: np.ndar
     return found
 
 
+def _broadcast(df: DataFrame, value):
+    """``value``, bounded by the benchmark, once per executor instead of in every task."""
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
 class Index:
     """What the search needs: term vectors, words and windows of the items."""
 
@@ -183,7 +198,14 @@ class Index:
         self.slack = np.maximum(4, n // 4)
         # of a part of ``span`` words at least ``least`` must be an item's, or no verdict accepts it
         self.span, self.least = n + 2 * self.slack, np.ceil(SAME_WITH_ANSWER * n).astype(np.int64)
-        held = [(t, no, k) for no, x in enumerate(self.item_ids) for t, k in zip(*np.unique(x, return_counts=True))]
+        held = []
+        for no, x in enumerate(self.item_ids):
+            terms, times = np.unique(x, return_counts=True)
+            order = np.argsort(idf[terms], kind="stable")
+            # frequent words stand in most texts and items: without them so many fewer are needed
+            passed = np.cumsum(times[order]) <= int(FREQUENT * len(x))
+            self.least[no] -= times[order][passed].sum()
+            held += [(t, no, k) for t, k in zip(terms[order][~passed], times[order][~passed])]
         term, self.item_at, self.times = (np.array(c, dtype=np.int64) for c in zip(*sorted(held)))
         self.n_items = np.append(np.bincount(term, minlength=len(vocabulary.number)), 0)
         self.first_item = np.cumsum(self.n_items) - self.n_items
@@ -289,11 +311,9 @@ def common(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def build(numbers: DataFrame, vocabulary: Vocabulary, rank: int = RANK) -> Index | None:
+def build(numbers: DataFrame, vocabulary: Vocabulary, rank: int = RANK) -> Index:
     """Term vectors from the corpus: idf over all passages, then the randomised SVD."""
     size = len(vocabulary.number)
-    if not size:
-        return None
     seen, total = document_frequencies(numbers, size)
     idf = np.log((1 + total) / (1 + seen)) + 1e-3
     other = float(np.log(1 + total)) + 1e-3
@@ -320,40 +340,45 @@ FOUND = "item_id bigint, cosine double, lcs_share double, answer_found boolean,
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per (document, item) that the document holds."""
     vocabulary = Vocabulary(benchmark_items(benchmark))
-    numbers = written(word_numbers(docs, vocabulary, id_col=id_col, text_col=text_col), "benchmark-words")
-    index = build(numbers, vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
-    if index is None:
+    if not vocabulary.number:
         return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, {FOUND}")
+    numbers = written(word_numbers(docs, vocabulary, id_col=id_col, text_col=text_col), "benchmark-words")
+    index = build(numbers, vocabulary)
+
+    shared = _broadcast(numbers, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             lists = batch.column(1)
             flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             rows = []
             for i in range(batch.num_rows):
                 for no, cos, share, holds, first in index.matches(flat[offsets[i] : offsets[i + 1]]):
-                    rows.append((batch.column(0)[i].as_py(), vocabulary.items[no][0], cos, share, holds, first))
+                    rows.append((batch.column(0)[i].as_py(), index.vocabulary.items[no][0], cos, share, holds, first))
             cols = list(zip(*rows)) or [[]] * 6
             kinds = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[id_col, "item_id", "cosine", "lcs_share", "answer_found", "first_word"])
 
-    return numbers.mapInArrow(run, f"{id_col} {kind}, {FOUND}")
+    return numbers.select("_id", "ids").mapInArrow(run, f"{id_col} {kind}, {FOUND}")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Pipeline form: the rows of ``docs`` that hold no benchmark item, all columns. Texts
     are judged in place by the index, which is bounded by the benchmark."""
     vocabulary = Vocabulary(benchmark_items(benchmark))
-    numbers = written(word_numbers(docs, vocabulary, id_col=None, text_col=text_col).select("ids"), "benchmark-words")
-    index = build(numbers, vocabulary)
-    if index is None:
+    if not vocabulary.number:
         return docs
+    numbers = written(word_numbers(docs, vocabulary, id_col=None, text_col=text_col).select("ids", "counts"), "benchmark-words")
+    index = build(numbers, vocabulary)
     at = docs.columns.index(text_col)
+    shared = _broadcast(docs, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
-            clean = [not index.matches(vocabulary.ids(t)) for t in batch.column(at).to_pylist()]
+            clean = [not index.matches(index.vocabulary.ids(t)) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
