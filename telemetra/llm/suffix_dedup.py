@@ -250,7 +250,8 @@ def ranked_by_window(stretches: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """One row per document: id, ``n_bytes, n_removed, n_spans, kept_sha256`` and ``kept``
+    """One row per document: id, ``n_bytes, n_removed, n_spans, kept_sha256``, ``has_repeat``
+    (something was removed), ``longest_repeat`` (bytes of the longest removed run) and ``kept``
     (the remaining bytes; null where nothing was removed)."""
     texts = sampled(docs, id_col, text_col)
     ends = F.concat(F.transform(F.slice("first", F.lit(2), F.size("first")), lambda x: x - 1), F.array((F.col("n_bytes") - LENGTH).cast("int")))
@@ -274,10 +275,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > group).limit(1).count():
         found = found.unionByName(ranked_by_window(_stretches(active.withColumn("picked", pick(True)), "picked")))
     runs = covered.unionByName(found).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
-    cut = active.select("_row", "packed").join(runs, "_row").mapInArrow(_cut, "_row bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    cut = active.select("_row", "packed").join(runs, "_row").mapInArrow(_cut, "_row bigint, n_removed bigint, n_spans bigint, longest bigint, kept_sha256 string, kept binary")
     return texts.select("_row", "_id", "n_bytes", "sha").join(cut, "_row", "left").select(
         F.col("_id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
+        F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        (F.coalesce("n_removed", F.lit(0)) > 0).alias("has_repeat"), F.coalesce("longest", F.lit(0)).cast("bigint").alias("longest_repeat"), "kept")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,17 +288,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row, packed, runs in zip(*(c.to_pylist() for c in batch.columns)):
-            text, kept, at, spans = unpack.decompress(packed), [], 0, 0
-            reach = -1
+            text, kept, at, spans, longest = unpack.decompress(packed), [], 0, 0, 0
+            reach = opened = -1
             for run in runs:
                 if run["begin"] > reach:
                     kept.append(text[at : run["begin"]])
                     spans += 1
+                    opened = run["begin"]
                 reach = max(reach, run["end"])
+                longest = max(longest, reach - opened)
                 at = reach
             kept.append(text[at:])
             rest = b"".join(kept)
-            out.append((row, len(text) - len(rest), spans, hashlib.sha256(rest).hexdigest(), rest))
-        cols = list(zip(*out)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_row", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((row, len(text) - len(rest), spans, longest, hashlib.sha256(rest).hexdigest(), rest))
+        cols = list(zip(*out)) or [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_row", "n_removed", "n_spans", "longest", "kept_sha256", "kept"])
