@@ -8,7 +8,8 @@ last one). Of the rules that fit a URL the longest wins.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no
 rule; a URL that fits no rule gets ``default``. Between rules of the same length the longer
-host wins, then ``block``. Rows with equal ids or URLs are judged one by one; an empty table
+host wins, then ``block``. Suffixes and prefixes deeper than any rule's are not formed, so a
+URL's cost follows its length, whatever its depth. Rows with equal ids or URLs are judged one by one; an empty table
 gives an empty result; further columns of the input are not read.
 """
 
@@ -64,22 +65,30 @@ def keyed_rules(df: DataFrame) -> DataFrame:
     return df.select("rule_host", "rule_path", "rule_verdict", full.alias("rule_digest"), full.substr(1, 8).alias("rule_prefix"))
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """Digests of all (host suffix, path prefix) pairs of one URL."""
-    labels = F.split(host, r"\.")
+def expressions(host: Column, path: Column, labels: int = -1, slashes: int = -1) -> Column:
+    """Digests of all (host suffix, path prefix) pairs of one URL, of at most so many labels
+    and slashes (-1: all)."""
+    names = F.split(host, r"\.")
+    first = F.greatest(F.lit(1), F.size(names) - F.lit(labels) + 1) if labels >= 0 else F.lit(1)
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."),
+        F.sequence(first, F.greatest(first, F.size(names))),
+        lambda i: F.array_join(F.slice(names, i, F.greatest(F.lit(0), F.size(names) - i + 1)), "."),
     )
-    steps = F.split(path, "/")
+    steps = F.split(path, "/", slashes + 1 if slashes >= 0 else -1)
     cut = F.transform(
         F.sequence(F.lit(1), F.size(steps)),
-        lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.when(i < F.size(steps), "/").otherwise("")),
+        lambda i: F.when(i < F.size(steps), F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))),
     )
-    prefixes = F.array_distinct(F.concat(F.array(F.lit("")), F.filter(cut, lambda p: p.endswith("/"))))
+    prefixes = F.array_distinct(F.concat(F.array(F.lit("")), F.filter(cut, lambda p: p.isNotNull())))
     return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: digest(h, p))))
 
 
+def depths(rules: DataFrame) -> tuple[int, int]:
+    """Labels of the longest rule host and slashes of the deepest rule path."""
+    found = rules.agg(F.max(F.size(F.split("rule_host", r"\."))), F.max(F.size(F.split("rule_path", "/")) - 1)).first()
+    return found[0] or 0, found[1] or 0
+
+
 def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per input row: ``id, host, path, rule, verdict``.
 
@@ -90,7 +99,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     url = F.col("_url")
     urls = with_row_id(pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url")))
     parts = urls.select("_row", "_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    asked = parts.withColumn("digest", F.explode(expressions(F.col("host"), F.col("path")))).withColumn("prefix", F.col("digest").substr(1, 8))
+    asked = parts.withColumn("digest", F.explode_outer(expressions(F.col("host"), F.col("path"), *depths(rules)))).withColumn("prefix", F.col("digest").substr(1, 8))
     met = asked.join(rules, F.col("prefix") == F.col("rule_prefix"), "left")
     fits = (F.col("digest") == F.col("rule_digest")) & F.startswith(F.col("path"), F.col("rule_path"))
     name = F.concat("rule_host", "rule_path")
