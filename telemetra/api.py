@@ -34,7 +34,7 @@ def ingest(spark: SparkSession, landing: str, base: str, fmt: Format = "parquet"
     configure(spark)
     payloads = read_payloads(spark, landing, whole_file)
     seen = Observation("ingest")
-    write_points(flatten.flatten(payloads, options, counters=seen), base, fmt)
+    write_points(flatten.flatten(payloads, options, counters=seen, dated=True), base, fmt, layout="as_is")
     if quarantine:
         flatten.rejected(payloads, options).write.mode("append").parquet(quarantine)
     totals = [(seen.get["total_requests"], seen.get["total_metrics"])]

@@ -144,6 +144,7 @@ def flatten(
     keep: list[str] | None = None,
     metrics: list[str] | None = None,
     counters: Observation | None = None,
+    dated: bool = False,
 ) -> DataFrame:
     """Payload rows (``seq``, ``raw``, …) → points.
 
@@ -156,6 +157,10 @@ def flatten(
     ``concat`` that builds the name).
 
     ``counters`` observes A3's totals while whatever reads the points runs.
+
+    ``dated`` adds the event ``date`` and deals the metrics by it before their fields are
+    fanned out, for a store by event date that is then written ``as_is``: a metric's tags
+    move once instead of with each of its points.
     """
     keep = list(keep or [])
     parsed = parse_payloads(payloads, options)
@@ -164,6 +169,9 @@ def flatten(
     rows = _metric_rows(parsed, options, keep)
     if metrics:
         rows = rows.where(could_yield(F.col("name"), metrics))
+    if dated:
+        rows = rows.withColumn("date", F.to_date("timestamp")).hint("rebalance", "date")
+        keep = [*keep, "date"]
     points = _fan_out(rows, keep)
     if metrics:
         points = points.where(F.col("metric_name").isin(metrics))

@@ -79,8 +79,9 @@ def _publish(spark: SparkSession, rows: DataFrame, sink: str, checkpoint: str, b
     payloads = rows.where(F.col("kind") == PAYLOADS).drop("kind", "bytes", "landed_at")
     if quarantine:
         flatten.rejected(payloads, options).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-    points = flatten.flatten(payloads, options, keep=["received_at"])
-    manifest.write_batch(points, sink, checkpoint.rstrip("/"), batch_id, date_source)
+    by_event = date_source == "timestamp"
+    points = flatten.flatten(payloads, options, keep=["received_at"], dated=by_event)
+    manifest.write_batch(points, sink, checkpoint.rstrip("/"), batch_id, date_source, layout="as_is" if by_event else None)
     live._prune_before(spark, _pending_dir(checkpoint), batch_id + 1)
 
 

@@ -222,8 +222,9 @@ def ingest(
         batch = numbered(batch)
         if quarantine:
             flatten.rejected(batch, options).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-        points = flatten.flatten(batch, options, keep=["received_at"])
-        manifest.write_batch(points, sink, writer, batch_id, date_source)
+        by_event = date_source == "timestamp"
+        points = flatten.flatten(batch, options, keep=["received_at"], dated=by_event)
+        manifest.write_batch(points, sink, writer, batch_id, date_source, layout="as_is" if by_event else None)
 
     return _start(payloads.writeStream.foreachBatch(write), checkpoint, trigger, name)
 

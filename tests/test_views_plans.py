@@ -108,3 +108,18 @@ def test_hosts_by_tag_and_metrics_by_name(spark, payloads):
     assert rows(views.distinct_hosts(flatten.flatten(pays)), "host") == [("h",), ("unknown",)]
     assert views.recent(flatten.wide_metrics(pays), 5, "sys").count() == 1
     assert views.recent(flatten.flatten(pays), 5, "sys").count() == 2
+
+
+def test_dated_points_move_once_per_metric(spark, payloads):
+    """Metrics are dealt by date below the fan-out; points and dates stay the same."""
+    raws = [f'{{"metrics":[{{"name":"m","timestamp":{86400 * (i % 3)},"tags":{{"host":"h{i}"}},"fields":{{"a":{i},"b":{i},"c":"x"}}}}]}}' for i in range(30)]
+    df = payloads(*raws)
+    dated = flatten.flatten(df, dated=True)
+    cols = ("seq", "pos", "metric_name", "value", "host", "tags_json")
+    assert rows(dated, *cols) == rows(flatten.flatten(df), *cols)
+    assert rows(dated.selectExpr("date = to_date(timestamp) as same").distinct(), "same") == [(True,)]
+    plan = dated._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(") < plan.index("RebalancePartitions")  # above it
+    path = scratch_path(spark, "dated")
+    writers.write_points(dated, path, "parquet", layout="as_is")
+    assert spark.read.parquet(path).groupBy("date").count().count() == 3 and spark.read.parquet(path).count() == 60
