@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Type names schema_of_variant reports for JSON numbers: integers, doubles, and DECIMAL(p,s).
-_NUMBER_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
+# How the type names begin that schema_of_variant reports for JSON numbers: integers, doubles,
+# and DECIMAL(p,s). One look at the name, since lambdas evaluate every mention of it anew.
+_FLOATS = ("FLOA", "DOUB", "DECI")
+_NUMBERS = ("TINY", "SMAL", "INT", "BIGI", *_FLOATS)
 
 
 def type_of(v: Column) -> Column:
@@ -25,20 +27,17 @@ def field(v: Column, path: str, to: str = "variant") -> Column:
 
 
 def is_number(v: Column) -> Column:
-    t = type_of(v)
-    return t.isin(*_NUMBER_TYPES) | t.startswith("DECIMAL")
+    return F.substring(type_of(v), 1, 4).isin(*_NUMBERS)
 
 
 def is_float(v: Column) -> Column:
     """A number written with a fraction or an exponent, or past 64 bits."""
-    t = type_of(v)
-    return t.isin("FLOAT", "DOUBLE") | t.startswith("DECIMAL")
+    return F.substring(type_of(v), 1, 4).isin(*_FLOATS)
 
 
 def is_number_or_boolean(v: Column) -> Column:
     """What an integer read accepts (booleans count as 0 / 1); one type lookup."""
-    t = type_of(v)
-    return t.isin(*_NUMBER_TYPES, "BOOLEAN") | t.startswith("DECIMAL")
+    return F.substring(type_of(v), 1, 4).isin(*_NUMBERS, "BOOL")
 
 
 def is_string(v: Column) -> Column:
@@ -51,31 +50,54 @@ def is_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "struct<__probe:int>").isNotNull()
 
 
+def as_double(v: Column) -> Column:
+    """A JSON number as DOUBLE. ``variant_get`` builds a cast (and its settings) for every value
+    that is no double already; reading the number's own text gives the same, nearest double."""
+    return F.to_json(v).try_cast("double")
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` mentions it: inside
+    a lambda (tag values are converted in one) Spark shares no common expressions."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def number_text(v: Column) -> Column:
     """A JSON number that is no 64-bit integer as the collector writes it: the shortest digits
     of its double, plain with a fraction up to 15 digits before the point and 4 zeros behind
     it, else with an exponent of two digits (``1.0``, ``0.1``, ``1e+20``, ``1e-05``). Unsigned
     64-bit integers keep their digits."""
-    plain = F.variant_get(v, "$", "string")
-    unsigned = type_of(v).isin("DECIMAL(19,0)", "DECIMAL(20,0)") & (F.try_variant_get(v, "$", "decimal(20,0)") <= F.lit("18446744073709551615").cast("decimal(20,0)")) & (
-        F.try_variant_get(v, "$", "decimal(20,0)") >= 0)
-    x = F.variant_get(v, "$", "double")
+    whole = F.when(type_of(v).isin("DECIMAL(19,0)", "DECIMAL(20,0)"), F.try_variant_get(v, "$", "decimal(20,0)"))
+    unsigned = whole.between(F.lit(0).cast("decimal(20,0)"), F.lit("18446744073709551615").cast("decimal(20,0)"))
+    return F.when(unsigned, F.variant_get(v, "$", "string")).otherwise(_let(as_double(v), double_text))
+
+
+def double_text(x: Column) -> Column:
+    """A double as :func:`number_text` writes it."""
     # the fewest digits that give the number back (Java's own text may have more)
-    tried = [F.format_string(f"%.{n}e", x) for n in (14, 15)]
-    text = F.coalesce(*[F.when(t.cast("double") == x, t) for t in tried], F.format_string("%.16e", x))
+    exact = lambda n, other: _let(F.format_string(f"%.{n}e", x), lambda t: F.when(t.cast("double") == x, t).otherwise(other))
+    return _let(exact(14, exact(15, F.format_string("%.16e", x))), _exponent_text)
+
+
+def _exponent_text(text: Column) -> Column:
+    """``-d.ddde±dd`` → sign, then digits without trailing zeros and the digits before the point."""
     sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    digits = F.regexp_replace(F.regexp_replace(F.substring_index(text, "e", 1), "[-.]", ""), "0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    point = F.substring_index(text, "e", -1).cast("int") + 1  # digits before the point
-    size = F.length(digits)
-    exponent = F.concat(F.when(point > 0, F.lit("e+")).otherwise(F.lit("e-")), F.lpad(F.abs(point - 1).cast("string"), F.greatest(F.lit(2), F.length(F.abs(point - 1).cast("string"))), F.lit("0")))
-    written = (
+    digits = F.rtrim(F.translate(F.substring_index(text, "e", 1), "-.", ""), F.lit("0"))
+    point = F.substring_index(text, "e", -1).cast("int") + 1
+    parts = F.struct(F.when(digits == "", F.lit("0")).otherwise(digits).alias("digits"), point.alias("point"))
+    return F.concat(sign, _let(parts, lambda p: _placed(p["digits"], p["point"])))
+
+
+def _placed(digits: Column, point: Column) -> Column:
+    """Digits with ``point`` of them before the point, plain or with an exponent."""
+    size, places = F.length(digits), F.abs(point - 1).cast("string")
+    exponent = F.concat(F.when(point > 0, F.lit("e+")).otherwise(F.lit("e-")), F.lpad(places, F.greatest(F.lit(2), F.length(places)), F.lit("0")))
+    return (
         F.when((size <= point) & (point <= 15), F.concat(F.rpad(digits, point, F.lit("0")), F.lit(".0")))
         .when((point > 0) & (point <= 15), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
         .when((point > -4) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
         .otherwise(F.concat(F.substring(digits, 1, 1), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(F.lit("")), exponent))
     )
-    return F.when(unsigned, plain).otherwise(F.concat(sign, written))
 
 
 def json_text_values(obj: Column) -> Column:
@@ -88,10 +110,9 @@ def json_text_values(obj: Column) -> Column:
     NULL) and none looks like a number; only then is each value converted on its own.
     """
     cast = F.try_variant_get(obj, "$", "map<string,string>")
-    values = F.map_values(cast)
-    simple = F.forall(values, lambda t: F.coalesce(~F.substring(t, 1, 1).between("-", "9"), F.lit(False)))
+    simple = lambda m: F.forall(F.map_values(m), lambda t: F.coalesce(~F.substring(t, 1, 1).between("-", "9"), F.lit(False)))
     per_value = F.transform_values(
         F.try_variant_get(obj, "$", "map<string,variant>"),
         lambda _k, x: F.when(is_string(x), F.variant_get(x, "$", "string")).when(is_float(x), number_text(x)).otherwise(F.to_json(x)),
     )
-    return F.when(simple, cast).otherwise(per_value)
+    return _let(cast, lambda m: F.when(simple(m), m).otherwise(per_value))

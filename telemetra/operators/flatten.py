@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from telemetra.constants import DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.points import in_time_span, sorted_json_object, to_event_time
 from telemetra.functions.variant import (
+    as_double,
     field,
     is_number,
     is_number_or_boolean,
@@ -46,6 +47,10 @@ BAD_TIME = "bad_time"
 AFTER_BAD = "after_bad"  # behind a rejected metric, in prefix scope
 OK = "ok"
 
+# What is read of a metric, taken out in one walk over the parsed payload; NULL for a metric
+# that is not an object, fields NULL for keys that are missing.
+METRIC = "struct<name:variant,timestamp:variant,value:variant,fields:map<string,variant>,tags:variant>"
+
 
 def _absent_or(v: Column, test: Column) -> Column:
     return v.isNull() | F.coalesce(test, F.lit(False))
@@ -55,23 +60,21 @@ def metric_problem(m: Column, unit: str = "s") -> Column:
     """NULL for a usable metric, else why it is rejected: ``bad_type`` when a present key
     has no usable type, ``bad_time`` when its timestamp lies outside years 1 to 9999 in
     ``unit`` (a finer unit than stated, or a number past 64 bits)."""
-    name = field(m, "$.name")
-    ts = field(m, "$.timestamp")
-    value = field(m, "$.value")
-    host = field(m, "$.tags.host")
+    name, ts, value = m["name"], m["timestamp"], m["value"]
+    host = field(m["tags"], "$.host")
     typed = (
-        is_object(m)
+        m.isNotNull()
         & _absent_or(name, is_string(name))
         & _absent_or(ts, is_number_or_boolean(ts))
         & _absent_or(value, is_number(value))
         & _absent_or(host, is_string(host))
     )
-    in_range = _absent_or(ts, in_time_span(field(m, "$.timestamp", "bigint"), unit))
+    in_range = _absent_or(ts, in_time_span(field(ts, "$", "bigint"), unit))
     return F.when(~F.coalesce(typed, F.lit(False)), F.lit(BAD_TYPE)).when(~in_range, F.lit(BAD_TIME))
 
 
 def parse_payloads(payloads: DataFrame, options: FlattenOptions = FlattenOptions()) -> DataFrame:
-    """Add ``metrics`` (``array<variant>``) and ``status`` to each payload row.
+    """Add ``metrics`` (an array of :data:`METRIC`) and ``status`` to each payload row.
 
     ``status`` is ``ok``, ``malformed`` (not JSON), ``no_envelope`` (JSON without a metrics
     array) or, in payload scope, the problem of a metric (``bad_type`` before ``bad_time``).
@@ -79,10 +82,10 @@ def parse_payloads(payloads: DataFrame, options: FlattenOptions = FlattenOptions
     doc = F.try_parse_json(F.col("raw"))
     parsed = payloads.withColumn("_doc", doc)
     d = F.col("_doc")
-    metrics = field(d, "$.metrics", "array<variant>")
+    metrics = field(d, "$.metrics", f"array<{METRIC}>")
     if options.accept_bare:
-        bare_object = F.when(is_object(d) & field(d, "$.metrics").isNull(), F.array(d))
-        metrics = F.coalesce(metrics, field(d, "$", "array<variant>"), bare_object)
+        bare_object = F.when(is_object(d) & field(d, "$.metrics").isNull(), F.array(field(d, "$", METRIC)))
+        metrics = F.coalesce(metrics, field(d, "$", f"array<{METRIC}>"), bare_object)
     parsed = parsed.withColumn("metrics", metrics)
     status = (
         F.when(d.isNull(), F.lit(MALFORMED))
@@ -111,22 +114,22 @@ def _metric_rows(parsed: DataFrame, options: FlattenOptions, keep: list[str]) ->
     if options.scope == "metric":
         rows = rows.where(metric_problem(F.col("m"), options.ts_unit).isNull())
     m = F.col("m")
-    tags_obj = field(m, "$.tags")
     return rows.select(
         *keep,
         "seq",
         "pos",
-        to_event_time(F.coalesce(field(m, "$.timestamp", "bigint"), F.lit(DEFAULT_TIMESTAMP)), options.ts_unit)
+        to_event_time(F.coalesce(field(m["timestamp"], "$", "bigint"), F.lit(DEFAULT_TIMESTAMP)), options.ts_unit)
         .alias("timestamp"),
-        F.coalesce(field(m, "$.name", "string"), F.lit(UNKNOWN)).alias("name"),
-        F.coalesce(field(m, "$.tags.host", "string"), F.lit(UNKNOWN)).alias("host"),
-        F.when(is_object(tags_obj), tags_obj).alias("tags_raw"),
-        field(m, "$.value").alias("_value"),
-        field(m, "$.fields", "map<string,variant>").alias("_fields"),
-    ).withColumn("tags", json_text_values(F.col("tags_raw"))).withColumn(
+        F.coalesce(field(m["name"], "$", "string"), F.lit(UNKNOWN)).alias("name"),
+        F.when(is_object(m["tags"]), m["tags"]).alias("tags_raw"),
+        m["value"].alias("_value"),
+        m["fields"].alias("_fields"),
+    ).withColumn("tags", json_text_values(F.col("tags_raw"))).withColumns({
+        # a host that is no string is a problem of its metric: the text among the tags is its own
+        "host": F.coalesce(F.try_element_at("tags", F.lit("host")), F.lit(UNKNOWN)),
         # once per metric, before the fan-out repeats the row per field
-        "tags_json", sorted_json_object(F.col("tags"))
-    )
+        "tags_json": sorted_json_object(F.col("tags")),
+    })
 
 
 def could_yield(name: Column, targets: list[str]) -> Column:
@@ -193,7 +196,7 @@ def _fan_out(metrics: DataFrame, keep: list[str]) -> DataFrame:
         F.when(F.col("_single"), F.col("name"))
         .otherwise(F.concat(F.col("name"), F.lit("."), F.col("_field")))
         .alias("metric_name"),
-        F.variant_get(F.col("_v"), "$", "double").alias("value"),
+        as_double(F.col("_v")).alias("value"),
         "host",
         "tags",
         "tags_json",
@@ -210,11 +213,11 @@ def wide_metrics(payloads: DataFrame, options: FlattenOptions = FlattenOptions()
     keep = list(keep or [])
     metrics = _metric_rows(parse_payloads(payloads, options), options, keep)
     numeric = F.map_filter(F.col("_fields"), lambda _k, v: is_number(v))
-    as_double = F.transform_values(numeric, lambda _k, v: F.variant_get(v, "$", "double"))
+    doubles = F.transform_values(numeric, lambda _k, v: as_double(v))
     fields = F.when(
         F.col("_value").isNotNull(),
-        F.create_map(F.lit("value"), F.variant_get(F.col("_value"), "$", "double")),
-    ).otherwise(F.coalesce(as_double, F.create_map().cast("map<string,double>")))
+        F.create_map(F.lit("value"), as_double(F.col("_value"))),
+    ).otherwise(F.coalesce(doubles, F.create_map().cast("map<string,double>")))
     return metrics.select(
         *keep, "seq", "pos", "timestamp", "name", "host", "tags", "tags_json", fields.alias("fields"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from telemetra.constants import DEFAULT_LABELLED_VALUE, DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.rows import arrival, keep_where
-from telemetra.functions.variant import field, is_number, is_number_or_boolean, is_object, is_string
+from telemetra.functions.variant import as_double, field, is_number, is_number_or_boolean, is_object, is_string
 
 
 def labelled_points(lines: DataFrame, arrays: bool = False) -> DataFrame:
@@ -49,7 +49,7 @@ def labelled_points(lines: DataFrame, arrays: bool = False) -> DataFrame:
         "pos",
         F.coalesce(field(d, "$.timestamp", "bigint"), F.lit(DEFAULT_TIMESTAMP)).alias("timestamp"),
         F.coalesce(field(d, "$.metric", "string"), F.lit(UNKNOWN)).alias("metric"),
-        F.coalesce(field(d, "$.value", "double"), F.lit(DEFAULT_LABELLED_VALUE)).alias("value"),
+        F.coalesce(as_double(value), F.lit(DEFAULT_LABELLED_VALUE)).alias("value"),
         F.coalesce(
             F.when(is_object(label_obj), field(label_obj, "$", "map<string,string>")), empty
         ).alias("labels"),

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from telemetra.constants import UNKNOWN
 from telemetra.functions.points import in_time_span, sorted_json_object, to_event_time
 from telemetra.functions.rows import keep_where
-from telemetra.functions.variant import field, is_number, is_string, json_text_values
+from telemetra.functions.variant import as_double, field, is_number, is_string, json_text_values
 from telemetra.schemas import POINT_CSV, POINT_CSV_TAGS, POINT_PARQUET
 from telemetra.sinks import manifest
 
@@ -111,7 +111,7 @@ def read_jsonl_points(spark: SparkSession, base: str, partitions: tuple[str, ...
         ok,
         to_event_time(seconds).alias("timestamp"),
         (F.col("_metric") if "metric" in partitions else field(doc, "$.metric", "string")).alias("metric_name"),
-        field(doc, "$.value", "double").alias("value"),
+        as_double(value).alias("value"),
         F.coalesce(F.col("_host") if "host" in partitions else field(doc, "$.host", "string"), F.lit(UNKNOWN)).alias("host"),
         sorted_json_object(tags).alias("tags_json"),
         *[F.col("_date").alias("date") for p in partitions if p == "date"],
