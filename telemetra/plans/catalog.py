@@ -606,10 +606,15 @@ def expired_files(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming (landed files → stream)
 
+# A landed file's row groups: a reader's task takes whole ones, so a trigger of one file is read
+# by as many tasks as the file has of them.
+ROW_GROUP_BYTES = 1 << 20
+
+
 def _land(df: DataFrame, spark: SparkSession, name: str, files: int = 4) -> str:
     """Write fixture payloads as ``files`` Parquet files in ``seq`` ranges to stream from."""
     path = scratch_path(spark, f"landing-{name}")
-    df.repartitionByRange(files, "seq").write.parquet(path)
+    df.repartitionByRange(files, "seq").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return path
 
 
@@ -650,7 +655,7 @@ def stream_seen_reset(spark, sf_dir):
     sink, checkpoint = scratch_path(spark, "stream-seen"), scratch_path(spark, "checkpoint")
     spark.range(0).write.parquet(control)
     for half in range(2):
-        lines.where(F.col("seq") % 2 == half).coalesce(1).write.mode("append").parquet(src)
+        lines.where(F.col("seq") % 2 == half).write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(src)
         if half:
             spark.range(1).coalesce(1).write.mode("append").parquet(control)
         resets = spark.readStream.schema("id bigint").parquet(control)

@@ -39,14 +39,16 @@ def _processor(remember_seconds: int) -> StatefulProcessor:
             self.maps = [handle.getMapState(name, "series_key string", "seq bigint") for name in ("even", "odd")]
 
         def handleInputRows(self, key, rows, timerValues):
-            # a batch's distinct series of the shard, each with its earliest row
+            # a batch's distinct series of the shard, each with its earliest row; row by row only
+            # over the earliest of each frame
             first, reset, now = {}, False, 0
             for frame in rows:
-                for row in frame.itertuples(index=False):
-                    now = int(row.now)
-                    if row.reset:
-                        reset = True
-                        continue
+                if len(frame):
+                    now = int(frame["now"].iloc[-1])
+                reset = reset or bool(frame["reset"].any())
+                points = frame[~frame["reset"].astype(bool)]
+                points = points.sort_values(["seq", "pos", "metric", "labels_json", "timestamp"]).drop_duplicates("series_key")
+                for row in points.itertuples(index=False):
                     own = (int(row.seq), int(row.pos), row.series_key, row.metric, row.labels_json, int(row.timestamp))
                     if row.series_key not in first or own < first[row.series_key]:
                         first[row.series_key] = own
