@@ -25,6 +25,12 @@ Format = Literal["parquet", "csv", "csv_tags", "jsonl"]
 Layout = Literal["as_is", "rebalance"]
 
 
+# For stores with a directory per host or per file: every task moves its own files when it is
+# done. The default has the driver move them all, one by one, after the last task. A write
+# that fails can leave the files of tasks that had finished (and no ``_SUCCESS``).
+MOVED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def with_date(points: DataFrame, source: str = "timestamp") -> DataFrame:
     """P10: the ``date`` partition column, UTC, from event time (``timestamp``, default),
     arrival time (``received_at``) or the write's own clock (``flush``: the collector's
@@ -92,6 +98,8 @@ def write_points(
     writer = rows.write.mode(mode)
     if part_cols:
         writer = writer.partitionBy(*part_cols)
+    if "host" in part_cols:
+        writer = writer.options(**MOVED_BY_TASKS)
     if fmt in ("csv", "csv_tags") and max_records_per_file is None:
         max_records_per_file = CSV_ROWS_PER_FILE
     if max_records_per_file:
@@ -164,7 +172,7 @@ def write_rotated(
     name = F.concat_ws("-", F.col("age"), F.col("number")) if window_minutes else F.col("number")
     out = summed.join(offsets, same).select(*[summed[c] for c in lines.columns], summed["age"], summed["date"], number.alias("number"), "_row")
     out = out.withColumn("file", name).repartition("date", "file").sortWithinPartitions("date", "file", "_row").select(*lines.columns, "date", "file")
-    writer = out.write.mode(mode).partitionBy("date", "file").option("compression", compression or "none")
+    writer = out.write.mode(mode).partitionBy("date", "file").options(**MOVED_BY_TASKS).option("compression", compression or "none")
     if fmt == "jsonl":
         writer.option("ignoreNullFields", "false").json(path)
     else:
@@ -175,12 +183,12 @@ STAGED = ["timestamp", "metric_name", "value", "host", "tags_json"]
 
 
 def staged(points: DataFrame, path: str, *keep: str) -> DataFrame:
-    """Points written once as Parquet and read back, tags as JSON text of their own types,
-    for sinks that need them several times."""
-    raw = F.to_json("tags_raw") if "tags_raw" in points.columns else F.col("tags_json")
-    points.select(*STAGED, *keep, raw.alias("tags_text")).write.mode("overwrite").parquet(path)
-    back = points.sparkSession.read.parquet(path)
-    return back.withColumn("tags_raw", F.parse_json("tags_text")).drop("tags_text")
+    """Points written once as Parquet and read back, tags as the VARIANT they are, for sinks
+    that need them several times."""
+    raw = F.col("tags_raw") if "tags_raw" in points.columns else F.parse_json("tags_json")
+    once = points.select(*STAGED, *keep, raw.alias("tags_raw"))
+    once.write.mode("overwrite").parquet(path)
+    return points.sparkSession.read.schema(once.schema).parquet(path)
 
 
 def fan_out(points: DataFrame, stores: Iterable[tuple[str, Format]], **options) -> None:
