@@ -3,7 +3,10 @@ after a reset or once they have been away for longer than they are remembered.
 
 Series are dealt to shards. A shard's state is two maps, of the series seen in this period of
 ``remember_seconds`` and in the one before; a sighting is noted in the map of its period, and a
-map is emptied when its turn comes again. So a series is remembered for one to two periods
+map is emptied when its turn comes again. A map's entry is a cell of about ``CELL`` series, since
+each read or write of an entry is a message between Python and Spark; cells are split as a map
+grows, so that a batch reads and writes no more entries than it has series. So a series is
+remembered for one to two periods
 after it was last seen, and the state holds the series of two periods and no others. (Spark's
 own time to live needs its processing-time mode, in which a query that should end with the
 data at hand runs empty batches for ever.) The clock is the batch's own time, which a replayed
@@ -15,6 +18,9 @@ for the batch that it arrives in: all series of that batch are new again.
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,46 +32,96 @@ from telemetra.schemas import SeriesOptions
 from telemetra.sources.labelled import labelled_points
 
 SHARDS = 64
+# Series of a cell when cells are made; they are split once they hold twice as many on average.
+CELL = 256
 REPORT = "series_key string, metric string, labels_json string, seq bigint, pos int, timestamp bigint"
 
 
-def _processor(remember_seconds: int) -> StatefulProcessor:
+def _processor(remember_seconds: int, cell: int = CELL) -> StatefulProcessor:
     """Reports the series of a shard that its maps do not hold. The class is made here, so
     that it travels whole: executors need pandas, not this package."""
 
     class Seen(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.period = handle.getValueState("period", "n bigint")
-            self.maps = [handle.getMapState(name, "series_key string", "seq bigint") for name in ("even", "odd")]
+            # the period, and of each map its cells (a power of two, 0 while empty) and its series
+            self.period = handle.getValueState("period", "n bigint, cells array<bigint>, series array<bigint>")
+            self.maps = [handle.getMapState(name, "cell bigint", "series_keys array<string>") for name in ("even", "odd")]
+
+        @staticmethod
+        def dealt(names, cells):
+            """Names by the cell that holds them."""
+            found = {}
+            for name in names:
+                found.setdefault(zlib.crc32(name.encode("utf-8", "surrogatepass")) & (cells - 1), []).append(name)
+            return found
+
+        @staticmethod
+        def cells_for(n):
+            return 1 << max(0, -(-n // cell) - 1).bit_length()
+
+        def held(self, i, at):
+            found = self.maps[i].getValue((at,))
+            return list(found[0]) if found else []
+
+        def known(self, i, names, cells):
+            """Which of the names a map holds."""
+            found = set()
+            if cells:
+                for at, own in self.dealt(names, cells).items():
+                    found.update(set(self.held(i, at)).intersection(own))
+            return found
+
+        def note(self, i, names, cells, series):
+            """Adds the names to a map: those it held, its cells and its series."""
+            found, empty = set(), not cells
+            cells = cells or self.cells_for(len(names))
+            for at, own in self.dealt(names, cells).items():
+                held = [] if empty else self.held(i, at)
+                old = set(held).intersection(own)
+                new = [name for name in own if name not in old]
+                if new:
+                    self.maps[i].updateValue((at,), (held + new,))
+                found |= old
+                series += len(new)
+            if series > 2 * cell * cells:
+                more = self.cells_for(series)
+                for at in range(cells):
+                    for to, own in ({at: []} | self.dealt(self.held(i, at), more)).items():
+                        self.maps[i].updateValue((to,), (own,))
+                cells = more
+            return found, cells, series
 
         def handleInputRows(self, key, rows, timerValues):
-            # a batch's distinct series of the shard, each with its earliest row; row by row only
-            # over the earliest of each frame
+            # a batch's distinct series of the shard, each with its earliest row; one without a
+            # number comes last
             first, reset, now = {}, False, 0
             for frame in rows:
                 if len(frame):
                     now = int(frame["now"].iloc[-1])
-                reset = reset or bool(frame["reset"].any())
-                points = frame[~frame["reset"].astype(bool)]
-                points = points.sort_values(["seq", "pos", "metric", "labels_json", "timestamp"]).drop_duplicates("series_key")
-                for row in points.itertuples(index=False):
-                    own = (int(row.seq), int(row.pos), row.series_key, row.metric, row.labels_json, int(row.timestamp))
-                    if row.series_key not in first or own < first[row.series_key]:
-                        first[row.series_key] = own
+                control = frame["reset"].astype(bool)
+                if control.any():
+                    reset, frame = True, frame[~control]
+                seq = [s if s == s else math.inf for s in frame["seq"].tolist()]
+                own = [frame[c].tolist() for c in ("pos", "series_key", "metric", "labels_json", "timestamp")]
+                for row in zip(seq, *own):
+                    known = first.get(row[2])
+                    if known is None or row < known:
+                        first[row[2]] = row
             period = now // remember_seconds
-            last = self.period.get()[0] if self.period.exists() else period
+            last, cells, series = self.period.get() if self.period.exists() else (period, (0, 0), (0, 0))
+            cells, series = list(cells), list(series)
             for i in range(2):
                 if reset or period > last + 1 or (period > last and period % 2 == i):
                     self.maps[i].clear()
-            self.period.update((period,))
-            here, other = self.maps[period % 2], self.maps[1 - period % 2]
-            out = []
-            for name, (seq, pos, _, metric, labels, timestamp) in sorted(first.items()):
-                known = here.containsKey((name,))
-                if not known and not other.containsKey((name,)):
-                    out.append((name, metric, labels, seq, pos, timestamp))
-                if not known:
-                    here.updateValue((name,), (seq,))
+                    cells[i] = series[i] = 0
+            here, other = period % 2, 1 - period % 2
+            known = self.known(other, first, cells[other])
+            if first:
+                noted, cells[here], series[here] = self.note(here, first, cells[here], series[here])
+                known |= noted
+            self.period.update((period, cells, series))
+            out = [(name, metric, labels, int(seq), int(pos), int(timestamp))
+                   for name, (seq, pos, _, metric, labels, timestamp) in sorted(first.items()) if name not in known]
             if out:
                 yield pd.DataFrame(out, columns=["series_key", "metric", "labels_json", "seq", "pos", "timestamp"])
 

@@ -2,6 +2,7 @@
 
 import glob
 
+import pandas as pd
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,7 @@ from telemetra.operators import flatten
 from telemetra.plans import catalog
 from telemetra.session import scratch_path
 from telemetra.sinks import writers
+from telemetra.streaming import seen
 
 
 def test_number_text_is_a_small_expression(spark):
@@ -44,3 +46,77 @@ def test_staged_tags_stay_variants(spark, payloads):
     back = writers.staged(points, path)
     assert isinstance(spark.read.parquet(path).schema["tags_raw"].dataType, T.VariantType)
     assert {r["metric_name"]: r["t"] for r in back.select("metric_name", F.to_json("tags_raw").alias("t")).collect()} == {"a": '{"n":1.5}', "b": None}
+
+
+class _States:
+    """A processor's handle whose states are plain dictionaries that count their messages."""
+
+    def __init__(self):
+        self.calls, self.maps, self.values = 0, {}, {}
+
+    def getMapState(self, name, key, value):
+        held, outer = self.maps.setdefault(name, {}), self
+
+        class State:
+            def getValue(self, key):
+                outer.calls += 1
+                return held.get(key)
+
+            def containsKey(self, key):
+                outer.calls += 1
+                return key in held
+
+            def updateValue(self, key, value):
+                outer.calls += 1
+                held[key] = value
+
+            def clear(self):
+                held.clear()
+
+        return State()
+
+    def getValueState(self, name, schema):
+        held = self.values
+
+        class State:
+            def exists(self):
+                return name in held
+
+            def get(self):
+                return held[name]
+
+            def update(self, value):
+                held[name] = value
+
+        return State()
+
+
+def _sightings(names, now=0, reset=False):
+    rows = [(reset, n, "m", "{}", i, 0, 5, now) for i, n in enumerate(names)]
+    return iter([pd.DataFrame(rows, columns=["reset", "series_key", "metric", "labels_json", "seq", "pos", "timestamp", "now"])])
+
+
+def test_seen_series_are_noted_by_the_cell():
+    """One message per series and map would make 30000 of them."""
+    states, processor = _States(), seen._processor(10)
+    processor.init(states)
+    told = lambda *batch: [n for frame in processor.handleInputRows((0,), _sightings(*batch), None) for n in frame["series_key"]]
+    names = [f"series-é-{i:05d}" for i in range(10_000)]
+    assert told(names) == names and states.calls < 1000
+    assert told(names, 12) == []  # the period after: held by the other map, noted anew
+    assert told(names + ["zz"], 13) == ["zz"]
+    assert told(["a"], 25) == ["a"] and told(names[:3], 25) == []
+    assert told(names[:5], 45) == names[:5]  # two periods later: forgotten
+    assert told([], 45) == []
+
+
+def test_cells_split_as_a_map_grows():
+    states, processor = _States(), seen._processor(1000, cell=2)
+    processor.init(states)
+    told = lambda names: [n for frame in processor.handleInputRows((0,), _sightings(names), None) for n in frame["series_key"]]
+    names = [f"s{i:03d}" for i in range(200)]
+    for i in range(0, 200, 10):
+        assert told(names[max(0, i - 20) : i + 10]) == names[i : i + 10]
+    held = states.maps["even"]
+    assert sorted(n for (own,) in held.values() for n in own) == names and max(len(own) for (own,) in held.values()) < 20
+    assert told(names) == []
