@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from telemetra.constants import DEFAULT_LABELLED_VALUE, DEFAULT_TIMESTAMP, UNKNOWN
 from telemetra.functions.rows import arrival, keep_where
-from telemetra.functions.variant import as_double, field, is_number, is_number_or_boolean, is_object, is_string
+from telemetra.functions.variant import as_double, field, is_number, is_number_or_boolean, is_string
+
+# What is read of a line; NULL for one that is no object.
+POINT = "struct<metric:variant,timestamp:variant,value:variant,labels:variant>"
 
 
 def labelled_points(lines: DataFrame, arrays: bool = False) -> DataFrame:
@@ -29,30 +32,28 @@ def labelled_points(lines: DataFrame, arrays: bool = False) -> DataFrame:
         parsed = items.select("seq", F.posexplode(F.coalesce(several, F.array("_doc"))).alias("pos", "d"))
     else:
         parsed = lines.select("seq", F.lit(0).alias("pos"), doc.alias("d"))
-    d = F.col("d")
-    metric, ts, value = field(d, "$.metric"), field(d, "$.timestamp"), field(d, "$.value")
-    label_obj = field(d, "$.labels")
-    label_map = F.when(is_object(label_obj), field(label_obj, "$", "map<string,variant>"))
-    valid = (
-        d.isNotNull()
-        & is_object(d)
-        & (metric.isNull() | F.coalesce(is_string(metric), F.lit(False)))
-        & (ts.isNull() | F.coalesce(is_number_or_boolean(ts) & field(d, "$.timestamp", "bigint").isNotNull(), F.lit(False)))
-        & (value.isNull() | F.coalesce(is_number(value), F.lit(False)))
-        & F.coalesce(F.forall(F.map_values(label_map), is_string), F.lit(True))
-    )
-    empty = F.create_map().cast("map<string,string>")
+    # one walk over a line, then each column once in a projection (the generator's own
+    # expressions are interpreted and share nothing)
+    read = parsed.select("seq", "pos", F.try_variant_get("d", "$", POINT).alias("p"))
+    p = {c: F.col("p")[c] for c in ("metric", "timestamp", "value", "labels")}
+    label_map = field(p["labels"], "$", "map<string,variant>")
+    typed = read.select(
+        "seq", "pos", field(p["timestamp"], "$", "bigint").alias("timestamp"), field(p["metric"], "$", "string").alias("metric"),
+        as_double(p["value"]).alias("value"), field(p["labels"], "$", "map<string,string>").alias("labels"), F.col("p").isNotNull().alias("is_point"),
+        (p["metric"].isNull() | F.coalesce(is_string(p["metric"]), F.lit(False))).alias("named"),
+        p["timestamp"].isNull().alias("untimed"), F.coalesce(is_number_or_boolean(p["timestamp"]), F.lit(False)).alias("timed"),
+        (p["value"].isNull() | F.coalesce(is_number(p["value"]), F.lit(False))).alias("valued"),
+        F.coalesce(F.forall(F.map_values(label_map), is_string), F.lit(True)).alias("labelled"))
+    timed = F.col("untimed") | (F.col("timed") & F.col("timestamp").isNotNull())
     return keep_where(
-        parsed,
-        valid,
+        typed,
+        F.col("is_point") & F.col("named") & timed & F.col("valued") & F.col("labelled"),
         "seq",
         "pos",
-        F.coalesce(field(d, "$.timestamp", "bigint"), F.lit(DEFAULT_TIMESTAMP)).alias("timestamp"),
-        F.coalesce(field(d, "$.metric", "string"), F.lit(UNKNOWN)).alias("metric"),
-        F.coalesce(as_double(value), F.lit(DEFAULT_LABELLED_VALUE)).alias("value"),
-        F.coalesce(
-            F.when(is_object(label_obj), field(label_obj, "$", "map<string,string>")), empty
-        ).alias("labels"),
+        F.coalesce("timestamp", F.lit(DEFAULT_TIMESTAMP)).alias("timestamp"),
+        F.coalesce("metric", F.lit(UNKNOWN)).alias("metric"),
+        F.coalesce("value", F.lit(DEFAULT_LABELLED_VALUE)).alias("value"),
+        F.coalesce("labels", F.create_map().cast("map<string,string>")).alias("labels"),
     )
 
 

@@ -12,6 +12,7 @@ from telemetra.operators import flatten
 from telemetra.plans import catalog
 from telemetra.session import scratch_path
 from telemetra.sinks import writers
+from telemetra.sources import labelled
 from telemetra.streaming import seen
 
 
@@ -120,3 +121,14 @@ def test_cells_split_as_a_map_grows():
     held = states.maps["even"]
     assert sorted(n for (own,) in held.values() for n in own) == names and max(len(own) for (own,) in held.values()) < 20
     assert told(names) == []
+
+
+def test_lines_are_read_in_a_compiled_projection(spark):
+    """What a generator computes is interpreted, each mention of a value anew: it only picks
+    columns that the projection below it made."""
+    lines = spark.createDataFrame([(0, '{"metric":"a","timestamp":1,"value":2.5,"labels":{"h":"x"}}'), (1, '{"metric":1}'), (2, "[]")], "seq bigint, raw string")
+    points = labelled.labelled_points(lines)
+    plan = points._jdf.queryExecution().optimizedPlan().toString()
+    (generate,) = [line for line in plan.splitlines() if "Generate inline" in line]
+    assert "variant" not in generate
+    assert [r.asDict() for r in points.collect()] == [{"seq": 0, "pos": 0, "timestamp": 1, "metric": "a", "value": 2.5, "labels": {"h": "x"}}]
