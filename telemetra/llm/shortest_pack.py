@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,25 +37,52 @@ from telemetra.llm.common import written
 CAPACITY, END_ID = 1024, 0
 # Padding from which a pack is mended. It bounds the cuts of a tail, and so the plan.
 LOOSE = 16
-# Chunks whose ids a Python worker keeps; beyond it that memory starts anew.
-CACHE_CHUNKS = 800_000
+# Pieces whose ids a Python worker keeps; beyond it those met in one slice only are forgotten.
+CACHE_PIECES = 250_000
+# Bytes of text that are cut and looked up at a time.
+SLICE = 2_000_000
 
 
 # ---------------------------------------------------------------- ids
 
 # A word with the blank before it, or white space up to the last character before a word:
-# boundaries of these are boundaries of the byte-level pre-tokenizer too.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-# ASCII marks but the apostrophe: the pre-tokenizer always parts them from a letter before.
+# boundaries of these are boundaries of the byte-level pre-tokenizer too. To it the four
+# separators U+001C to U+001F are no white space.
+_CHUNK = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+# ASCII marks but the apostrophe: the pre-tokenizer always parts them from a letter or digit before.
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-_LAST_LETTER = "\u024f"
+_FEED, _GAP, _WORD, _MARK, _HIGH, _SPACE = 1, 2, 4, 8, 16, 32
+
+
+def _kinds() -> np.ndarray:
+    """What a UTF-8 byte may be: line feed, blank or line feed, letter or digit, mark, the first byte of
+    white space beyond ASCII, other white space."""
+    kinds = np.zeros(256, dtype=np.uint8)
+    kinds[[10, 32]] = _GAP
+    kinds[10] |= _FEED
+    kinds[[i for i in range(128) if chr(i).isalnum()]] = _WORD
+    kinds[[ord(c) for c in _MARKS]] = _MARK
+    kinds[[i for i in range(128) if chr(i).isspace() and chr(i) not in " \n"]] = _SPACE
+    kinds[sorted({chr(i).encode()[0] for i in range(128, 0x3001) if chr(i).isspace()})] = _HIGH
+    return kinds
+
+
+_KINDS = _kinds()
+_HIGH_SPACES = np.array(sorted(int.from_bytes(chr(i).encode().ljust(3, b"\0"), "big") for i in range(128, 0x3001) if chr(i).isspace()))
+
+
+def _gathered(ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` ids from each ``begin`` on, one after another."""
+    upto = np.cumsum(count)
+    return ids[np.repeat(begin - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 class ChunkIds:
     """Ids of whole texts as packed little-endian 32-bit numbers, the same as the
-    tokenizer's: each chunk met is tokenized once, many in one call, a line feed between
-    them. A tokenizer of another kind, or a text with an added token, is encoded whole."""
+    tokenizer's. Texts are cut at blanks, line feeds and marks behind a word, all at once;
+    each piece met is tokenized once, many in one call, a line feed between them. A text
+    with other white space is cut by a pattern; a tokenizer of another kind, or a text with
+    an added token, is encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -67,82 +95,123 @@ class ChunkIds:
         self.chunked = (kind.get("normalizer") is None and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True)
                         and not splitter.get("add_prefix_space") and len(self._ids(["\n"])[0]) == 1)
         self.added = [t["content"] for t in kind.get("added_tokens", ())]
-        self.feed = self._ids(["\n"])[0][0] if self.chunked else None
-        # of words that follow a blank, and of all other chunks
-        self.spaced: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {"": b""}
+        self.feed = self._ids(["\n"])[0] if self.chunked else None
+        self._forget()
+
+    def _forget(self) -> None:
+        # number of each piece; where its ids begin in `ids`, how many they are, and how often it was looked up
+        self.known: dict[bytes, int] = {}
+        self.begin, self.count, self.times = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.ids, self.used = np.zeros(1 << 20, dtype="<u4"), 0
+
+    def _forget_rare(self) -> None:
+        """Pieces looked up once go, or all where the others fill the memory."""
+        pieces, often = list(self.known), np.flatnonzero(self.times > 1)
+        begin, count, ids = self.begin[often], self.count[often], self.ids
+        self._forget()
+        if len(often) <= CACHE_PIECES // 2:
+            self.known = {pieces[i]: n for n, i in enumerate(often.tolist())}
+            ids = _gathered(ids, begin, count)
+            self.begin, self.count, self.times = np.cumsum(count) - count, count, np.ones_like(count)
+            self.ids, self.used = np.concatenate([ids, np.zeros(1 << 20, dtype="<u4")]), len(ids)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _tokenize(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 5000):
-            part = chunks[i : i + 5000]
-            ids = np.concatenate(self._ids(["\n".join(part[k : k + 100]) + "\n" for k in range(0, len(part), 100)]))
-            cut = np.flatnonzero(ids == self.feed)
-            if len(cut) == len(part):
-                packed, at = ids.tobytes(), 0
-                for chunk, end in zip(part, (4 * cut).tolist()):
-                    self.known[chunk] = packed[at:end]
-                    at = end + 4
-            else:
-                self.known.update(zip(part, (x.tobytes() for x in self._ids(part))))
-
-    def _learn(self, chunks: set[str], before: str = "") -> dict[str, bytes]:
-        """Ids of the chunks, ``before`` in front of each. Words, marks and odd chunks are kept;
-        what is made of a word and its marks is not."""
-        known, plain, made = self.known, set(), []
-        for chunk in chunks:
-            word = chunk.rstrip(_MARKS)
-            if len(word) < len(chunk) and word and word[-1].isalpha() and word[-1] <= _LAST_LETTER:
-                made.append((chunk, before + word, chunk[len(word) :]))
-                plain.add(made[-1][1])
-                plain.add(made[-1][2])
-            else:
-                plain.add(before + chunk)
-        new = [c for c in plain if c not in known]
-        space = [c for c in new if c.isspace()]
-        known.update(zip(space, (x.tobytes() for x in self._ids(space))))
-        self._tokenize([c for c in new if c not in known] if space else new)
-        found = {chunk: known[word] + known[marks] for chunk, word, marks in made}
-        return found | {c: known[before + c] for c in chunks if c not in found}
-
-    def _even(self, text: str) -> bool:
-        """Blanks and line feeds only, each between two words."""
-        return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace()
-                    or _OTHER_SPACE.search(text))
+    def _tokenized(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that hold no line feed, one after another, and how many each has."""
+        ids = np.concatenate(self._ids(["\n".join(chunks[k : k + 100]) + "\n" for k in range(0, len(chunks), 100)]))
+        cut = np.flatnonzero(ids == self.feed[0])
+        if len(cut) == len(chunks):
+            return np.delete(ids, cut), np.diff(cut, prepend=-1) - 1
+        each = self._ids(chunks)
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Ids of pieces not met before: a chunk, a blank or line feed before it or not."""
+        fed = np.array([p[:1] == b"\n" for p in pieces])
+        for at in range(0, len(pieces), 5000):
+            lines = fed[at : at + 5000]
+            ids, count = self._tokenized([p.decode("utf-8", "surrogatepass").removeprefix("\n") for p in pieces[at : at + 5000]])
+            begin = np.cumsum(count) - count
+            ids = np.insert(ids, begin[lines], self.feed[0])
+            count = count + lines
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.begin = np.append(self.begin, self.used + np.cumsum(count) - count)
+            self.count = np.append(self.count, count)
+            self.times = np.append(self.times, np.zeros_like(count))
+            self.used += len(ids)
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+
+    def _odd(self, text: str) -> bytes:
+        """A text with an added token, or with white space other than single blanks and line feeds between words."""
+        if any(t in text for t in self.added):
+            return self._ids([text])[0].tobytes()
+        chunks = _CHUNK.findall(text)
+        space = [c for c in chunks if c.isspace()]
+        found = dict(zip(space, (x.tobytes() for x in self._ids(space)))) if space else {}
+        new = [c.encode("utf-8", "surrogatepass") for c in dict.fromkeys(chunks) if c not in found]
+        self._learn([c for c in new if c not in self.known])
+        for c in new:
+            n = self.known[c]
+            found[c.decode("utf-8", "surrogatepass")] = self.ids[self.begin[n] : self.begin[n] + self.count[n]].tobytes()
+        return b"".join(map(found.__getitem__, chunks))
+
+    def _uneven(self, data: np.ndarray, start: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Texts, by number, whose white space is not blanks and line feeds each between two words,
+        or that hold an added token."""
+        gap = (kind & _GAP) != 0
+        after = np.concatenate([[True], gap[:-1]])
+        first = start[:-1][start[:-1] < start[1:]]
+        after[first] = True
+        ends = start[1:][start[:-1] < start[1:]] - 1
+        last = ends[gap[ends]]
+        high = np.flatnonzero(kind == _HIGH)
+        two, three = (data[np.minimum(high + i, len(data) - 1)].astype(np.int64) for i in (1, 2))
+        code = (data[high].astype(np.int64) << 16) | (two << 8)
+        high = high[np.isin(code, _HIGH_SPACES) | np.isin(code | three, _HIGH_SPACES)]
+        places = [np.flatnonzero(gap & after), last, np.flatnonzero(kind == _SPACE), high]
+        held, found = data.tobytes(), []
+        for token in self.added:
+            token, at = token.encode(), -1
+            while (at := held.find(token, at + 1)) >= 0:
+                found.append(at)
+        return np.unique(np.searchsorted(start, np.concatenate([*places, np.array(found, dtype=np.int64)]), "right") - 1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return [x.tobytes() for x in self._ids(texts)]
-        if len(self.spaced) > CACHE_CHUNKS:
-            self.spaced = {}
-        if len(self.known) > CACHE_CHUNKS:
-            self.known = {"": b""}
-        lines, chunks, whole, words, bare = {}, {}, {}, set(), set()
-        for i, text in enumerate(texts):
-            if any(t in text for t in self.added):
-                whole[i] = self._ids([text])[0].tobytes()
-            elif self._even(text):
-                lines[i] = [line.split(" ") for line in text.split("\n")]
-                for line in lines[i]:
-                    bare.add(line[0])
-                    words.update(line[1:])
-            else:
-                chunks[i] = _CHUNK.findall(text)
-                bare.update(chunks[i])
-        known, spaced, feed = self.known, self.spaced, np.array([self.feed], dtype="<u4").tobytes()
-        words, bare = words.difference(spaced), bare.difference(known)
-        known.update(self._learn(bare))
-        spaced.update(self._learn(words, " "))
-        get, after = known.__getitem__, spaced.__getitem__
-        out = []
-        for i in range(len(texts)):
-            if i in lines:
-                out.append(feed.join(get(line[0]) + b"".join(map(after, line[1:])) for line in lines[i]))
-            else:
-                out.append(whole[i] if i in whole else b"".join(map(get, chunks[i])))
-        return out
+        if len(self.known) > CACHE_PIECES:
+            self._forget_rare()
+        packed = [t.encode("utf-8", "surrogatepass") for t in texts]
+        start = np.concatenate([[0], np.cumsum([len(p) for p in packed])])
+        joined = b"".join(packed)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        if not len(data):
+            return [b""] * len(texts)
+        kind = _KINDS[data]
+        odd = set(self._uneven(data, start, kind).tolist())
+        if odd:
+            even = self.encode(["" if i in odd else t for i, t in enumerate(texts)])
+            return [self._odd(t) if i in odd else even[i] for i, t in enumerate(texts)]
+        bound = (kind & _GAP) != 0
+        bound[1:] |= ((kind[1:] & _MARK) != 0) & ((kind[:-1] & _WORD) != 0)
+        bound[start[:-1][start[:-1] < start[1:]]] = True
+        at = np.append(np.flatnonzero(bound), len(data))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(joined)]).dictionary_encode()
+        different = pieces.dictionary.to_pylist()
+        new = [p for p in different if p not in self.known]
+        if new:
+            self._learn(new)
+        number = np.array([self.known[p] for p in different])
+        self.times[number] += 1
+        number = number[pieces.indices.to_numpy()]
+        count = self.count[number]
+        ids = _gathered(self.ids, self.begin[number], count).tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(count)])[np.searchsorted(at, start)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 @functools.cache
@@ -151,6 +220,16 @@ def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows, about ``SLICE`` bytes of text at a time."""
+    if not batch.num_rows:
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    cut = np.flatnonzero(np.diff((np.cumsum(size, dtype=np.int64) - size) // SLICE)) + 1
+    for at, end in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+        yield batch.slice(at, end - at)
+
+
 PIECES = "doc bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, local bigint, ids binary"
 
 
@@ -165,8 +244,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
         chunks, part = chunk_ids(tokenizer_path), TaskContext.get().partitionId()
         count = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 200).columns)
+            for some in _slices(batch):
+                ids, texts = (c.to_pylist() for c in some.columns)
                 rows = []
                 for doc, packed in zip(ids, chunks.encode([t or "" for t in texts])):
                     packed += end

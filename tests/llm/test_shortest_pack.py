@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,49 @@ def test_ids_are_the_tokenizers():
         assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(some)] == want
 
 
+def test_ids_around_separators_and_wide_spaces():
+    own = shortest_pack.ChunkIds(queries.tokenizer("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    alphabet = ["a", "b ", "  ", "\n", " \n", "\t", ",", "'s", "'", "1", "é", "É,", "\u00a0", "\u2009", "\u2028", "\u3000", "\u0085", "日本", "\U0001f600",
+                "<|endoftext|>", "-", "don't", "ſ", "²", "\x1c", "\x1f", "\u180e", "\u200b", "\u0301", "word", "Word."]
+    texts = ["\u0085b \u0085\x1c\xe9", "\x1c\u200b,", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(25))) for _ in range(3000))]
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == want
+
+
+def test_pieces_met_once_are_forgotten(monkeypatch):
+    monkeypatch.setattr(shortest_pack, "CACHE_PIECES", 60)
+    own = shortest_pack.ChunkIds(queries.tokenizer("byte_bpe_50k.json"))
+    for i in range(40):
+        text = "often met words, and\nonce: " + " ".join(f"x{j}" for j in range(7 * i, 7 * i + 7))
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own.known) <= 75
+    assert b" met" in own.known and b" x0" not in own.known
+
+
+def test_a_text_is_cut_and_looked_up_by_arrays():
+    """Words met before take no step of Python each: what is looked up are the different pieces of a slice."""
+    own, seen = shortest_pack.ChunkIds(queries.tokenizer("byte_bpe_50k.json")), []
+
+    class Seen(dict):
+        def __getitem__(self, piece):
+            seen.append(piece)
+            return super().__getitem__(piece)
+
+    own.known = Seen(own.known)
+    ids = own.encode(["some words, and some\nmore words " * 1000 + "end"])[0]
+    assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode("some words, and some\nmore words " * 1000 + "end", add_special_tokens=False).ids
+    assert 0 < len(seen) < 20
+
+
+def test_slices_hold_every_row_once():
+    texts = [None, "", "x" * shortest_pack.SLICE, "y", "z" * (2 * shortest_pack.SLICE), None, "é" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc", "text"])
+    slices = list(shortest_pack._slices(batch))
+    assert [x for s in slices for x in s.column(0).to_pylist()] == list(range(len(texts))) and len(slices) > 2
+    assert list(shortest_pack._slices(batch.slice(0, 0))) == []
+
+
 def test_another_tokenizer_is_used_whole():
     own = shortest_pack.ChunkIds(queries.tokenizer("word_bpe_49k.json"))
     assert not own.chunked
