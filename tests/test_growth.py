@@ -41,6 +41,25 @@ def test_a_landed_file_is_read_by_many_tasks(spark):
     assert pq.ParquetFile(file).num_row_groups > 1
 
 
+def test_a_payload_is_built_once_to_land_it(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    def text(n):
+        built.add(1)
+        return f"payload {n}"
+
+    rows = spark.range(0, 4000, 1, 3).select(F.when(F.col("id") > 0, F.col("id")).alias("seq"), F.udf(text)("id").alias("raw"))
+    path = catalog._land(rows, spark, "once")
+    assert built.value == 4000
+    parts = [pq.read_table(f, columns=["seq"]).column("seq") for f in glob.glob(f"{path.removeprefix('file:')}/*.parquet")]
+    sizes, spans = [len(c) for c in parts], sorted((min(x), max(x)) for c in parts if (x := c.drop_null().to_pylist()))
+    assert sum(sizes) == 4000 and len(parts) == 4 and max(sizes) < 1200
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    # nothing to land, and one seq for all rows
+    assert spark.read.schema(rows.schema).parquet(catalog._land(rows.limit(0), spark, "none")).count() == 0
+    assert spark.read.parquet(catalog._land(rows.withColumn("seq", F.lit(7)), spark, "same")).count() == 4000
+
+
 def test_staged_tags_stay_variants(spark, payloads):
     path = scratch_path(spark, "staged")
     points = flatten.flatten(payloads('{"metrics":[{"name":"a","value":1,"tags":{"n":1.50}}]}', '{"metrics":[{"name":"b","value":2}]}'))
