@@ -1,31 +1,37 @@
-"""Repeated byte strings by winnowing with window hashes, in place of prefix doubling.
+"""Repeated byte strings and word passages by winnowing with window hashes, in place of prefix doubling.
 
 Every byte covered by a ``LENGTH``-byte string that also starts anywhere else in the corpus
-is removed. Positions are ranked by 64-bit names (hashes) of ``HALF`` and then of ``LENGTH``
-bytes, and drop out once their name is unique; there is no global sort.
+is removed. Passages of ``WORDS`` words that also stand in another document are counted, not
+removed: most of them are shorter than ``LENGTH`` bytes. Positions are ranked by 64-bit names
+(hashes), first of short stretches and then of whole windows, and drop out once their name is
+unique; there is no global sort.
 
 1. In each text the names of ``HALF`` bytes are built for all positions. A window of
    ``LENGTH`` bytes is represented by the position of the least name inside it; equal
    windows have equal representatives, and about one position in a hundred represents any.
-   The run of windows that share a representative is a *zone*.
-2. Spark groups (name, zone name) pairs: zones that occur twice are past the threshold,
-   representatives with a unique name drop out with all their windows.
-3. Zones that meet an equal name in a different zone go on, one of each kind: Spark deals
-   and sorts them by name, and within a name the windows are
-   named again at full length. Names with more than ``GROUP`` zones are ranked window
-   by window in a distributed aggregation instead.
-4. The covered runs of each text are joined and cut out.
-
-Texts are UTF-8 bytes; matches never cross documents.
+   The run of windows that share a representative is a *zone*. Windows of ``WORDS`` words have
+   zones likewise, by names of ``GRAM`` words. A name's last bit tells words from bytes.
+2. Spark counts the representatives' names: unique ones drop out with all their windows. Of
+   the others (name, zone name) pairs are grouped: zones that occur twice (of words: in two
+   documents) are past the threshold.
+3. Zones that meet an equal name in a different zone go on, one of each kind (of words: all
+   that are not past the threshold): Spark deals and sorts them by name, and within a name the
+   windows are named again at full length. Names with more than ``GROUP`` of them are ranked
+   window by window in a distributed aggregation instead.
+4. The covered runs of each text are joined; those of bytes are cut out.
+
+Texts are UTF-8 bytes; words are runs without ASCII white space; matches never cross documents.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes keep all bytes; equal
-rows cover each other; an empty table gives an empty result; further columns are not read.
+rows cover each other, and each is a document; an empty table gives an empty result; further
+columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +43,12 @@ from pyspark.sql import functions as F
 from telemetra.llm.common import with_row_id, written
 
 LENGTH, HALF = 400, 200
+WORDS, GRAM = 50, 20
 GROUP = 20_000
 # Windows of a text that are worked on at a time, and the bits that number them.
 CHUNK, BITS = 1 << 20, 21
 BUFFER = 4_000_000
+SPACES = b" \t\n\v\f\r"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -62,11 +70,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64), np.cumprod(up), np.cumprod(down)
 
 
-def sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the name of any stretch follows."""
-    table, up, _ = _tables()
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * up[: len(data)], out=out[1:])
+def sums(symbols: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the name of any stretch of symbols (64-bit numbers) follows."""
+    out = np.zeros(len(symbols) + 1, dtype=np.uint64)
+    np.cumsum(symbols * _tables()[1][: len(symbols)], out=out[1:])
     return out
 
 
@@ -86,26 +93,74 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def zones(text: bytes, length: int = LENGTH, half: int = HALF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name of the representative, name of the zone, first window) of each zone, in order;
-    a zone's windows end where the next zone's begin."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    last = len(text) - length
+def _zones(symbols: np.ndarray, length: int, half: int) -> tuple[np.ndarray, ...]:
+    """(name of the representative, name of the zone, first symbol, end) of each zone."""
+    prefix = sums(symbols)
+    n = len(symbols) - half + 1
+    name = mix((prefix[half:] - prefix[:n]) * _tables()[2][:n])
+    place = np.arange(n, dtype=np.uint64)
+    # equal names inside a window: the first, so that it depends on the window alone
+    key = (name >> np.uint64(BITS) << np.uint64(BITS)) | place
+    at = (least(key, length - half + 1) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    end = np.concatenate([first[1:], [len(at)]]) - 1 + length
+    return name[at[first]], names(prefix, first, end) ^ mix((end - first).astype(np.uint64)), first, end
+
+
+def byte_zones(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(name of the representative, name of the zone, begin, end) of the zones of byte windows."""
+    last = len(text) - LENGTH
     for begin in range(0, last + 1, CHUNK):
         stop = min(begin + CHUNK, last + 1)  # windows begin..stop-1
-        data = np.frombuffer(text, dtype=np.uint8, count=stop - begin + length - 1, offset=begin)
-        prefix = sums(data)
-        n = len(data) - half + 1
-        name = mix((prefix[half:] - prefix[:n]) * _tables()[2][:n])
-        place = np.arange(n, dtype=np.uint64)
-        # equal names inside a window: the first, so that it depends on the window alone
-        key = (name >> np.uint64(BITS) << np.uint64(BITS)) | place
-        at = (least(key, length - half + 1) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        end = np.concatenate([first[1:], [len(at)]]) - 1 + length
-        found.append((name[at[first]], names(prefix, first, end) ^ mix((end - first).astype(np.uint64)), first + begin))
+        data = np.frombuffer(text, dtype=np.uint8, count=stop - begin + LENGTH - 1, offset=begin)
+        name, zone, first, end = _zones(_tables()[0][data], LENGTH, HALF)
+        yield name & ~np.uint64(1), zone, first + begin, end + begin
+
+
+@functools.cache
+def _solid() -> np.ndarray:
+    return ~np.isin(np.arange(256), list(SPACES))
+
+
+def words(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(name, begin, end) of the words, at most ``CHUNK`` bytes at a time; a word as long as
+    that comes alone."""
+    at = 0
+    while at < len(text):
+        stop = len(text)
+        if stop - at >= CHUNK:
+            stop = max(text.rfind(SPACES[i : i + 1], at, at + CHUNK) for i in range(len(SPACES)))
+            if stop < 0:
+                space = re.compile(b"[" + SPACES + b"]").search(text, at + CHUNK)
+                stop = space.start() if space else len(text)
+                name = int.from_bytes(hashlib.blake2b(text[at:stop], digest_size=8).digest(), "little")
+                yield np.array([name], np.uint64), np.array([at]), np.array([stop])
+                at = stop + 1
+                continue
+        data = np.frombuffer(text, dtype=np.uint8, count=stop - at, offset=at)
+        solid = np.concatenate([[False], _solid()[data], [False]])
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        begin, end = edge[::2], edge[1::2]
+        yield names(sums(_tables()[0][data]), begin, end), begin + at, end + at
+        at = stop + 1
+
+
+def word_zones(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same as :func:`byte_zones` for windows of words."""
+    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for part in words(text):
+        held = tuple(np.concatenate(x) for x in zip(held, part))
+        if len(held[0]) >= WORDS:
+            name, zone, first, end = _zones(held[0], WORDS, GRAM)
+            yield name | np.uint64(1), zone, held[1][first], held[2][end - 1]
+            held = tuple(x[len(x) - WORDS + 1 :] for x in held)
+
+
+def zones(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name of the representative, name of the zone, begin, end) of all zones of a text."""
+    found = [*byte_zones(text), *word_zones(text)]
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -115,7 +170,7 @@ def _column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
-TEXTS = "_id {id}, _row bigint, n_bytes bigint, sha string, packed binary, names array<bigint>, zones array<bigint>, first array<int>"
+TEXTS = "_id {id}, _row bigint, n_bytes bigint, sha string, packed binary, names array<bigint>, zones array<bigint>, begins array<int>, ends array<int>"
 
 
 def sampled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,19 +183,23 @@ def sampled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()]
-                name, zone, first = zip(*map(zones, texts))
+                name, zone, begin, end = zip(*map(zones, texts))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(map(len, texts), pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(map(pack.compress, texts), pa.binary()),
                     _column([x.view(np.int64) for x in name], pa.int64()), _column([x.view(np.int64) for x in zone], pa.int64()),
-                    _column([x.astype(np.int32) for x in first], pa.int32()),
-                ], names=["_id", "_row", "n_bytes", "sha", "packed", "names", "zones", "first"])
+                    _column([x.astype(np.int32) for x in begin], pa.int32()), _column([x.astype(np.int32) for x in end], pa.int32()),
+                ], names=["_id", "_row", "n_bytes", "sha", "packed", "names", "zones", "begins", "ends"])
 
     return written(rows.mapInArrow(run, TEXTS.format(id=rows.schema["_id"].dataType.simpleString())), "suffix-texts")
 
 
+STRETCHES = {"name": pa.int64(), "settled": pa.bool_(), "least_row": pa.int64(), "last_row": pa.int64(), "_row": pa.int64(), "begin": pa.int32(), "bytes": pa.binary()}
+
+
 def _stretches(active: DataFrame, column: str) -> DataFrame:
-    """The bytes of the listed zones: ``name, zone, times, _row, begin, bytes``."""
+    """The bytes of the listed zones, with the first and last text in which each zone stands;
+    ``settled`` ones are covered already and serve as partners only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -148,57 +207,59 @@ def _stretches(active: DataFrame, column: str) -> DataFrame:
             for row, packed, listed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 text = unpack.decompress(packed)
                 for z in listed:
-                    rows.append((z["name"], z["zone"], z["times"], row, z["begin"], text[z["begin"] : z["end"]]))
+                    rows.append((z["name"], z["settled"], z["least_row"], z["last_row"], row, z["begin"], text[z["begin"] : z["end"]]))
                     size += z["end"] - z["begin"]
                 if size > BUFFER:
-                    yield _batch(rows)
+                    yield _batch(rows, STRETCHES)
                     rows, size = [], 0
             if rows:
-                yield _batch(rows)
+                yield _batch(rows, STRETCHES)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    titles = ["name", "zone", "times", "_row", "begin", "bytes"]
+    listed = active.where(F.size(column) > 0).select("_row", "packed", column)
+    return listed.mapInArrow(run, "name bigint, settled boolean, least_row bigint, last_row bigint, _row bigint, begin int, bytes binary")
 
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=titles)
 
-    listed = active.where(F.col(column).isNotNull()).select("_row", "packed", column)
-    return listed.mapInArrow(run, "name bigint, zone bigint, times bigint, _row bigint, begin int, bytes binary")
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
 
-def window_names(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all windows of all stretches, and how many each stretch has."""
-    count = np.array([len(p) - length + 1 for p in parts], dtype=np.int64)
-    out, at = [], 0
+def windows(parts: list[bytes], by_word: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, stretch, begin, end) of all windows of all stretches, places counted in the stretch."""
+    out, at, length = [], 0, WORDS if by_word else LENGTH
     while at < len(parts):
         end, size = at, 0
-        while end < len(parts) and (end == at or size + len(parts[end]) <= CHUNK):
-            size += len(parts[end])
+        while end < len(parts) and (end == at or size + len(parts[end]) < CHUNK):
+            size += len(parts[end]) + 1
             end += 1
-        data = np.frombuffer(b"".join(parts[at:end]), dtype=np.uint8)
-        prefix = sums(data)
-        sizes = np.array([len(p) for p in parts[at:end]])
-        begin = np.repeat(np.cumsum(sizes) - sizes, count[at:end])
-        start = begin + np.arange(len(begin)) - np.repeat(np.cumsum(count[at:end]) - count[at:end], count[at:end])
-        out.append(names(prefix, start, start + length))
+        sizes = np.array([len(p) + by_word for p in parts[at:end]], dtype=np.int64)
+        head = np.cumsum(sizes) - sizes
+        if by_word:
+            symbols, begin, stop = (np.concatenate(x) for x in zip(*words(b"\n".join(parts[at:end]))))
+            sizes = np.bincount(np.searchsorted(head, begin, "right") - 1, minlength=len(sizes))
+        else:
+            symbols = _tables()[0][np.frombuffer(b"".join(parts[at:end]), dtype=np.uint8)]
+            begin = np.arange(len(symbols))
+            stop = begin + 1
+        count = sizes - length + 1
+        owner = np.repeat(np.arange(len(count)), count)
+        first = np.arange(len(owner)) + ((np.cumsum(sizes) - sizes) - (np.cumsum(count) - count))[owner]
+        out.append((names(sums(symbols), first, first + length), owner + at, begin[first] - head[owner], stop[first + length - 1] - head[owner]))
         at = end
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), count
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _runs(repeated: np.ndarray, count: np.ndarray, rows: list[int], begins: list[int], length: int) -> tuple[list, list, list]:
-    """Covered stretches (row, begin, end) of marked windows, a run each."""
-    owner = np.repeat(np.arange(len(count)), count)
-    inside = np.arange(len(repeated)) - np.repeat(np.cumsum(count) - count, count)
+COVERED = "_row bigint, begin int, end int, words boolean"
+
+
+def _runs(repeated: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: np.ndarray, rows: np.ndarray, begins: np.ndarray, by_word: bool) -> pa.RecordBatch:
+    """Covered stretches of marked windows, a run each."""
     at = np.flatnonzero(repeated)
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])]) if len(at) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])) if len(at) else at
     tail = np.concatenate([head[1:], [len(at)]]) - 1 if len(head) else head
-    begin = np.array(begins, dtype=np.int64)
     own = owner[at[head]]
-    return [rows[i] for i in own], (begin[own] + inside[at[head]]).tolist(), (begin[own] + inside[at[tail]] + length).tolist()
-
-
-COVERED = "_row bigint, begin int, end int"
+    return pa.RecordBatch.from_arrays([
+        pa.array(rows[own], pa.int64()), pa.array((begins[own] + begin[at[head]]).astype(np.int32)),
+        pa.array((begins[own] + end[at[tail]]).astype(np.int32)), pa.array(np.full(len(own), by_word))], names=["_row", "begin", "end", "words"])
 
 
 def ranked_by_name(stretches: DataFrame) -> DataFrame:
@@ -208,99 +269,123 @@ def ranked_by_name(stretches: DataFrame) -> DataFrame:
         held: list[tuple] = []
         size = 0
 
-        def compared() -> pa.RecordBatch:
-            name, count = window_names([h[4] for h in held])
-            _, inverse, times = np.unique(name, return_inverse=True, return_counts=True)
-            # a zone that occurs twice is covered already and serves as a partner only
-            single = np.repeat(np.array([h[1] == 1 for h in held]), count)
-            out = _runs((times[inverse] > 1) & single, count, [h[2] for h in held], [h[3] for h in held], LENGTH)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32()))], names=["_row", "begin", "end"])
+        def compared() -> Iterator[pa.RecordBatch]:
+            for by_word in (False, True):
+                listed = [h for h in held if h[0] & 1 == by_word]
+                if not listed:
+                    continue
+                _, settled, least_row, last_row, rows, begins, parts = (list(c) for c in zip(*listed))
+                name, owner, begin, end = windows(parts, by_word)
+                _, inverse, times = np.unique(name, return_inverse=True, return_counts=True)
+                if by_word:  # in two texts, whatever the zones
+                    low, high = np.full(len(times), np.iinfo(np.int64).max), np.full(len(times), -1)
+                    np.minimum.at(low, inverse, np.array(least_row)[owner])
+                    np.maximum.at(high, inverse, np.array(last_row)[owner])
+                    again = low < high
+                else:
+                    again = times > 1
+                yield _runs(again[inverse] & ~np.array(settled)[owner], owner, begin, end, np.array(rows), np.array(begins), by_word)
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
-            for item in zip(*cols):
+            for item in zip(*(c.to_pylist() for c in batch.columns)):
                 if size > BUFFER and item[0] != held[-1][0]:
-                    yield compared()
+                    yield from compared()
                     held, size = [], 0
                 held.append(item)
-                size += len(item[4])
-        if held:
-            yield compared()
+                size += len(item[-1])
+        yield from compared()
 
     return stretches.repartition("name").sortWithinPartitions("name").mapInArrow(run, COVERED)
 
 
 def ranked_by_window(stretches: DataFrame) -> DataFrame:
     """The same for names with very many zones: each window is a row of an aggregation."""
+    kinds = {"window": pa.int64(), "words": pa.bool_(), "settled": pa.bool_(), "least_row": pa.int64(), "last_row": pa.int64(), "_row": pa.int64(), "begin": pa.int32(), "end": pa.int32()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                times, rows, begins, parts = (part.column(i).to_pylist() for i in (2, 3, 4, 5))
-                name, count = window_names(parts)
-                inside = np.arange(len(name)) - np.repeat(np.cumsum(count) - count, count)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(name.view(np.int64)), pa.array(np.repeat(np.array(times), count), pa.int64()),
-                    pa.array(np.repeat(np.array(rows), count), pa.int64()),
-                    pa.array((np.repeat(np.array(begins), count) + inside).astype(np.int32), pa.int32())], names=["window", "times", "_row", "begin"])
-
-    windows = written(stretches.mapInArrow(run, "window bigint, times bigint, _row bigint, begin int"), "suffix-windows")
-    again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    return windows.where("times = 1").join(again, "window", "left_semi").select("_row", "begin", (F.col("begin") + LENGTH).alias("end"))
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for by_word in (False, True):
+                every = [r for r in rows if r[0] & 1 == by_word]
+                for at in range(0, len(every), 2000):
+                    _, settled, least_row, last_row, row, begins, parts = (list(c) for c in zip(*every[at : at + 2000]))
+                    name, owner, begin, end = windows(parts, by_word)
+                    place = np.array(begins)[owner]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((
+                        name.view(np.int64), np.full(len(name), by_word), *(np.array(x)[owner] for x in (settled, least_row, last_row, row)), place + begin, place + end), kinds.values())], names=list(kinds))
+
+    every = written(stretches.mapInArrow(run, "window bigint, words boolean, settled boolean, least_row bigint, last_row bigint, _row bigint, begin int, end int"), "suffix-windows")
+    again = every.groupBy("words", "window").agg(F.count(F.lit(1)).alias("n"), F.min("least_row").alias("low"), F.max("last_row").alias("high"))
+    again = again.where(F.when(F.col("words"), F.col("low") < F.col("high")).otherwise(F.col("n") > 1)).select("words", "window")
+    return every.where("NOT settled").join(again, ["words", "window"], "left_semi").select("_row", "begin", "end", "words")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """One row per document: id, ``n_bytes, n_removed, n_spans, kept_sha256``, ``has_repeat``
-    (something was removed), ``longest_repeat`` (bytes of the longest removed run) and ``kept``
-    (the remaining bytes; null where nothing was removed)."""
+    (something was removed), ``longest_repeat`` (bytes of the longest removed run),
+    ``shares_passage`` (``WORDS`` words in a row also stand in another document),
+    ``passage_words`` (words in such passages) and ``kept`` (the remaining bytes; null where
+    nothing was removed)."""
     texts = sampled(docs, id_col, text_col)
-    ends = F.concat(F.transform(F.slice("first", F.lit(2), F.size("first")), lambda x: x - 1), F.array((F.col("n_bytes") - LENGTH).cast("int")))
-    marks = texts.where(F.size("first") > 0).select("_row", F.explode(F.arrays_zip(
-        F.col("names").alias("name"), F.col("zones").alias("zone"), F.col("first").alias("begin"), F.transform(ends, lambda x: x + LENGTH).alias("end"))).alias("m"))
+    marks = texts.where(F.size("names") > 0).select("_row", F.explode(F.arrays_zip(
+        F.col("names").alias("name"), F.col("zones").alias("zone"), F.col("begins").alias("begin"), F.col("ends").alias("end"))).alias("m"))
     marks = marks.select("_row", "m.*")
-    kinds = marks.groupBy("name", "zone").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_row", "begin", "end")).alias("one"))
-    kinds = written(kinds, "suffix-kinds")
-    several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("places")).where("places > 1")
-    # zones that stand twice: covered; zones beside others of their name: to be ranked, one of each
-    covered = marks.join(kinds.where("times > 1").select("name", "zone"), ["name", "zone"], "left_semi").select("_row", "begin", "end")
-    covered = written(covered, "suffix-covered")
-    ranked = kinds.join(several.where("kinds > 1"), "name").select(
-        F.col("one._row").alias("_row"), F.struct("name", "zone", "times", F.col("one.begin").alias("begin"), F.col("one.end").alias("end"), (F.col("kinds") > group).alias("big")).alias("z"))
-    listed = ranked.groupBy("_row").agg(F.collect_list("z").alias("listed"))  # a text's own zones
-    rows = covered.select("_row").distinct().join(listed, "_row", "full_outer")
+    twice = marks.groupBy("name").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("name")
+    # written first: joins of written tables split a very common name over tasks
+    marks = written(marks.join(written(twice, "suffix-names"), "name", "left_semi"), "suffix-marks")
+    by_word = F.col("name").bitwiseAND(F.lit(1)) == 1
+    kinds = marks.groupBy("name", "zone").agg(
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("_row", "begin")).alias("one"), F.min("_row").alias("least_row"), F.max("_row").alias("last_row"))
+    # zones that stand twice (of words: in two texts) are covered
+    kinds = written(kinds.withColumn("settled", F.when(by_word, F.col("least_row") < F.col("last_row")).otherwise(F.col("times") > 1)), "suffix-kinds")
+    listed = F.when(by_word & ~F.col("settled"), F.col("times")).otherwise(1)
+    several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum(listed).alias("places"))
+    # zones beside others of their name are to be ranked; one of each kind, where all share its fate
+    ranked = written(kinds.join(several, "name").where("settled OR kinds > 1"), "suffix-several")
+    kept = marks.join(ranked, ["name", "zone"]).withColumn(
+        "listed", (F.col("kinds") > 1) & ((by_word & ~F.col("settled")) | (F.struct("_row", "begin") == F.col("one"))))
+    kept = written(kept.where("settled OR listed").drop("zone", "times", "one"), "suffix-zones")
+    covered = kept.where("settled").select("_row", "begin", "end", by_word.alias("words"))
+    zone = F.struct("name", "settled", "least_row", "last_row", "begin", "end", ((F.col("kinds") > 1) & (F.col("places") > group)).alias("big"))
+    rows = kept.groupBy("_row").agg(F.collect_list(F.when(F.col("listed"), zone)).alias("listed"))  # a text's own zones
     active = written(texts.select("_row", "packed").join(rows, "_row"), "suffix-active")
     pick = lambda big: F.filter("listed", lambda z: z["big"] == F.lit(big))
-    small = ranked_by_name(_stretches(active.withColumn("picked", pick(False)), "picked"))
-    found = written(small, "suffix-ranked")
-    if kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > group).limit(1).count():
+    found = written(ranked_by_name(_stretches(active.withColumn("picked", pick(False)), "picked")), "suffix-ranked")
+    if ranked.where((F.col("kinds") > 1) & (F.col("places") > group)).limit(1).count():
         found = found.unionByName(ranked_by_window(_stretches(active.withColumn("picked", pick(True)), "picked")))
-    runs = covered.unionByName(found).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
-    cut = active.select("_row", "packed").join(runs, "_row").mapInArrow(_cut, "_row bigint, n_removed bigint, n_spans bigint, longest bigint, kept_sha256 string, kept binary")
+    runs = covered.unionByName(found).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "words"))).alias("runs"))
+    cut = active.select("_row", "packed").join(runs, "_row").mapInArrow(
+        _cut, "_row bigint, n_removed bigint, n_spans bigint, longest bigint, passage_words bigint, kept_sha256 string, kept binary")
+    count = lambda column: F.coalesce(column, F.lit(0)).cast("bigint")
     return texts.select("_row", "_id", "n_bytes", "sha").join(cut, "_row", "left").select(
-        F.col("_id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
-        (F.coalesce("n_removed", F.lit(0)) > 0).alias("has_repeat"), F.coalesce("longest", F.lit(0)).cast("bigint").alias("longest_repeat"), "kept")
+        F.col("_id").alias(id_col), "n_bytes", count("n_removed").alias("n_removed"), count("n_spans").alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), (count("n_removed") > 0).alias("has_repeat"), count("longest").alias("longest_repeat"),
+        (count("passage_words") > 0).alias("shares_passage"), count("passage_words").alias("passage_words"), "kept")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join each text's covered stretches and cut them out."""
+    """Join each text's covered stretches, cut out those of bytes and count words in the others."""
     unpack = zstandard.ZstdDecompressor()
+    kinds = {"_row": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "longest": pa.int64(), "passage_words": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
     for batch in batches:
         out = []
         for row, packed, runs in zip(*(c.to_pylist() for c in batch.columns)):
-            text, kept, at, spans, longest = unpack.decompress(packed), [], 0, 0, 0
-            reach = opened = -1
-            for run in runs:
-                if run["begin"] > reach:
-                    kept.append(text[at : run["begin"]])
-                    spans += 1
-                    opened = run["begin"]
-                reach = max(reach, run["end"])
-                longest = max(longest, reach - opened)
-                at = reach
-            kept.append(text[at:])
-            rest = b"".join(kept)
-            out.append((row, len(text) - len(rest), spans, longest, hashlib.sha256(rest).hexdigest(), rest))
-        cols = list(zip(*out)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_row", "n_removed", "n_spans", "longest", "kept_sha256", "kept"])
+            text = unpack.decompress(packed)
+            spans, passages = (_joined([r for r in runs if r["words"] == by_word]) for by_word in (False, True))
+            ends = [0, *(end for _, end in spans)]
+            rest = b"".join(text[a:b] for a, b in zip(ends, [*(begin for begin, _ in spans), len(text)]))
+            out.append((row, len(text) - len(rest), len(spans), max((end - begin for begin, end in spans), default=0),
+                        sum(len(text[begin:end].split()) for begin, end in passages), hashlib.sha256(rest).hexdigest(), rest if spans else None))
+        if out:
+            yield _batch(out, kinds)
+
+
+def _joined(runs: list[dict]) -> list[tuple[int, int]]:
+    """Sorted runs, those that meet or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for run in runs:
+        if out and run["begin"] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], run["end"]))
+        else:
+            out.append((run["begin"], run["end"]))
+    return out

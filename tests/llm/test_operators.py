@@ -150,6 +150,42 @@ def test_suffix_dedup_against_a_plain_version(spark, group):
     assert [got[i] for i in range(len(texts))] == plain_repeats([(t or "").encode() for t in texts])
 
 
+def plain_passages(texts):
+    n, seen = suffix_dedup.WORDS, collections.defaultdict(set)
+    split = [t.split() for t in texts]
+    for i, words in enumerate(split):
+        for p in range(len(words) - n + 1):
+            seen[b" ".join(words[p : p + n])].add(i)
+    out = []
+    for words in split:
+        covered = np.zeros(len(words), dtype=bool)
+        for p in range(len(words) - n + 1):
+            if len(seen[b" ".join(words[p : p + n])]) > 1:
+                covered[p : p + n] = True
+        out.append((bool(covered.any()), int(covered.sum())))
+    return out
+
+
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_word_passages_across_documents(spark, group):
+    rng = random.Random(4)
+    draw = lambda n: [rng.choice("abcdefghijké") + rng.choice(["", "o", "un", "."]) for _ in range(n)]
+    join = lambda words: "".join(w + rng.choice([" ", "\n", "\t ", "\u000b\r"]) for w in words)
+    short, other, inner = draw(51), draw(50), draw(60)  # far below 400 bytes
+    texts = [join(draw(90) + short + draw(80)), join(draw(20) + short), join(other), join(draw(40) + other + draw(3) + short[:49]), join(short[1:50] + draw(9)),
+             join(inner + draw(30) + inner), join(draw(15) + inner + draw(5) + inner[2:]), join(draw(200) + inner[5:58] + draw(4)), join(draw(7) * 30), join(draw(300)),
+             "x" * 900 + " " + join(other) + "y" * 1500, join(draw(30)) + "x" * 900 + " " + join(other[1:]) + "z" * 700, None, "", " ", join(other[:49]), join(draw(3) * 40)]
+    texts += [texts[8], texts[9].upper()]
+    # in one document only: no passage
+    texts += [join((alone := draw(70)) + ["-"] + alone + draw(5) + alone[:55])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: (r["shares_passage"], r["passage_words"], r["n_removed"], r["kept"]) for r in suffix_dedup.remove_repeats(docs, group=group).collect()}
+    want = plain_passages([(t or "").encode() for t in texts])
+    assert [got[i][:2] for i in range(len(texts))] == want
+    assert want[0][0] and want[1][0] and want[2] == (True, 50) and not want[4][0] and not want[-1][0]
+    assert got[0][2] == 0 and got[0][3] is None
+
+
 # ---------------------------------------------------------------- 4 URL filters
 
 def test_urls(spark):

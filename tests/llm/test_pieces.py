@@ -59,6 +59,28 @@ def test_repeats_are_named(documents):
     assert got[3] == (False, 0, 0) and got[4] == (False, 0, 0) and got[5][0] and got[5][1] >= 900
 
 
+@pytest.mark.parametrize("chunk", [64, 700, 1 << 20])
+def test_words_do_not_depend_on_the_chunk(monkeypatch, chunk):
+    suffix_dedup._tables()  # kept: as long as whole chunks need
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rng = random.Random(6)
+    listed = [rng.choice(["a", "bé", "c" * 63, "c" * 64, "d" * 65, "e" * 900, "if", "the."]) for _ in range(400)]
+    text = (" \n" + "".join(w + rng.choice([" ", "\t\r", "\u000b\f\n"]) for w in listed) + "f" * 64).encode()
+    listed = [w.encode() for w in [*listed, "f" * 64]]
+    name, begin, end = (np.concatenate(x) for x in zip(*suffix_dedup.words(text)))
+    assert [text[a:b] for a, b in zip(begin, end)] == listed == text.split()
+    assert len(set(name.tolist())) == len(set(listed)) == len(set(zip(name.tolist(), listed)))
+    # every window of words lies in one zone, whose stretch names it as the window alone does
+    zones = [z for part in suffix_dedup.word_zones(text) for z in zip(*part)]
+    n, number = suffix_dedup.WORDS, {a: i for i, a in enumerate(begin.tolist())}
+    firsts = [number[z[2]] for z in zones]
+    assert firsts[0] == 0 and [number[a] for z in zones for a in begin.tolist() if z[2] <= a and end[min(number[a] + n - 1, len(end) - 1)] <= z[3] and number[a] + n <= len(end)] == list(range(len(listed) - n + 1))
+    got, owner, first, stop = suffix_dedup.windows([text[z[2] : z[3]] for z in zones], True)
+    assert np.array_equal(got, suffix_dedup.windows([text], True)[0])
+    assert [zones[o][2] + a for o, a in zip(owner, first)] == begin[: len(listed) - n + 1].tolist()
+    assert [zones[o][2] + b for o, b in zip(owner, stop)] == end[n - 1 :].tolist()
+
+
 def test_deep_urls_meet_the_same_rules(spark):
     rules = [("com", "/", "allow"), ("b.com", "/x/y/", "block"), ("a.b.com", "/x", "allow"), ("c", "/x/y/z/w", "block")]
     deep = "/".join(str(i) for i in range(3000))
