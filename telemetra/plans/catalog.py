@@ -467,10 +467,7 @@ def csv_partitioned(spark, sf_dir):
 @register("jsonl_partitioned")
 def jsonl_partitioned(spark, sf_dir):
     """K2 in a JSON Lines store: by metric and host, read back."""
-    pts = points_a(spark, sf_dir).where("metric_name = 'error.value'")
-    path = scratch_path(spark, "store-jsonl")
-    writers.write_points(pts, path, "jsonl", partition_by=("metric_name", "host"))
-    return store_row(points_src.read_store(spark, path, "jsonl", ("metric_name", "host")))
+    return store_row(_roundtrip(spark, sf_dir, "jsonl", partition_by=("metric_name", "host")))
 
 
 @register("csv_rotation")

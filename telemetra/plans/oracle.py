@@ -250,7 +250,7 @@ ORACLE.update({
     "dedup_first_bulk": _bulk("arg_min"),
     "parquet_by_host": _STORE_A,
     "csv_partitioned": _STORE_A,
-    "jsonl_partitioned": f"{_STORE_A} WHERE metric_name = 'error.value'",
+    "jsonl_partitioned": _STORE_A,
     "csv_rotation": "SELECT 4 * count(*) AS rows, CAST(0 AS BIGINT) AS over_limit FROM lineitem",
     "query_late_arrivals": f"""{_STORE_A} WHERE metric_name = 'view.value'
   AND ts BETWEEN epoch(TIMESTAMP '2024-01-05 00:00:00') AND epoch(TIMESTAMP '2024-01-06 00:00:00')""",
