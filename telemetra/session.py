@@ -24,18 +24,27 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 HEAP_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 ROCKSDB_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# A listing starts a task for every directory, up to 10 000 of them, and one such job for every
+# date of a store; a few tasks per core list as fast.
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+MOST_LISTING_TASKS = "10000"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply :data:`RUNTIME_CONF` to an existing session (runtime-settable keys only).
 
     The RocksDB state store is chosen only while the session still has Spark's built-in
-    heap store, so a provider picked by the user (and its checkpoints) is left alone."""
+    heap store, so a provider picked by the user (and its checkpoints) is left alone; so is a
+    number of listing tasks that is not Spark's own."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     if spark.conf.get(STATE_STORE, HEAP_STATE_STORE) == HEAP_STATE_STORE:
         spark.conf.set(STATE_STORE, ROCKSDB_STATE_STORE)
         spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    sc = _context(spark)
+    if sc and spark.conf.get(LISTING_TASKS, MOST_LISTING_TASKS) == MOST_LISTING_TASKS:
+        spark.conf.set(LISTING_TASKS, str(max(64, 4 * sc.defaultParallelism)))
     return spark
 
 

@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from telemetra.constants import CSV_ROWS_PER_FILE, PARQUET_COMPRESSION
 from telemetra.functions.points import epoch_seconds
 from telemetra.session import scratch_path, written
+from telemetra.sinks import cells
 
 Format = Literal["parquet", "csv", "csv_tags", "jsonl"]
 Layout = Literal["as_is", "rebalance"]
 
 
-# For stores with a directory per host or per file: every task moves its own files when it is
-# done. The default has the driver move them all, one by one, after the last task. A write
+# For stores with a directory per host or per file that Spark writes (not on a local or mounted
+# file system): every task moves its own files when it is done. The default has the driver move them all, one by one, after the last task. A write
 # that fails can leave the files of tasks that had finished (and no ``_SUCCESS``).
 MOVED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
@@ -95,13 +96,18 @@ def write_points(
         rows = rows.drop("metric_name")
     if layout == "rebalance" and part_cols:
         rows = rows.hint("rebalance", *part_cols)
+    if fmt in ("csv", "csv_tags") and max_records_per_file is None:
+        max_records_per_file = CSV_ROWS_PER_FILE
+    codec = compression or (PARQUET_COMPRESSION if fmt == "parquet" else "none")
+    if "host" in part_cols and fmt != "parquet" and cells.writable(rows.sparkSession, path, fmt, codec, mode):
+        line = _encoded(rows.drop(*part_cols), fmt)
+        cells.write(rows.sortWithinPartitions(*part_cols), path, fmt, part_cols, line, codec, max_records_per_file)
+        return
     writer = rows.write.mode(mode)
     if part_cols:
         writer = writer.partitionBy(*part_cols)
     if "host" in part_cols:
         writer = writer.options(**MOVED_BY_TASKS)
-    if fmt in ("csv", "csv_tags") and max_records_per_file is None:
-        max_records_per_file = CSV_ROWS_PER_FILE
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     if fmt == "parquet":

@@ -21,7 +21,7 @@ from telemetra.functions.points import in_time_span, sorted_json_object, to_even
 from telemetra.functions.rows import keep_where
 from telemetra.functions.variant import as_double, field, is_number, is_string, json_text_values
 from telemetra.schemas import POINT_CSV, POINT_CSV_TAGS, POINT_PARQUET
-from telemetra.sinks import manifest
+from telemetra.sinks import cells, manifest
 
 CANONICAL = ["timestamp", "metric_name", "value", "host", "tags_json"]
 _DATE = T.StructField("date", T.DateType(), True)
@@ -97,7 +97,12 @@ def read_jsonl_points(spark: SparkSession, base: str, partitions: tuple[str, ...
     miss a typed ``metric`` / ``timestamp`` / ``value`` are skipped."""
     partitions = () if recursive else _stored(partitions)
     line = T.StructType([T.StructField("value", T.StringType(), True)])
-    lines = _reader(spark, recursive, pattern).schema(_with_partitions(line, partitions)).text(base)
+    schema = _with_partitions(line, partitions)
+    found = cells.read_lines(spark, base, partitions) if pattern is None and not {"host", "file"}.isdisjoint(partitions) else None
+    if found is not None:
+        lines = found.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    else:
+        lines = _reader(spark, recursive, pattern).schema(schema).text(base)
     # a partition column stands for the key that partitioning took out of the lines
     parsed = lines.select(F.try_parse_json(F.col("value")).alias("d"), *[F.col(p).alias(f"_{p}") for p in partitions])
     doc = F.col("d")
