@@ -99,8 +99,8 @@ def write_points(
     if fmt in ("csv", "csv_tags") and max_records_per_file is None:
         max_records_per_file = CSV_ROWS_PER_FILE
     codec = compression or (PARQUET_COMPRESSION if fmt == "parquet" else "none")
-    if "host" in part_cols and fmt != "parquet" and cells.writable(rows.sparkSession, path, fmt, codec, mode):
-        line = _encoded(rows.drop(*part_cols), fmt)
+    if "host" in part_cols and cells.writable(rows.sparkSession, path, fmt, codec, mode):
+        line = None if fmt == "parquet" else _encoded(rows.drop(*part_cols), fmt)
         cells.write(rows.sortWithinPartitions(*part_cols), path, fmt, part_cols, line, codec, max_records_per_file)
         return
     writer = rows.write.mode(mode)

@@ -4,6 +4,7 @@ import glob
 import gzip
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -110,3 +111,34 @@ def test_an_empty_store_and_a_missing_one(spark):
 
 def test_a_listing_takes_a_few_tasks_per_core(spark):
     assert int(spark.conf.get(LISTING_TASKS)) <= max(64, 4 * spark.sparkContext.defaultParallelism)
+
+
+def test_a_parquet_store_by_host_is_that_of_sparks_writer(spark, monkeypatch):
+    monkeypatch.setattr(cells, "GROUP_ROWS", 1)  # a batch of Arrow's default size; 12000 points are two
+    days = ["0001-01-01", "1582-10-04", "1899-12-31", "2024-01-05", "9999-12-31"]
+    many = spark.range(12_000).select(F.element_at(F.array(*[F.lit(f"{d} 23:59:59").cast("timestamp") for d in days]), (F.col("id") % 5 + 1).cast("int")).alias("timestamp"),
+                                    F.lit("m").alias("metric_name"), F.when(F.col("id") % 7 > 0, F.col("id") / 3).alias("value"), F.lit("hot").alias("host"), F.lit(None).cast("string").alias("tags_json"))
+    pts = odd_points(spark).unionAll(many)
+    for codec, ending in ((None, ".snappy.parquet"), ("gzip", ".gz.parquet"), ("zstd", ".zstd.parquet"), ("none", ".parquet")):
+        ours, sparks = scratch_path(spark, "ours"), scratch_path(spark, "sparks")
+        writers.write_points(pts, ours, "parquet", partition_by=("host",), compression=codec)
+        writers.write_points(pts, sparks, "parquet", partition_by=("host",), compression=codec, mode="overwrite")
+        top = ours.removeprefix("file:")
+        assert sorted(os.listdir(top)) == sorted(os.listdir(sparks.removeprefix("file:")))
+        assert glob.glob(f"{top}/**/.part*", recursive=True) == [] and all(f.endswith(ending) for f in glob.glob(f"{top}/*/*"))
+        ours, sparks = (points_src.read_store(spark, p, "parquet", ("host",)) for p in (ours, sparks))
+        assert ours.schema == sparks.schema and ours.count() == 12_081
+        assert ours.exceptAll(sparks).count() == 0
+        assert rows(ours.where("host = 'hot' and value < 2").select("value"), "value") == rows(sparks.where("host = 'hot' and value < 2").select("value"), "value")
+    (file,) = glob.glob(f"{top}/host=hot/*")
+    kept = pq.ParquetFile(file)
+    assert kept.num_row_groups > 1 and "RLE_DICTIONARY" not in kept.metadata.row_group(0).column(1).encodings
+
+
+def test_a_failed_write_leaves_no_drafts(spark):
+    path = scratch_path(spark, "failed")
+    bad = odd_points(spark).withColumn("host", F.when(F.col("host") == "x=1/y:2", F.repeat(F.lit("z"), 300)).otherwise(F.col("host")))
+    with pytest.raises(Exception, match="File name too long"):
+        writers.write_points(bad.coalesce(1), path, "parquet", partition_by=("host",), layout="as_is")
+    top = path.removeprefix("file:")
+    assert not os.path.exists(f"{top}/_SUCCESS") and glob.glob(f"{top}/**/.part*", recursive=True) == []
