@@ -486,7 +486,7 @@ def _rotated(spark, sf_dir, fmt: str, limit: int, window: int | None):
     pts = flatten.flatten(adapters.fields_payloads(events(spark, sf_dir)), keep=["received_at"])
     writers.write_rotated(pts, path, fmt, max_bytes=limit, window_minutes=window)
     read = points_src.read_csv_points if fmt == "csv" else points_src.read_jsonl_points
-    rows = read(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    rows = read(spark, path, partitions=("date", "file")).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
     age = F.substring_index("file", "-", 1).cast("bigint") if window else F.lit(0).cast("bigint")
     files = store.list_files(spark, path, fmt).groupBy("date", age.alias("age")).agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sum((F.col("length") > limit).cast("bigint")).alias("over_limit"))

@@ -43,14 +43,14 @@ def writable(spark: SparkSession, path: str, fmt: str, compression: str, mode: s
     return mode == "append" and compression in codecs and folder(spark, path) is not None
 
 
-def write(rows: DataFrame, path: str, fmt: str, by: Sequence[str], line: Column | None = None, compression: str = "none", max_records: int | None = None) -> None:
+def write(rows: DataFrame, path: str, fmt: str, by: Sequence[str], line: Column | None = None, compression: str = "none", max_records: int | None = None, names: Sequence[str] = ()) -> None:
     """Rows as files under ``by[0]=…/by[1]=…``. They come dealt out and sorted by ``by``;
-    ``line`` is a row's line in a text file."""
+    ``line`` is a row's line in a text file, of the columns ``names`` if not of the rows' own."""
     spark = rows.sparkSession
     cols = [c for c in rows.columns if c not in by]
     keys = [F.col(c).cast("string").alias(f"_by{i}") for i, c in enumerate(by)]
     data = [F.col(c) for c in cols] if fmt == "parquet" else [F.concat(line, F.lit("\n")).alias("_line")]
-    header = ",".join(cols) + "\n" if fmt.startswith("csv") else ""
+    header = ",".join(names or cols) + "\n" if fmt.startswith("csv") else ""
     ending = {"parquet": f"{PARQUET_CODECS.get(compression)}.parquet", "jsonl": f".json{TEXT_CODECS.get(compression)}"}.get(fmt, f".csv{TEXT_CODECS.get(compression)}")
     fs, root = manifest._folder(spark, path)
     fs.mkdirs(root)

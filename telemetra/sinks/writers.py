@@ -161,23 +161,28 @@ def write_rotated(
     lines = rows.drop("date", "age")
     header = 0 if fmt == "jsonl" else len(",".join(lines.columns)) + 1
     group = [F.coalesce("age", F.lit(-1)).alias("age"), "date"]
-    numbered = rows.select(
-        *lines.columns, *group, (F.octet_length(_encoded(lines, fmt)) + 1).cast("bigint").alias("_bytes"),
+    ours = cells.writable(points.sparkSession, path, fmt, compression or "none", mode)
+    kept = ["_line"] if ours else lines.columns  # each line is encoded once, or by Spark's writer again
+    numbered = rows.withColumn("_line", _encoded(lines, fmt)).select(
+        *kept, *group, (F.octet_length("_line") + 1).cast("bigint").alias("_bytes"),
         F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_row"))
     placed = written(numbered, "rotated")
-    cells = placed.groupBy("age", "date", "_task").agg(F.sum("_bytes").alias("_size"), F.max("_bytes").alias("_widest"))
-    widest = cells.agg(F.max("_widest")).first()[0] or 0
+    sizes = placed.groupBy("age", "date", "_task").agg(F.sum("_bytes").alias("_size"), F.max("_bytes").alias("_widest"))
+    widest = sizes.agg(F.max("_widest")).first()[0] or 0
     # a file's lines end within `step` of each other, so it holds less than that and a line
     step = max(1, max_bytes - header - widest + 1)
     before = Window.partitionBy("age", "date").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("age", "date", "_task", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select("age", "date", "_task", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     running = Window.partitionBy("age", "date", "_task").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("_end", F.sum("_bytes").over(running))
     same = summed["age"].eqNullSafe(offsets["age"]) & summed["date"].eqNullSafe(offsets["date"]) & (summed["_task"] == offsets["_task"])
     number = F.floor((F.col("_before") + F.col("_end") - 1) / step)
     name = F.concat_ws("-", F.col("age"), F.col("number")) if window_minutes else F.col("number")
-    out = summed.join(offsets, same).select(*[summed[c] for c in lines.columns], summed["age"], summed["date"], number.alias("number"), "_row")
-    out = out.withColumn("file", name).repartition("date", "file").sortWithinPartitions("date", "file", "_row").select(*lines.columns, "date", "file")
+    out = summed.join(offsets, same).select(*[summed[c] for c in kept], summed["age"], summed["date"], number.alias("number"), "_row")
+    out = out.withColumn("file", name).repartition("date", "file").sortWithinPartitions("date", "file", "_row").select(*kept, "date", "file")
+    if ours:
+        cells.write(out, path, fmt, ["date", "file"], F.col("_line"), compression or "none", names=lines.columns)
+        return
     writer = out.write.mode(mode).partitionBy("date", "file").options(**MOVED_BY_TASKS).option("compression", compression or "none")
     if fmt == "jsonl":
         writer.option("ignoreNullFields", "false").json(path)

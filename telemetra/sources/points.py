@@ -25,6 +25,8 @@ from telemetra.sinks import cells, manifest
 
 CANONICAL = ["timestamp", "metric_name", "value", "host", "tags_json"]
 _DATE = T.StructField("date", T.DateType(), True)
+# What is read of a JSON line; NULL for one that is no object.
+LINE = "struct<timestamp:variant,metric:variant,value:variant,host:variant,tags:variant>"
 
 
 # Partition directories are named after the stored column; its canonical name in points.
@@ -103,22 +105,21 @@ def read_jsonl_points(spark: SparkSession, base: str, partitions: tuple[str, ...
         lines = found.select(*[F.col(f.name).cast(f.dataType) for f in schema])
     else:
         lines = _reader(spark, recursive, pattern).schema(schema).text(base)
+    # one walk over a line and one test of it in compiled projections: the generator only keeps or
+    # drops it, and the columns above it are made only if they are asked for
+    read = lines.select(F.try_variant_get(F.try_parse_json("value"), "$", LINE).alias("d"), *[F.col(p).alias(f"_{p}") for p in partitions])
+    d = F.col("d")
+    seconds = field(d["timestamp"], "$", "bigint")
+    named = F.lit(True) if "metric" in partitions else is_string(d["metric"])
+    ok = F.coalesce(is_number(d["timestamp"]) & in_time_span(seconds) & named & is_number(d["value"]), F.lit(False))
+    good = keep_where(read.withColumn("_ok", ok), F.col("_ok"), "d", *[f"_{p}" for p in partitions])
     # a partition column stands for the key that partitioning took out of the lines
-    parsed = lines.select(F.try_parse_json(F.col("value")).alias("d"), *[F.col(p).alias(f"_{p}") for p in partitions])
-    doc = F.col("d")
-    ts, metric, value = field(doc, "$.timestamp"), field(doc, "$.metric"), field(doc, "$.value")
-    named = F.lit(True) if "metric" in partitions else is_string(metric)
-    seconds = field(doc, "$.timestamp", "bigint")
-    ok = doc.isNotNull() & F.coalesce(is_number(ts) & in_time_span(seconds) & named & is_number(value), F.lit(False))
-    tags = json_text_values(field(doc, "$.tags"))
-    return keep_where(
-        parsed,
-        ok,
+    return good.select(
         to_event_time(seconds).alias("timestamp"),
-        (F.col("_metric") if "metric" in partitions else field(doc, "$.metric", "string")).alias("metric_name"),
-        as_double(value).alias("value"),
-        F.coalesce(F.col("_host") if "host" in partitions else field(doc, "$.host", "string"), F.lit(UNKNOWN)).alias("host"),
-        sorted_json_object(tags).alias("tags_json"),
+        (F.col("_metric") if "metric" in partitions else field(d["metric"], "$", "string")).alias("metric_name"),
+        as_double(d["value"]).alias("value"),
+        F.coalesce(F.col("_host") if "host" in partitions else field(d["host"], "$", "string"), F.lit(UNKNOWN)).alias("host"),
+        sorted_json_object(json_text_values(d["tags"])).alias("tags_json"),
         *[F.col("_date").alias("date") for p in partitions if p == "date"],
     )
 

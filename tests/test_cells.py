@@ -142,3 +142,28 @@ def test_a_failed_write_leaves_no_drafts(spark):
         writers.write_points(bad.coalesce(1), path, "parquet", partition_by=("host",), layout="as_is")
     top = path.removeprefix("file:")
     assert not os.path.exists(f"{top}/_SUCCESS") and glob.glob(f"{top}/**/.part*", recursive=True) == []
+
+
+def test_a_rotated_store_is_that_of_sparks_writer(spark):
+    pts = odd_points(spark).withColumn("received_at", F.col("timestamp") + F.expr("make_interval(0, 0, 0, 0, unix_seconds(timestamp))")).withColumn("metric_name", F.coalesce("metric_name", F.lit("é")))
+    for fmt, codec, ending in (("jsonl", None, ".json"), ("jsonl", "gzip", ".json.gz"), ("csv_tags", None, ".csv")):
+        ours, sparks = scratch_path(spark, "ours"), scratch_path(spark, "sparks")
+        for path, mode in ((ours, "append"), (sparks, "overwrite")):
+            writers.write_rotated(pts.coalesce(1), path, fmt, max_bytes=400, window_minutes=180, compression=codec, mode=mode)
+        found = stored(ours, ending)
+        assert found == stored(sparks, ending) and len(found) > 6, fmt
+        top = ours.removeprefix("file:")
+        assert glob.glob(f"{top}/**/.part*", recursive=True) == [] and os.path.exists(f"{top}/_SUCCESS")
+        if codec is None:
+            assert max(os.path.getsize(f) for f in glob.glob(f"{top}/*/*/*")) <= 400
+
+
+def test_what_is_not_asked_of_a_json_line_is_not_made(spark):
+    path = scratch_path(spark, "lines")
+    writers.write_rotated(odd_points(spark).withColumn("received_at", F.col("timestamp")), path, "jsonl", max_bytes=1000)
+    points = points_src.read_jsonl_points(spark, path, partitions=("date", "file"))
+    assert points.count() == 54 and rows(points.groupBy("date").count(), "count") == [(54,)]  # no metric, no point
+    plan = points.groupBy("date").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "inline" in plan
+    (generate,) = [line for line in points._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate inline" in line]
+    assert "variant_get" not in generate
