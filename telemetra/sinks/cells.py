@@ -148,7 +148,7 @@ def _tasks(spark: SparkSession) -> int:
 def list_files(spark: SparkSession, base: str, depth: int) -> DataFrame:
     """``path, size`` of the data files below ``depth`` levels of directories, listed once: each
     level by many tasks, and never as a whole on the driver."""
-    found = spark.createDataFrame([(folder(spark, base), -1)], "path string, size bigint")
+    found = spark.range(0, 1, 1, 1).select(F.lit(folder(spark, base)).alias("path"), F.lit(-1).cast("bigint").alias("size"))
     for level in range(depth + 1):
         found = found.repartition(_tasks(spark)) if level else found
         found = found.mapInArrow(_lister(level == depth), "path string, size bigint")
